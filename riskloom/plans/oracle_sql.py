@@ -160,3 +160,211 @@ FROM features""", ["amount_age_interaction", "amount_velocity_interaction", "vel
 
 SQL["FEATURES_table"] = rounded(f"WITH {TXN_CTE}, {FEATURES_CTE} SELECT * FROM features",
                                 FEATURE_DOUBLES)
+
+# --------------------------------------------------------------------------
+# Profiling and location leakage
+# --------------------------------------------------------------------------
+SQL["S2_overview"] = rounded(f"""WITH {TXN_CTE}
+SELECT count(*) AS n_rows, CAST(16 AS BIGINT) AS n_columns,
+       count(*) FILTER (WHERE is_fraudulent = 1) AS n_positive,
+       count(*) FILTER (WHERE is_fraudulent = 0) AS n_negative,
+       avg(CAST(is_fraudulent AS DOUBLE)) * 100.0 AS positive_pct
+FROM txn""", ["positive_pct"])
+
+SQL["S2_class_counts"] = f"""WITH {TXN_CTE}
+SELECT is_fraudulent AS label, count(*) AS n FROM txn GROUP BY 1"""
+
+_NUM_PROFILE = ["transaction_amount", "quantity", "customer_age", "account_age_days",
+                "transaction_hour"]
+SQL["S3_numeric_profile"] = rounded(f"WITH {TXN_CTE} " + " UNION ALL ".join(
+    f"""SELECT '{c}' AS column_name, count({c}) AS count, avg(CAST({c} AS DOUBLE)) AS mean,
+       stddev_samp(CAST({c} AS DOUBLE)) AS std, CAST(min({c}) AS DOUBLE) AS min,
+       quantile_cont(CAST({c} AS DOUBLE), 0.25) AS p25,
+       quantile_cont(CAST({c} AS DOUBLE), 0.5) AS p50,
+       quantile_cont(CAST({c} AS DOUBLE), 0.75) AS p75, CAST(max({c}) AS DOUBLE) AS max
+FROM txn""" for c in _NUM_PROFILE), ["mean", "std", "min", "p25", "p50", "p75", "max"])
+
+SQL["S4_categorical_profile"] = f"WITH {TXN_CTE} " + " UNION ALL ".join(
+    f"""SELECT '{c}' AS column_name, {c} AS level, count(*) AS n FROM txn
+WHERE {c} IS NOT NULL GROUP BY {c}""" for c in ["payment_method", "product_category", "device_used"])
+
+RATES_CTE = """rates AS (
+  SELECT customer_location, avg(CAST(is_fraudulent AS DOUBLE)) AS fraud_rate, count(*) AS n
+  FROM txn WHERE customer_location IS NOT NULL GROUP BY customer_location)"""
+
+SQL["A8_location_rates"] = rounded(f"WITH {TXN_CTE}, {RATES_CTE} SELECT * FROM rates",
+                                   ["fraud_rate"])
+SQL["T1_top_locations"] = rounded(f"""WITH {TXN_CTE}, {RATES_CTE}
+SELECT * FROM rates ORDER BY fraud_rate DESC, customer_location ASC LIMIT 10""", ["fraud_rate"])
+SQL["T1_bottom_locations"] = rounded(f"""WITH {TXN_CTE}, {RATES_CTE}
+SELECT * FROM rates ORDER BY fraud_rate ASC, customer_location ASC LIMIT 10""", ["fraud_rate"])
+SQL["F18_extreme_locations"] = f"""WITH {TXN_CTE}, {RATES_CTE}
+SELECT count(*) FILTER (WHERE fraud_rate > 0.9) AS n_extreme_fraud,
+       count(*) FILTER (WHERE fraud_rate < 0.1) AS n_extreme_legit FROM rates"""
+CORR_SQL = f"""WITH {TXN_CTE}, {RATES_CTE}
+SELECT corr(r.fraud_rate, CAST(t.is_fraudulent AS DOUBLE)) AS correlation,
+       COALESCE(corr(r.fraud_rate, CAST(t.is_fraudulent AS DOUBLE)) > 0.5, false) AS possible_leak
+FROM txn t JOIN rates r ON t.customer_location = r.customer_location"""
+SQL["A9_leakage_correlation"] = rounded(CORR_SQL, ["correlation"])
+SQL["V13_location_report"] = rounded(f"""WITH {TXN_CTE}, {RATES_CTE},
+top AS (SELECT 'top' AS kind, customer_location AS location, fraud_rate AS value FROM rates
+        ORDER BY fraud_rate DESC, customer_location LIMIT 10),
+bottom AS (SELECT 'bottom' AS kind, customer_location AS location, fraud_rate AS value FROM rates
+        ORDER BY fraud_rate ASC, customer_location LIMIT 10),
+c AS (SELECT corr(r.fraud_rate, CAST(t.is_fraudulent AS DOUBLE)) AS v
+      FROM txn t JOIN rates r ON t.customer_location = r.customer_location)
+SELECT * FROM top UNION ALL SELECT * FROM bottom
+UNION ALL SELECT 'n_extreme_fraud', CAST(NULL AS VARCHAR), CAST(count(*) FILTER (WHERE fraud_rate > 0.9) AS DOUBLE) FROM rates
+UNION ALL SELECT 'n_extreme_legit', CAST(NULL AS VARCHAR), CAST(count(*) FILTER (WHERE fraud_rate < 0.1) AS DOUBLE) FROM rates
+UNION ALL SELECT 'correlation', CAST(NULL AS VARCHAR), v FROM c""", ["value"])
+SQL["J3_location_lookup"] = rounded(f"""WITH {TXN_CTE}, {RATES_CTE}
+SELECT t.customer_location, t.transaction_id, r.fraud_rate
+FROM txn t LEFT JOIN rates r ON t.customer_location = r.customer_location""", ["fraud_rate"])
+
+# --------------------------------------------------------------------------
+# Preparation, split, scaling, weights
+# --------------------------------------------------------------------------
+MODEL_NUMERIC = [
+    "transaction_amount", "quantity", "customer_age", "account_age_days", "transaction_hour",
+    "total_customer_transactions", "address_mismatch", "day_of_week", "month", "is_weekend",
+    "new_account", "transaction_amount_ratio", "avg_daily_transaction_velocity",
+    "time_since_last_transaction", "amount_deviation_from_history", "product_category_diversity",
+    "amount_log", "amount_per_quantity", "amount_zscore", "account_age_weeks", "quantity_log",
+    "high_amount_flag", "high_quantity_flag", "unusual_hour_flag", "amount_age_interaction",
+    "amount_velocity_interaction", "new_account_high_value", "weekend_high_value",
+    "high_risk_profile", "velocity_deviation", "suspicious_pattern"]
+MODEL_STRINGS = ["payment_method", "product_category", "device_used", "customer_location"]
+MODEL_BINS = ["hour_bin", "age_category", "transaction_size"]
+SELECTED_ORDER = ["transaction_amount", "quantity", "customer_age", "account_age_days",
+                  "transaction_hour", "total_customer_transactions", "address_mismatch",
+                  "day_of_week", "month", "is_weekend", "new_account", "transaction_amount_ratio",
+                  "avg_daily_transaction_velocity", "time_since_last_transaction",
+                  "amount_deviation_from_history", "product_category_diversity", "amount_log",
+                  "amount_per_quantity", "amount_zscore", "hour_bin", "age_category",
+                  "account_age_weeks", "transaction_size", "quantity_log", "high_amount_flag",
+                  "high_quantity_flag", "unusual_hour_flag", "amount_age_interaction",
+                  "amount_velocity_interaction", "new_account_high_value", "weekend_high_value",
+                  "high_risk_profile", "velocity_deviation", "suspicious_pattern",
+                  "payment_method", "product_category", "device_used", "customer_location"]
+
+
+def _mode_sql(c, src="features"):
+    return (f"(SELECT {c} FROM {src} WHERE {c} IS NOT NULL GROUP BY {c} "
+            f"ORDER BY count(*) DESC, {c} ASC LIMIT 1)")
+
+
+SQL["A10_median_mode"] = rounded(f"WITH {TXN_CTE}, {FEATURES_CTE} " + " UNION ALL ".join(
+    [f"SELECT '{c}' AS column_name, median(CAST({c} AS DOUBLE)) AS median, "
+     f"CAST(NULL AS VARCHAR) AS mode FROM features" for c in MODEL_NUMERIC]
+    + [f"SELECT '{c}', CAST(NULL AS DOUBLE), {_mode_sql(c)}" for c in MODEL_STRINGS]),
+    ["median"])
+
+_imp_cols = []
+for _c in SELECTED_ORDER:
+    if _c in MODEL_NUMERIC:
+        _imp_cols.append(f"COALESCE(CAST({_c} AS DOUBLE), "
+                         f"(SELECT median(CAST({_c} AS DOUBLE)) FROM features)) AS {_c}")
+    elif _c in MODEL_STRINGS:
+        _imp_cols.append(f"COALESCE({_c}, {_mode_sql(_c)}) AS {_c}")
+    else:
+        _imp_cols.append(_c)
+IMPUTED_CTE = (f"imputed AS (SELECT transaction_id, is_fraudulent, {', '.join(_imp_cols)} "
+               f"FROM features)")
+SQL["E1_imputed"] = rounded(f"WITH {TXN_CTE}, {FEATURES_CTE}, {IMPUTED_CTE} SELECT * FROM imputed",
+                            MODEL_NUMERIC)
+
+SQL["E2_label_encoding"] = f"""WITH {TXN_CTE}, {FEATURES_CTE}, {IMPUTED_CTE}
+SELECT transaction_id, """ + ", ".join(
+    f"CAST(dense_rank() OVER (ORDER BY {c}) - 1 AS DOUBLE) AS {c}_index" for c in MODEL_STRINGS
+) + " FROM imputed"
+
+# The fixture's kept one-hot levels (first level dropped).
+KEPT_LEVELS = {
+    "payment_method": ["bank transfer", "credit card", "debit card"],
+    "product_category": ["electronics", "health & beauty", "home & garden", "toys & games"],
+    "device_used": ["mobile", "tablet"],
+    "hour_bin": ["Morning", "Afternoon", "Evening"],
+    "age_category": ["Young_Adult", "Adult", "Senior", "Elder"],
+    "transaction_size": ["Small", "Medium", "Large", "Very_Large"],
+}
+
+
+def _dummy(c, lv):
+    import re as _re
+    return f"{c}_{_re.sub(r'[^0-9a-zA-Z]+', '_', lv).strip('_').lower()}"
+
+
+DUMMIES = [(_dummy(c, lv), c, lv) for c, lvs in KEPT_LEVELS.items() for lv in lvs]
+_dummy_sql = ", ".join(f"COALESCE(CAST({c} = '{lv}' AS INTEGER), 0) AS {d}" for d, c, lv in DUMMIES)
+SQL["E3_one_hot"] = f"""WITH {TXN_CTE}, {FEATURES_CTE}, {IMPUTED_CTE}
+SELECT transaction_id, {_dummy_sql} FROM imputed"""
+
+_prep_numeric = [c for c in SELECTED_ORDER if c in MODEL_NUMERIC]
+PREPARED_CTE = f"""{RATES_CTE.replace('FROM txn', 'FROM features')},
+prepared AS (
+  SELECT i.transaction_id, i.is_fraudulent, {', '.join('i.' + c for c in _prep_numeric)},
+         {_dummy_sql.replace('COALESCE(CAST(', 'COALESCE(CAST(i.')}, r.fraud_rate AS customer_location
+  FROM imputed i LEFT JOIN rates r ON i.customer_location = r.customer_location)"""
+DESIGN = _prep_numeric + [d for d, _, _ in DUMMIES] + ["customer_location"]
+
+SQL["E4_target_encoding"] = rounded(f"""WITH {TXN_CTE}, {FEATURES_CTE}, {IMPUTED_CTE}, {PREPARED_CTE}
+SELECT transaction_id, customer_location FROM prepared""", ["customer_location"])
+
+
+def _split_cte(src):
+    return f"""ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY is_fraudulent
+                               ORDER BY md5(transaction_id || '123'), transaction_id) AS _rk
+  FROM {src}),
+sizes AS (
+  SELECT is_fraudulent, n_test, (2 * (n - n_test) * 15 + 85) // 170 AS n_val
+  FROM (SELECT is_fraudulent, count(*) AS n, (2 * count(*) * 15 + 100) // 200 AS n_test
+        FROM {src} GROUP BY 1)),
+splitted AS (
+  SELECT r.* EXCLUDE (_rk),
+         CASE WHEN r._rk <= s.n_test THEN 'test' WHEN r._rk <= s.n_test + s.n_val THEN 'val'
+              ELSE 'train' END AS split
+  FROM ranked r JOIN sizes s ON r.is_fraudulent = s.is_fraudulent)"""
+
+
+IDS_CTE = "ids AS (SELECT transaction_id, is_fraudulent FROM txn)"
+SQL["D1_split"] = f"WITH {TXN_CTE}, {IDS_CTE}, {_split_cte('ids')} SELECT * FROM splitted"
+SQL["A11_class_balance"] = rounded(f"""WITH {TXN_CTE}, {IDS_CTE}, {_split_cte('ids')}
+SELECT split, count(*) FILTER (WHERE is_fraudulent = 1) AS n_positive,
+       count(*) FILTER (WHERE is_fraudulent = 0) AS n_negative,
+       CAST(count(*) FILTER (WHERE is_fraudulent = 1) AS DOUBLE)
+         / CAST(count(*) FILTER (WHERE is_fraudulent = 0) AS DOUBLE) AS minority_ratio,
+       count(*) FILTER (WHERE is_fraudulent = 1) * 100.0 / CAST(count(*) AS DOUBLE) AS positive_pct
+FROM splitted GROUP BY split""", ["minority_ratio", "positive_pct"])
+
+_fit = ", ".join(f"avg(CAST({c} AS DOUBLE)) AS m_{c}, stddev_pop(CAST({c} AS DOUBLE)) AS s_{c}"
+                 for c in DESIGN)
+_apply = ", ".join(f"(CAST(p.{c} AS DOUBLE) - f.m_{c}) / "
+                   f"(CASE WHEN f.s_{c} = 0 OR f.s_{c} IS NULL THEN 1.0 ELSE f.s_{c} END) AS {c}"
+                   for c in DESIGN)
+SCALED_CTE = f"""{_split_cte('prepared')},
+fit AS (SELECT {_fit} FROM splitted WHERE split = 'train'),
+scaled AS (SELECT p.transaction_id, p.split, {_apply} FROM splitted p CROSS JOIN fit f)"""
+PIPE = f"WITH {TXN_CTE}, {FEATURES_CTE}, {IMPUTED_CTE}, {PREPARED_CTE}, {SCALED_CTE}"
+SQL["D2_standardize"] = rounded(f"{PIPE} SELECT * FROM scaled", DESIGN)
+SQL["D3_variance_filter"] = rounded(f"{PIPE} " + " UNION ALL ".join(
+    f"SELECT '{c}' AS feature, var_pop({c}) AS variance, COALESCE(var_pop({c}) > 0.01, false) AS kept "
+    f"FROM scaled WHERE split = 'train'" for c in DESIGN), ["variance"])
+
+TRAIN_IDS = f"""WITH {TXN_CTE}, {IDS_CTE}, {_split_cte('ids')},
+train AS (SELECT transaction_id, is_fraudulent FROM splitted WHERE split = 'train')"""
+SQL["B4_undersample"] = f"""{TRAIN_IDS},
+tr AS (SELECT *, row_number() OVER (PARTITION BY is_fraudulent
+                                   ORDER BY md5(transaction_id || '123'), transaction_id) AS _rk
+       FROM train)
+SELECT transaction_id, is_fraudulent FROM tr
+WHERE is_fraudulent = 1
+   OR _rk <= (SELECT CAST(floor(count(*) / 0.5) AS BIGINT) FROM train WHERE is_fraudulent = 1)"""
+SQL["B5_class_weights"] = rounded(f"""{TRAIN_IDS}
+SELECT t.transaction_id, t.is_fraudulent,
+       CASE WHEN t.is_fraudulent = 1 THEN 50.0 ELSE 1.0 END::DOUBLE AS weight_recall,
+       CASE WHEN t.is_fraudulent = 1 THEN 10.0 ELSE 1.0 END::DOUBLE AS weight_precision,
+       CAST(n.total AS DOUBLE) / (2 * n.k) AS weight_balanced
+FROM train t JOIN (SELECT is_fraudulent, count(*) AS k, sum(count(*)) OVER () AS total
+                   FROM train GROUP BY 1) n ON t.is_fraudulent = n.is_fraudulent""",
+                                  ["weight_recall", "weight_precision", "weight_balanced"])

@@ -93,3 +93,170 @@ def q_inter(spark, sf_dir):
 @register("FEATURES_table")
 def q_features(spark, sf_dir):
     return round_doubles(_features(spark, sf_dir))
+
+
+# --------------------------------------------------------------------------
+# Profiling and location leakage
+# --------------------------------------------------------------------------
+from ..operators import profile as prof  # noqa: E402
+from ..operators import location as locn  # noqa: E402
+from ..operators import prepare as prep  # noqa: E402
+from ..operators import split as splt  # noqa: E402
+from ..operators import weights as wts  # noqa: E402
+
+
+@register("S2_overview")
+def q_s2(spark, sf_dir):
+    return round_doubles(prof.dataset_overview(_txn(spark, sf_dir)))
+
+
+@register("S2_class_counts")
+def q_s2c(spark, sf_dir):
+    return prof.class_counts(_txn(spark, sf_dir))
+
+
+@register("S3_numeric_profile")
+def q_s3(spark, sf_dir):
+    return round_doubles(prof.numeric_profile(_txn(spark, sf_dir)))
+
+
+@register("S4_categorical_profile")
+def q_s4(spark, sf_dir):
+    return prof.categorical_profile(_txn(spark, sf_dir))
+
+
+@register("A8_location_rates")
+def q_a8(spark, sf_dir):
+    return round_doubles(locn.location_rates(_txn(spark, sf_dir)).drop("n_positive"))
+
+
+@register("T1_top_locations")
+def q_t1(spark, sf_dir):
+    return round_doubles(locn.top_locations(locn.location_rates(_txn(spark, sf_dir))))
+
+
+@register("T1_bottom_locations")
+def q_t1b(spark, sf_dir):
+    return round_doubles(locn.top_locations(locn.location_rates(_txn(spark, sf_dir)), bottom=True))
+
+
+@register("F18_extreme_locations")
+def q_f18(spark, sf_dir):
+    return locn.extreme_counts(locn.location_rates(_txn(spark, sf_dir)))
+
+
+@register("A9_leakage_correlation")
+def q_a9(spark, sf_dir):
+    return round_doubles(locn.leakage_correlation(locn.location_rates(_txn(spark, sf_dir))))
+
+
+@register("V13_location_report")
+def q_v13(spark, sf_dir):
+    return round_doubles(locn.location_report(_txn(spark, sf_dir)))
+
+
+@register("J3_location_lookup")
+def q_j3(spark, sf_dir):
+    txn = _txn(spark, sf_dir)
+    rates = locn.location_rates(txn).select("customer_location", "fraud_rate")
+    return round_doubles(locn.lookup_join(txn.select("transaction_id", "customer_location"),
+                                          rates, "customer_location"))
+
+
+# --------------------------------------------------------------------------
+# Preparation, split, scaling, rebalancing weights
+# --------------------------------------------------------------------------
+def _selected(spark, sf_dir):
+    return prep.select_features(_features(spark, sf_dir))
+
+
+@register("A10_median_mode")
+def q_a10(spark, sf_dir):
+    x = _selected(spark, sf_dir)
+    return round_doubles(prof.median_mode(x, prep.numeric_columns(x), prep.imputable_strings(x)))
+
+
+def _imputed(spark, sf_dir):
+    x = _selected(spark, sf_dir)
+    return prep.impute(x, prep.fit_imputer(x))
+
+
+@register("E1_imputed")
+def q_e1(spark, sf_dir):
+    return round_doubles(_imputed(spark, sf_dir))
+
+
+@register("E2_label_encoding")
+def q_e2(spark, sf_dir):
+    x = _imputed(spark, sf_dir)
+    model = prep.fit_label_encoder(x)
+    out = model.transform(x)
+    return out.select("transaction_id", *[c for c in out.columns if c.endswith("_index")])
+
+
+@register("E3_one_hot")
+def q_e3(spark, sf_dir):
+    x = _imputed(spark, sf_dir)
+    kept = prep.fit_one_hot(x)
+    out = prep.one_hot(x, kept)
+    dummies = [prep.dummy_name(c, lv) for c, lvs in kept.items() for lv in lvs]
+    return out.select("transaction_id", *dummies)
+
+
+def _prepared(spark, sf_dir):
+    return prep.prepare(_features(spark, sf_dir))
+
+
+@register("E4_target_encoding")
+def q_e4(spark, sf_dir):
+    return round_doubles(_prepared(spark, sf_dir).select("transaction_id", "customer_location"))
+
+
+@register("D1_split")
+def q_d1(spark, sf_dir):
+    return splt.stratified_split(_txn(spark, sf_dir).select("transaction_id", "is_fraudulent"))
+
+
+@register("A11_class_balance")
+def q_a11(spark, sf_dir):
+    s = splt.stratified_split(_txn(spark, sf_dir).select("transaction_id", "is_fraudulent"))
+    return round_doubles(prof.class_balance(s))
+
+
+def _scaled(spark, sf_dir):
+    p = _prepared(spark, sf_dir)
+    s = splt.stratified_split(p)
+    cols = prep.design_columns(p)
+    scaler = splt.fit_scaler(s.where(F.col("split") == "train"), cols)
+    return splt.standardize(s, scaler), cols
+
+
+@register("D2_standardize")
+def q_d2(spark, sf_dir):
+    s, cols = _scaled(spark, sf_dir)
+    return round_doubles(s.select("transaction_id", "split", *cols))
+
+
+@register("D3_variance_filter")
+def q_d3(spark, sf_dir):
+    s, cols = _scaled(spark, sf_dir)
+    v = splt.column_variances(s.where(F.col("split") == "train"), cols)
+    return round_doubles(v.withColumn("kept", F.col("variance") > F.lit(0.01)))
+
+
+def _train_ids(spark, sf_dir):
+    s = splt.stratified_split(_txn(spark, sf_dir).select("transaction_id", "is_fraudulent"))
+    return s.where(F.col("split") == "train").drop("split")
+
+
+@register("B4_undersample")
+def q_b4(spark, sf_dir):
+    return wts.undersample(_train_ids(spark, sf_dir), ratio=0.5)
+
+
+@register("B5_class_weights")
+def q_b5(spark, sf_dir):
+    t = _train_ids(spark, sf_dir)
+    rec = wts.class_weights(t, "recall", weight_col="weight_recall")
+    rec = wts.class_weights(rec, "precision", weight_col="weight_precision")
+    return round_doubles(wts.class_weights(rec, "balanced", weight_col="weight_balanced"))
