@@ -368,3 +368,187 @@ SELECT t.transaction_id, t.is_fraudulent,
 FROM train t JOIN (SELECT is_fraudulent, count(*) AS k, sum(count(*)) OVER () AS total
                    FROM train GROUP BY 1) n ON t.is_fraudulent = n.is_fraudulent""",
                                   ["weight_recall", "weight_precision", "weight_balanced"])
+
+# --------------------------------------------------------------------------
+# Thresholds, blend and evaluation (naive sweeps, no shortcuts)
+# --------------------------------------------------------------------------
+SCORES_BASE = f"sbase AS ({FIXTURE_SCORES_SQL})"
+ENS_CTE = """ens AS (
+  SELECT row_id, label, 'ensemble' AS model,
+         CASE WHEN s1 IS NOT NULL AND s2 IS NOT NULL
+              THEN CAST(0.7 AS DOUBLE) * s1 + CAST(0.3 AS DOUBLE) * s2
+              WHEN s1 IS NOT NULL THEN s1 ELSE s2 END AS proba
+  FROM (SELECT row_id, label,
+               max(proba) FILTER (WHERE model IN ('lr', 'rf')) AS s1,
+               avg(proba) FILTER (WHERE model IN ('nn', 'gbt')) AS s2
+        FROM sbase GROUP BY row_id, label))"""
+GRID_CTE = "grid AS (SELECT CAST(i + 2 AS DOUBLE) / CAST(100 AS DOUBLE) AS threshold FROM range(0, 93) t(i))"
+
+
+def _sweep(src, beta_expr="CAST(1.0 AS DOUBLE)", fp_cost="1.0", fn_cost="5.0", extra=""):
+    """Every grid threshold evaluated by a full pass (the reference's loop)."""
+    return f"""sweep AS (
+  SELECT s.model, g.threshold {extra},
+    count(*) FILTER (WHERE s.label = 1 AND s.proba >= g.threshold) AS tp,
+    count(*) FILTER (WHERE s.label = 0 AND s.proba >= g.threshold) AS fp,
+    count(*) FILTER (WHERE s.label = 1 AND s.proba < g.threshold) AS fn,
+    count(*) FILTER (WHERE s.label = 0 AND s.proba < g.threshold) AS tn
+  FROM {src} s CROSS JOIN grid g GROUP BY ALL),
+m1 AS (
+  SELECT *, CASE WHEN tp + fp > 0 THEN CAST(tp AS DOUBLE) / CAST(tp + fp AS DOUBLE) ELSE 0.0 END AS precision,
+            CASE WHEN tp + fn > 0 THEN CAST(tp AS DOUBLE) / CAST(tp + fn AS DOUBLE) ELSE 0.0 END AS recall
+  FROM sweep),
+met AS (
+  SELECT *, CASE WHEN precision + recall > 0 THEN CAST(2.0 AS DOUBLE) * (precision * recall) / (precision + recall) ELSE 0.0 END AS f1,
+            CASE WHEN precision + recall > 0 THEN (CAST(1.0 AS DOUBLE) + {beta_expr}) * (precision * recall)
+                                                / (({beta_expr} * precision) + recall) ELSE 0.0 END AS f_beta,
+            CAST(fp AS DOUBLE) * {fp_cost} + CAST(fn AS DOUBLE) * {fn_cost} AS total_cost
+  FROM m1)"""
+
+
+_MET_COLS = "model, threshold, tp, fp, fn, tn, precision, recall, f1, f_beta, total_cost"
+_MET_DOUBLES = ["threshold", "precision", "recall", "f1", "f_beta", "total_cost"]
+_BEST_FBETA = ("ORDER BY (f_beta > 0) DESC, f_beta DESC, (threshold = 0.5) DESC, threshold ASC")
+
+SQL["L6_threshold_search"] = rounded(f"""WITH {TXN_CTE}, {SCORES_BASE}, {GRID_CTE}, {_sweep('sbase')}
+SELECT {_MET_COLS} FROM (SELECT *, row_number() OVER (PARTITION BY model {_BEST_FBETA}) AS rk FROM met)
+WHERE rk = 1""", _MET_DOUBLES)
+SQL["L6_threshold_cost"] = rounded(f"""WITH {TXN_CTE}, {SCORES_BASE}, {GRID_CTE}, {_sweep('sbase')}
+SELECT {_MET_COLS} FROM (SELECT *, row_number() OVER (PARTITION BY model
+                                   ORDER BY total_cost ASC, threshold ASC) AS rk FROM met)
+WHERE rk = 1""", _MET_DOUBLES)
+SQL["L6_threshold_table"] = rounded(f"""WITH {TXN_CTE}, {SCORES_BASE}, {GRID_CTE},
+{_sweep('sbase', beta_expr='CAST(4.0 AS DOUBLE)')}
+SELECT {_MET_COLS} FROM met""", _MET_DOUBLES)
+
+PROFILE_CTE = """prof(model, beta, cost_fp, cost_fn) AS (VALUES
+  ('lr', 5.0::DOUBLE, 1.0::DOUBLE, 50.0::DOUBLE), ('rf', 5.0::DOUBLE, 1.0::DOUBLE, 50.0::DOUBLE),
+  ('nn', 0.5::DOUBLE, 50.0::DOUBLE, 1.0::DOUBLE), ('gbt', 0.5::DOUBLE, 50.0::DOUBLE, 1.0::DOUBLE),
+  ('ensemble', 2.0::DOUBLE, 5.0::DOUBLE, 20.0::DOUBLE))"""
+EVAL_CTE = f"""{TXN_CTE}, {IDS_CTE}, {_split_cte('ids')}, {SCORES_BASE}, {ENS_CTE},
+allm AS (SELECT * FROM sbase UNION ALL SELECT * FROM ens),
+es AS (SELECT a.*, sp.split FROM allm a JOIN splitted sp ON a.row_id = sp.transaction_id),
+val AS (SELECT e.row_id, e.label, e.model, e.proba, p.beta, p.cost_fp, p.cost_fn
+        FROM es e JOIN prof p ON e.model = p.model WHERE e.split = 'val'),
+{GRID_CTE},
+{_sweep('val', beta_expr='(beta * beta)', fp_cost='cost_fp', fn_cost='cost_fn', extra=', s.beta, s.cost_fp, s.cost_fn')},
+thr AS (SELECT model, beta, threshold, tp, fp, fn, tn, precision, recall, f1, f_beta, total_cost
+        FROM (SELECT *, row_number() OVER (PARTITION BY model {_BEST_FBETA}) AS rk FROM met) WHERE rk = 1),
+test AS (SELECT row_id, label, model, proba FROM es WHERE split = 'test'),
+pred AS (SELECT t.*, COALESCE(h.threshold, 0.5) AS threshold,
+                CAST(t.proba >= COALESCE(h.threshold, 0.5) AS INTEGER) AS pred
+         FROM test t LEFT JOIN thr h ON t.model = h.model),
+cc AS (SELECT model, count(*) FILTER (WHERE label = 1 AND pred = 1) AS tp,
+              count(*) FILTER (WHERE label = 0 AND pred = 1) AS fp,
+              count(*) FILTER (WHERE label = 1 AND pred = 0) AS fn,
+              count(*) FILTER (WHERE label = 0 AND pred = 0) AS tn FROM pred GROUP BY model),
+dist AS (SELECT model, proba, count(*) FILTER (WHERE label = 1) AS pos,
+                count(*) FILTER (WHERE label = 0) AS neg FROM test GROUP BY model, proba),
+cum AS (SELECT *, sum(pos) OVER (PARTITION BY model ORDER BY proba) AS cum_pos,
+               sum(neg) OVER (PARTITION BY model ORDER BY proba) AS cum_neg,
+               sum(pos) OVER (PARTITION BY model) AS P, sum(neg) OVER (PARTITION BY model) AS N
+        FROM dist),
+auc AS (SELECT model, CASE WHEN 2.0 * max(P) * max(N) > 0 THEN
+          CAST(sum(pos * (2 * (cum_neg - neg) + neg)) AS DOUBLE) / (CAST(2.0 AS DOUBLE) * CAST(max(P) AS DOUBLE) * CAST(max(N) AS DOUBLE))
+          END AS auc FROM cum GROUP BY model),
+v1 AS (SELECT c.model,
+  CASE WHEN tp + fp + fn + tn > 0 THEN CAST(tp + tn AS DOUBLE) / CAST(tp + fp + fn + tn AS DOUBLE) ELSE 0.0 END AS accuracy,
+  CASE WHEN tp + fp > 0 THEN CAST(tp AS DOUBLE) / CAST(tp + fp AS DOUBLE) ELSE 0.0 END AS precision,
+  CASE WHEN tp + fn > 0 THEN CAST(tp AS DOUBLE) / CAST(tp + fn AS DOUBLE) ELSE 0.0 END AS recall,
+  CASE WHEN 2 * tp + fp + fn > 0 THEN CAST(2 * tp AS DOUBLE) / CAST(2 * tp + fp + fn AS DOUBLE) ELSE 0.0 END AS f1,
+  CASE WHEN 5 * tp + 4 * fn + fp > 0 THEN CAST(5 * tp AS DOUBLE) / CAST(5 * tp + 4 * fn + fp AS DOUBLE) ELSE 0.0 END AS f2,
+  a.auc
+  FROM cc c LEFT JOIN auc a ON c.model = a.model)"""
+EVAL = f"WITH {PROFILE_CTE}, {EVAL_CTE}"
+
+SQL["L7_threshold_profiles"] = rounded(f"{EVAL} SELECT * FROM thr", _MET_DOUBLES + ["beta"])
+SQL["L8_blend"] = rounded(f"WITH {TXN_CTE}, {SCORES_BASE}, {ENS_CTE} SELECT * FROM ens", ["proba"])
+SQL["L9_stage_counts"] = rounded(f"""{EVAL}
+SELECT v.model, h.threshold, count(*) FILTER (WHERE v.proba >= h.threshold) AS n_flagged
+FROM val v JOIN thr h ON v.model = h.model WHERE v.model <> 'ensemble' GROUP BY v.model, h.threshold
+UNION ALL
+SELECT 'stage1', CAST(0.5 AS DOUBLE), count(*) FILTER (WHERE s1 >= 0.5)
+FROM (SELECT row_id, max(proba) FILTER (WHERE model IN ('lr', 'rf')) AS s1
+      FROM val WHERE model <> 'ensemble' GROUP BY row_id)""", ["threshold"])
+SQL["L10_focal_loss"] = rounded(f"""WITH {TXN_CTE}, {SCORES_BASE},
+c AS (SELECT model, CAST(label AS DOUBLE) AS y,
+             least(greatest(proba, CAST(1e-7 AS DOUBLE)), CAST(1.0 AS DOUBLE) - CAST(1e-7 AS DOUBLE)) AS p FROM sbase),
+b AS (SELECT model, -(y * ln(p) + (1.0 - y) * ln(1.0 - p)) AS bce FROM c)
+SELECT model, avg(0.25 * pow(1.0 - exp(-bce), 2.0) * bce) AS focal_loss FROM b GROUP BY model""",
+                                ["focal_loss"])
+SQL["L11_batch_scoring"] = rounded(f"{EVAL} SELECT row_id, model, label, proba, threshold, pred FROM pred",
+                                   ["proba", "threshold"])
+V1_DOUBLES = ["accuracy", "precision", "recall", "f1", "f2", "auc"]
+SQL["V1_metrics"] = rounded(f"{EVAL} SELECT * FROM v1", V1_DOUBLES)
+SQL["V2_confusion"] = f"""{EVAL},
+grid4 AS (SELECT DISTINCT p.model, g.label, g.pred FROM pred p
+          CROSS JOIN (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) AS g(label, pred))
+SELECT g.model, g.label, g.pred, COALESCE(c.n, 0) AS n
+FROM grid4 g LEFT JOIN (SELECT model, label, pred, count(*) AS n FROM pred GROUP BY ALL) c
+  ON g.model = c.model AND g.label = c.label AND g.pred = c.pred"""
+
+
+def _r(num, den):
+    return f"CASE WHEN ({den}) > 0 THEN CAST({num} AS DOUBLE) / CAST({den} AS DOUBLE) ELSE 0.0 END"
+
+
+_p1, _r1, _p0, _r0 = _r("tp", "tp + fp"), _r("tp", "tp + fn"), _r("tn", "tn + fn"), _r("tn", "tn + fp")
+_f11, _f10 = _r("2 * tp", "2 * tp + fp + fn"), _r("2 * tn", "2 * tn + fn + fp")
+_n = "(tp + fp + fn + tn)"
+
+
+def _w(a, b):
+    return (f"CASE WHEN {_n} > 0 THEN (({a}) * CAST(tn + fp AS DOUBLE) + ({b}) * CAST(tp + fn AS DOUBLE))"
+            f" / CAST({_n} AS DOUBLE) ELSE 0.0 END")
+
+
+SQL["V3_classification_report"] = rounded(f"""{EVAL}
+SELECT model, 'Legitimate' AS row_name, {_p0} AS precision, {_r0} AS recall, {_f10} AS f1_score, tn + fp AS support FROM cc
+UNION ALL SELECT model, 'Fraudulent', {_p1}, {_r1}, {_f11}, tp + fn FROM cc
+UNION ALL SELECT model, 'accuracy', NULL, NULL, {_r('tp + tn', _n)}, {_n} FROM cc
+UNION ALL SELECT model, 'macro avg', ({_p0} + {_p1}) / 2.0, ({_r0} + {_r1}) / 2.0, ({_f10} + {_f11}) / 2.0, {_n} FROM cc
+UNION ALL SELECT model, 'weighted avg', {_w(_p0, _p1)}, {_w(_r0, _r1)}, {_w(_f10, _f11)}, {_n} FROM cc""",
+                                          ["precision", "recall", "f1_score"])
+SQL["V4_roc_curve"] = rounded(f"""{EVAL}
+SELECT model, proba AS threshold,
+       CAST(N - cum_neg + neg AS DOUBLE) / CAST(N AS DOUBLE) AS fpr,
+       CAST(P - cum_pos + pos AS DOUBLE) / CAST(P AS DOUBLE) AS tpr FROM cum
+UNION ALL SELECT DISTINCT model, CAST(NULL AS DOUBLE), 0.0, 0.0 FROM cum""", ["threshold", "fpr", "tpr"])
+SQL["V4_auc"] = rounded(f"{EVAL} SELECT * FROM auc", ["auc"])
+SQL["V5_pr_curve"] = rounded(f"""{EVAL}
+SELECT model, proba AS threshold,
+       CASE WHEN (P - cum_pos + pos) + (N - cum_neg + neg) > 0
+            THEN CAST(P - cum_pos + pos AS DOUBLE) / CAST((P - cum_pos + pos) + (N - cum_neg + neg) AS DOUBLE)
+            ELSE 0.0 END AS precision,
+       CASE WHEN P > 0 THEN CAST(P - cum_pos + pos AS DOUBLE) / CAST(P AS DOUBLE) ELSE 1.0 END AS recall
+FROM cum
+UNION ALL SELECT DISTINCT model, CAST(NULL AS DOUBLE), 1.0, 0.0 FROM cum""", ["threshold", "precision", "recall"])
+SQL["V6_metric_comparison"] = rounded(f"""{EVAL}
+SELECT model, metric, value FROM v1 UNPIVOT (value FOR metric IN (accuracy, precision, recall, f1, f2, auc))""",
+                                      ["value"])
+SQL["V11_error_slices"] = rounded(f"""WITH {PROFILE_CTE}, {EVAL_CTE}, {FEATURES_CTE},
+lr AS (SELECT customer_location, avg(CAST(is_fraudulent AS DOUBLE)) AS rate FROM txn
+       WHERE customer_location IS NOT NULL GROUP BY 1),
+med AS (SELECT median(transaction_amount) AS m FROM txn),
+x AS (SELECT p.model, p.label, f.*, lr.rate FROM pred p
+      LEFT JOIN features f ON p.row_id = f.transaction_id
+      LEFT JOIN lr ON f.customer_location = lr.customer_location
+      WHERE p.label <> p.pred),
+s AS (SELECT model, CASE WHEN label = 1 THEN 'false_negative' ELSE 'false_positive' END AS error_kind,
+  CASE WHEN label = 1 THEN (CASE
+      WHEN account_age_days > 90 THEN 'established_account'
+      WHEN transaction_amount < (SELECT m FROM med) THEN 'small_amount'
+      WHEN rate < 0.03 THEN 'low_risk_location'
+      WHEN transaction_hour BETWEEN 9 AND 21 AND day_of_week < 5 THEN 'typical_hours'
+      ELSE 'other' END)
+  ELSE (CASE
+      WHEN new_account = 1 AND high_amount_flag = 1 THEN 'new_account_high_value'
+      WHEN address_mismatch = 1 THEN 'address_mismatch'
+      WHEN amount_deviation_from_history > 1.0 OR velocity_deviation > 1.0 THEN 'unusual_pattern'
+      WHEN weekend_high_value = 1 THEN 'weekend_high_value'
+      WHEN rate > 0.1 THEN 'high_risk_location'
+      ELSE 'other' END) END AS slice
+  FROM x)
+SELECT model, error_kind, slice, count(*) AS n,
+       CAST(count(*) AS DOUBLE) / CAST(sum(count(*)) OVER (PARTITION BY model, error_kind) AS DOUBLE) AS share
+FROM s GROUP BY model, error_kind, slice""", ["share"])

@@ -260,3 +260,134 @@ def q_b5(spark, sf_dir):
     rec = wts.class_weights(t, "recall", weight_col="weight_recall")
     rec = wts.class_weights(rec, "precision", weight_col="weight_precision")
     return round_doubles(wts.class_weights(rec, "balanced", weight_col="weight_balanced"))
+
+
+# --------------------------------------------------------------------------
+# Thresholds, blend and evaluation on the deterministic `scores` fixture
+# --------------------------------------------------------------------------
+from ..sources.scores import scores_from_transactions, SCORE_MULTIPLIERS  # noqa: E402
+from ..operators import threshold as thr  # noqa: E402
+from ..operators import ensemble as ens  # noqa: E402
+from ..operators import evaluate as ev  # noqa: E402
+
+BASE_MODELS = [m for m, _ in SCORE_MULTIPLIERS]
+
+
+def _scores(spark, sf_dir):
+    return fixture_scores(spark, sf_dir)
+
+
+def _eval_scores(spark, sf_dir):
+    """Base + ensemble scores with the D1 split of their rows."""
+    txn = _txn(spark, sf_dir)
+    base = scores_from_transactions(txn)
+    allm = base.unionByName(ens.blend_long(base, models=BASE_MODELS))
+    split = (splt.stratified_split(txn.select("transaction_id", "is_fraudulent"))
+             .select(F.col("transaction_id").alias("row_id"), "split"))
+    return allm.join(split, "row_id")
+
+
+def _val_thresholds(s):
+    return thr.profile_thresholds(s.where(F.col("split") == "val"))
+
+
+def _test_pred(spark, sf_dir):
+    s = _eval_scores(spark, sf_dir)
+    return ev.predict(s.where(F.col("split") == "test").drop("split"), _val_thresholds(s))
+
+
+@register("L6_threshold_search")
+def q_l6(spark, sf_dir):
+    return round_doubles(thr.optimize_threshold(_scores(spark, sf_dir), beta=1.0))
+
+
+@register("L6_threshold_cost")
+def q_l6c(spark, sf_dir):
+    return round_doubles(thr.optimize_threshold(_scores(spark, sf_dir), optimize_for="cost",
+                                                cost_fp=1.0, cost_fn=5.0))
+
+
+@register("L6_threshold_table")
+def q_l6t(spark, sf_dir):
+    return round_doubles(thr.threshold_table(_scores(spark, sf_dir), beta=2.0))
+
+
+@register("L7_threshold_profiles")
+def q_l7(spark, sf_dir):
+    return round_doubles(_val_thresholds(_eval_scores(spark, sf_dir)))
+
+
+@register("L8_blend")
+def q_l8(spark, sf_dir):
+    return round_doubles(ens.blend_long(_scores(spark, sf_dir), models=BASE_MODELS))
+
+
+@register("L9_stage_counts")
+def q_l9(spark, sf_dir):
+    s = _eval_scores(spark, sf_dir)
+    val = s.where(F.col("split") == "val").drop("split")
+    base = val.where(F.col("model") != "ensemble")
+    return round_doubles(ens.stage_counts(base, _val_thresholds(s)))
+
+
+@register("L10_focal_loss")
+def q_l10(spark, sf_dir):
+    return round_doubles(ev.focal_loss(_scores(spark, sf_dir)))
+
+
+@register("L11_batch_scoring")
+def q_l11(spark, sf_dir):
+    return round_doubles(_test_pred(spark, sf_dir).select("row_id", "model", "label", "proba",
+                                                          "threshold", "pred"))
+
+
+def _test_scores(spark, sf_dir):
+    s = _eval_scores(spark, sf_dir)
+    return s.where(F.col("split") == "test").drop("split")
+
+
+@register("V1_metrics")
+def q_v1(spark, sf_dir):
+    pred = _test_pred(spark, sf_dir)
+    return round_doubles(ev.metric_table(pred, ev.auc_table(pred)))
+
+
+@register("V2_confusion")
+def q_v2(spark, sf_dir):
+    return ev.confusion_matrix(_test_pred(spark, sf_dir))
+
+
+@register("V3_classification_report")
+def q_v3(spark, sf_dir):
+    return round_doubles(ev.classification_report(_test_pred(spark, sf_dir)))
+
+
+@register("V4_roc_curve")
+def q_v4(spark, sf_dir):
+    return round_doubles(ev.roc_points(_test_scores(spark, sf_dir)))
+
+
+@register("V4_auc")
+def q_v4a(spark, sf_dir):
+    return round_doubles(ev.auc_table(_test_scores(spark, sf_dir)))
+
+
+@register("V5_pr_curve")
+def q_v5(spark, sf_dir):
+    return round_doubles(ev.pr_points(_test_scores(spark, sf_dir)))
+
+
+@register("V6_metric_comparison")
+def q_v6(spark, sf_dir):
+    pred = _test_pred(spark, sf_dir)
+    return round_doubles(ev.metric_comparison(ev.metric_table(pred, ev.auc_table(pred))))
+
+
+@register("V11_error_slices")
+def q_v11(spark, sf_dir):
+    txn = _txn(spark, sf_dir)
+    pred = _test_pred(spark, sf_dir)
+    feats = feat.feature_table(txn)
+    median_amount = txn.agg(F.median("transaction_amount")).first()[0]
+    rates = locn.location_rates(txn)
+    return round_doubles(ev.error_slices(pred, feats, rates, median_amount))
