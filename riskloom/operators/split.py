@@ -3,11 +3,12 @@
 Randomness comes only from a hash of (row key, seed), so every result is the
 same under any partitioning and after task retries.
 
-Exact per-class ranking in hash order is done without a one-task window: the
-hash prefix gives 65,536 buckets; per-(class, bucket) counts (a table bounded by
-classes x 65,536 rows, so safe to broadcast) give each bucket's offset, and
-rows are ranked inside their (class, bucket) only. Hash buckets are uniform, so
-no bucket is hot even when one class holds most rows.
+Seeded choices follow one total order, (md5(id || seed), id). Exact per-class
+selections never rank all rows in one task: the digest prefix gives 65,536
+uniform buckets, per-(class, bucket) counts (a table bounded by classes x
+65,536 rows) locate the cut, and only the boundary bucket is sorted. Where a
+rank per row is needed (folds), rows are ranked inside their (class, bucket)
+and offset by the broadcast bucket prefix sums.
 """
 
 from __future__ import annotations
@@ -58,13 +59,70 @@ def split_sizes(class_counts: dict, test=TEST_SHARE, val=VAL_SHARE_OF_REST) -> d
     return sizes
 
 
+def order_key(key: str, seed: int) -> "F.Column":
+    """Total order used for every seeded choice: md5(key || seed) then the key.
+
+    The digest has a fixed width, so comparing ``digest || key`` as strings
+    compares (digest, key) lexicographically.
+    """
+    return F.concat(hash_key(key, seed), F.col(key).cast("string"))
+
+
+def hash_cuts(df: DataFrame, label: str, key: str, seed: int, targets: dict) -> dict:
+    """Order key of the r-th row (1-based) of each class, for ``targets``
+    {class: [r, ...]}, without ranking all rows.
+
+    Per-(class, bucket) counts (bounded table) locate the bucket holding each
+    target rank; only the rows of those few boundary buckets are sorted.
+    """
+    k = order_key(key, seed)
+    x = df.select(F.col(label).alias("_c"), k.alias("_k"),
+                  F.conv(F.substring(k, 1, HASH_BUCKET_HEX), 16, 10).cast("int").alias("_b"))
+    counts = x.groupBy("_c", "_b").agg(F.count(F.lit(1)).alias("_n"))
+    w = Window.partitionBy("_c").orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
+    cum = counts.withColumn("_cum", F.sum("_n").over(w))
+    wanted = [(c, r) for c, rs in targets.items() for r in rs if r > 0]
+    if not wanted:
+        return {}
+    conds = [((F.col("_c") == F.lit(c)) & (F.col("_cum") - F.col("_n") < r) & (F.col("_cum") >= r))
+             for c, r in wanted]
+    cond = conds[0]
+    for cc in conds[1:]:
+        cond = cond | cc
+    bounds = cum.where(cond).collect()                 # at most len(targets) rows
+    loc = {}
+    for c, r in wanted:
+        for b in bounds:
+            if b["_c"] == c and b["_cum"] - b["_n"] < r <= b["_cum"]:
+                loc[(c, r)] = (b["_b"], r - (b["_cum"] - b["_n"]))
+    buckets = {(c, bb) for (c, _), (bb, _) in loc.items()}
+    bcond = None
+    for c, bb in buckets:
+        t = (F.col("_c") == F.lit(c)) & (F.col("_b") == F.lit(bb))
+        bcond = t if bcond is None else (bcond | t)
+    wb = Window.partitionBy("_c", "_b").orderBy("_k")
+    edge = (x.where(bcond).withColumn("_rn", F.row_number().over(wb)))
+    rn_cond = None
+    for (c, r), (bb, rr) in loc.items():
+        t = (F.col("_c") == F.lit(c)) & (F.col("_b") == F.lit(bb)) & (F.col("_rn") == F.lit(rr))
+        rn_cond = t if rn_cond is None else (rn_cond | t)
+    got = {(row["_c"], row["_b"], row["_rn"]): row["_k"] for row in edge.where(rn_cond).collect()}
+    return {(c, r): got[(c, bb, rr)] for (c, r), (bb, rr) in loc.items()}
+
+
+def _class_cond(label: str, c):
+    return F.col(label).isNull() if c is None else (F.col(label) == F.lit(c))
+
+
 def stratified_split(df: DataFrame, label: str = LABEL, key: str = ID, seed: int = SEED,
                      mode: str = "exact") -> DataFrame:
     """Adds ``split`` in {train, val, test}, stratified by ``label``.
 
-    ``exact``: per class exactly round(15 %) test and round(15/85 of the rest)
-    validation rows, chosen in hash order. ``hash``: shuffle-free thresholds on
-    the hash itself (class shares then hold up to binomial error).
+    ``exact``: per class exactly round(15 %) test rows and round(15/85 of the
+    rest) validation rows, the first ones in (md5(id || seed), id) order. The
+    per-class cut keys are found by ``hash_cuts``; assigning the split is then
+    a projection (no shuffle of the input). ``hash``: thresholds on the hash
+    itself (class shares hold up to binomial error).
     """
     if mode == "hash":
         u = F.conv(F.substring(hash_key(key, seed), 1, 13), 16, 10).cast("double") / F.lit(float(16 ** 13))
@@ -73,15 +131,17 @@ def stratified_split(df: DataFrame, label: str = LABEL, key: str = ID, seed: int
         return df.withColumn("split", F.when(u < t, "test").when(u < t + v, "val").otherwise("train"))
     counts = {r[0]: r[1] for r in df.groupBy(label).count().collect()}  # one row per class
     sizes = split_sizes(counts)
-    ranked = hash_rank(df, [label], key, seed)
-    n_test = n_val = None
+    cuts = hash_cuts(df, label, key, seed, {c: [nt, nt + nv] for c, (nt, nv) in sizes.items()})
+    k = order_key(key, seed)
+    split = None
     for c, (nt, nv) in sizes.items():
-        cond = F.col(label).isNull() if c is None else (F.col(label) == F.lit(c))
-        n_test = (F.when(cond, nt) if n_test is None else n_test.when(cond, nt))
-        n_val = (F.when(cond, nv) if n_val is None else n_val.when(cond, nv))
-    r = F.col("_rank")
-    split = F.when(r <= n_test, "test").when(r <= n_test + n_val, "val").otherwise("train")
-    return ranked.withColumn("split", split).drop("_rank")
+        cond = _class_cond(label, c)
+        t_cut, v_cut = cuts.get((c, nt)), cuts.get((c, nt + nv))
+        is_test = (k <= F.lit(t_cut)) if t_cut is not None else F.lit(False)
+        is_val = (k <= F.lit(v_cut)) if v_cut is not None else F.lit(False)
+        val = F.when(is_test, "test").when(is_val, "val").otherwise("train")
+        split = F.when(cond, val) if split is None else split.when(cond, val)
+    return df.withColumn("split", split)
 
 
 def fit_scaler(train: DataFrame, columns) -> dict:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .split import hash_rank, hash_key
+from .split import hash_cuts, hash_key, order_key
 
 LABEL = "is_fraudulent"
 ID = "transaction_id"
@@ -19,8 +19,8 @@ def undersample(df: DataFrame, ratio: float = 0.5, label: str = LABEL, key: str
                 seed: int = SEED, exact: bool = True) -> DataFrame:
     """Keep all minority rows and int(n_min / ratio) majority rows.
 
-    ``exact`` ranks majority rows in hash order (bucketed, no one-task window)
-    and keeps the first ones; otherwise a shuffle-free hash threshold keeps each
+    ``exact`` keeps the first majority rows in (md5(id || seed), id) order -- a
+    filter against one cut key found from bucket counts; otherwise a shuffle-free hash threshold keeps each
     majority row with probability n_keep / n_maj.
     """
     counts = {r[0]: r[1] for r in df.groupBy(label).count().collect()}
@@ -35,8 +35,10 @@ def undersample(df: DataFrame, ratio: float = 0.5, label: str = LABEL, key: str
     if not exact:
         u = F.conv(F.substring(hash_key(key, seed), 1, 13), 16, 10).cast("double") / F.lit(float(16 ** 13))
         return df.where(~is_maj | (u < F.lit(n_keep / counts[majority])))
-    maj = hash_rank(df.where(is_maj), [label], key, seed).where(F.col("_rank") <= n_keep).drop("_rank")
-    return df.where(~is_maj).unionByName(maj)
+    if n_keep == 0:
+        return df.where(~is_maj)
+    cut = hash_cuts(df.where(is_maj), label, key, seed, {majority: [n_keep]})[(majority, n_keep)]
+    return df.where(~is_maj | (order_key(key, seed) <= F.lit(cut)))
 
 
 def class_weights(df: DataFrame, mode: str = "recall", label: str = LABEL,
