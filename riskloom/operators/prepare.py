@@ -47,13 +47,13 @@ TARGET_ENCODED = "customer_location"
 MAX_ONE_HOT_LEVELS = 1000
 
 
-def select_features(df: DataFrame, keep=(ID, LABEL)) -> DataFrame:
-    """the model's feature columns that are present, plus id and label."""
+def select_features(df: DataFrame, keep=(ID, LABEL, "split")) -> DataFrame:
+    """the model's feature columns that are present, plus id, label (and split)."""
     cols = [c for c in keep if c in df.columns] + [c for c in MODEL_FEATURES if c in df.columns]
     return df.select(*cols)
 
 
-def numeric_columns(df: DataFrame, exclude=(ID, LABEL)):
+def numeric_columns(df: DataFrame, exclude=(ID, LABEL, "split")):
     return [f.name for f in df.schema.fields
             if isinstance(f.dataType, T.NumericType) and f.name not in exclude]
 

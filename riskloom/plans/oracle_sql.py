@@ -552,3 +552,16 @@ s AS (SELECT model, CASE WHEN label = 1 THEN 'false_negative' ELSE 'false_positi
 SELECT model, error_kind, slice, count(*) AS n,
        CAST(count(*) AS DOUBLE) / CAST(sum(count(*)) OVER (PARTITION BY model, error_kind) AS DOUBLE) AS share
 FROM s GROUP BY model, error_kind, slice""", ["share"])
+
+# --------------------------------------------------------------------------
+# K1 brute force over the scaled training positives; S5 equals the feature table
+# --------------------------------------------------------------------------
+_dist = " + ".join(f"(a.{c} - b.{c}) * (a.{c} - b.{c})" for c in DESIGN)
+SQL["K1_knn_minority"] = rounded(f"""{PIPE},
+pos AS (SELECT s.* FROM scaled s JOIN splitted p ON s.transaction_id = p.transaction_id
+        WHERE s.split = 'train' AND p.is_fraudulent = 1),
+pairs AS (SELECT a.transaction_id AS query_id, b.transaction_id AS neighbor_id, sqrt({_dist}) AS distance
+          FROM pos a JOIN pos b ON a.transaction_id <> b.transaction_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbor_id) AS rank FROM pairs)
+SELECT query_id, neighbor_id, CAST(rank AS BIGINT) AS rank, distance FROM r WHERE rank <= 5""", ["distance"])
+SQL["S5_parquet_roundtrip"] = SQL["FEATURES_table"]

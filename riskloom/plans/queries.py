@@ -391,3 +391,143 @@ def q_v11(spark, sf_dir):
     median_amount = txn.agg(F.median("transaction_amount")).first()[0]
     rates = locn.location_rates(txn)
     return round_doubles(ev.error_slices(pred, feats, rates, median_amount))
+
+
+# --------------------------------------------------------------------------
+# Design matrix, kNN, resampling, models and explanations
+# --------------------------------------------------------------------------
+from . import workflow as wf  # noqa: E402
+from ..operators import knn as knn_op  # noqa: E402
+from ..operators import balance as bal  # noqa: E402
+from ..operators import models as mdl  # noqa: E402
+from ..operators import explain as xp  # noqa: E402
+from ..sources import sinks  # noqa: E402
+
+_DESIGN_CACHE: dict = {}
+
+
+def _design(spark, sf_dir):
+    """Design matrix (fit on all rows, the reference's behaviour), persisted
+    once per session and input folder."""
+    key = (id(spark), sf_dir)
+    if key not in _DESIGN_CACHE:
+        _DESIGN_CACHE[key] = wf.build_design(_txn(spark, sf_dir), fit="all")
+    return _DESIGN_CACHE[key]
+
+
+def _train(spark, sf_dir):
+    d = _design(spark, sf_dir).df
+    return d.where(F.col("split") == "train")
+
+
+@register("K1_knn_minority")
+def q_k1(spark, sf_dir):
+    t = _train(spark, sf_dir).where(F.col("label") == 1.0)
+    nb = knn_op.knn(t, t, 5, "row_id", "row_id", "features_arr")
+    return round_doubles(nb.select(F.col("qid").alias("query_id"), F.col("cid").alias("neighbor_id"),
+                                   F.col("rank").cast("bigint").alias("rank"),
+                                   F.col("dist").alias("distance")))
+
+
+def _balanced(spark, sf_dir, strategy):
+    out = wf.rebalance(_train(spark, sf_dir), strategy)
+    return out.select("row_id", F.col("label").cast("int").alias("label"), "synthetic")
+
+
+@register("B1_smote")
+def q_b1(spark, sf_dir):
+    return _balanced(spark, sf_dir, "smote")
+
+
+@register("B2_adasyn")
+def q_b2(spark, sf_dir):
+    return _balanced(spark, sf_dir, "adasyn")
+
+
+@register("B3_hybrid")
+def q_b3(spark, sf_dir):
+    return _balanced(spark, sf_dir, "hybrid")
+
+
+_MODEL_CACHE: dict = {}
+
+
+def _models(spark, sf_dir):
+    key = (id(spark), sf_dir)
+    if key not in _MODEL_CACHE:
+        dm = _design(spark, sf_dir)
+        bal_rows = wf.rebalance(_train(spark, sf_dir), "smote")
+        _MODEL_CACHE[key] = wf.train_models(bal_rows, len(dm.names), quick=True)
+    return _MODEL_CACHE[key]
+
+
+def _test_rows(spark, sf_dir):
+    return _design(spark, sf_dir).df.where(F.col("split") == "test")
+
+
+def _model_scores(name):
+    def fn(spark, sf_dir):
+        m = _models(spark, sf_dir)[name]
+        return round_doubles(mdl.score(m, _test_rows(spark, sf_dir), name))
+    return fn
+
+
+Q["L1_logistic_regression"] = _model_scores("lr")
+Q["L2_random_forest"] = _model_scores("rf")
+Q["L3_boosted_trees"] = _model_scores("gbt")
+Q["L4_neural_network"] = _model_scores("nn")
+
+
+@register("L5_grid_search")
+def q_l5(spark, sf_dir):
+    from pyspark.ml.classification import LogisticRegression
+    train = wts.class_weights(_train(spark, sf_dir), "recall", label="label")
+    sw = train.agg(F.sum("weight")).first()[0]
+    lr = LogisticRegression(featuresCol="features", labelCol="label", weightCol="weight",
+                            standardization=False, maxIter=50)
+    grid = mdl.lr_grid(lr, sw, Cs=(0.01, 1.0), penalties=("l1", "l2"))
+    cv = mdl.grid_search(train, lr, grid, k=3, parallelism=4)
+    rows = [(float(1.0 / (pm[lr.regParam] * sw)), "l1" if pm[lr.elasticNetParam] == 1.0 else "l2",
+             float(metric)) for pm, metric in zip(grid, cv.avgMetrics)]
+    return spark.createDataFrame(rows, "C double, penalty string, mean_f1 double")
+
+
+@register("V7_tree_importance")
+def q_v7(spark, sf_dir):
+    dm = _design(spark, sf_dir)
+    pairs = xp.tree_importances(_models(spark, sf_dir)["rf"], dm.names, top=15)
+    return xp.importance_frame(spark, pairs)
+
+
+@register("V8_permutation_importance")
+def q_v8(spark, sf_dir):
+    dm = _design(spark, sf_dir)
+    return round_doubles(xp.permutation_importance(_models(spark, sf_dir)["lr"],
+                                                   _test_rows(spark, sf_dir), dm.names))
+
+
+def _shap(spark, sf_dir):
+    dm = _design(spark, sf_dir)
+    return xp.linear_shapley(_models(spark, sf_dir)["lr"], _test_rows(spark, sf_dir), dm.names,
+                             _train(spark, sf_dir))
+
+
+@register("V9_linear_shapley")
+def q_v9(spark, sf_dir):
+    return round_doubles(_shap(spark, sf_dir))
+
+
+@register("V10_mean_abs_attribution")
+def q_v10(spark, sf_dir):
+    return round_doubles(xp.mean_abs_attribution(_shap(spark, sf_dir)))
+
+
+@register("V12_feature_ablation")
+def q_v12(spark, sf_dir):
+    return round_doubles(wf.feature_ablation(_design(spark, sf_dir)))
+
+
+@register("S5_parquet_roundtrip")
+def q_s5(spark, sf_dir):
+    path = sinks.write_table(_features(spark, sf_dir), spark, "features")
+    return round_doubles(spark.read.parquet(path))
