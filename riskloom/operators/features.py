@@ -50,12 +50,14 @@ class GlobalStats:
     amount_q80: float | None
     amount_q95: float | None
     quantity_q95: float | None
+    n_rows: int | None = None
 
     def as_dict(self):
         return asdict(self)
 
 
-def global_stats_frame(df: DataFrame, approx: bool = False, accuracy: int = 100_000) -> DataFrame:
+def global_stats_frame(df: DataFrame, approx: bool = False, accuracy: int = 100_000,
+                       with_count: bool = False) -> DataFrame:
     """A1 as a one-row DataFrame.
 
     Exact ``percentile`` keeps one counter per distinct value (bounded by the
@@ -72,16 +74,17 @@ def global_stats_frame(df: DataFrame, approx: bool = False, accuracy: int = 100_
         qq = F.percentile(qty, F.lit(0.95))
     row = df.agg(F.avg(amt).alias("amount_mean"),
                  F.stddev_pop(amt).alias("amount_std_pop"),
-                 qa.alias("_qa"), qq.alias("quantity_q95"))
+                 qa.alias("_qa"), qq.alias("quantity_q95"), F.count(F.lit(1)).alias("n_rows"))
     return row.select(
         "amount_mean", "amount_std_pop",
         *[F.col("_qa")[i].cast("double").alias(n) for i, n in
           enumerate(["amount_q20", "amount_q40", "amount_q60", "amount_q80", "amount_q95"])],
-        F.col("quantity_q95").cast("double").alias("quantity_q95"))
+        F.col("quantity_q95").cast("double").alias("quantity_q95"),
+        *(["n_rows"] if with_count else []))
 
 
 def fit_global_stats(df: DataFrame, approx: bool = False) -> GlobalStats:
-    r = global_stats_frame(df, approx=approx).first()
+    r = global_stats_frame(df, approx=approx, with_count=True).first()
     return GlobalStats(**r.asDict())
 
 
@@ -282,6 +285,9 @@ def feature_table(txn: DataFrame, stats: GlobalStats | None = None,
     """
     if stats is None:
         stats = fit_global_stats(txn)
+        # no customer can exceed chunk_rows when the whole input does not
+        if has_hot is None and stats.n_rows is not None and stats.n_rows <= chunk_rows:
+            has_hot = False
     source_cols = txn.columns
     base = stat_features(row_features(txn), stats)
     cust = customer_table(txn)

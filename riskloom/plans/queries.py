@@ -6,6 +6,7 @@ them. Doubles are rounded to 6 places for the cross-engine comparison.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,8 +72,10 @@ def q_velocity(spark, sf_dir):
     return round_doubles(feat.daily_velocity(_txn(spark, sf_dir)))
 
 
-def _features(spark, sf_dir):
-    return feat.feature_table(_txn(spark, sf_dir))
+def _features(spark, sf_dir, persist: bool = False):
+    """Feature table; persisted when one query runs several fits over it."""
+    f = feat.feature_table(_txn(spark, sf_dir))
+    return f.persist(StorageLevel.MEMORY_AND_DISK) if persist else f
 
 
 @register("W_history_features")
@@ -167,7 +170,7 @@ def q_j3(spark, sf_dir):
 # Preparation, split, scaling, rebalancing weights
 # --------------------------------------------------------------------------
 def _selected(spark, sf_dir):
-    return prep.select_features(_features(spark, sf_dir))
+    return prep.select_features(_features(spark, sf_dir, persist=True))
 
 
 @register("A10_median_mode")
@@ -204,7 +207,7 @@ def q_e3(spark, sf_dir):
 
 
 def _prepared(spark, sf_dir):
-    return prep.prepare(_features(spark, sf_dir))
+    return prep.prepare(_features(spark, sf_dir, persist=True))
 
 
 @register("E4_target_encoding")
@@ -284,7 +287,7 @@ def _eval_scores(spark, sf_dir):
     allm = base.unionByName(ens.blend_long(base, models=BASE_MODELS))
     split = (splt.stratified_split(txn.select("transaction_id", "is_fraudulent"))
              .select(F.col("transaction_id").alias("row_id"), "split"))
-    return allm.join(split, "row_id")
+    return allm.join(split, "row_id").persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def _val_thresholds(s):
@@ -452,22 +455,39 @@ def q_b3(spark, sf_dir):
 _MODEL_CACHE: dict = {}
 
 
-def _models(spark, sf_dir):
-    key = (id(spark), sf_dir)
+def _balanced_rows(spark, sf_dir):
+    key = (id(spark), sf_dir, "smote")
+    if key not in _MODEL_CACHE:
+        _MODEL_CACHE[key] = wf.rebalance(_train(spark, sf_dir), "smote").persist(
+            StorageLevel.MEMORY_AND_DISK)
+    return _MODEL_CACHE[key]
+
+
+def _model(spark, sf_dir, name):
+    """One fitted model (L1-L4 settings of ``workflow.train_models``), cached."""
+    key = (id(spark), sf_dir, name)
     if key not in _MODEL_CACHE:
         dm = _design(spark, sf_dir)
-        bal_rows = wf.rebalance(_train(spark, sf_dir), "smote")
-        _MODEL_CACHE[key] = wf.train_models(bal_rows, len(dm.names), quick=True)
+        _MODEL_CACHE[key] = wf.train_model(name, _balanced_rows(spark, sf_dir), len(dm.names))
     return _MODEL_CACHE[key]
 
 
+def _models(spark, sf_dir):
+    return {n: _model(spark, sf_dir, n) for n in ("lr", "rf", "nn", "gbt")}
+
+
+def clear_caches():
+    _DESIGN_CACHE.clear()
+    _MODEL_CACHE.clear()
+
+
 def _test_rows(spark, sf_dir):
     return _design(spark, sf_dir).df.where(F.col("split") == "test")
 
 
 def _model_scores(name):
     def fn(spark, sf_dir):
-        m = _models(spark, sf_dir)[name]
+        m = _model(spark, sf_dir, name)
         return round_doubles(mdl.score(m, _test_rows(spark, sf_dir), name))
     return fn
 
@@ -495,20 +515,20 @@ def q_l5(spark, sf_dir):
 @register("V7_tree_importance")
 def q_v7(spark, sf_dir):
     dm = _design(spark, sf_dir)
-    pairs = xp.tree_importances(_models(spark, sf_dir)["rf"], dm.names, top=15)
+    pairs = xp.tree_importances(_model(spark, sf_dir, "rf"), dm.names, top=15)
     return xp.importance_frame(spark, pairs)
 
 
 @register("V8_permutation_importance")
 def q_v8(spark, sf_dir):
     dm = _design(spark, sf_dir)
-    return round_doubles(xp.permutation_importance(_models(spark, sf_dir)["lr"],
+    return round_doubles(xp.permutation_importance(_model(spark, sf_dir, "lr"),
                                                    _test_rows(spark, sf_dir), dm.names))
 
 
 def _shap(spark, sf_dir):
     dm = _design(spark, sf_dir)
-    return xp.linear_shapley(_models(spark, sf_dir)["lr"], _test_rows(spark, sf_dir), dm.names,
+    return xp.linear_shapley(_model(spark, sf_dir, "lr"), _test_rows(spark, sf_dir), dm.names,
                              _train(spark, sf_dir))
 
 

@@ -50,7 +50,10 @@ def build_design(txn: DataFrame, fit: str = "all", seed: int = splt.SEED,
     txn_s = splt.stratified_split(txn, LABEL, ID, seed)
     train_rows = txn_s.where(F.col("split") == "train")
     stats = feat.fit_global_stats(train_rows if fit == "train" else txn_s)
-    feats = feat.feature_table(txn_s, stats).persist(StorageLevel.MEMORY_AND_DISK)
+    # with all-row statistics the row count bounds every customer's count
+    has_hot = False if (fit != "train" and stats.n_rows is not None
+                        and stats.n_rows <= feat.DEFAULT_CHUNK_ROWS) else None
+    feats = feat.feature_table(txn_s, stats, has_hot=has_hot).persist(StorageLevel.MEMORY_AND_DISK)
     fit_rows = feats.where(F.col("split") == "train") if fit == "train" else None
     prepared = prep.prepare(feats, fit_rows=fit_rows)
     cols = prep.design_columns(prepared)
@@ -78,16 +81,26 @@ def rebalance(train: DataFrame, strategy: str = "adasyn", seed: int = splt.SEED)
     return mdl.from_array(out, "features_arr")
 
 
+def train_model(name: str, balanced: DataFrame, n_features: int, quick: bool = True):
+    """One of L1-L4 with the reference's roles: lr/rf recall weights (1:50),
+    gbt precision weights (1:10), nn unweighted on rebalanced rows."""
+    if name == "lr":
+        return mdl.logistic_regression(wts.class_weights(balanced, "recall", label="label"),
+                                       C=0.01, penalty="l1")
+    if name == "rf":
+        return mdl.random_forest(wts.class_weights(balanced, "recall", label="label"),
+                                 n_trees=20 if quick else 200, max_depth=8 if quick else 20)
+    if name == "nn":
+        return mdl.neural_network(balanced, n_features, max_iter=50 if quick else 200)
+    if name == "gbt":
+        return mdl.boosted_trees(wts.class_weights(balanced, "precision", label="label"),
+                                 n_iter=10 if quick else 100, max_depth=4 if quick else 10)
+    raise ValueError(name)
+
+
 def train_models(balanced: DataFrame, n_features: int, quick: bool = True) -> dict:
-    """L1-L4 with the reference's roles: lr/rf recall (1:50), nn/gbt precision."""
-    rec = wts.class_weights(balanced, "recall", label="label")
-    pre = wts.class_weights(balanced, "precision", label="label")
-    return {
-        "lr": mdl.logistic_regression(rec, C=0.01, penalty="l1"),
-        "rf": mdl.random_forest(rec, n_trees=20 if quick else 200, max_depth=8 if quick else 20),
-        "nn": mdl.neural_network(balanced, n_features, max_iter=50 if quick else 200),
-        "gbt": mdl.boosted_trees(pre, n_iter=10 if quick else 100, max_depth=4 if quick else 10),
-    }
+    """L1-L4."""
+    return {n: train_model(n, balanced, n_features, quick) for n in ("lr", "rf", "nn", "gbt")}
 
 
 def score_all(models: dict, df: DataFrame) -> DataFrame:
