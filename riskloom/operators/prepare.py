@@ -65,9 +65,18 @@ def imputable_strings(df: DataFrame):
 def fit_imputer(df: DataFrame) -> dict:
     """A10 -> fill values: median per numeric column, mode per string column.
 
-    One aggregate; the result is one scalar per column.
+    As in the reference, only columns that contain nulls are filled, so a
+    cheap null-count pass runs first and the exact medians/modes (the costly
+    part) are computed for those columns only. Each result is one scalar.
     """
     num, cat = numeric_columns(df), imputable_strings(df)
+    if not num and not cat:
+        return {}
+    nulls = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in num + cat]).first()
+    num = [c for c in num if nulls[c] > 0]
+    cat = [c for c in cat if nulls[c] > 0]
+    if not num and not cat:
+        return {}
     rows = median_mode(df, num, cat).collect()
     fill = {}
     for r in rows:

@@ -68,21 +68,27 @@ def order_key(key: str, seed: int) -> "F.Column":
     return F.concat(hash_key(key, seed), F.col(key).cast("string"))
 
 
-def hash_cuts(df: DataFrame, label: str, key: str, seed: int, targets: dict) -> dict:
+def hash_cuts(df: DataFrame, label: str, key: str, seed: int, targets) -> dict:
     """Order key of the r-th row (1-based) of each class, for ``targets``
-    {class: [r, ...]}, without ranking all rows.
+    {class: [r, ...]} (or a function of the class counts returning that),
+    without ranking all rows.
 
-    Per-(class, bucket) counts (bounded table) locate the bucket holding each
-    target rank; only the rows of those few boundary buckets are sorted.
+    Per-(class, bucket) counts (bounded table, kept) give the class totals and
+    locate the bucket holding each target rank; only the rows of those few
+    boundary buckets are sorted. Two passes over the input in all.
     """
     k = order_key(key, seed)
     x = df.select(F.col(label).alias("_c"), k.alias("_k"),
                   F.conv(F.substring(k, 1, HASH_BUCKET_HEX), 16, 10).cast("int").alias("_b"))
-    counts = x.groupBy("_c", "_b").agg(F.count(F.lit(1)).alias("_n"))
+    counts = x.groupBy("_c", "_b").agg(F.count(F.lit(1)).alias("_n")).persist()
+    if callable(targets):
+        totals = {r[0]: r[1] for r in counts.groupBy("_c").agg(F.sum("_n")).collect()}
+        targets = targets(totals)
     w = Window.partitionBy("_c").orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
     cum = counts.withColumn("_cum", F.sum("_n").over(w))
     wanted = [(c, r) for c, rs in targets.items() for r in rs if r > 0]
     if not wanted:
+        counts.unpersist()
         return {}
     conds = [((F.col("_c") == F.lit(c)) & (F.col("_cum") - F.col("_n") < r) & (F.col("_cum") >= r))
              for c, r in wanted]
@@ -107,6 +113,7 @@ def hash_cuts(df: DataFrame, label: str, key: str, seed: int, targets: dict) ->
         t = (F.col("_c") == F.lit(c)) & (F.col("_b") == F.lit(bb)) & (F.col("_rn") == F.lit(rr))
         rn_cond = t if rn_cond is None else (rn_cond | t)
     got = {(row["_c"], row["_b"], row["_rn"]): row["_k"] for row in edge.where(rn_cond).collect()}
+    counts.unpersist()
     return {(c, r): got[(c, bb, rr)] for (c, r), (bb, rr) in loc.items()}
 
 
@@ -129,9 +136,13 @@ def stratified_split(df: DataFrame, label: str = LABEL, key: str = ID, seed: int
         t = TEST_SHARE[0] / TEST_SHARE[1]
         v = (1 - t) * VAL_SHARE_OF_REST[0] / VAL_SHARE_OF_REST[1]
         return df.withColumn("split", F.when(u < t, "test").when(u < t + v, "val").otherwise("train"))
-    counts = {r[0]: r[1] for r in df.groupBy(label).count().collect()}  # one row per class
-    sizes = split_sizes(counts)
-    cuts = hash_cuts(df, label, key, seed, {c: [nt, nt + nv] for c, (nt, nv) in sizes.items()})
+    sizes = {}
+
+    def targets(totals):
+        sizes.update(split_sizes(totals))
+        return {c: [nt, nt + nv] for c, (nt, nv) in sizes.items()}
+
+    cuts = hash_cuts(df, label, key, seed, targets)
     k = order_key(key, seed)
     split = None
     for c, (nt, nv) in sizes.items():
@@ -144,14 +155,39 @@ def stratified_split(df: DataFrame, label: str = LABEL, key: str = ID, seed: int
     return df.withColumn("split", split)
 
 
+def _moments(df: DataFrame, columns):
+    """Count, mean and population variance of every column in one pass.
+
+    The columns are assembled into one vector and summarised by Spark ML's
+    ``Summarizer`` (a single vector-valued aggregate, instead of a
+    hundreds-of-buffers wide aggregate). A column holding nulls falls back to
+    its own null-skipping aggregate.
+    """
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.stat import Summarizer
+    import math
+    cols = list(columns)
+    v = VectorAssembler(inputCols=cols, outputCol="_v", handleInvalid="keep").transform(
+        df.select(*[F.col(c).cast("double").alias(c) for c in cols]))
+    r = v.select(Summarizer.metrics("count", "mean", "variance").summary(F.col("_v")).alias("s")) \
+        .first()["s"]
+    n = int(r["count"])
+    out = {}
+    for i, c in enumerate(cols):
+        m, var = float(r["mean"][i]), float(r["variance"][i])
+        if math.isnan(m) or math.isnan(var):
+            q = df.agg(F.avg(F.col(c).cast("double")), F.var_pop(F.col(c).cast("double"))).first()
+            out[c] = (q[0], q[1])
+        else:
+            out[c] = (m if n else None, (var * (n - 1) / n) if n > 1 else (0.0 if n == 1 else None))
+    return out
+
+
 def fit_scaler(train: DataFrame, columns) -> dict:
-    """D2 fit: mean and population std per column (one aggregate)."""
-    aggs = []
-    for i, c in enumerate(columns):
-        aggs += [F.avg(F.col(c).cast("double")).alias(f"m{i}"),
-                 F.stddev_pop(F.col(c).cast("double")).alias(f"s{i}")]
-    r = train.agg(*aggs).first()
-    return {c: (r[f"m{i}"], r[f"s{i}"]) for i, c in enumerate(columns)}
+    """D2 fit: mean and population std per column (one vector aggregate)."""
+    import math
+    mom = _moments(train, columns)
+    return {c: (m, None if v is None else math.sqrt(max(v, 0.0))) for c, (m, v) in mom.items()}
 
 
 def standardize(df: DataFrame, scaler: dict) -> DataFrame:
@@ -173,7 +209,6 @@ def column_variances(train: DataFrame, columns) -> DataFrame:
 
 
 def variance_filter(train: DataFrame, columns, threshold: float = 0.01) -> list:
-    """D3: names of the columns whose variance exceeds ``threshold``."""
-    rows = column_variances(train, columns).collect()
-    keep = {r["feature"] for r in rows if r["variance"] is not None and r["variance"] > threshold}
-    return [c for c in columns if c in keep]
+    """D3: names of the columns whose population variance exceeds ``threshold``."""
+    mom = _moments(train, columns)
+    return [c for c in columns if mom[c][1] is not None and mom[c][1] > threshold]

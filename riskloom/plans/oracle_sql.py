@@ -143,7 +143,8 @@ SQL["A2_A4_customer_aggregates"] = rounded(f"""WITH {TXN_CTE}, {CUST_CTE}
 SELECT * FROM cust""", ["avg_customer_transaction", "std_customer_transaction",
                         "max_customer_transaction"])
 
-SQL["A6_daily_counts"] = f"WITH {TXN_CTE}, {CUST_CTE} SELECT * FROM daily"
+SQL["A6_daily_counts"] = f"""WITH {TXN_CTE}, {CUST_CTE}
+SELECT customer_id, strftime(transaction_day, '%Y-%m-%d') AS transaction_day, daily_count FROM daily"""
 
 SQL["A7_daily_velocity"] = rounded(f"WITH {TXN_CTE}, {CUST_CTE} SELECT * FROM vel",
                                    ["avg_daily_transaction_velocity"])

@@ -64,7 +64,9 @@ def q_cust(spark, sf_dir):
 
 @register("A6_daily_counts")
 def q_daily(spark, sf_dir):
-    return feat.daily_counts(_txn(spark, sf_dir))
+    # the day as ISO text, so both engines hash the same value
+    d = feat.daily_counts(_txn(spark, sf_dir))
+    return d.withColumn("transaction_day", F.date_format("transaction_day", "yyyy-MM-dd"))
 
 
 @register("A7_daily_velocity")
