@@ -553,3 +553,10 @@ def q_v12(spark, sf_dir):
 def q_s5(spark, sf_dir):
     path = sinks.write_table(_features(spark, sf_dir), spark, "features")
     return round_doubles(spark.read.parquet(path))
+
+
+@register("V9_sampled_shapley")
+def q_v9s(spark, sf_dir):
+    dm = _design(spark, sf_dir)
+    return round_doubles(xp.sampled_shapley(_model(spark, sf_dir, "gbt"), _test_rows(spark, sf_dir),
+                                            dm.names, _train(spark, sf_dir), n_perm=4))

@@ -75,3 +75,17 @@ def test_fold_column_is_stratified(separable):
     for _, g in f.groupby("label"):
         sizes = g.fold.value_counts()
         assert sizes.max() - sizes.min() <= 1
+
+
+def test_sampled_shapley_is_efficient(spark, separable):
+    train = separable.where(F.col("split") == "train")
+    m = mdl.boosted_trees(wts.class_weights(train, "recall", label="label"), n_iter=5, max_depth=3)
+    rows = (separable.where(F.col("split") == "test").limit(40)
+            .withColumn("features_arr", F.array("f0", "f1", "f2", "f3")))
+    bg = train.withColumn("features_arr", F.array("f0", "f1", "f2", "f3"))
+    phi = xp.sampled_shapley(m, rows, ["f0", "f1", "f2", "f3"], bg, n_perm=3).toPandas()
+    assert len(phi) == 40 * 4
+    # the constant feature never changes the output
+    assert phi[phi.feature == "f3"].shap.abs().max() < 1e-12
+    # contributions are bounded by the probability range
+    assert phi.groupby("row_id").shap.sum().abs().max() <= 1.0 + 1e-9
