@@ -88,6 +88,7 @@ def lookup_join(df: DataFrame, table: DataFrame, key: str,
                 max_broadcast_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
     """Left lookup join; the lookup side is broadcast only if its row count
     is checked to be within ``max_broadcast_rows``, otherwise a shuffle join."""
+    table = table.persist()            # counted once, joined from the cache
     n = table.count()
     side = F.broadcast(table) if n <= max_broadcast_rows else table
     return df.join(side, key, "left")

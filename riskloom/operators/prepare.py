@@ -62,7 +62,7 @@ def imputable_strings(df: DataFrame):
     return [c for c in STRING_COLUMNS if c in df.columns]
 
 
-def fit_imputer(df: DataFrame) -> dict:
+def fit_imputer(df: DataFrame, approx: bool = False) -> dict:
     """A10 -> fill values: median per numeric column, mode per string column.
 
     As in the reference, only columns that contain nulls are filled, so a
@@ -77,7 +77,7 @@ def fit_imputer(df: DataFrame) -> dict:
     cat = [c for c in cat if nulls[c] > 0]
     if not num and not cat:
         return {}
-    rows = median_mode(df, num, cat).collect()
+    rows = median_mode(df, num, cat, approx=approx).collect()
     fill = {}
     for r in rows:
         v = r["median"] if r["column_name"] in num else r["mode"]
@@ -107,14 +107,16 @@ def fit_one_hot(df: DataFrame, columns=None) -> dict:
     strings = [c for c in columns if c not in ORDERED_LEVELS]
     levels = {}
     if strings:
+        # cardinality is checked (sketch, constant memory) before any level set is built
+        card = df.agg(*[F.approx_count_distinct(c).alias(c) for c in strings]).first()
+        for c in strings:
+            if card[c] > MAX_ONE_HOT_LEVELS:
+                raise ValueError(f"{c} has about {card[c]} levels; use target encoding instead")
         pairs = F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v"))
                           for c in strings])
         distinct = (df.select(F.inline(pairs)).where(F.col("v").isNotNull())
-                    .groupBy("c").agg(F.array_sort(F.collect_set("v")).alias("levels"),
-                                      F.count_distinct("v").alias("n")))
+                    .groupBy("c").agg(F.array_sort(F.collect_set("v")).alias("levels")))
         for r in distinct.collect():
-            if r["n"] > MAX_ONE_HOT_LEVELS:
-                raise ValueError(f"{r['c']} has {r['n']} levels; use target encoding instead")
             levels[r["c"]] = list(r["levels"])
     for c in columns:
         if c in ORDERED_LEVELS:
@@ -159,7 +161,7 @@ def target_encode(df: DataFrame, rates: DataFrame, prior: float | None,
 
 
 def prepare(features: DataFrame, fit_rows: DataFrame | None = None,
-            label: str = LABEL) -> DataFrame:
+            label: str = LABEL, approx_median: bool = False) -> DataFrame:
     """F19 -> E1 -> E3 -> E4 on the feature table.
 
     ``fit_rows`` (default: all rows, the reference's behaviour) supplies the
@@ -168,7 +170,7 @@ def prepare(features: DataFrame, fit_rows: DataFrame | None = None,
     """
     x = select_features(features)
     fit_x = x if fit_rows is None else select_features(fit_rows)
-    fill = fit_imputer(fit_x)
+    fill = fit_imputer(fit_x, approx=approx_median)
     x = impute(x, fill)
     fit_imp = impute(fit_x, fill)
     kept = fit_one_hot(fit_imp)

@@ -69,15 +69,20 @@ def categorical_profile(df: DataFrame, columns=None) -> DataFrame:
             .groupBy("column_name", "level").agg(F.count(F.lit(1)).alias("n")))
 
 
-def median_mode(df: DataFrame, numeric=None, categorical=None) -> DataFrame:
+def median_mode(df: DataFrame, numeric=None, categorical=None, approx: bool = False,
+                accuracy: int = 100_000) -> DataFrame:
     """A10: median of each numeric column, mode of each string column.
 
     Mode ties resolve to the smallest value (``mode(..., deterministic=True)``).
-    Returned long: (column_name, median, mode).
+    Returned long: (column_name, median, mode). Exact medians keep one counter
+    per distinct value; ``approx=True`` uses ``percentile_approx`` (rank error
+    1/accuracy) for columns with unbounded distinct values.
     """
     numeric = [c for c in (numeric or []) if c in df.columns]
     categorical = [c for c in (categorical or []) if c in df.columns]
-    aggs = ([F.median(F.col(c).cast("double")).alias(f"m{i}") for i, c in enumerate(numeric)]
+    med = ((lambda x: F.percentile_approx(x, 0.5, accuracy).cast("double")) if approx
+           else (lambda x: F.median(x)))
+    aggs = ([med(F.col(c).cast("double")).alias(f"m{i}") for i, c in enumerate(numeric)]
             + [F.mode(F.col(c), True).alias(f"o{i}") for i, c in enumerate(categorical)])
     wide = df.agg(*aggs)
     rows = ([F.struct(F.lit(c).alias("column_name"), F.col(f"m{i}").alias("median"),
