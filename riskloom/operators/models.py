@@ -28,6 +28,18 @@ LABEL = "label"
 FEATURES = "features"
 WEIGHT = "weight"
 MAX_TREE_DEPTH = 30
+# Iterative trainers pass over their input many times; partitions are sized to
+# the data (at most this many rows each) so small inputs do not pay per-task
+# overhead on every iteration while large inputs keep their parallelism.
+ROWS_PER_PARTITION = 500_000
+
+
+def sized_for_training(df: DataFrame, n_rows: int | None = None) -> DataFrame:
+    """Coalesce (never shuffle) to ceil(rows / ROWS_PER_PARTITION) partitions."""
+    import math
+    n = df.count() if n_rows is None else n_rows
+    target = max(1, math.ceil(n / ROWS_PER_PARTITION))
+    return df.coalesce(target) if target < df.rdd.getNumPartitions() else df
 
 
 def assemble(df: DataFrame, columns, out: str = FEATURES) -> DataFrame:
@@ -43,9 +55,12 @@ def logistic_regression(train: DataFrame, C: float = 1.0, penalty: str = "l2",
                         tol: float = 1e-4):
     """L1: weighted logistic regression with the reference's C scale."""
     if weight_col and weight_col in train.columns:
-        sw = train.agg(F.sum(weight_col)).first()[0]
+        r = train.agg(F.sum(weight_col), F.count(F.lit(1))).first()
+        sw, n = r[0], r[1]
     else:
-        sw, weight_col = float(train.count()), None
+        n = train.count()
+        sw, weight_col = float(n), None
+    train = sized_for_training(train, n)
     lr = LogisticRegression(featuresCol=FEATURES, labelCol=LABEL, regParam=1.0 / (C * sw),
                             elasticNetParam=1.0 if penalty == "l1" else 0.0,
                             standardization=False, maxIter=max_iter, tol=tol)
@@ -57,6 +72,7 @@ def logistic_regression(train: DataFrame, C: float = 1.0, penalty: str = "l2",
 def random_forest(train: DataFrame, n_trees: int = 50, max_depth: int = 10,
                   min_instances: int = 1, weight_col: str | None = WEIGHT, seed: int = 123):
     """L2: weighted random forest (depth capped at Spark's 30)."""
+    train = sized_for_training(train)
     rf = RandomForestClassifier(featuresCol=FEATURES, labelCol=LABEL, numTrees=n_trees,
                                 maxDepth=min(max_depth, MAX_TREE_DEPTH),
                                 minInstancesPerNode=min_instances, seed=seed)
@@ -69,6 +85,7 @@ def boosted_trees(train: DataFrame, n_iter: int = 20, max_depth: int = 5, step:
                   subsample: float = 0.8, feature_subset: str = "all",
                   weight_col: str | None = WEIGHT, seed: int = 123):
     """L3: gradient-boosted trees with positive-class row weights."""
+    train = sized_for_training(train)
     gbt = GBTClassifier(featuresCol=FEATURES, labelCol=LABEL, maxIter=n_iter,
                         maxDepth=min(max_depth, MAX_TREE_DEPTH), stepSize=step,
                         subsamplingRate=subsample, featureSubsetStrategy=feature_subset, seed=seed)
@@ -80,6 +97,7 @@ def boosted_trees(train: DataFrame, n_iter: int = 20, max_depth: int = 5, step:
 def neural_network(train: DataFrame, n_features: int, hidden=(128, 64), max_iter: int = 100,
                    block_size: int = 256, seed: int = 123):
     """L4: feed-forward network (no row weights in Spark: use rebalanced rows)."""
+    train = sized_for_training(train)
     mlp = MultilayerPerceptronClassifier(featuresCol=FEATURES, labelCol=LABEL,
                                          layers=[n_features, *hidden, 2], maxIter=max_iter,
                                          blockSize=block_size, seed=seed)
@@ -96,7 +114,8 @@ def fold_column(df: DataFrame, k: int = 5, label: str = LABEL, key: str = "row_i
 def grid_search(train: DataFrame, estimator, grid, k: int = 5, parallelism: int = 4,
                 key: str = "row_id", seed: int = 123):
     """Stratified k-fold grid search scored by F1 of the positive class."""
-    folded = fold_column(train, k, key=key, seed=seed)
+    # every fold filters this table: keep it rather than re-ranking per fold
+    folded = sized_for_training(fold_column(train, k, key=key, seed=seed)).persist()
     ev = MulticlassClassificationEvaluator(labelCol=LABEL, predictionCol="prediction",
                                            metricName="fMeasureByLabel", metricLabel=1.0)
     cv = CrossValidator(estimator=estimator, estimatorParamMaps=grid, evaluator=ev,

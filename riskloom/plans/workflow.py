@@ -6,8 +6,9 @@ evaluation on test -> explanations.
 
 The driver only holds scalars, level lists, per-feature statistics and fitted
 models; every row-level step is a distributed DataFrame operation. The feature
-table and the design matrix are persisted because several fits read them
-(lost blocks are recomputed from lineage).
+table is persisted while the preparation fits read it; the design matrix is
+checkpointed to the shared checkpoint folder (a lineage cut) because all model
+fits read it.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ from ..operators import threshold as thr
 from ..operators import ensemble as ens
 from ..operators import evaluate as ev
 from ..operators import explain as xp
+from ..session import ensure_checkpoint_dir
 
 ID, LABEL = "transaction_id", "is_fraudulent"
 
@@ -40,12 +42,15 @@ class DesignMatrix:
 
 
 def build_design(txn: DataFrame, fit: str = "all", seed: int = splt.SEED,
-                 variance_threshold: float = 0.01) -> DesignMatrix:
+                 variance_threshold: float = 0.01, materialize: str = "checkpoint") -> DesignMatrix:
     """Features -> split -> prepare -> scale -> variance filter -> vectors.
 
     ``fit='all'`` reproduces the reference (statistics, imputation values and
     location rates from all rows); ``fit='train'`` fits them on the training
-    split only.
+    split only. ``materialize='checkpoint'`` writes the design matrix to the
+    shared ``spark.checkpoint.dir`` (a lineage cut: model fits that run for a
+    long time reread it instead of recomputing the feature pipeline after an
+    executor loss); ``'persist'`` keeps it in executor memory/disk only.
     """
     txn_s = splt.stratified_split(txn, LABEL, ID, seed)
     train_rows = txn_s.where(F.col("split") == "train")
@@ -62,8 +67,13 @@ def build_design(txn: DataFrame, fit: str = "all", seed: int = splt.SEED,
     kept = splt.variance_filter(scaled.where(F.col("split") == "train"), cols, variance_threshold)
     dm = (scaled.select(F.col(ID).alias("row_id"), F.col(LABEL).cast("double").alias("label"),
                         "split", F.array(*[F.col(c) for c in kept]).alias("features_arr"))
-          .transform(lambda d: mdl.from_array(d, "features_arr"))
-          .persist(StorageLevel.MEMORY_AND_DISK))
+          .transform(lambda d: mdl.from_array(d, "features_arr")))
+    if materialize == "checkpoint":
+        ensure_checkpoint_dir(dm.sparkSession)
+        dm = dm.checkpoint(eager=True)
+        feats.unpersist()
+    else:
+        dm = dm.persist(StorageLevel.MEMORY_AND_DISK)
     return DesignMatrix(dm, kept, cols)
 
 
