@@ -42,7 +42,8 @@ class DesignMatrix:
 
 
 def build_design(txn: DataFrame, fit: str = "all", seed: int = splt.SEED,
-                 variance_threshold: float = 0.01, materialize: str = "checkpoint") -> DesignMatrix:
+                 variance_threshold: float = 0.01, materialize: str = "checkpoint",
+                 approx: bool = False) -> DesignMatrix:
     """Features -> split -> prepare -> scale -> variance filter -> vectors.
 
     ``fit='all'`` reproduces the reference (statistics, imputation values and
@@ -51,16 +52,18 @@ def build_design(txn: DataFrame, fit: str = "all", seed: int = splt.SEED,
     shared ``spark.checkpoint.dir`` (a lineage cut: model fits that run for a
     long time reread it instead of recomputing the feature pipeline after an
     executor loss); ``'persist'`` keeps it in executor memory/disk only.
+    ``approx=True`` uses sketch quantiles for A1 and the imputation medians
+    (for columns whose distinct values are unbounded at large scale).
     """
     txn_s = splt.stratified_split(txn, LABEL, ID, seed)
     train_rows = txn_s.where(F.col("split") == "train")
-    stats = feat.fit_global_stats(train_rows if fit == "train" else txn_s)
+    stats = feat.fit_global_stats(train_rows if fit == "train" else txn_s, approx=approx)
     # with all-row statistics the row count bounds every customer's count
     has_hot = False if (fit != "train" and stats.n_rows is not None
                         and stats.n_rows <= feat.DEFAULT_CHUNK_ROWS) else None
     feats = feat.feature_table(txn_s, stats, has_hot=has_hot).persist(StorageLevel.MEMORY_AND_DISK)
     fit_rows = feats.where(F.col("split") == "train") if fit == "train" else None
-    prepared = prep.prepare(feats, fit_rows=fit_rows)
+    prepared = prep.prepare(feats, fit_rows=fit_rows, approx_median=approx)
     cols = prep.design_columns(prepared)
     train_p = prepared.where(F.col("split") == "train")
     scaled = splt.standardize(prepared, splt.fit_scaler(train_p, cols))
