@@ -7,9 +7,9 @@ computed for all models in one job.
 
 Curves and AUC need, per model, cumulative label counts in score order. A
 window over all distinct scores of a model would run in one task, so the
-cumulative counts are built in two levels: scores are cut into ~1,024 ranges
+cumulative counts are built in two levels: scores are cut into ~4,096 ranges
 by approximate quantiles (only the cut points are approximate; they are fixed
-for the job), per-range totals (a table of at most models x 1,025 rows, safe to
+for the job), per-range totals (a table of at most models x 4,097 rows, safe to
 broadcast) give each range's offset, and rows are accumulated inside their
 (model, range) only. The result is exact.
 """
@@ -20,7 +20,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-N_RANGES = 1024
+N_RANGES = 4096
 
 LEGIT, FRAUD = "Legitimate", "Fraudulent"
 
@@ -207,7 +207,8 @@ def error_slices(pred: DataFrame, features: DataFrame, location_rates: DataFrame
     """False negatives and false positives assigned to the first matching slice.
 
     ``features`` is the feature table (keyed by transaction_id), joined on the
-    errors only; ``location_rates`` is one row per location (broadcast).
+    errors only; ``location_rates`` is one row per location (broadcast when its
+    checked row count allows).
     """
     errs = pred.where(F.col("label") != F.col("pred"))
     f = features.select(
@@ -215,8 +216,9 @@ def error_slices(pred: DataFrame, features: DataFrame, location_rates: DataFrame
         "customer_location", "transaction_hour", "day_of_week", "new_account", "high_amount_flag",
         "address_mismatch", "amount_deviation_from_history", "velocity_deviation",
         "weekend_high_value")
-    rates = F.broadcast(location_rates.select("customer_location", F.col("fraud_rate").alias("_rate")))
-    x = errs.join(f, key, "left").join(rates, "customer_location", "left")
+    from .location import lookup_join        # broadcast only after a row-count check
+    rates = location_rates.select("customer_location", F.col("fraud_rate").alias("_rate"))
+    x = lookup_join(errs.join(f, key, "left"), rates, "customer_location")
     c = F.col
     fn_slice = (F.when(c("account_age_days") > ESTABLISHED_DAYS, "established_account")
                 .when(c("transaction_amount") < F.lit(median_amount), "small_amount")
