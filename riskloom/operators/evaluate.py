@@ -7,11 +7,12 @@ computed for all models in one job.
 
 Curves and AUC need, per model, cumulative label counts in score order. A
 window over all distinct scores of a model would run in one task, so the
-cumulative counts are built in two levels: scores are cut into ~4,096 ranges
-by approximate quantiles (only the cut points are approximate; they are fixed
-for the job), per-range totals (a table of at most models x 4,097 rows, safe to
-broadcast) give each range's offset, and rows are accumulated inside their
-(model, range) only. The result is exact.
+cumulative counts are built in two levels: scores are cut into ranges by
+approximate quantiles (about 200,000 distinct scores per range, at most 16,384
+ranges; only the cut points are approximate and they are fixed for the job),
+per-range totals (a table of at most models x 16,385 rows, safe to broadcast)
+give each range's offset, and rows are accumulated inside their (model, range)
+only. The result is exact.
 """
 
 from __future__ import annotations
@@ -20,7 +21,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-N_RANGES = 4096
+N_RANGES = 16384                 # upper bound on score ranges per job
+DISTINCT_PER_RANGE = 200_000     # target distinct scores accumulated by one task
 
 LEGIT, FRAUD = "Legitimate", "Fraudulent"
 
@@ -29,17 +31,30 @@ def _dbl(c):
     return F.col(c).cast("double")
 
 
-def score_counts(scores: DataFrame, group_cols=("model",), n_ranges: int = N_RANGES) -> DataFrame:
-    """Per (model, distinct score): pos, neg, counts at or below the score, totals."""
+def score_counts(scores: DataFrame, group_cols=("model",), n_ranges: int | None = None) -> DataFrame:
+    """Per (model, distinct score): pos, neg, counts at or below the score, totals.
+
+    The number of score ranges follows the number of distinct scores
+    (about DISTINCT_PER_RANGE per range, at most N_RANGES); the distinct-score
+    table is kept while the range edges and offsets are derived from it.
+    """
+    import math
     g = list(group_cols)
     lab = F.col("label")
     d = (scores.groupBy(*g, "proba")
-         .agg(F.count_if(lab == 1).alias("pos"), F.count_if(lab == 0).alias("neg")))
-    probs = [i / n_ranges for i in range(1, n_ranges)]
-    edges = d.agg(F.percentile_approx("proba", probs, 10 * n_ranges)).first()[0] or []
+         .agg(F.count_if(lab == 1).alias("pos"), F.count_if(lab == 0).alias("neg"))).persist()
+    if n_ranges is None:
+        n_ranges = min(N_RANGES, max(1, math.ceil(d.count() / DISTINCT_PER_RANGE)))
+    edges = []
+    if n_ranges > 1:
+        probs = [i / n_ranges for i in range(1, n_ranges)]
+        edges = d.agg(F.percentile_approx("proba", probs, 10 * n_ranges)).first()[0] or []
     splits = [float("-inf")] + sorted({float(e) for e in edges if e is not None}) + [float("inf")]
-    d = Bucketizer(splits=splits, inputCol="proba", outputCol="_r",
-                   handleInvalid="keep").transform(d)
+    if len(splits) > 2:
+        d = Bucketizer(splits=splits, inputCol="proba", outputCol="_r",
+                       handleInvalid="keep").transform(d)
+    else:
+        d = d.withColumn("_r", F.lit(0.0))
     per_range = d.groupBy(*g, "_r").agg(F.sum("pos").alias("_rp"), F.sum("neg").alias("_rn"))
     w_r = Window.partitionBy(*g).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
     w_all = Window.partitionBy(*g)

@@ -159,3 +159,15 @@ def test_hybrid_rejects_ratio_above_undersampling(spark):
     df, _ = _vec_table(spark, 50, 2, 6, label_every=5)
     with pytest.raises(ValueError):
         bal.hybrid(df, "id", "vec", "label", ratio=1.0)
+
+
+@pytest.mark.parametrize("n_ranges", [1, 3, 37])
+def test_curves_do_not_depend_on_range_count(spark, n_ranges):
+    from riskloom.operators import evaluate as ev
+    s = fixture_scores(spark, SF_SMALL)
+    base = round_doubles(ev.roc_points(s, counts=ev.score_counts(s, n_ranges=200))).toPandas()
+    got = round_doubles(ev.roc_points(s, counts=ev.score_counts(s, n_ranges=n_ranges))).toPandas()
+    assert frame_key(base) == frame_key(got)
+    a = ev.auc_table(s, counts=ev.score_counts(s, n_ranges=n_ranges)).toPandas()
+    b = ev.auc_table(s, counts=ev.score_counts(s, n_ranges=200)).toPandas()
+    assert frame_key(a) == frame_key(b)
