@@ -62,7 +62,11 @@ def blend_long(scores: DataFrame, key: str = "row_id", label: str = "label",
 def stage_counts(scores: DataFrame, thresholds: DataFrame, key: str = "row_id",
                  label: str = "label") -> DataFrame:
     """Rows at or above each model's own threshold, and the stage-1 total at 0.5."""
-    per_model = (scores.join(F.broadcast(thresholds.select("model", "threshold")), "model")
+    from .evaluate import threshold_map
+    tm = threshold_map(thresholds)                 # one scalar per model
+    lookup = F.create_map(*[x for m, t in tm.items() for x in (F.lit(m), F.lit(t))])
+    per_model = (scores.withColumn("threshold", lookup[F.col("model")])
+                 .where(F.col("threshold").isNotNull())
                  .groupBy("model", "threshold")
                  .agg(F.count_if(F.col("proba") >= F.col("threshold")).alias("n_flagged")))
     stage1 = (stages_long(scores, key, label)

@@ -111,12 +111,25 @@ def pr_points(scores: DataFrame, group_cols=("model",), counts: DataFrame | None
     return pts.unionByName(end)
 
 
-def predict(scores: DataFrame, thresholds: DataFrame, default: float = 0.5) -> DataFrame:
-    """``pred = proba >= threshold`` with each model's stored threshold
-    (broadcast: one row per model), else the default."""
-    t = F.broadcast(thresholds.select("model", "threshold"))
-    out = scores.join(t, "model", "left")
-    out = out.withColumn("threshold", F.coalesce(F.col("threshold"), F.lit(default)))
+def threshold_map(thresholds) -> dict:
+    """Stored thresholds as {model: threshold} (one row per model)."""
+    if isinstance(thresholds, dict):
+        return dict(thresholds)
+    return {r["model"]: float(r["threshold"])
+            for r in thresholds.select("model", "threshold").collect()}
+
+
+def predict(scores: DataFrame, thresholds, default: float = 0.5) -> DataFrame:
+    """``pred = proba >= threshold`` with each model's stored threshold,
+    else the default. The thresholds (one scalar per model) are fitted state,
+    applied as a literal map: a projection, no join."""
+    tm = threshold_map(thresholds)
+    if tm:
+        lookup = F.create_map(*[x for m, t in tm.items() for x in (F.lit(m), F.lit(t))])
+        thr_col = F.coalesce(lookup[F.col("model")], F.lit(default))
+    else:
+        thr_col = F.lit(default)
+    out = scores.withColumn("threshold", thr_col.cast("double"))
     return out.withColumn("pred", (F.col("proba") >= F.col("threshold")).cast("int"))
 
 
