@@ -416,7 +416,7 @@ def _design(spark, sf_dir):
     once per session and input folder."""
     key = (id(spark), sf_dir)
     if key not in _DESIGN_CACHE:
-        _DESIGN_CACHE[key] = wf.build_design(_txn(spark, sf_dir), fit="all")
+        _DESIGN_CACHE[key] = wf.build_design(_txn(spark, sf_dir), fit="all")   # SQL parity
     return _DESIGN_CACHE[key]
 
 

@@ -41,14 +41,14 @@ class DesignMatrix:
     all_names: list = field(default_factory=list)
 
 
-def build_design(txn: DataFrame, fit: str = "all", seed: int = splt.SEED,
+def build_design(txn: DataFrame, fit: str = "train", seed: int = splt.SEED,
                  variance_threshold: float = 0.01, materialize: str = "checkpoint",
                  approx: bool = False) -> DesignMatrix:
     """Features -> split -> prepare -> scale -> variance filter -> vectors.
 
-    ``fit='all'`` reproduces the reference (statistics, imputation values and
-    location rates from all rows); ``fit='train'`` fits them on the training
-    split only. ``materialize='checkpoint'`` writes the design matrix to the
+    ``fit='train'`` (default) fits statistics, imputation values and location
+    rates on the training split only; ``fit='all'`` reproduces the reference,
+    which fits them on all rows before splitting (a label leak). ``materialize='checkpoint'`` writes the design matrix to the
     shared ``spark.checkpoint.dir`` (a lineage cut: model fits that run for a
     long time reread it instead of recomputing the feature pipeline after an
     executor loss); ``'persist'`` keeps it in executor memory/disk only.
@@ -66,8 +66,10 @@ def build_design(txn: DataFrame, fit: str = "all", seed: int = splt.SEED,
     prepared = prep.prepare(feats, fit_rows=fit_rows, approx_median=approx)
     cols = prep.design_columns(prepared)
     train_p = prepared.where(F.col("split") == "train")
-    scaled = splt.standardize(prepared, splt.fit_scaler(train_p, cols))
-    kept = splt.variance_filter(scaled.where(F.col("split") == "train"), cols, variance_threshold)
+    scaler = splt.fit_scaler(train_p, cols)
+    scaled = splt.standardize(prepared, scaler)
+    # D3 on the scaled training rows, from the same moments: var / scale^2
+    kept = splt.variance_filter_from_scaler(scaler, cols, variance_threshold)
     dm = (scaled.select(F.col(ID).alias("row_id"), F.col(LABEL).cast("double").alias("label"),
                         "split", F.array(*[F.col(c) for c in kept]).alias("features_arr"))
           .transform(lambda d: mdl.from_array(d, "features_arr")))
@@ -124,7 +126,7 @@ def score_all(models: dict, df: DataFrame) -> DataFrame:
     return out
 
 
-def run(txn: DataFrame, fit: str = "all", strategy: str = "adasyn", quick: bool = True) -> dict:
+def run(txn: DataFrame, fit: str = "train", strategy: str = "adasyn", quick: bool = True) -> dict:
     """Entry 1: the whole flow; returns the result tables."""
     dm = build_design(txn, fit=fit)
     d = dm.df

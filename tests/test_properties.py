@@ -171,3 +171,13 @@ def test_curves_do_not_depend_on_range_count(spark, n_ranges):
     a = ev.auc_table(s, counts=ev.score_counts(s, n_ranges=n_ranges)).toPandas()
     b = ev.auc_table(s, counts=ev.score_counts(s, n_ranges=200)).toPandas()
     assert frame_key(a) == frame_key(b)
+
+
+def test_variance_filter_from_moments_equals_scaled_pass(spark, txn):
+    from riskloom.operators import prepare as prep
+    p = prep.prepare(feat.feature_table(splt.stratified_split(txn)))
+    cols = prep.design_columns(p)
+    train = p.where(F.col("split") == "train")
+    sc = splt.fit_scaler(train, cols)
+    scaled_train = splt.standardize(p, sc).where(F.col("split") == "train")
+    assert splt.variance_filter(scaled_train, cols) == splt.variance_filter_from_scaler(sc, cols)
