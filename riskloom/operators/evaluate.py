@@ -231,8 +231,11 @@ TYPICAL_HOURS = (9, 21)
 
 def error_slices(pred: DataFrame, features: DataFrame, location_rates: DataFrame,
                  median_amount: float, deviation_cut: float = 1.0,
-                 high_risk_rate: float = 0.1, key: str = "row_id") -> DataFrame:
-    """False negatives and false positives assigned to the first matching slice.
+                 high_risk_rate: float = 0.1, key: str = "row_id",
+                 overlapping: bool = False) -> DataFrame:
+    """False negatives and false positives assigned to the first matching
+    slice (the report's shares sum to 100 %), or with ``overlapping=True`` to
+    every matching slice (share = errors in the slice / all errors of the kind).
 
     ``features`` is the feature table (keyed by transaction_id), joined on the
     errors only; ``location_rates`` is one row per location (broadcast when its
@@ -262,8 +265,29 @@ def error_slices(pred: DataFrame, features: DataFrame, location_rates: DataFrame
                 .when(c("_rate") > high_risk_rate, "high_risk_location")
                 .otherwise("other"))
     kind = F.when(c("label") == 1, "false_negative").otherwise("false_positive")
-    out = (x.withColumn("error_kind", kind)
-           .withColumn("slice", F.when(c("label") == 1, fn_slice).otherwise(fp_slice))
+    x = x.withColumn("error_kind", kind)
+    if not overlapping:
+        out = (x.withColumn("slice", F.when(c("label") == 1, fn_slice).otherwise(fp_slice))
+               .groupBy("model", "error_kind", "slice").agg(F.count(F.lit(1)).alias("n")))
+        w = Window.partitionBy("model", "error_kind")
+        return out.withColumn("share", c("n").cast("double") / F.sum("n").over(w))
+    fn_conds = [("established_account", c("account_age_days") > ESTABLISHED_DAYS),
+                ("small_amount", c("transaction_amount") < F.lit(median_amount)),
+                ("low_risk_location", c("_rate") < LOW_RISK_RATE),
+                ("typical_hours", c("transaction_hour").between(*TYPICAL_HOURS) & (c("day_of_week") < 5))]
+    fp_conds = [("new_account_high_value", (c("new_account") == 1) & (c("high_amount_flag") == 1)),
+                ("address_mismatch", c("address_mismatch") == 1),
+                ("unusual_pattern", (c("amount_deviation_from_history") > deviation_cut)
+                 | (c("velocity_deviation") > deviation_cut)),
+                ("weekend_high_value", c("weekend_high_value") == 1),
+                ("high_risk_location", c("_rate") > high_risk_rate)]
+
+    def names(conds):
+        return F.filter(F.array(*[F.when(cond, F.lit(n)) for n, cond in conds]),
+                        lambda v: v.isNotNull())
+    x = x.withColumn("_slices", F.when(c("label") == 1, names(fn_conds)).otherwise(names(fp_conds)))
+    totals = x.groupBy("model", "error_kind").agg(F.count(F.lit(1)).alias("_total"))
+    out = (x.select("model", "error_kind", F.explode("_slices").alias("slice"))
            .groupBy("model", "error_kind", "slice").agg(F.count(F.lit(1)).alias("n")))
-    w = Window.partitionBy("model", "error_kind")
-    return out.withColumn("share", c("n").cast("double") / F.sum("n").over(w))
+    return (out.join(totals, ["model", "error_kind"])
+            .withColumn("share", c("n").cast("double") / c("_total").cast("double")).drop("_total"))

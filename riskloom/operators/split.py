@@ -190,16 +190,17 @@ def fit_scaler(train: DataFrame, columns) -> dict:
     return {c: (m, None if v is None else math.sqrt(max(v, 0.0))) for c, (m, v) in mom.items()}
 
 
-def variance_filter_from_scaler(scaler: dict, columns, threshold: float = 0.01) -> list:
-    """D3 without another pass: the population variance of a standardised
-    training column is std^2 / scale^2 (1 for a varying column, 0 for a
-    constant one, whose scale is 1)."""
+def variance_filter_from_scaler(scaler: dict, columns, threshold: float = 0.01,
+                                stage: str = "scaled") -> list:
+    """D3 without another pass. ``scaled``: the population variance of a
+    standardised training column is std^2 / scale^2 (1 for a varying column, 0
+    for a constant one, whose scale is 1). ``raw``: the unscaled variance std^2."""
     keep = []
     for c in columns:
         m, s = scaler[c]
         if s is None:
             continue
-        scale = 1.0 if s == 0.0 else s
+        scale = 1.0 if (s == 0.0 or stage == "raw") else s
         if (s * s) / (scale * scale) > threshold:
             keep.append(c)
     return keep

@@ -566,3 +566,32 @@ pairs AS (SELECT a.transaction_id AS query_id, b.transaction_id AS neighbor_id,
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbor_id) AS rank FROM pairs)
 SELECT query_id, neighbor_id, CAST(rank AS BIGINT) AS rank, distance FROM r WHERE rank <= 5""", ["distance"])
 SQL["S5_parquet_roundtrip"] = SQL["FEATURES_table"]
+
+_FN_SLICES = [("established_account", "account_age_days > 90"),
+              ("small_amount", "transaction_amount < (SELECT m FROM med)"),
+              ("low_risk_location", "rate < 0.03"),
+              ("typical_hours", "transaction_hour BETWEEN 9 AND 21 AND day_of_week < 5")]
+_FP_SLICES = [("new_account_high_value", "new_account = 1 AND high_amount_flag = 1"),
+              ("address_mismatch", "address_mismatch = 1"),
+              ("unusual_pattern", "amount_deviation_from_history > 1.0 OR velocity_deviation > 1.0"),
+              ("weekend_high_value", "weekend_high_value = 1"),
+              ("high_risk_location", "rate > 0.1")]
+_ov = " UNION ALL ".join(
+    [f"SELECT model, 'false_negative' AS error_kind, '{n}' AS slice FROM x WHERE label = 1 AND ({c})"
+     for n, c in _FN_SLICES]
+    + [f"SELECT model, 'false_positive', '{n}' FROM x WHERE label = 0 AND ({c})" for n, c in _FP_SLICES])
+SQL["V11_error_slices_overlapping"] = rounded(f"""WITH {PROFILE_CTE}, {EVAL_CTE}, {FEATURES_CTE},
+lr AS (SELECT customer_location, avg(CAST(is_fraudulent AS DOUBLE)) AS rate FROM txn
+       WHERE customer_location IS NOT NULL GROUP BY 1),
+med AS (SELECT median(transaction_amount) AS m FROM txn),
+x AS (SELECT p.model, p.label, f.*, lr.rate FROM pred p
+      LEFT JOIN features f ON p.row_id = f.transaction_id
+      LEFT JOIN lr ON f.customer_location = lr.customer_location
+      WHERE p.label <> p.pred),
+tot AS (SELECT model, CASE WHEN label = 1 THEN 'false_negative' ELSE 'false_positive' END AS error_kind,
+               count(*) AS total FROM x GROUP BY 1, 2),
+s AS ({_ov})
+SELECT s.model, s.error_kind, s.slice, count(*) AS n,
+       CAST(count(*) AS DOUBLE) / CAST(max(t.total) AS DOUBLE) AS share
+FROM s JOIN tot t ON s.model = t.model AND s.error_kind = t.error_kind
+GROUP BY s.model, s.error_kind, s.slice""", ["share"])

@@ -388,14 +388,24 @@ def q_v6(spark, sf_dir):
     return round_doubles(ev.metric_comparison(ev.metric_table(pred, ev.auc_table(pred))))
 
 
-@register("V11_error_slices")
-def q_v11(spark, sf_dir):
+def _error_slices(spark, sf_dir, overlapping):
     txn = _txn(spark, sf_dir)
     pred = _test_pred(spark, sf_dir)
     feats = feat.feature_table(txn)
     median_amount = txn.agg(F.median("transaction_amount")).first()[0]
     rates = locn.location_rates(txn)
-    return round_doubles(ev.error_slices(pred, feats, rates, median_amount))
+    return round_doubles(ev.error_slices(pred, feats, rates, median_amount,
+                                         overlapping=overlapping))
+
+
+@register("V11_error_slices")
+def q_v11(spark, sf_dir):
+    return _error_slices(spark, sf_dir, False)
+
+
+@register("V11_error_slices_overlapping")
+def q_v11o(spark, sf_dir):
+    return _error_slices(spark, sf_dir, True)
 
 
 # --------------------------------------------------------------------------

@@ -43,7 +43,7 @@ class DesignMatrix:
 
 def build_design(txn: DataFrame, fit: str = "train", seed: int = splt.SEED,
                  variance_threshold: float = 0.01, materialize: str = "checkpoint",
-                 approx: bool = False) -> DesignMatrix:
+                 approx: bool = False, variance_stage: str = "scaled") -> DesignMatrix:
     """Features -> split -> prepare -> scale -> variance filter -> vectors.
 
     ``fit='train'`` (default) fits statistics, imputation values and location
@@ -54,6 +54,9 @@ def build_design(txn: DataFrame, fit: str = "train", seed: int = splt.SEED,
     executor loss); ``'persist'`` keeps it in executor memory/disk only.
     ``approx=True`` uses sketch quantiles for A1 and the imputation medians
     (for columns whose distinct values are unbounded at large scale).
+    ``variance_stage='scaled'`` filters on the standardised training rows as
+    the reference does (after scaling only constants fall below 0.01);
+    ``'raw'`` filters on the unscaled training variances instead.
     """
     txn_s = splt.stratified_split(txn, LABEL, ID, seed)
     train_rows = txn_s.where(F.col("split") == "train")
@@ -68,8 +71,9 @@ def build_design(txn: DataFrame, fit: str = "train", seed: int = splt.SEED,
     train_p = prepared.where(F.col("split") == "train")
     scaler = splt.fit_scaler(train_p, cols)
     scaled = splt.standardize(prepared, scaler)
-    # D3 on the scaled training rows, from the same moments: var / scale^2
-    kept = splt.variance_filter_from_scaler(scaler, cols, variance_threshold)
+    # D3 from the same moments: var / scale^2 (scaled) or var itself (raw)
+    kept = splt.variance_filter_from_scaler(scaler, cols, variance_threshold,
+                                            stage=variance_stage)
     dm = (scaled.select(F.col(ID).alias("row_id"), F.col(LABEL).cast("double").alias("label"),
                         "split", F.array(*[F.col(c) for c in kept]).alias("features_arr"))
           .transform(lambda d: mdl.from_array(d, "features_arr")))
