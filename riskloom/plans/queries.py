@@ -421,10 +421,15 @@ from ..sources import sinks  # noqa: E402
 _DESIGN_CACHE: dict = {}
 
 
+def _session_key(spark, sf_dir, *extra):
+    """Cache key: the running application (ids of stopped sessions can be reused)."""
+    return (spark.sparkContext.applicationId, id(spark), sf_dir, *extra)
+
+
 def _design(spark, sf_dir):
     """Design matrix (fit on all rows, the reference's behaviour), persisted
     once per session and input folder."""
-    key = (id(spark), sf_dir)
+    key = _session_key(spark, sf_dir)
     if key not in _DESIGN_CACHE:
         _DESIGN_CACHE[key] = wf.build_design(_txn(spark, sf_dir), fit="all")   # SQL parity
     return _DESIGN_CACHE[key]
@@ -468,7 +473,7 @@ _MODEL_CACHE: dict = {}
 
 
 def _balanced_rows(spark, sf_dir):
-    key = (id(spark), sf_dir, "smote")
+    key = _session_key(spark, sf_dir, "smote")
     if key not in _MODEL_CACHE:
         _MODEL_CACHE[key] = wf.rebalance(_train(spark, sf_dir), "smote").persist(
             StorageLevel.MEMORY_AND_DISK)
@@ -477,7 +482,7 @@ def _balanced_rows(spark, sf_dir):
 
 def _model(spark, sf_dir, name):
     """One fitted model (L1-L4 settings of ``workflow.train_models``), cached."""
-    key = (id(spark), sf_dir, name)
+    key = _session_key(spark, sf_dir, name)
     if key not in _MODEL_CACHE:
         dm = _design(spark, sf_dir)
         _MODEL_CACHE[key] = wf.train_model(name, _balanced_rows(spark, sf_dir), len(dm.names))
