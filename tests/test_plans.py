@@ -38,3 +38,21 @@ def test_feature_scan_prunes_columns(spark):
 def test_curves_do_not_sort_all_scores_in_one_task(spark):
     plan = _plan(ev.roc_points(fixture_scores(spark, SF_SMALL)))
     assert "SinglePartition" not in plan
+
+
+def test_split_assignment_is_a_projection(spark):
+    from riskloom.operators import split as splt
+    txn = fixture_transactions(spark, SF_SMALL).select("transaction_id", "is_fraudulent")
+    plan = _plan(splt.stratified_split(txn))
+    assert "Window" not in plan and "Exchange" not in plan.split("(1)")[0]
+
+
+def test_knn_never_broadcasts_candidates(spark):
+    import numpy as np
+    from riskloom.operators import knn as knn_op
+    rng = np.random.default_rng(0)
+    df = spark.createDataFrame([(f"r{i}", [float(v) for v in rng.normal(size=3)]) for i in range(50)],
+                               "id string, vec array<double>")
+    plan = _plan(knn_op.knn(df, df, 3, "id", "id", "vec", block_rows=20))
+    assert "BroadcastExchange" not in plan and "CartesianProduct" not in plan
+    assert "FlatMapCoGroupsInPandas" in plan
