@@ -310,3 +310,97 @@ def feature_table(txn: DataFrame, stats: GlobalStats | None = None,
     hist = history_features(base, cust, chunk_rows=chunk_rows, has_hot=has_hot)
     out = interactions(hist)
     return out.select(*source_cols, *FEATURE_COLUMNS)
+
+
+def past_customer_features(df: DataFrame, chunk_rows: int = DEFAULT_CHUNK_ROWS,
+                           has_hot: bool | None = None) -> DataFrame:
+    """Leak-free variant of A2-A4/A7 (``history='past'``): each row sees only its
+    customer's rows up to and including itself, in (time, id) order.
+
+    Output: transaction_id plus past_total_customer_transactions,
+    past_avg/std/max_customer_transaction, past_product_category_diversity,
+    past_avg_daily_transaction_velocity.
+
+    Running aggregates are computed inside (customer_id, _chunk) -- the same
+    hot-customer chunks as the history windows -- and each chunk adds the
+    totals of the chunks before it (a per-chunk prefix table, one row per
+    chunk). Sums of x and x^2 carry the variance across chunks. A transaction
+    id counts once, at its first occurrence (a window keyed by customer and id).
+    """
+    base = df.where(F.col(CUST).isNotNull()).select(CUST, TID, TS, AMT, "product_category")
+    cust = customer_aggregates(base)
+    hot = (cust.where(F.col("_n_rows") > chunk_rows)
+           .select(CUST, F.ceil(F.col("_n_rows") / F.lit(chunk_rows)).cast("int").alias("_n_chunks"),
+                   "_ts_min", "_ts_max"))
+    if has_hot is None:
+        has_hot = hot.limit(1).count() > 0
+    if has_hot:   # at most rows / chunk_rows hot customers: bounded broadcast
+        rows = (base.join(F.broadcast(hot), CUST, "left").withColumn("_chunk", _chunk_expr())
+                .drop("_n_chunks", "_ts_min", "_ts_max"))
+    else:
+        rows = base.withColumn("_chunk", F.lit(0))
+    w_id = Window.partitionBy(CUST, TID).orderBy(*_order())
+    day = F.to_date(TS)
+    rows = (rows.withColumn("_first_id", (F.row_number().over(w_id) == 1).cast("long"))
+            .withColumn("_day", day))
+    w = Window.partitionBy(CUST, "_chunk").orderBy(*_order())
+    run = w.rowsBetween(Window.unboundedPreceding, 0)
+    amt = F.col(AMT)
+    # exact decimal sums: the result does not depend on how rows are chunked
+    dec = amt.cast("decimal(38,10)")
+    new_day = F.when(F.col("_day").isNull(), 0).when(
+        F.coalesce(F.lag("_day").over(w) != F.col("_day"), F.lit(True)), 1).otherwise(0)
+    rows = (rows.withColumn("_new_day", new_day)
+            .withColumn("_r_ids", F.sum("_first_id").over(run))
+            .withColumn("_r_n", F.count(amt).over(run))
+            .withColumn("_r_s", F.sum(dec).over(run))
+            .withColumn("_r_q", F.sum(dec * dec).over(run))
+            .withColumn("_r_max", F.max(amt).over(run))
+            .withColumn("_r_cats", F.collect_set("product_category").over(run))
+            .withColumn("_r_dated", F.count(TS).over(run))
+            .withColumn("_r_days", F.sum("_new_day").over(run)))
+    # per-chunk totals and the carry of all earlier chunks (one row per chunk)
+    chunks = (rows.groupBy(CUST, "_chunk")
+              .agg(F.sum("_first_id").alias("_c_ids"), F.count(amt).alias("_c_n"),
+                   F.sum(dec).alias("_c_s"), F.sum(dec * dec).alias("_c_q"),
+                   F.max(amt).alias("_c_max"), F.collect_set("product_category").alias("_c_cats"),
+                   F.count(TS).alias("_c_dated"), F.sum("_new_day").alias("_c_days"),
+                   F.min("_day").alias("_c_first_day"), F.max("_day").alias("_c_last_day")))
+    wc = Window.partitionBy(CUST).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    # a day split across a chunk boundary is counted once: each chunk's day
+    # count drops its first day if the chunks before it already ended on it
+    chunks = (chunks.withColumn("_prev_last", F.max("_c_last_day").over(wc))
+              .withColumn("_c_days", F.col("_c_days") - F.when(
+                  F.col("_c_first_day") == F.col("_prev_last"), 1).otherwise(0)))
+    carry = chunks.select(
+        CUST, "_chunk",
+        F.coalesce(F.sum("_c_ids").over(wc), F.lit(0)).alias("_p_ids"),
+        F.coalesce(F.sum("_c_n").over(wc), F.lit(0)).alias("_p_n"),
+        F.coalesce(F.sum("_c_s").over(wc), F.lit(0).cast("decimal(38,10)")).alias("_p_s"),
+        F.coalesce(F.sum("_c_q").over(wc), F.lit(0).cast("decimal(38,20)")).alias("_p_q"),
+        F.max("_c_max").over(wc).alias("_p_max"),
+        F.coalesce(F.array_distinct(F.flatten(F.collect_list("_c_cats").over(wc))),
+                   F.array().cast("array<string>")).alias("_p_cats"),
+        F.coalesce(F.sum("_c_dated").over(wc), F.lit(0)).alias("_p_dated"),
+        F.coalesce(F.sum("_c_days").over(wc), F.lit(0)).alias("_p_days"),
+        F.col("_prev_last").alias("_p_last_day"),
+        "_c_first_day")
+    j = rows.join(carry, [CUST, "_chunk"], "left")
+    n = F.col("_p_n") + F.col("_r_n")
+    s = (F.col("_p_s") + F.col("_r_s")).cast("double")
+    q = (F.col("_p_q") + F.col("_r_q")).cast("double")
+    # a day split across two chunks is counted once
+    dup_day = F.when(F.col("_c_first_day") == F.col("_p_last_day"), 1).otherwise(0)
+    days = F.col("_p_days") + F.col("_r_days") - F.when(F.col("_r_days") > 0, dup_day).otherwise(0)
+    var = F.try_divide(q - F.try_divide(s * s, n.cast("double")), (n - 1).cast("double"))
+    return j.select(
+        TID,
+        (F.col("_p_ids") + F.col("_r_ids")).alias("past_total_customer_transactions"),
+        F.try_divide(F.col("_p_s") + F.col("_r_s"), n).cast("double")
+        .alias("past_avg_customer_transaction"),
+        F.when(n > 1, F.sqrt(F.greatest(var, F.lit(0.0)))).alias("past_std_customer_transaction"),
+        F.greatest(F.col("_p_max"), F.col("_r_max")).alias("past_max_customer_transaction"),
+        F.size(F.array_distinct(F.concat("_p_cats", "_r_cats"))).cast("bigint")
+        .alias("past_product_category_diversity"),
+        F.try_divide((F.col("_p_dated") + F.col("_r_dated")).cast("double"), days.cast("double"))
+        .alias("past_avg_daily_transaction_velocity"))

@@ -595,3 +595,30 @@ SELECT s.model, s.error_kind, s.slice, count(*) AS n,
        CAST(count(*) AS DOUBLE) / CAST(max(t.total) AS DOUBLE) AS share
 FROM s JOIN tot t ON s.model = t.model AND s.error_kind = t.error_kind
 GROUP BY s.model, s.error_kind, s.slice""", ["share"])
+
+# Leak-free customer aggregates (each row sees its customer's rows up to itself)
+SQL["W_past_customer_features"] = rounded(f"""WITH {TXN_CTE},
+f AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY customer_id, transaction_id
+                       ORDER BY transaction_date ASC NULLS LAST, transaction_id ASC NULLS LAST) = 1
+                     THEN 1 ELSE 0 END AS first_id,
+             CAST(transaction_date AS DATE) AS d
+      FROM txn WHERE customer_id IS NOT NULL),
+g AS (SELECT *, CASE WHEN d IS NULL THEN 0
+                     WHEN (lag(d) OVER (PARTITION BY customer_id ORDER BY transaction_date ASC NULLS LAST,
+                                        transaction_id ASC NULLS LAST)) IS DISTINCT FROM d THEN 1
+                     ELSE 0 END AS new_day
+      FROM f)
+SELECT transaction_id,
+  CAST(sum(first_id) OVER r AS BIGINT) AS past_total_customer_transactions,
+  CAST(sum(CAST(transaction_amount AS DECIMAL(38,10))) OVER r AS DOUBLE)
+    / CAST(count(transaction_amount) OVER r AS DOUBLE) AS past_avg_customer_transaction,
+  stddev_samp(transaction_amount) OVER r AS past_std_customer_transaction,
+  max(transaction_amount) OVER r AS past_max_customer_transaction,
+  CAST(len(list_distinct(list(product_category) OVER r)) AS BIGINT) AS past_product_category_diversity,
+  CAST(count(transaction_date) OVER r AS DOUBLE) / CAST(sum(new_day) OVER r AS DOUBLE)
+    AS past_avg_daily_transaction_velocity
+FROM g
+WINDOW r AS (PARTITION BY customer_id ORDER BY transaction_date ASC NULLS LAST,
+             transaction_id ASC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""",
+    ["past_avg_customer_transaction", "past_std_customer_transaction",
+     "past_max_customer_transaction", "past_avg_daily_transaction_velocity"])

@@ -575,3 +575,8 @@ def q_v9s(spark, sf_dir):
     dm = _design(spark, sf_dir)
     return round_doubles(xp.sampled_shapley(_model(spark, sf_dir, "gbt"), _test_rows(spark, sf_dir),
                                             dm.names, _train(spark, sf_dir), n_perm=4))
+
+
+@register("W_past_customer_features")
+def q_past(spark, sf_dir):
+    return round_doubles(feat.past_customer_features(_txn(spark, sf_dir)))

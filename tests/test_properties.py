@@ -181,3 +181,25 @@ def test_variance_filter_from_moments_equals_scaled_pass(spark, txn):
     sc = splt.fit_scaler(train, cols)
     scaled_train = splt.standardize(p, sc).where(F.col("split") == "train")
     assert splt.variance_filter(scaled_train, cols) == splt.variance_filter_from_scaler(sc, cols)
+
+
+def test_past_features_chunked_equal_plain(spark, txn):
+    plain = round_doubles(feat.past_customer_features(txn, has_hot=False)).toPandas()
+    chunked = round_doubles(feat.past_customer_features(txn, chunk_rows=3)).toPandas()
+    assert frame_key(plain) == frame_key(chunked)
+
+
+def test_past_features_count_duplicate_ids_once_and_split_days_once(spark):
+    from .micro import rows, ts
+    df = rows(spark, [dict(transaction_date=ts(2024, 1, 1, 1)),
+                      dict(transaction_date=ts(2024, 1, 1, 2)),
+                      dict(transaction_date=ts(2024, 1, 1, 3)),
+                      dict(transaction_date=ts(2024, 1, 1, 4)),
+                      dict(transaction_date=ts(2024, 1, 2, 5))])
+    df = df.withColumn("transaction_id",
+                       F.when(F.col("transaction_id") == "t003", "t001").otherwise(F.col("transaction_id")))
+    for chunk_rows in (100, 2):
+        out = feat.past_customer_features(df, chunk_rows=chunk_rows).toPandas()
+        last = out.sort_values("past_total_customer_transactions").iloc[-1]
+        assert last.past_total_customer_transactions == 4           # t001 twice -> once
+        assert last.past_avg_daily_transaction_velocity == 2.5       # 5 rows over 2 days
