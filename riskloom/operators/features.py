@@ -191,14 +191,84 @@ def _chunk_expr() -> "F.Column":
     return F.when(n.isNull(), F.lit(0)).otherwise(c.cast("int"))
 
 
+def _past_columns(j: DataFrame, w) -> DataFrame:
+    """A2-A4/A7 as of each row (history='past') on rows keyed by
+    (customer_id, _chunk) that carry halo rows.
+
+    Running aggregates over the window skip halo rows; the halo makes the
+    first row of a chunk see its true previous row, so a day split across
+    chunks is counted once. Each chunk adds the totals of the chunks before it
+    (a per-chunk prefix table joined on the same key). Exact decimal sums keep
+    the results independent of chunking.
+    """
+    real = F.col("_halo") == 0
+    amt = F.col(AMT)
+    dec = amt.cast("decimal(38,10)")
+    run = w.rowsBetween(Window.unboundedPreceding, 0)
+    day = F.to_date(TS)
+    new_day = (F.when(day.isNull(), 0)
+               .when(F.coalesce(F.lag(day).over(w) != day, F.lit(True)), 1).otherwise(0))
+    x = (j.withColumn("_new_day", new_day)
+         .withColumn("_r_ids", F.sum(F.when(real, F.col("_first_id"))).over(run))
+         .withColumn("_r_n", F.count(F.when(real, amt)).over(run))
+         .withColumn("_r_s", F.sum(F.when(real, dec)).over(run))
+         .withColumn("_r_q", F.sum(F.when(real, dec * dec)).over(run))
+         .withColumn("_r_max", F.max(F.when(real, amt)).over(run))
+         .withColumn("_r_cats", F.collect_set(F.when(real, F.col("product_category"))).over(run))
+         .withColumn("_r_dated", F.count(F.when(real, F.col(TS))).over(run))
+         .withColumn("_r_days", F.sum(F.when(real, F.col("_new_day"))).over(run)))
+    chunks = (x.where(real).groupBy(CUST, "_chunk")
+              .agg(F.sum("_first_id").alias("_c_ids"), F.count(amt).alias("_c_n"),
+                   F.sum(dec).alias("_c_s"), F.sum(dec * dec).alias("_c_q"),
+                   F.max(amt).alias("_c_max"), F.collect_set("product_category").alias("_c_cats"),
+                   F.count(TS).alias("_c_dated"), F.sum("_new_day").alias("_c_days")))
+    wc = Window.partitionBy(CUST).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    carry = chunks.select(
+        CUST, "_chunk",
+        F.coalesce(F.sum("_c_ids").over(wc), F.lit(0)).alias("_p_ids"),
+        F.coalesce(F.sum("_c_n").over(wc), F.lit(0)).alias("_p_n"),
+        F.coalesce(F.sum("_c_s").over(wc), F.lit(0).cast("decimal(38,10)")).alias("_p_s"),
+        F.coalesce(F.sum("_c_q").over(wc), F.lit(0).cast("decimal(38,20)")).alias("_p_q"),
+        F.max("_c_max").over(wc).alias("_p_max"),
+        F.coalesce(F.array_distinct(F.flatten(F.collect_list("_c_cats").over(wc))),
+                   F.array().cast("array<string>")).alias("_p_cats"),
+        F.coalesce(F.sum("_c_dated").over(wc), F.lit(0)).alias("_p_dated"),
+        F.coalesce(F.sum("_c_days").over(wc), F.lit(0)).alias("_p_days"))
+    y = x.join(carry, [CUST, "_chunk"], "left")
+    n = F.col("_p_n") + F.coalesce(F.col("_r_n"), F.lit(0))
+    ssum = F.col("_p_s") + F.coalesce(F.col("_r_s"), F.lit(0).cast("decimal(38,10)"))
+    s = ssum.cast("double")
+    q = (F.col("_p_q") + F.coalesce(F.col("_r_q"), F.lit(0).cast("decimal(38,20)"))).cast("double")
+    var = F.try_divide(q - F.try_divide(s * s, n.cast("double")), (n - 1).cast("double"))
+    days = F.col("_p_days") + F.coalesce(F.col("_r_days"), F.lit(0))
+    has = F.col(CUST).isNotNull()
+    y = y.withColumns({
+        "total_customer_transactions": F.when(has, F.col("_p_ids") + F.coalesce(F.col("_r_ids"), F.lit(0))),
+        "avg_customer_transaction": F.when(has, F.try_divide(ssum, n).cast("double")),
+        "std_customer_transaction": F.when(has & (n > 1), F.sqrt(F.greatest(var, F.lit(0.0)))),
+        "max_customer_transaction": F.when(has, F.greatest(F.col("_p_max"), F.col("_r_max"))),
+        "product_category_diversity": F.when(has, F.size(F.array_distinct(
+            F.concat("_p_cats", "_r_cats"))).cast("bigint")),
+        "avg_daily_transaction_velocity": F.when(has, F.try_divide(
+            (F.col("_p_dated") + F.col("_r_dated")).cast("double"), days.cast("double"))),
+    })
+    return y.drop(*[c for c in y.columns if c.startswith(("_r_", "_p_", "_c_"))], "_new_day")
+
+
 def history_features(df: DataFrame, cust: DataFrame,
                      chunk_rows: int = DEFAULT_CHUNK_ROWS,
-                     has_hot: bool | None = None) -> DataFrame:
+                     has_hot: bool | None = None, history: str = "all") -> DataFrame:
     """J1 + W1-W3 over rows keyed by (customer_id, _chunk).
 
     ``cust`` is ``customer_table(df)``. ``has_hot`` skips the halo branch when
     it is known that no customer exceeds ``chunk_rows`` (None: check it).
+    ``history='past'`` replaces the full-history customer aggregates by their
+    value as of each row (leak-free); ``'all'`` is the reference's behaviour.
     """
+    if history == "past":
+        # a transaction id counts once, at its first occurrence for the customer
+        w_id = Window.partitionBy(CUST, TID).orderBy(*_order())
+        df = df.withColumn("_first_id", (F.row_number().over(w_id) == 1).cast("long"))
     hot = (cust.where(F.col("_n_rows") > chunk_rows)
            .select(CUST, F.ceil(F.col("_n_rows") / F.lit(chunk_rows)).cast("int").alias("_n_chunks"),
                    "_ts_min", "_ts_max"))
@@ -242,9 +312,12 @@ def history_features(df: DataFrame, cust: DataFrame,
         cust_x = cust.withColumn("_chunk", F.lit(0))
 
     cust_x = cust_x.drop("_n_rows", "_ts_min", "_ts_max")
-    j = rows.join(cust_x, [CUST, "_chunk"], "left")
-
     w = Window.partitionBy(CUST, "_chunk").orderBy(*_order())
+    if history == "past":
+        j = _past_columns(rows, w)
+    else:
+        j = rows.join(cust_x, [CUST, "_chunk"], "left")
+
     has_cust = F.col(CUST).isNotNull()
     prev_ts = F.lag(TS).over(w)
     gap_hours = F.expr(f"timestampdiff(MICROSECOND, _prev_ts, {TS})").cast("double") / F.lit(3.6e9)
@@ -259,7 +332,7 @@ def history_features(df: DataFrame, cust: DataFrame,
            .withColumn("amount_deviation_from_history",
                        safe_div(F.col(AMT) - F.col("_rolling"), F.col("_rolling") + 1))
            .drop("_prev_ts", "_rolling", "_halo", "_chunk"))
-    return out
+    return out.drop("_first_id") if "_first_id" in out.columns else out
 
 
 def interactions(df: DataFrame) -> DataFrame:
@@ -293,7 +366,7 @@ FEATURE_COLUMNS = [
 
 def feature_table(txn: DataFrame, stats: GlobalStats | None = None,
                   chunk_rows: int = DEFAULT_CHUNK_ROWS,
-                  has_hot: bool | None = None) -> DataFrame:
+                  has_hot: bool | None = None, history: str = "all") -> DataFrame:
     """Entry 2: the whole feature derivation as one plan.
 
     ``stats`` defaults to statistics fitted on ``txn`` itself (the reference's
@@ -307,7 +380,7 @@ def feature_table(txn: DataFrame, stats: GlobalStats | None = None,
     source_cols = txn.columns
     base = stat_features(row_features(txn), stats)
     cust = customer_table(txn)
-    hist = history_features(base, cust, chunk_rows=chunk_rows, has_hot=has_hot)
+    hist = history_features(base, cust, chunk_rows=chunk_rows, has_hot=has_hot, history=history)
     out = interactions(hist)
     return out.select(*source_cols, *FEATURE_COLUMNS)
 

@@ -43,7 +43,8 @@ class DesignMatrix:
 
 def build_design(txn: DataFrame, fit: str = "train", seed: int = splt.SEED,
                  variance_threshold: float = 0.01, materialize: str = "checkpoint",
-                 approx: bool = False, variance_stage: str = "scaled") -> DesignMatrix:
+                 approx: bool = False, variance_stage: str = "scaled",
+                 history: str | None = None) -> DesignMatrix:
     """Features -> split -> prepare -> scale -> variance filter -> vectors.
 
     ``fit='train'`` (default) fits statistics, imputation values and location
@@ -57,14 +58,20 @@ def build_design(txn: DataFrame, fit: str = "train", seed: int = splt.SEED,
     ``variance_stage='scaled'`` filters on the standardised training rows as
     the reference does (after scaling only constants fall below 0.01);
     ``'raw'`` filters on the unscaled training variances instead.
+    ``history``: 'past' gives customer aggregates as of each row (no future
+    rows), 'all' the reference's full-history aggregates; by default 'past'
+    with ``fit='train'`` and 'all' with ``fit='all'``.
     """
+    if history is None:
+        history = "past" if fit == "train" else "all"
     txn_s = splt.stratified_split(txn, LABEL, ID, seed)
     train_rows = txn_s.where(F.col("split") == "train")
     stats = feat.fit_global_stats(train_rows if fit == "train" else txn_s, approx=approx)
     # with all-row statistics the row count bounds every customer's count
     has_hot = False if (fit != "train" and stats.n_rows is not None
                         and stats.n_rows <= feat.DEFAULT_CHUNK_ROWS) else None
-    feats = feat.feature_table(txn_s, stats, has_hot=has_hot).persist(StorageLevel.MEMORY_AND_DISK)
+    feats = feat.feature_table(txn_s, stats, has_hot=has_hot,
+                               history=history).persist(StorageLevel.MEMORY_AND_DISK)
     fit_rows = feats.where(F.col("split") == "train") if fit == "train" else None
     prepared = prep.prepare(feats, fit_rows=fit_rows, approx_median=approx)
     cols = prep.design_columns(prepared)

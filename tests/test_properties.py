@@ -203,3 +203,15 @@ def test_past_features_count_duplicate_ids_once_and_split_days_once(spark):
         last = out.sort_values("past_total_customer_transactions").iloc[-1]
         assert last.past_total_customer_transactions == 4           # t001 twice -> once
         assert last.past_avg_daily_transaction_velocity == 2.5       # 5 rows over 2 days
+
+
+def test_past_history_in_feature_table_matches_standalone(spark, txn):
+    cols = ["total_customer_transactions", "avg_customer_transaction", "std_customer_transaction",
+            "max_customer_transaction", "product_category_diversity",
+            "avg_daily_transaction_velocity"]
+    ref = round_doubles(feat.past_customer_features(txn)).toPandas()
+    ref.columns = [c.replace("past_", "") for c in ref.columns]
+    for cr in (feat.DEFAULT_CHUNK_ROWS, 4):
+        got = round_doubles(feat.feature_table(txn, history="past", chunk_rows=cr)
+                            .select("transaction_id", *cols)).toPandas()
+        assert frame_key(got) == frame_key(ref[["transaction_id"] + cols])
