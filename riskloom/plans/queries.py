@@ -229,7 +229,8 @@ def q_a11(spark, sf_dir):
 
 
 def _scaled(spark, sf_dir):
-    p = _prepared(spark, sf_dir)
+    # the split cuts and the scaler both read the prepared table: keep it
+    p = _prepared(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)
     s = splt.stratified_split(p)
     cols = prep.design_columns(p)
     scaler = splt.fit_scaler(s.where(F.col("split") == "train"), cols)
