@@ -64,3 +64,17 @@ def test_target_encoding_fit_on_train_only(spark):
     vals = {r["transaction_id"]: r["customer_location"] for r in enc.collect()}
     l1 = [r["transaction_id"] for r in f.where(F.col("customer_location") == "L1").collect()]
     assert all(vals[i] == pytest.approx(prior) for i in l1)
+
+
+def test_model_sink_under_checkpoint_dir(spark):
+    from pyspark.ml.classification import LogisticRegressionModel
+    from riskloom.sources.sinks import save_model
+    from riskloom.operators import models as mdl
+    df = spark.createDataFrame([(float(i % 2), float(i), float(i % 3)) for i in range(40)],
+                               "label double, a double, b double")
+    x = mdl.assemble(df, ["a", "b"])
+    m = mdl.logistic_regression(x, C=1.0, weight_col=None)
+    path = save_model(m, spark, "lr")
+    assert path.startswith(spark.conf.get("spark.checkpoint.dir"))
+    m2 = LogisticRegressionModel.load(path)
+    assert list(m2.coefficients) == list(m.coefficients)
