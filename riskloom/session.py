@@ -39,16 +39,25 @@ def get_spark(master: str | None = None, app: str = "riskloom",
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
+    """Return the shared folder for checkpoints and written tables.
 
-    On a cluster this setting names a shared folder and is always respected.
-    Only when it is unset (local tests) is a private scratch folder created.
+    Order: the session's ``spark.checkpoint.dir``; else a folder already set on
+    the context by ``setCheckpointDir``; else, only on a local master (tests), a
+    private scratch folder. On any other master a missing folder is an error:
+    a machine-local one would not be seen by the other executors.
     """
+    sc = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None)
+    current = sc.getCheckpointDir()
     if not path:
+        if current:
+            return current
+        if not sc.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="riskloom-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
-    spark.sparkContext.setCheckpointDir(path)
+    if not current or not current.rstrip("/").rpartition("/")[0].endswith(path.rstrip("/").split(":")[-1]):
+        sc.setCheckpointDir(path)
     return path
 
 

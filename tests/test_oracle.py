@@ -4,17 +4,18 @@ the same comparison on sf0.01)."""
 import pytest
 
 import __spark_entry__ as entry
+from riskloom.plans.oracle_sql import SQL
+from riskloom.plans.queries import Q
 from tools.oracle_check import frame_key
 
 from .conftest import SF_SMALL
 
-SQL = entry.oracle_sql()
-NAMES = sorted(n for n in entry.queries() if n in SQL)
+NAMES = sorted(n for n in Q if n in SQL)
 
 
 @pytest.mark.parametrize("name", NAMES)
 def test_query_matches_oracle(spark, duck, name):
-    got = entry.queries()[name](spark, SF_SMALL).toPandas()
+    got = Q[name](spark, SF_SMALL).toPandas()
     want = duck.execute(SQL[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
     assert len(got) == len(want)
@@ -22,7 +23,7 @@ def test_query_matches_oracle(spark, duck, name):
 
 
 def test_every_query_has_oracle_or_is_model_based():
-    no_sql = {n for n in entry.queries() if n not in SQL}
+    no_sql = {n for n in Q if n not in SQL}
     allowed = {"B1_smote", "B2_adasyn", "B3_hybrid", "L1_logistic_regression", "V9_sampled_shapley",
                "L2_random_forest", "L3_boosted_trees", "L4_neural_network", "L5_grid_search",
                "V7_tree_importance", "V8_permutation_importance", "V9_linear_shapley",
