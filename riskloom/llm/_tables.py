@@ -50,3 +50,14 @@ def id_batches(df: DataFrame, id_col: str, rows_per_batch: int, name: str) -> tu
     out = df.withColumn(key, F.coalesce(F.col(id_col), F.lit(NULL_ID)).cast("double"))
     out = Bucketizer(splits=[*lower, math.inf], inputCol=key, outputCol=name, handleInvalid="keep").transform(out)
     return out.withColumn(name, F.col(name).cast("long")).drop(key), lower
+
+
+def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """row (all columns but the text), id (null: NULL_ID), text: operators add columns beside these without clashes."""
+    rest = [F.col(c) for c in docs.columns if c != text_col]
+    return docs.select(F.struct(*rest).alias("row"), F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), F.col(text_col).alias("text"))
+
+
+def unpacked(df: DataFrame, docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """The columns of docs again, in order, with the text that df holds."""
+    return df.select(*[F.col("text").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns])

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import bpe, sharding, token_counts
+from . import bpe, line_dedup, sharding, token_counts
 
 N_SHARDS = 40
 OVER_LIMIT_TOKENS = 2048
@@ -33,5 +33,23 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-Q = {f.__name__: f for f in (op1_sharding, op2_token_counts, op3_bpe)} | {"pipeline": corpus_pipeline.run}
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    kept = line_dedup.LineIndex(spark).insert(docs).keep_first(docs)
+    return kept.select(F.col("row.doc_id").alias("doc_id"), "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+Q = {f.__name__: f for f in (op1_sharding, op2_token_counts, op3_bpe, op4_line_dedup)} | {"pipeline": corpus_pipeline.run}
 SQL: dict[str, str] = {}
+
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+SQL["op4_line_dedup"] = f"""
+WITH lines AS (
+    SELECT doc_id, i, l, translate(regexp_replace(regexp_replace(l, '^[ \\t-\\r]+', ''), '[ \\t-\\r]+$', ''), '{UPPER}', '{LOWER}') AS k
+    FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS l, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents)),
+shared AS (SELECT k, min(doc_id) AS keeper FROM lines WHERE length(k) >= 10 GROUP BY k HAVING count(DISTINCT doc_id) >= 2),
+judged AS (SELECT l.*, coalesce(s.keeper < l.doc_id, false) AS drop FROM lines l LEFT JOIN shared s USING (k))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (drop) AS n_dropped,
+       sha256(coalesce(string_agg(l, chr(10) ORDER BY i) FILTER (NOT drop), '')) AS kept_sha256
+FROM judged GROUP BY doc_id"""
