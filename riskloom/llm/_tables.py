@@ -46,6 +46,8 @@ def id_batches(df: DataFrame, id_col: str, rows_per_batch: int, name: str) -> tu
     n = max(1, math.ceil(rows / rows_per_batch))
     cuts = ids.approxQuantile("id", [i / n for i in range(1, n)], 0.2 / n) if n > 1 else []
     lower = [-math.inf, *sorted({float(c) for c in cuts})]
+    if len(lower) == 1:
+        return df.withColumn(name, F.lit(0).cast("long")), lower
     key = f"{name}_id"
     out = df.withColumn(key, F.coalesce(F.col(id_col), F.lit(NULL_ID)).cast("double"))
     out = Bucketizer(splits=[*lower, math.inf], inputCol=key, outputCol=name, handleInvalid="keep").transform(out)

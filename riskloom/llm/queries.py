@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import bpe, line_dedup, sharding, token_counts
+from . import bpe, line_dedup, sharding, substring_dedup, token_counts
 
 N_SHARDS = 40
 OVER_LIMIT_TOKENS = 2048
@@ -39,7 +39,12 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select(F.col("row.doc_id").alias("doc_id"), "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
-Q = {f.__name__: f for f in (op1_sharding, op2_token_counts, op3_bpe, op4_line_dedup)} | {"pipeline": corpus_pipeline.run}
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substring_dedup.remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select(F.col("row.doc_id").alias("doc_id"), "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+Q = {f.__name__: f for f in (op1_sharding, op2_token_counts, op3_bpe, op4_line_dedup, op5_substring_dedup)} | {"pipeline": corpus_pipeline.run}
 SQL: dict[str, str] = {}
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -53,3 +58,14 @@ judged AS (SELECT l.*, coalesce(s.keeper < l.doc_id, false) AS drop FROM lines l
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (drop) AS n_dropped,
        sha256(coalesce(string_agg(l, chr(10) ORDER BY i) FILTER (NOT drop), '')) AS kept_sha256
 FROM judged GROUP BY doc_id"""
+
+SQL["op5_substring_dedup"] = r"""
+WITH docs AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+starts AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM docs),
+wins AS (SELECT doc_id, i, w[i] AS word, CASE WHEN i + 12 <= len(w) THEN array_to_string(w[i:i + 12], ' ') END AS win FROM starts),
+firsts AS (SELECT win, min(doc_id) AS first_doc FROM wins WHERE win IS NOT NULL GROUP BY win),
+hits AS (SELECT wins.*, coalesce(first_doc < doc_id, false) AS hit FROM wins LEFT JOIN firsts USING (win)),
+judged AS (SELECT *, bool_or(hit) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 12 PRECEDING AND CURRENT ROW) AS gone FROM hits),
+sums AS (SELECT doc_id, count(*) AS n_words, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (NOT gone) AS kept FROM judged GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM docs d LEFT JOIN sums USING (doc_id)"""
