@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import bpe, fingerprints, line_dedup, sharding, substring_dedup, token_counts
+from . import bpe, fingerprints, line_dedup, sharding, substring_dedup, token_counts, warc
 
 N_SHARDS = 40
 OVER_LIMIT_TOKENS = 2048
@@ -49,7 +49,12 @@ def op6_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("row.doc_id").alias("doc_id"), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 
 
-Q = {f.__name__: f for f in (op1_sharding, op2_token_counts, op3_bpe, op4_line_dedup, op5_substring_dedup, op6_document_fingerprints)} | {"pipeline": corpus_pipeline.run}
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packages = warc.write_packages(_table(spark, sf_dir, "pages"))
+    return warc.payload_table(warc.read_packages(packages))
+
+
+Q = {f.__name__: f for f in (op1_sharding, op2_token_counts, op3_bpe, op4_line_dedup, op5_substring_dedup, op6_document_fingerprints, op7_warc)} | {"pipeline": corpus_pipeline.run}
 SQL: dict[str, str] = {}
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -74,3 +79,12 @@ judged AS (SELECT *, bool_or(hit) OVER (PARTITION BY doc_id ORDER BY i ROWS BETW
 sums AS (SELECT doc_id, count(*) AS n_words, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (NOT gone) AS kept FROM judged GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM docs d LEFT JOIN sums USING (doc_id)"""
+
+#: Base 32 of a SHA-1: each five bytes are eight five-bit digits.
+SQL["op7_warc"] = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
+coded AS (SELECT p.*, list_aggregate([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(h, 10 * (k // 8) + 1, 10))::BIGINT >> (35 - 5 * (k % 8))) & 31)::INT + 1, 1) for k in range(32)], 'string_agg', '') AS payload_digest FROM p),
+newest AS (SELECT h, payload_bytes, max(page_id) AS newest FROM p GROUP BY ALL)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = newest THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = newest THEN NULL ELSE newest END AS refers_to
+FROM coded JOIN newest USING (h, payload_bytes)"""
