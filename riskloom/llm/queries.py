@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import bpe, fingerprints, line_dedup, sharding, substring_dedup, token_counts, warc
+from . import bpe, decontaminate, fingerprints, line_dedup, sharding, substring_dedup, token_counts, warc
 
 N_SHARDS = 40
 OVER_LIMIT_TOKENS = 2048
@@ -54,7 +54,13 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.payload_table(warc.read_packages(packages))
 
 
-Q = {f.__name__: f for f in (op1_sharding, op2_token_counts, op3_bpe, op4_line_dedup, op5_substring_dedup, op6_document_fingerprints, op7_warc)} | {"pipeline": corpus_pipeline.run}
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.find_passages(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark"))
+    return found.select(F.col("row.doc_id").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+Q = {f.__name__: f for f in (op1_sharding, op2_token_counts, op3_bpe, op4_line_dedup, op5_substring_dedup, op6_document_fingerprints, op7_warc, op8_decontamination)} | {"pipeline": corpus_pipeline.run}
 SQL: dict[str, str] = {}
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -88,3 +94,15 @@ newest AS (SELECT h, payload_bytes, max(page_id) AS newest FROM p GROUP BY ALL)
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = newest THEN 'response' ELSE 'revisit' END AS record_type,
        CASE WHEN page_id = newest THEN NULL ELSE newest END AS refers_to
 FROM coded JOIN newest USING (h, payload_bytes)"""
+
+SQL["op8_decontamination"] = rf"""
+WITH docs AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+items AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+sized AS (SELECT item_id, w, least(10, len(w)) AS m FROM items WHERE len(w) > 0),
+wins AS (SELECT DISTINCT item_id, m, array_to_string(w[i:i + m - 1], ' ') AS win FROM (SELECT *, unnest(range(1, len(w) - m + 2)) AS i FROM sized)),
+starts AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM docs),
+hits AS (SELECT doc_id, i, d.m, item_id FROM (SELECT doc_id, i, s.m, array_to_string(w[i:i + s.m - 1], ' ') AS win FROM starts, (SELECT DISTINCT m FROM wins) s WHERE i + s.m - 1 <= len(w)) d JOIN wins USING (m, win)),
+words AS (SELECT doc_id, count(DISTINCT j) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + m)) AS j FROM hits) GROUP BY doc_id),
+met AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS items_sha256 FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hits) GROUP BY doc_id)
+SELECT d.doc_id, len(d.w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, coalesce(items_sha256, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs d LEFT JOIN words USING (doc_id) LEFT JOIN met USING (doc_id)"""
