@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import bpe, decontaminate, fingerprints, line_dedup, sharding, substring_dedup, token_counts, warc
+from . import bpe, decontaminate, fingerprints, line_dedup, quality, sharding, simhash, substring_dedup, token_counts, warc
+from ._tables import NULL_ID
 
 N_SHARDS = 40
 OVER_LIMIT_TOKENS = 2048
@@ -60,7 +61,20 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
-Q = {f.__name__: f for f in (op1_sharding, op2_token_counts, op3_bpe, op4_line_dedup, op5_substring_dedup, op6_document_fingerprints, op7_warc, op8_decontamination)} | {"pipeline": corpus_pipeline.run}
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = quality.score(docs, quality.fit(docs, _table(spark, sf_dir, "labels")))
+    doc_id = F.col("row.doc_id")
+    return scored.select(doc_id.alias("doc_id"), quality.held_out(doc_id).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+    null_id = F.lit(NULL_ID)
+    return rows.select(F.nullif("id", null_id).alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.nullif("component_id", null_id).alias("component_id"))
+
+
+Q = {f.__name__: f for f in (op1_sharding, op2_token_counts, op3_bpe, op4_line_dedup, op5_substring_dedup, op6_document_fingerprints, op7_warc, op8_decontamination, op9_quality_classifier, op10_simhash_near_dedup)} | {"pipeline": corpus_pipeline.run}
 SQL: dict[str, str] = {}
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
