@@ -13,6 +13,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -85,9 +86,10 @@ def as_hex(rows: np.ndarray) -> list[str]:
 
 def _edited(schema: pa.Schema):
     def run(table: pa.Table) -> pa.Table:
+        table = table.set_column(table.schema.get_field_index("text"), "text", pc.fill_null(table.column("text"), ""))
         table = table.sort_by([("guest", "ascending"), ("id", "ascending"), ("text", "ascending")]).combine_chunks()
         guest = table.column("guest").to_pylist()
-        texts = [t or "" for t in table.column("text").to_pylist()]
+        texts = table.column("text").to_pylist()
         n = guest.index(True)
         if not n:
             return schema.empty_table()
@@ -113,7 +115,7 @@ def edit_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     fingerprint, edited_fingerprint, near_edited, near_next.
 
     A null text counts as empty, a null id as the least. Rows with equal ids
-    follow in the order of their texts; among repeated rows any order gives
+    follow in the order of their texts (null as empty); among repeated rows any order gives
     equal results. A single row is its own next. Texts of no words have one
     fingerprint, alike only to itself.
     """

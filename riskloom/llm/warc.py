@@ -42,9 +42,14 @@ def sha1_base32(data: bytes) -> str:
 
 # ------------------------------------------------------------------ records
 
+def target_uri(url: str | None, page_id: int) -> str:
+    """The url with white space, control and other characters that no URI has in percent form."""
+    return urllib.parse.quote(url, safe="%/:=&?~#+!$,;'@()*[]") if url else f"urn:page:{page_id}"
+
+
 def record(kind: str, page_id: int, url: str | None, payload: bytes, digest: str, refers_to: int | None, date: str = DATE) -> bytes:
     """One WARC/1.1 record with its block; a revisit has the HTTP head only."""
-    target = urllib.parse.quote(url, safe="%/:=&?~#+!$,;'@()*[]") if url else f"urn:page:{page_id}"
+    target = target_uri(url, page_id)
     block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     head = [("WARC-Type", kind), ("WARC-Record-ID", f"<urn:page:{page_id}>"), ("WARC-Target-URI", target), ("WARC-Date", date),
             ("WARC-Payload-Digest", f"sha1:{digest}"), ("Content-Type", "application/http; msgtype=response")]
@@ -187,9 +192,9 @@ class PackageWriter:
     def add(self, raw: bytes, url: str | None, page_id: int, digest: str, kind: str) -> None:
         body = gzip_member(raw)
         self.warc.write(body)
-        entry = {"url": url or f"urn:page:{page_id}", "mime": "warc/revisit" if kind == "revisit" else "text/html", "status": "200",
+        entry = {"url": target_uri(url, page_id), "mime": "warc/revisit" if kind == "revisit" else "text/html", "status": "200",
                  "digest": f"sha1:{digest}", "offset": self.at, "length": len(body), "filename": "data.warc.gz"}
-        self.lines.append(f"{entry['url'].replace(' ', '%20')} 19700101000000 {json.dumps(entry)}")
+        self.lines.append(f"{entry['url']} 19700101000000 {json.dumps(entry)}")
         self.at += len(body)
 
     def close(self) -> None:
