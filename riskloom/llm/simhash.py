@@ -12,6 +12,8 @@ by blocks of its remaining bits.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -29,6 +31,8 @@ SEED = 42
 FAN = 8
 #: Distinct fingerprints above which a group is dealt again.
 GROUP_ROWS = 50_000
+#: Times that large groups are dealt again.
+DEALS = 2
 #: Member rows that are indexed and searched at once, and searches that go down at once.
 INDEX_ROWS, SEARCH_ROWS = 50_000, 4_096
 ROWS_PER_TASK = 250_000
@@ -167,34 +171,40 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _dealt(members: DataFrame, mask: int, blocks: int) -> DataFrame:
-    """members (key, fp), whose groups share all bits but mask: one row for each block of the mask, with the key of key, block and the block's bits."""
-    own = split_bits(mask, blocks)
-    choice = F.explode(F.array(*[F.struct(F.lit(_signed(mask & ~m)).alias("left"), F.lit(_signed(m)).alias("block")) for m in own]))
-    return members.select("key", "fp", choice.alias("c")) \
+def _dealt(members: DataFrame, masks: list[int], blocks: int) -> DataFrame:
+    """members (key, fp, left), whose groups share all bits but left (one of masks): a row for each block of those bits.
+
+    The new key stands for the old key, the block and the block's bits; left loses the block.
+    """
+    choice = F.when(F.lit(False), F.array(F.struct(F.lit(0).cast("long").alias("left"), F.lit(0).cast("long").alias("block"))))
+    for mask in masks:
+        own = [(_signed(mask & ~m), _signed(m)) for m in split_bits(mask, blocks)]
+        choice = choice.when(F.col("left") == _signed(mask), F.array(*[F.struct(F.lit(left).cast("long").alias("left"), F.lit(m).cast("long").alias("block")) for left, m in own]))
+    return members.select("key", "fp", F.explode(choice).alias("c")) \
         .select(F.xxhash64("key", "c.block", F.col("fp").bitwiseAND(F.col("c.block"))).alias("key"), "fp", F.col("c.left").alias("left"))
 
 
 def near_links(distinct: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """Links (a, b) that connect the same distinct fingerprints (column fp) as all pairs within max_bits bits do."""
+    """Links (a, b) that connect the same distinct fingerprints (column fp) as all pairs within max_bits bits do.
+
+    Groups are dealt again at most DEALS times, which leaves out ever fewer
+    bits; a group that is still large then is searched as it is, in one index.
+    """
     whole = (1 << 64) - 1
-    frontier = [(written(_dealt(distinct.select(F.lit(0).cast("long").alias("key"), "fp"), whole, max_bits + 1), "bit-groups"), 0)]
-    links = None
-    while frontier:
-        members, depth = frontier.pop()
-        sizes = members.groupBy("key").agg(F.count("*").alias("n"))
-        hot = written(sizes.where(F.col("n") > GROUP_ROWS).select("key"), "hot-groups")
-        for left in [r[0] for r in members.join(hot, "key", "left_semi").select("left").distinct().collect()]:  # at most (max_bits + 1) ** depth masks
-            mask = left & whole
-            if bin(mask).count("1") > max_bits + 1:
-                again = members.where(F.col("left") == left).join(hot, "key", "left_semi")
-                frontier.append((written(_dealt(again, mask, max_bits + 1), "bit-groups"), depth + 1))
-        own = members.join(hot, "key", "left_anti")
-        own = own.join(sizes.where("n > 1").select("key"), "key", "left_semi").select("key", "fp")
-        rows = members.count()
-        found = own.repartition(max(1, -(-rows // ROWS_PER_TASK)), "key").sortWithinPartitions("key").mapInArrow(_link_groups(max_bits), "a long, b long")
-        links = found if links is None else links.union(found)
-    return links
+    start = distinct.select(F.lit(0).cast("long").alias("key"), "fp", F.lit(_signed(whole)).cast("long").alias("left"))
+    members, parts = written(_dealt(start, [whole], max_bits + 1), "bit-groups"), []
+    for deal in range(DEALS + 1):
+        sizes = written(members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "bit-group-sizes")
+        hot = sizes.where(F.col("n") > GROUP_ROWS).select("key") if deal < DEALS else sizes.limit(0).select("key")
+        own = members.join(sizes.join(hot, "key", "left_anti").select("key"), "key", "left_semi").select("key", "fp")
+        tasks = max(1, -(-members.count() // ROWS_PER_TASK))
+        parts.append(own.repartition(tasks, "key").sortWithinPartitions("key").mapInArrow(_link_groups(max_bits), "a long, b long"))
+        again = members.join(hot, "key", "left_semi")
+        masks = [r[0] & whole for r in again.select("left").distinct().collect()]  # at most (max_bits + 1) ** (deal + 1)
+        if not masks:
+            break
+        members = written(_dealt(again, masks, max_bits + 1), "bit-groups")
+    return reduce(DataFrame.union, parts)
 
 
 def near_duplicates(docs: DataFrame, k: int = SHINGLE_WORDS, max_bits: int = MAX_BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
