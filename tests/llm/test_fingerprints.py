@@ -1,14 +1,15 @@
 import hashlib
+import random
 
 import numpy as np
 import pyarrow as pa
 
 from riskloom.llm import fingerprints
-from riskloom.llm.fingerprints import edit_fingerprints, likeness, signatures
+from riskloom.llm.fingerprints import edit_fingerprints, likeness, near_duplicate_classes, signatures
 from riskloom.llm.queries import Q
 
 from ..conftest import SF_SMALL
-from .data import ASCII_LOWER, odd_docs, order, read, words
+from .data import ASCII_LOWER, odd_docs, order, plain_docs, read, words
 
 
 def jaccard(a, b, k=5):
@@ -58,3 +59,43 @@ def test_signatures():
     s = signatures(pa.array(["a b c d e f", "A B c d e f", "a b", "a b", "b a", "", None, "x"]))
     assert (s[0] == s[1]).all() and (s[2] == s[3]).all() and likeness(s[2:3], s[4:5])[0] < 0.1
     assert (s[5] == 0xFFFF).all() and (s[6] == 0xFFFF).all()
+
+
+def brute_classes(rows):
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if find(i) != find(j) and jaccard(rows[i][1], rows[j][1]) >= 0.8:
+                root[find(i)] = find(j)
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        least[find(i)] = min(least.get(find(i), d), d, key=order) if find(i) in least else d
+    return sorted(((d, least[find(i)]) for i, (d, _) in enumerate(rows)), key=str)
+
+
+def edited_copies(n):
+    """Chains of texts of 60 words, each a few words from the last."""
+    rnd = random.Random(4)
+    out = []
+    for c in range(n):
+        w = [f"w{rnd.randrange(10 ** 6)}" for _ in range(60)]
+        for i in range(rnd.choice([1, 2, 12])):
+            out.append((c * 100 + i, " ".join(w)))
+            w[rnd.randrange(60)] = f"e{rnd.randrange(10 ** 6)}"
+    return out
+
+
+def test_near_duplicate_classes(spark, monkeypatch):
+    rows = edited_copies(14) + [(9000, ""), (9001, None), (9002, "  "), (9003, "two words"), (9004, "Two WORDS"), (9003, "two words"), (None, "two words")]
+    for block in (4_000, 3):
+        monkeypatch.setattr(fingerprints, "BUCKET_BLOCK", block)
+        got = near_duplicate_classes(plain_docs(spark, rows)).collect()
+        null = -(1 << 63)
+        assert sorted(((None if r.id == null else r.id, None if r.class_id == null else r.class_id) for r in got), key=str) == brute_classes(rows)
+    assert near_duplicate_classes(odd_docs(spark, [])).count() == 0
