@@ -48,6 +48,8 @@ def _classes(df: DataFrame, label: str):
     counts = {r[0]: r[1] for r in df.groupBy(label).count().collect()}   # one row per class
     if len(counts) != 2:
         raise ValueError("resampling needs exactly two classes")
+    if min(counts.values()) < 2:
+        raise ValueError("resampling needs two or more minority rows: one row has no neighbour of its class")
     minority = min(counts, key=lambda c: counts[c])
     majority = max(counts, key=lambda c: counts[c])
     return counts, minority, majority

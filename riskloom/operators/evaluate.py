@@ -8,11 +8,11 @@ computed for all models in one job.
 Curves and AUC need, per model, cumulative label counts in score order. A
 window over all distinct scores of a model would run in one task, so the
 cumulative counts are built in two levels: scores are cut into ranges by
-approximate quantiles (about 200,000 distinct scores per range, at most 16,384
-ranges; only the cut points are approximate and they are fixed for the job),
-per-range totals (a table of at most models x 16,385 rows, safe to broadcast)
-give each range's offset, and rows are accumulated inside their (model, range)
-only. The result is exact.
+approximate quantiles (about 200,000 distinct scores per range; only the cut
+points are approximate and they are fixed for the job), per-range totals (one
+row for each model and range) give each range's offset, and rows are
+accumulated inside their (model, range) only. The result is exact. A row
+without a score (null or NaN) takes no part in curves and AUC.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-N_RANGES = 16384                 # upper bound on score ranges per job
+BROADCAST_RANGES = 16_384        # offsets of more ranges go through a shuffle join
 DISTINCT_PER_RANGE = 200_000     # target distinct scores accumulated by one task
 
 LEGIT, FRAUD = "Legitimate", "Fraudulent"
@@ -35,16 +35,17 @@ def score_counts(scores: DataFrame, group_cols=("model",), n_ranges: int | None
     """Per (model, distinct score): pos, neg, counts at or below the score, totals.
 
     The number of score ranges follows the number of distinct scores
-    (about DISTINCT_PER_RANGE per range, at most N_RANGES); the distinct-score
-    table is kept while the range edges and offsets are derived from it.
+    (about DISTINCT_PER_RANGE per range); the distinct-score table is kept
+    while the range edges and offsets are derived from it. Null and NaN scores
+    are left out before anything is counted.
     """
     import math
     g = list(group_cols)
     lab = F.col("label")
-    d = (scores.groupBy(*g, "proba")
+    d = (scores.where(F.col("proba").isNotNull() & ~F.isnan("proba")).groupBy(*g, "proba")
          .agg(F.count_if(lab == 1).alias("pos"), F.count_if(lab == 0).alias("neg"))).persist()
     if n_ranges is None:
-        n_ranges = min(N_RANGES, max(1, math.ceil(d.count() / DISTINCT_PER_RANGE)))
+        n_ranges = max(1, math.ceil(d.count() / DISTINCT_PER_RANGE))
     edges = []
     if n_ranges > 1:
         probs = [i / n_ranges for i in range(1, n_ranges)]
@@ -64,7 +65,8 @@ def score_counts(scores: DataFrame, group_cols=("model",), n_ranges: int | None
         F.coalesce(F.sum("_rn").over(w_r), F.lit(0)).alias("_on"),
         F.sum("_rp").over(w_all).alias("P"), F.sum("_rn").over(w_all).alias("N"))
     w_in = Window.partitionBy(*g, "_r").orderBy("proba").rowsBetween(Window.unboundedPreceding, 0)
-    out = (d.join(F.broadcast(offsets), [*g, "_r"])
+    side = F.broadcast(offsets) if n_ranges <= BROADCAST_RANGES else offsets
+    out = (d.join(side, [*g, "_r"])
            .withColumn("cum_pos", F.col("_op") + F.sum("pos").over(w_in))
            .withColumn("cum_neg", F.col("_on") + F.sum("neg").over(w_in)))
     return out.drop("_r", "_op", "_on")

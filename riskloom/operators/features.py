@@ -56,6 +56,32 @@ class GlobalStats:
         return asdict(self)
 
 
+def _first_means(chunks: DataFrame) -> DataFrame:
+    w = Window.partitionBy(CUST).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return chunks.withColumn("_first_mean", F.first("_c_mean", ignorenulls=True).over(w))
+
+
+def _prior_moments(before):
+    """Number, mean and squared deviations (n, mean, M2) of all earlier chunks, as _p_mean and _p_m2.
+
+    Chunk means enter as differences from the customer's first chunk mean, so
+    large amounts with a small spread keep their digits.
+    """
+    n, first = F.col("_c_n").cast("double"), F.col("_first_mean")
+    gap = F.coalesce(F.col("_c_mean") - first, F.lit(0.0))
+    total, shift = F.sum(n).over(before), F.sum(n * gap).over(before)
+    inside = F.sum(F.coalesce("_c_m2", F.lit(0.0))).over(before)
+    return [(first + F.try_divide(shift, total)).alias("_p_mean"),
+            F.coalesce(inside + F.sum(n * gap * gap).over(before) - F.try_divide(shift * shift, total), F.lit(0.0)).alias("_p_m2")]
+
+
+def _merged_m2():
+    """M2 of the earlier chunks and the running rows together (pairwise merge)."""
+    a, b = F.col("_p_n").cast("double"), F.coalesce(F.col("_r_n"), F.lit(0)).cast("double")
+    gap = F.coalesce(F.col("_p_mean") - F.col("_r_mean"), F.lit(0.0))
+    return F.col("_p_m2") + F.coalesce(F.col("_r_m2"), F.lit(0.0)) + F.coalesce(F.try_divide(a * b, a + b), F.lit(0.0)) * gap * gap
+
+
 def global_stats_frame(df: DataFrame, approx: bool = False, accuracy: int = 100_000,
                        with_count: bool = False) -> DataFrame:
     """A1 as a one-row DataFrame.
@@ -212,23 +238,25 @@ def _past_columns(j: DataFrame, w) -> DataFrame:
          .withColumn("_r_ids", F.sum(F.when(real, F.col("_first_id"))).over(run))
          .withColumn("_r_n", F.count(F.when(real, amt)).over(run))
          .withColumn("_r_s", F.sum(F.when(real, dec)).over(run))
-         .withColumn("_r_q", F.sum(F.when(real, dec * dec)).over(run))
+         .withColumn("_r_m2", F.var_pop(F.when(real, amt)).over(run) * F.col("_r_n"))
+         .withColumn("_r_mean", F.avg(F.when(real, amt)).over(run))
          .withColumn("_r_max", F.max(F.when(real, amt)).over(run))
          .withColumn("_r_cats", F.collect_set(F.when(real, F.col("product_category"))).over(run))
          .withColumn("_r_dated", F.count(F.when(real, F.col(TS))).over(run))
          .withColumn("_r_days", F.sum(F.when(real, F.col("_new_day"))).over(run)))
     chunks = (x.where(real).groupBy(CUST, "_chunk")
               .agg(F.sum("_first_id").alias("_c_ids"), F.count(amt).alias("_c_n"),
-                   F.sum(dec).alias("_c_s"), F.sum(dec * dec).alias("_c_q"),
+                   F.sum(dec).alias("_c_s"), F.avg(amt).alias("_c_mean"),
+                   (F.var_pop(amt) * F.count(amt)).alias("_c_m2"),
                    F.max(amt).alias("_c_max"), F.collect_set("product_category").alias("_c_cats"),
                    F.count(TS).alias("_c_dated"), F.sum("_new_day").alias("_c_days")))
     wc = Window.partitionBy(CUST).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    carry = chunks.select(
+    carry = _first_means(chunks).select(
         CUST, "_chunk",
         F.coalesce(F.sum("_c_ids").over(wc), F.lit(0)).alias("_p_ids"),
         F.coalesce(F.sum("_c_n").over(wc), F.lit(0)).alias("_p_n"),
         F.coalesce(F.sum("_c_s").over(wc), F.lit(0).cast("decimal(38,10)")).alias("_p_s"),
-        F.coalesce(F.sum("_c_q").over(wc), F.lit(0).cast("decimal(38,20)")).alias("_p_q"),
+        *_prior_moments(wc),
         F.max("_c_max").over(wc).alias("_p_max"),
         F.coalesce(F.array_distinct(F.flatten(F.collect_list("_c_cats").over(wc))),
                    F.array().cast("array<string>")).alias("_p_cats"),
@@ -237,9 +265,7 @@ def _past_columns(j: DataFrame, w) -> DataFrame:
     y = x.join(carry, [CUST, "_chunk"], "left")
     n = F.col("_p_n") + F.coalesce(F.col("_r_n"), F.lit(0))
     ssum = F.col("_p_s") + F.coalesce(F.col("_r_s"), F.lit(0).cast("decimal(38,10)"))
-    s = ssum.cast("double")
-    q = (F.col("_p_q") + F.coalesce(F.col("_r_q"), F.lit(0).cast("decimal(38,20)"))).cast("double")
-    var = F.try_divide(q - F.try_divide(s * s, n.cast("double")), (n - 1).cast("double"))
+    var = F.try_divide(_merged_m2(), (n - 1).cast("double"))
     days = F.col("_p_days") + F.coalesce(F.col("_r_days"), F.lit(0))
     has = F.col(CUST).isNotNull()
     y = y.withColumns({
@@ -427,7 +453,8 @@ def past_customer_features(df: DataFrame, chunk_rows: int = DEFAULT_CHUNK_ROWS,
             .withColumn("_r_ids", F.sum("_first_id").over(run))
             .withColumn("_r_n", F.count(amt).over(run))
             .withColumn("_r_s", F.sum(dec).over(run))
-            .withColumn("_r_q", F.sum(dec * dec).over(run))
+            .withColumn("_r_m2", F.var_pop(amt).over(run) * F.col("_r_n"))
+            .withColumn("_r_mean", F.avg(amt).over(run))
             .withColumn("_r_max", F.max(amt).over(run))
             .withColumn("_r_cats", F.collect_set("product_category").over(run))
             .withColumn("_r_dated", F.count(TS).over(run))
@@ -435,7 +462,8 @@ def past_customer_features(df: DataFrame, chunk_rows: int = DEFAULT_CHUNK_ROWS,
     # per-chunk totals and the carry of all earlier chunks (one row per chunk)
     chunks = (rows.groupBy(CUST, "_chunk")
               .agg(F.sum("_first_id").alias("_c_ids"), F.count(amt).alias("_c_n"),
-                   F.sum(dec).alias("_c_s"), F.sum(dec * dec).alias("_c_q"),
+                   F.sum(dec).alias("_c_s"), F.avg(amt).alias("_c_mean"),
+                   (F.var_pop(amt) * F.count(amt)).alias("_c_m2"),
                    F.max(amt).alias("_c_max"), F.collect_set("product_category").alias("_c_cats"),
                    F.count(TS).alias("_c_dated"), F.sum("_new_day").alias("_c_days"),
                    F.min("_day").alias("_c_first_day"), F.max("_day").alias("_c_last_day")))
@@ -445,12 +473,12 @@ def past_customer_features(df: DataFrame, chunk_rows: int = DEFAULT_CHUNK_ROWS,
     chunks = (chunks.withColumn("_prev_last", F.max("_c_last_day").over(wc))
               .withColumn("_c_days", F.col("_c_days") - F.when(
                   F.col("_c_first_day") == F.col("_prev_last"), 1).otherwise(0)))
-    carry = chunks.select(
+    carry = _first_means(chunks).select(
         CUST, "_chunk",
         F.coalesce(F.sum("_c_ids").over(wc), F.lit(0)).alias("_p_ids"),
         F.coalesce(F.sum("_c_n").over(wc), F.lit(0)).alias("_p_n"),
         F.coalesce(F.sum("_c_s").over(wc), F.lit(0).cast("decimal(38,10)")).alias("_p_s"),
-        F.coalesce(F.sum("_c_q").over(wc), F.lit(0).cast("decimal(38,20)")).alias("_p_q"),
+        *_prior_moments(wc),
         F.max("_c_max").over(wc).alias("_p_max"),
         F.coalesce(F.array_distinct(F.flatten(F.collect_list("_c_cats").over(wc))),
                    F.array().cast("array<string>")).alias("_p_cats"),
@@ -460,12 +488,10 @@ def past_customer_features(df: DataFrame, chunk_rows: int = DEFAULT_CHUNK_ROWS,
         "_c_first_day")
     j = rows.join(carry, [CUST, "_chunk"], "left")
     n = F.col("_p_n") + F.col("_r_n")
-    s = (F.col("_p_s") + F.col("_r_s")).cast("double")
-    q = (F.col("_p_q") + F.col("_r_q")).cast("double")
     # a day split across two chunks is counted once
     dup_day = F.when(F.col("_c_first_day") == F.col("_p_last_day"), 1).otherwise(0)
     days = F.col("_p_days") + F.col("_r_days") - F.when(F.col("_r_days") > 0, dup_day).otherwise(0)
-    var = F.try_divide(q - F.try_divide(s * s, n.cast("double")), (n - 1).cast("double"))
+    var = F.try_divide(_merged_m2(), (n - 1).cast("double"))
     return j.select(
         TID,
         (F.col("_p_ids") + F.col("_r_ids")).alias("past_total_customer_transactions"),

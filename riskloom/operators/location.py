@@ -19,8 +19,10 @@ LABEL = "is_fraudulent"
 EXTREME_HIGH = 0.9
 EXTREME_LOW = 0.1
 LEAK_CORRELATION = 0.5
-# Rate tables at most this long are broadcast for the lookup join (checked).
-BROADCAST_MAX_ROWS = 2_000_000
+# Lookup tables of at most this many bytes (measured) are broadcast.
+BROADCAST_MAX_BYTES = 64 << 20
+# Beyond that, a key with more than 1 / HOT_KEYS of the rows is hot.
+HOT_KEYS = 1000
 
 
 def location_rates(df: DataFrame, loc: str = LOC, label: str = LABEL) -> DataFrame:
@@ -85,10 +87,26 @@ def location_report(df: DataFrame, n: int = 10) -> DataFrame:
 
 
 def lookup_join(df: DataFrame, table: DataFrame, key: str,
-                max_broadcast_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Left lookup join; the lookup side is broadcast only if its row count
-    is checked to be within ``max_broadcast_rows``, otherwise a shuffle join."""
-    table = table.persist()            # counted once, joined from the cache
-    n = table.count()
-    side = F.broadcast(table) if n <= max_broadcast_rows else table
-    return df.join(side, key, "left")
+                max_broadcast_bytes: int = BROADCAST_MAX_BYTES) -> DataFrame:
+    """Left lookup join with a table of one row per key.
+
+    The table is broadcast only if its measured size is within
+    ``max_broadcast_bytes``. Otherwise the rows of hot keys (fewer than
+    HOT_KEYS) take their values from a broadcast of those keys alone and are
+    spread over the shuffle join, in which they match nothing.
+    """
+    rest = [c for c in table.columns if c != key]
+    size = table.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()[0] or 0
+    if size <= max_broadcast_bytes:
+        return df.join(F.broadcast(table), key, "left")
+    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    total = counts.agg(F.sum("_n")).first()[0] or 0
+    hot = counts.where(F.col("_n") > total // HOT_KEYS).select(key)
+    near = F.broadcast(table.join(F.broadcast(hot), key, "left_semi").select(key, F.struct(*rest).alias("_hot")))
+    far = table.select(key, F.struct(*rest).alias("_cold"), F.lit(0).cast("bigint").alias("_route"))
+    # hot keys and the null key are spread by a hash of the whole row
+    away = F.col("_hot").isNotNull() | F.col(key).isNull()
+    route = F.when(away, F.pmod(F.xxhash64(*df.columns), F.lit(1 << 40)) + 1).otherwise(F.lit(0).cast("bigint"))
+    out = df.join(near, key, "left").withColumn("_route", route).join(far, [key, "_route"], "left")
+    value = F.coalesce("_hot", "_cold")
+    return out.select(*df.columns, *[value[c].alias(c) for c in rest])

@@ -4,7 +4,7 @@ and batch scoring into the long score table (row_id, label, model, proba).
 Parameter mapping from the reference's estimators:
 * logistic regression: C -> regParam = 1 / (C * sum of weights); l1/l2 ->
   elasticNetParam 1/0; inputs are already standardised (standardization=False).
-* random forest: Spark caps maxDepth at 30; "min samples split" has no Spark
+* random forest: a maxDepth above Spark's limit of 30 is refused; "min samples split" has no Spark
   twin and becomes minInstancesPerNode.
 * boosted trees: scale_pos_weight becomes the positive-class row weight.
 * feed-forward network: Spark's MLP has sigmoid hidden layers and no row
@@ -28,18 +28,18 @@ LABEL = "label"
 FEATURES = "features"
 WEIGHT = "weight"
 MAX_TREE_DEPTH = 30
-# Iterative trainers pass over their input many times; partitions are sized to
-# the data (at most this many rows each) so small inputs do not pay per-task
-# overhead on every iteration while large inputs keep their parallelism.
-ROWS_PER_PARTITION = 500_000
+# Hidden layers of the network, and the tuning grids.
+HIDDEN_LAYERS = (1024, 512, 256, 128, 64)
+LR_CS, LR_PENALTIES = (0.001, 0.01, 0.1, 1.0, 10.0, 100.0), ("l1", "l2")
+RF_TREES, RF_DEPTHS, RF_MIN_INSTANCES = (300, 500, 800, 1000), (20, 30), (1, 2)
+GBT_DEPTHS, GBT_STEPS, GBT_ROUNDS = (5, 7, 10), (0.01, 0.1, 0.3), (100, 200, 300)
+GBT_SUBSAMPLES, GBT_COLUMNS = (0.8, 1.0), ("0.8", "all")
 
 
-def sized_for_training(df: DataFrame, n_rows: int | None = None) -> DataFrame:
-    """Coalesce (never shuffle) to ceil(rows / ROWS_PER_PARTITION) partitions."""
-    import math
-    n = df.count() if n_rows is None else n_rows
-    target = max(1, math.ceil(n / ROWS_PER_PARTITION))
-    return df.coalesce(target) if target < df.rdd.getNumPartitions() else df
+def _check_depth(depth: int) -> int:
+    if not 0 <= depth <= MAX_TREE_DEPTH:
+        raise ValueError(f"maxDepth {depth}: Spark ML trees are at most {MAX_TREE_DEPTH} deep")
+    return depth
 
 
 def assemble(df: DataFrame, columns, out: str = FEATURES) -> DataFrame:
@@ -51,7 +51,7 @@ def from_array(df: DataFrame, arr: str, out: str = FEATURES) -> DataFrame:
 
 
 def logistic_regression(train: DataFrame, C: float = 1.0, penalty: str = "l2",
-                        weight_col: str | None = WEIGHT, max_iter: int = 100,
+                        weight_col: str | None = WEIGHT, max_iter: int = 1000,
                         tol: float = 1e-4):
     """L1: weighted logistic regression with the reference's C scale."""
     if weight_col and weight_col in train.columns:
@@ -60,7 +60,6 @@ def logistic_regression(train: DataFrame, C: float = 1.0, penalty: str = "l2",
     else:
         n = train.count()
         sw, weight_col = float(n), None
-    train = sized_for_training(train, n)
     lr = LogisticRegression(featuresCol=FEATURES, labelCol=LABEL, regParam=1.0 / (C * sw),
                             elasticNetParam=1.0 if penalty == "l1" else 0.0,
                             standardization=False, maxIter=max_iter, tol=tol)
@@ -69,35 +68,32 @@ def logistic_regression(train: DataFrame, C: float = 1.0, penalty: str = "l2",
     return lr.fit(train)
 
 
-def random_forest(train: DataFrame, n_trees: int = 50, max_depth: int = 10,
+def random_forest(train: DataFrame, n_trees: int = 800, max_depth: int = MAX_TREE_DEPTH,
                   min_instances: int = 1, weight_col: str | None = WEIGHT, seed: int = 123):
-    """L2: weighted random forest (depth capped at Spark's 30)."""
-    train = sized_for_training(train)
+    """L2: weighted random forest; a depth above Spark's 30 is an error."""
     rf = RandomForestClassifier(featuresCol=FEATURES, labelCol=LABEL, numTrees=n_trees,
-                                maxDepth=min(max_depth, MAX_TREE_DEPTH),
+                                maxDepth=_check_depth(max_depth),
                                 minInstancesPerNode=min_instances, seed=seed)
     if weight_col and weight_col in train.columns:
         rf.setWeightCol(weight_col)
     return rf.fit(train)
 
 
-def boosted_trees(train: DataFrame, n_iter: int = 20, max_depth: int = 5, step: float = 0.1,
+def boosted_trees(train: DataFrame, n_iter: int = 300, max_depth: int = 10, step: float = 0.1,
                   subsample: float = 0.8, feature_subset: str = "all",
                   weight_col: str | None = WEIGHT, seed: int = 123):
     """L3: gradient-boosted trees with positive-class row weights."""
-    train = sized_for_training(train)
     gbt = GBTClassifier(featuresCol=FEATURES, labelCol=LABEL, maxIter=n_iter,
-                        maxDepth=min(max_depth, MAX_TREE_DEPTH), stepSize=step,
+                        maxDepth=_check_depth(max_depth), stepSize=step,
                         subsamplingRate=subsample, featureSubsetStrategy=feature_subset, seed=seed)
     if weight_col and weight_col in train.columns:
         gbt.setWeightCol(weight_col)
     return gbt.fit(train)
 
 
-def neural_network(train: DataFrame, n_features: int, hidden=(128, 64), max_iter: int = 100,
+def neural_network(train: DataFrame, n_features: int, hidden=HIDDEN_LAYERS, max_iter: int = 100,
                    block_size: int = 256, seed: int = 123):
     """L4: feed-forward network (no row weights in Spark: use rebalanced rows)."""
-    train = sized_for_training(train)
     mlp = MultilayerPerceptronClassifier(featuresCol=FEATURES, labelCol=LABEL,
                                          layers=[n_features, *hidden, 2], maxIter=max_iter,
                                          blockSize=block_size, seed=seed)
@@ -115,16 +111,44 @@ def grid_search(train: DataFrame, estimator, grid, k: int = 5, parallelism: int
                 key: str = "row_id", seed: int = 123):
     """Stratified k-fold grid search scored by F1 of the positive class."""
     # every fold filters this table: keep it rather than re-ranking per fold
-    folded = sized_for_training(fold_column(train, k, key=key, seed=seed)).persist()
+    folded = fold_column(train, k, key=key, seed=seed).persist()
     ev = MulticlassClassificationEvaluator(labelCol=LABEL, predictionCol="prediction",
                                            metricName="fMeasureByLabel", metricLabel=1.0)
     cv = CrossValidator(estimator=estimator, estimatorParamMaps=grid, evaluator=ev,
                         foldCol="fold", parallelism=parallelism, seed=seed)
-    return cv.fit(folded)
+    try:
+        return cv.fit(folded)
+    finally:
+        folded.unpersist()
 
 
-def lr_grid(lr: LogisticRegression, sum_w: float, Cs=(0.001, 0.01, 0.1, 1.0, 10.0, 100.0),
-            penalties=("l1", "l2")):
+def best_parameters(grid, cv) -> dict:
+    """Name -> value of the grid point with the best mean score (the first of equals)."""
+    best = max(range(len(grid)), key=lambda i: cv.avgMetrics[i])
+    return {p.name: v for p, v in grid[best].items()}
+
+
+def rf_grid(rf: RandomForestClassifier, trees=RF_TREES, depths=RF_DEPTHS, min_instances=RF_MIN_INSTANCES):
+    """Depths 40 and unlimited have no Spark twin (30 is its limit), nor has a least split size."""
+    b = ParamGridBuilder()
+    b.addGrid(rf.numTrees, list(trees))
+    b.addGrid(rf.maxDepth, [_check_depth(d) for d in depths])
+    b.addGrid(rf.minInstancesPerNode, list(min_instances))
+    return b.build()
+
+
+def gbt_grid(gbt: GBTClassifier, depths=GBT_DEPTHS, steps=GBT_STEPS, rounds=GBT_ROUNDS,
+             subsamples=GBT_SUBSAMPLES, columns=GBT_COLUMNS):
+    b = ParamGridBuilder()
+    b.addGrid(gbt.maxDepth, [_check_depth(d) for d in depths])
+    b.addGrid(gbt.stepSize, list(steps))
+    b.addGrid(gbt.maxIter, list(rounds))
+    b.addGrid(gbt.subsamplingRate, list(subsamples))
+    b.addGrid(gbt.featureSubsetStrategy, list(columns))
+    return b.build()
+
+
+def lr_grid(lr: LogisticRegression, sum_w: float, Cs=LR_CS, penalties=LR_PENALTIES):
     b = ParamGridBuilder()
     b.addGrid(lr.regParam, [1.0 / (c * sum_w) for c in Cs])
     b.addGrid(lr.elasticNetParam, [1.0 if p == "l1" else 0.0 for p in penalties])

@@ -43,7 +43,7 @@ STRING_COLUMNS = ["payment_method", "product_category", "device_used", "customer
 # Ordered bins keep their bin order (their first bin is dropped).
 ORDERED_LEVELS = {"hour_bin": HOUR_BINS, "age_category": AGE_BINS, "transaction_size": SIZE_BINS}
 TARGET_ENCODED = "customer_location"
-# String columns with more levels than this are refused by the one-hot encoder.
+# Default of the one-hot encoder's max_levels (exact level counts are compared with it).
 MAX_ONE_HOT_LEVELS = 1000
 
 
@@ -62,17 +62,21 @@ def imputable_strings(df: DataFrame):
     return [c for c in STRING_COLUMNS if c in df.columns]
 
 
-def fit_imputer(df: DataFrame, approx: bool = False) -> dict:
+def fit_imputer(df: DataFrame, approx: bool = False, every_column: bool = False) -> dict:
     """A10 -> fill values: median per numeric column, mode per string column.
 
-    As in the reference, only columns that contain nulls are filled, so a
-    cheap null-count pass runs first and the exact medians/modes (the costly
-    part) are computed for those columns only. Each result is one scalar.
+    Where the rows to fill are the fitting rows, only columns that contain
+    nulls need a value, so a cheap null-count pass runs first and the exact
+    medians/modes (the costly part) are computed for those columns only.
+    ``every_column`` fits all of them: other rows may have nulls anywhere.
     """
     num, cat = numeric_columns(df), imputable_strings(df)
     if not num and not cat:
         return {}
-    nulls = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in num + cat]).first()
+    if every_column:
+        nulls = dict.fromkeys(num + cat, 1)
+    else:
+        nulls = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in num + cat]).first()
     num = [c for c in num if nulls[c] > 0]
     cat = [c for c in cat if nulls[c] > 0]
     if not num and not cat:
@@ -97,27 +101,29 @@ def impute(df: DataFrame, fill: dict) -> DataFrame:
     return out.na.fill({k: v for k, v in fill.items() if k in out.columns})
 
 
-def fit_one_hot(df: DataFrame, columns=None) -> dict:
+def fit_one_hot(df: DataFrame, columns=None, max_levels: int = MAX_ONE_HOT_LEVELS) -> dict:
     """E3 fit: kept levels per column (first level dropped).
 
-    Strings: sorted distinct levels (one small aggregate, level count checked).
-    Ordered bins: their fixed bin order.
+    Strings: sorted distinct levels. A column with more than ``max_levels``
+    levels (counted exactly) is refused. Ordered bins: their fixed bin order.
     """
     columns = [c for c in (columns or ONE_HOT_COLUMNS) if c in df.columns]
     strings = [c for c in columns if c not in ORDERED_LEVELS]
     levels = {}
     if strings:
-        # cardinality is checked (sketch, constant memory) before any level set is built
-        card = df.agg(*[F.approx_count_distinct(c).alias(c) for c in strings]).first()
-        for c in strings:
-            if card[c] > MAX_ONE_HOT_LEVELS:
-                raise ValueError(f"{c} has about {card[c]} levels; use target encoding instead")
         pairs = F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v"))
                           for c in strings])
-        distinct = (df.select(F.inline(pairs)).where(F.col("v").isNotNull())
-                    .groupBy("c").agg(F.array_sort(F.collect_set("v")).alias("levels")))
+        # one row for each column and level; the counts are read before any level list
+        distinct = df.select(F.inline(pairs)).where(F.col("v").isNotNull()).distinct().persist()
+        for r in distinct.groupBy("c").count().collect():
+            if r["count"] > max_levels:
+                distinct.unpersist()
+                raise ValueError(f"{r['c']} has {r['count']} levels, more than max_levels = {max_levels}; "
+                                 "use target encoding instead")
         for r in distinct.collect():
-            levels[r["c"]] = list(r["levels"])
+            levels.setdefault(r["c"], []).append(r["v"])
+        distinct.unpersist()
+        levels = {c: sorted(v) for c, v in levels.items()}
     for c in columns:
         if c in ORDERED_LEVELS:
             levels[c] = list(ORDERED_LEVELS[c])
@@ -129,12 +135,25 @@ def dummy_name(column: str, level: str) -> str:
     return f"{column}_{re.sub(r'[^0-9a-zA-Z]+', '_', level).strip('_').lower()}"
 
 
-def one_hot(df: DataFrame, kept: dict) -> DataFrame:
-    """E3 apply: one 0/1 int column per kept level; null -> all zeros."""
-    new = {}
+def dummy_names(kept: dict, taken=()) -> dict:
+    """(column, level) -> output name; names that would collide get _2, _3, ... in level order."""
+    used, names = {t.lower() for t in taken}, {}
     for c, lv in kept.items():
         for level in lv:
-            new[dummy_name(c, level)] = F.coalesce((F.col(c) == level).cast("int"), F.lit(0))
+            name = base = dummy_name(c, level)
+            n = 1
+            while name.lower() in used:
+                n += 1
+                name = f"{base}_{n}"
+            used.add(name.lower())
+            names[c, level] = name
+    return names
+
+
+def one_hot(df: DataFrame, kept: dict) -> DataFrame:
+    """E3 apply: one 0/1 int column per kept level; null -> all zeros."""
+    names = dummy_names(kept, [c for c in df.columns if c not in kept])
+    new = {name: F.coalesce((F.col(c) == level).cast("int"), F.lit(0)) for (c, level), name in names.items()}
     return df.withColumns(new).drop(*kept.keys())
 
 
@@ -170,7 +189,7 @@ def prepare(features: DataFrame, fit_rows: DataFrame | None = None,
     """
     x = select_features(features)
     fit_x = x if fit_rows is None else select_features(fit_rows)
-    fill = fit_imputer(fit_x, approx=approx_median)
+    fill = fit_imputer(fit_x, approx=approx_median, every_column=fit_rows is not None)
     x = impute(x, fill)
     fit_imp = impute(fit_x, fill)
     kept = fit_one_hot(fit_imp)

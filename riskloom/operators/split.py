@@ -40,8 +40,14 @@ def hash_rank(df: DataFrame, part_cols, key: str, seed: int, rank_col: str = "_r
                             F.coalesce(F.sum("_cnt").over(w_off), F.lit(0)).alias("_off"))
     w_in = Window.partitionBy(*part_cols, "_b").orderBy("_h", key)
     ranked = x.withColumn("_rn", F.row_number().over(w_in))
-    # offsets: at most (#partitions of part_cols) x 65,536 rows -> bounded broadcast
-    out = ranked.join(F.broadcast(offsets), [*part_cols, "_b"], "inner")
+    # offsets: at most (#partitions of part_cols) x 65,536 rows -> bounded broadcast;
+    # null-safe, so a null group is ranked like any other
+    side = offsets.select(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(part_cols)],
+                          F.col("_b").alias("_ob"), "_off")
+    cond = F.col("_b") == F.col("_ob")
+    for i, c in enumerate(part_cols):
+        cond = cond & ranked[c].eqNullSafe(F.col(f"_g{i}"))
+    out = ranked.join(F.broadcast(side), cond, "inner").drop("_ob", *[f"_g{i}" for i in range(len(part_cols))])
     return out.withColumn(rank_col, F.col("_off") + F.col("_rn")).drop("_h", "_b", "_rn", "_off")
 
 

@@ -107,26 +107,30 @@ def rebalance(train: DataFrame, strategy: str = "adasyn", seed: int = splt.SEED)
     return mdl.from_array(out, "features_arr")
 
 
-def train_model(name: str, balanced: DataFrame, n_features: int, quick: bool = True):
-    """One of L1-L4 with the reference's roles: lr/rf recall weights (1:50),
-    gbt precision weights (1:10), nn unweighted on rebalanced rows."""
-    if name == "lr":
-        return mdl.logistic_regression(wts.class_weights(balanced, "recall", label="label"),
-                                       C=0.01, penalty="l1")
-    if name == "rf":
-        return mdl.random_forest(wts.class_weights(balanced, "recall", label="label"),
-                                 n_trees=20 if quick else 200, max_depth=8 if quick else 20)
+# The mode (class weights) each model has by default: recall 1:50, precision 1:10.
+MODES = {"lr": "recall", "rf": "recall", "gbt": "precision"}
+
+
+def train_model(name: str, balanced: DataFrame, n_features: int, mode: str | None = None, **params):
+    """One of L1-L4. ``mode`` ('recall' or 'precision') sets the class weights
+    of lr, rf and gbt; nn has no row weights and takes the rebalanced rows.
+    ``params`` go to the trainer, whose defaults are the full-size model."""
     if name == "nn":
-        return mdl.neural_network(balanced, n_features, max_iter=50 if quick else 200)
-    if name == "gbt":
-        return mdl.boosted_trees(wts.class_weights(balanced, "precision", label="label"),
-                                 n_iter=10 if quick else 100, max_depth=4 if quick else 10)
-    raise ValueError(name)
+        if mode is not None:
+            raise ValueError("the network has no class weights, so no mode")
+        return mdl.neural_network(balanced, n_features, **params)
+    trainers = {"lr": mdl.logistic_regression, "rf": mdl.random_forest, "gbt": mdl.boosted_trees}
+    if name not in trainers:
+        raise ValueError(name)
+    if name == "lr":
+        params = {"C": 0.01, "penalty": "l1", **params}
+    return trainers[name](wts.class_weights(balanced, mode or MODES[name], label="label"), **params)
 
 
-def train_models(balanced: DataFrame, n_features: int, quick: bool = True) -> dict:
-    """L1-L4."""
-    return {n: train_model(n, balanced, n_features, quick) for n in ("lr", "rf", "nn", "gbt")}
+def train_models(balanced: DataFrame, n_features: int, params: dict | None = None, modes: dict | None = None) -> dict:
+    """L1-L4; ``params`` and ``modes`` by model name."""
+    return {n: train_model(n, balanced, n_features, (modes or {}).get(n), **(params or {}).get(n, {}))
+            for n in ("lr", "rf", "nn", "gbt")}
 
 
 def score_all(models: dict, df: DataFrame) -> DataFrame:
@@ -137,14 +141,19 @@ def score_all(models: dict, df: DataFrame) -> DataFrame:
     return out
 
 
-def run(txn: DataFrame, fit: str = "train", strategy: str = "adasyn", quick: bool = True) -> dict:
-    """Entry 1: the whole flow; returns the result tables."""
+def run(txn: DataFrame, fit: str = "train", strategy: str = "adasyn", params: dict | None = None,
+        modes: dict | None = None) -> dict:
+    """Entry 1: the whole flow; returns the result tables.
+
+    The rebalanced rows and the base scores are checkpointed: every trainer and
+    every evaluation table reads them again.
+    """
     dm = build_design(txn, fit=fit)
     d = dm.df
     train, val, test = (d.where(F.col("split") == s) for s in ("train", "val", "test"))
-    balanced = rebalance(train, strategy)
-    models = train_models(balanced, len(dm.names), quick=quick)
-    base_val, base_test = score_all(models, val), score_all(models, test)
+    balanced = rebalance(train, strategy).checkpoint(eager=True)
+    models = train_models(balanced, len(dm.names), params, modes)
+    base_val, base_test = (score_all(models, rows).checkpoint(eager=True) for rows in (val, test))
     names = list(models)
     val_s = base_val.unionByName(ens.blend_long(base_val, models=names))
     test_s = base_test.unionByName(ens.blend_long(base_test, models=names))

@@ -60,11 +60,46 @@ VERSION_FILES = {
 }
 
 
+def _tolerant(name: str, kind: T.DataType, source: T.DataType):
+    """One rule for text fields: what is no value of the field's type is null.
+
+    An integer field takes any spelling of a whole number ("1", "1.0", "1e0").
+    """
+    c = F.col(name)
+    if isinstance(source, T.StringType) and isinstance(kind, T.NumericType):
+        number = F.trim(c).try_cast("double")
+        if isinstance(kind, T.IntegralType):
+            number = F.when(number == F.floor(number), number)
+        return number.try_cast(kind)
+    return c.cast(kind)
+
+
+def rejected_fields(raw: DataFrame) -> DataFrame:
+    """Per numeric or date field of a text scan, how many values are given but unusable (column_name, n_rejected)."""
+    aggs = {}
+    for field in TXN_SCHEMA.fields:
+        if field.name in raw.columns and isinstance(raw.schema[field.name].dataType, T.StringType) \
+                and not isinstance(field.dataType, T.StringType):
+            used = (F.try_to_timestamp(F.col(field.name)) if isinstance(field.dataType, T.TimestampNTZType)
+                    else _tolerant(field.name, field.dataType, T.StringType()))
+            given = F.trim(F.col(field.name)) != ""
+            aggs[field.name] = F.count_if(given & used.isNull())
+    row = raw.agg(*[a.alias(c) for c, a in aggs.items()])
+    return row.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).alias("n_rejected")) for c in aggs])))
+
+
+def scan_text(spark: SparkSession, path: str) -> DataFrame:
+    """The CSV files' fields as text, under the snake_case names."""
+    raw_schema = T.StructType([T.StructField(h, T.StringType(), True) for h, _ in SOURCE_HEADERS])
+    raw = spark.read.schema(raw_schema).option("header", True).option("mode", "PERMISSIVE").csv(path)
+    return raw.select(*[F.col(f"`{h}`").alias(n) for h, n in SOURCE_HEADERS])
+
+
 def _normalise(df: DataFrame) -> DataFrame:
     """Cast to TXN_SCHEMA and map NaN amounts to null."""
     cols = []
     for field in TXN_SCHEMA.fields:
-        c = F.col(field.name).cast(field.dataType)
+        c = _tolerant(field.name, field.dataType, df.schema[field.name].dataType)
         if isinstance(field.dataType, T.DoubleType):
             c = F.when(F.isnan(c), F.lit(None).cast("double")).otherwise(c)
         cols.append(c.alias(field.name))
@@ -76,16 +111,12 @@ def read_transactions(spark: SparkSession, path: str,
     """Scan a transaction file set with the explicit 16-column schema.
 
     CSV files carry the source headers; they are read as strings with a fixed
-    schema (no inference pass) and cast. Parquet files may use either the
+    schema (no inference pass) and cast; an unusable value is null and counted by
+    ``rejected_fields(scan_text(...))``. Parquet files may use either the
     source headers or the snake_case names.
     """
     if fmt == "csv":
-        raw_schema = T.StructType([T.StructField(h, T.StringType(), True)
-                                   for h, _ in SOURCE_HEADERS])
-        raw = (spark.read.schema(raw_schema).option("header", True)
-               .option("mode", "PERMISSIVE").csv(path))
-        renamed = raw.select(*[F.col(f"`{h}`").alias(n) for h, n in SOURCE_HEADERS])
-        renamed = renamed.withColumn(
+        renamed = scan_text(spark, path).withColumn(
             "transaction_date", F.try_to_timestamp("transaction_date").cast("timestamp_ntz"))
         return _normalise(renamed)
     if fmt == "parquet":

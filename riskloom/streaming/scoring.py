@@ -4,9 +4,10 @@ The reference is batch-only; nothing here adds operators. A stream of
 transaction files is read with the same fixed schema as the batch scan (S1),
 and each micro-batch -- a static DataFrame -- goes through an existing batch
 function (e.g. ``row_features`` + ``stat_features`` with fitted statistics, or
-L11 scoring with stored thresholds), then is appended to parquet. Progress and
-exactly-once file output are tracked in the checkpoint folder, which must be a
-shared location on a cluster.
+L11 scoring with stored thresholds), then is written to a folder of its own,
+``batch_id=N``. Progress is tracked in the checkpoint folder, which must be a
+shared location on a cluster; a batch that runs again after a failure overwrites
+its own folder, so each row is written once.
 """
 
 from __future__ import annotations
@@ -30,9 +31,9 @@ def transaction_stream(spark: SparkSession, path: str, fmt: str = "parquet",
 
 def apply_per_batch(stream: DataFrame, fn: Callable[[DataFrame], DataFrame], sink_path: str,
                     checkpoint: str, once: bool = False):
-    """Run ``fn`` on every micro-batch and append the result to ``sink_path``."""
+    """Run ``fn`` on every micro-batch; its result replaces ``sink_path/batch_id=N``."""
     def write(batch: DataFrame, batch_id: int):
-        fn(batch).write.mode("append").parquet(sink_path)
+        fn(batch).write.mode("overwrite").parquet(f"{sink_path}/batch_id={batch_id}")
     w = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     if once:
         w = w.trigger(availableNow=True)

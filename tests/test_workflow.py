@@ -12,7 +12,8 @@ from .conftest import SF_SMALL
 @pytest.mark.parametrize("fit", ["all", "train"])
 def test_end_to_end(spark, fit):
     txn = fixture_transactions(spark, SF_SMALL)
-    out = wf.run(txn, fit=fit, strategy="adasyn", quick=True)
+    out = wf.run(txn, fit=fit, strategy="adasyn", params={
+        "rf": {"n_trees": 5, "max_depth": 5}, "gbt": {"n_iter": 4, "max_depth": 3}, "nn": {"hidden": (16, 8), "max_iter": 20}})
     dm = out["design"]
     n = txn.count()
     assert dm.df.count() == n                                  # every row kept
