@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._tables import fresh_path, packed, unpacked
+from ._tables import fresh_path, lookup, packed, unpacked, written
 from ._text import SPACE, mix, slices
 
 #: A shorter key (in code points) is never removed.
@@ -194,10 +194,10 @@ class LineIndex:
         return rows.groupBy("key").agg(F.count("*").alias("n_docs"), F.min("doc").alias("keeper"))
 
     def repeated(self) -> DataFrame:
-        """key, keeper of the keys that two or more documents hold."""
+        """key, keeper, n (rows that refer to it) of the keys that two or more documents hold."""
         if self.deletes:
-            return self.references().where("n_docs > 1").select("key", "keeper")
-        return self._log().groupBy("key").agg(F.min("doc").alias("keeper"), F.max("doc").alias("last")).where("keeper < last").select("key", "keeper")
+            return self.references().where("n_docs > 1").select("key", "keeper", F.col("n_docs").alias("n"))
+        return self._log().groupBy("key").agg(F.min("doc").alias("keeper"), F.max("doc").alias("last"), F.count("*").alias("n")).where("keeper < last").select("key", "keeper", "n")
 
     def _update(self, keys: DataFrame, add: bool) -> None:
         """A new version of the filters of the shards that own these keys (distinct, one row each)."""
@@ -266,7 +266,8 @@ class LineIndex:
         and counts as one empty line.
         """
         entries = line_entries(docs, id_col, text_col)
-        drops = entries.join(self.repeated(), "key").where("doc > keeper").groupBy("doc").agg(F.collect_set("key").alias("drops"))
+        repeated = written(self.repeated(), "repeated-lines")
+        drops = lookup(entries, repeated.select("key", "keeper"), "key", repeated.select("key", "n")).where("doc > keeper").groupBy("doc").agg(F.collect_set("key").alias("drops"))
         rows = packed(docs, id_col, text_col)
         rows = rows.join(drops.withColumnRenamed("doc", "id"), "id", "left").select("row", "id", "text", "drops")
 
