@@ -103,8 +103,8 @@ def lookup_join(df: DataFrame, table: DataFrame, key: str,
     total = counts.agg(F.sum("_n")).first()[0] or 0
     hot = counts.where(F.col("_n") > total // HOT_KEYS).select(key)
     near = F.broadcast(table.join(F.broadcast(hot), key, "left_semi").select(key, F.struct(*rest).alias("_hot")))
-    far = table.select(key, F.struct(*rest).alias("_cold"), F.lit(0).cast("bigint").alias("_route"))
-    # hot keys and the null key are spread by a hash of the whole row
+    far = table.select(key, F.struct(*rest).alias("_cold"), F.pmod(F.xxhash64(key), F.lit(1)).alias("_route"))
+    # (zero, but no literal, which would be folded out of the join keys); hot keys and the null key are spread by a hash of the whole row
     away = F.col("_hot").isNotNull() | F.col(key).isNull()
     route = F.when(away, F.pmod(F.xxhash64(*df.columns), F.lit(1 << 40)) + 1).otherwise(F.lit(0).cast("bigint"))
     out = df.join(near, key, "left").withColumn("_route", route).join(far, [key, "_route"], "left")

@@ -13,6 +13,10 @@ Parameter mapping from the reference's estimators:
 
 from __future__ import annotations
 
+import math
+from contextlib import contextmanager
+
+from pyspark import StorageLevel
 from pyspark.ml.classification import (LogisticRegression, RandomForestClassifier,
                                        GBTClassifier, MultilayerPerceptronClassifier)
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
@@ -36,6 +40,25 @@ GBT_DEPTHS, GBT_STEPS, GBT_ROUNDS = (5, 7, 10), (0.01, 0.1, 0.3), (100, 200, 300
 GBT_SUBSAMPLES, GBT_COLUMNS = (0.8, 1.0), ("0.8", "all")
 
 
+# Iterative trainers pass over their input many times. It is kept first, and the
+# kept rows are read in partitions of up to so many rows, so that a small input
+# doesn't pay for idle tasks in every iteration; nothing above is narrowed.
+ROWS_PER_PARTITION = 100_000
+
+
+@contextmanager
+def kept_for_training(df: DataFrame):
+    """The rows of df, materialised, in ceil(rows / ROWS_PER_PARTITION) partitions at least; released at the end."""
+    cached = df.is_cached
+    kept = df if cached else df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        target = max(1, math.ceil(kept.count() / ROWS_PER_PARTITION))
+        yield kept.coalesce(target) if target < kept.rdd.getNumPartitions() else kept
+    finally:
+        if not cached:
+            kept.unpersist()
+
+
 def _check_depth(depth: int) -> int:
     if not 0 <= depth <= MAX_TREE_DEPTH:
         raise ValueError(f"maxDepth {depth}: Spark ML trees are at most {MAX_TREE_DEPTH} deep")
@@ -65,7 +88,8 @@ def logistic_regression(train: DataFrame, C: float = 1.0, penalty: str = "l2",
                             standardization=False, maxIter=max_iter, tol=tol)
     if weight_col:
         lr.setWeightCol(weight_col)
-    return lr.fit(train)
+    with kept_for_training(train) as rows:
+        return lr.fit(rows)
 
 
 def random_forest(train: DataFrame, n_trees: int = 800, max_depth: int = MAX_TREE_DEPTH,
@@ -76,7 +100,8 @@ def random_forest(train: DataFrame, n_trees: int = 800, max_depth: int = MAX_TRE
                                 minInstancesPerNode=min_instances, seed=seed)
     if weight_col and weight_col in train.columns:
         rf.setWeightCol(weight_col)
-    return rf.fit(train)
+    with kept_for_training(train) as rows:
+        return rf.fit(rows)
 
 
 def boosted_trees(train: DataFrame, n_iter: int = 300, max_depth: int = 10, step: float = 0.1,
@@ -88,7 +113,8 @@ def boosted_trees(train: DataFrame, n_iter: int = 300, max_depth: int = 10, step
                         subsamplingRate=subsample, featureSubsetStrategy=feature_subset, seed=seed)
     if weight_col and weight_col in train.columns:
         gbt.setWeightCol(weight_col)
-    return gbt.fit(train)
+    with kept_for_training(train) as rows:
+        return gbt.fit(rows)
 
 
 def neural_network(train: DataFrame, n_features: int, hidden=HIDDEN_LAYERS, max_iter: int = 100,
@@ -97,7 +123,8 @@ def neural_network(train: DataFrame, n_features: int, hidden=HIDDEN_LAYERS, max_
     mlp = MultilayerPerceptronClassifier(featuresCol=FEATURES, labelCol=LABEL,
                                          layers=[n_features, *hidden, 2], maxIter=max_iter,
                                          blockSize=block_size, seed=seed)
-    return mlp.fit(train)
+    with kept_for_training(train) as rows:
+        return mlp.fit(rows)
 
 
 def fold_column(df: DataFrame, k: int = 5, label: str = LABEL, key: str = "row_id",
@@ -111,15 +138,13 @@ def grid_search(train: DataFrame, estimator, grid, k: int = 5, parallelism: int
                 key: str = "row_id", seed: int = 123):
     """Stratified k-fold grid search scored by F1 of the positive class."""
     # every fold filters this table: keep it rather than re-ranking per fold
-    folded = fold_column(train, k, key=key, seed=seed).persist()
+    folded = fold_column(train, k, key=key, seed=seed)
     ev = MulticlassClassificationEvaluator(labelCol=LABEL, predictionCol="prediction",
                                            metricName="fMeasureByLabel", metricLabel=1.0)
     cv = CrossValidator(estimator=estimator, estimatorParamMaps=grid, evaluator=ev,
-                        foldCol="fold", parallelism=parallelism, seed=seed)
-    try:
-        return cv.fit(folded)
-    finally:
-        folded.unpersist()
+                        foldCol="fold", numFolds=k, parallelism=parallelism, seed=seed)
+    with kept_for_training(folded) as rows:
+        return cv.fit(rows)
 
 
 def best_parameters(grid, cv) -> dict:
