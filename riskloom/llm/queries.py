@@ -91,8 +91,9 @@ FROM judged GROUP BY doc_id"""
 
 SQL["op5_substring_dedup"] = r"""
 WITH docs AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
-starts AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM docs),
-wins AS (SELECT doc_id, i, w[i] AS word, CASE WHEN i + 12 <= len(w) THEN array_to_string(w[i:i + 12], ' ') END AS win FROM starts),
+words AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM docs),
+wins AS (SELECT doc_id, i, word, CASE WHEN lead(word, 12) OVER o IS NOT NULL THEN concat_ws(' ', word, """ + ", ".join(f"lead(word, {j}) OVER o" for j in range(1, 13)) + r""") END AS win
+         FROM words WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
 firsts AS (SELECT win, min(doc_id) AS first_doc FROM wins WHERE win IS NOT NULL GROUP BY win),
 hits AS (SELECT wins.*, coalesce(first_doc < doc_id, false) AS hit FROM wins LEFT JOIN firsts USING (win)),
 judged AS (SELECT *, bool_or(hit) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 12 PRECEDING AND CURRENT ROW) AS gone FROM hits),
