@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expressions import (flag, address_mismatch, hour_bin, age_category,
                                      account_age_weeks, transaction_size, safe_div)
+from .quantiles import exact_quantiles
 
 TS = "transaction_date"
 AMT = "transaction_amount"
@@ -86,9 +87,8 @@ def global_stats_frame(df: DataFrame, approx: bool = False, accuracy: int = 100_
                        with_count: bool = False) -> DataFrame:
     """A1 as a one-row DataFrame.
 
-    Exact ``percentile`` keeps one counter per distinct value (bounded by the
-    value domain, e.g. cents), merged in one final task; ``approx=True`` uses
-    ``percentile_approx`` with rank error ``1/accuracy`` for unbounded domains.
+    Quantiles are exact by bracketing (``quantiles.exact_quantiles``);
+    ``approx=True`` uses ``percentile_approx`` with rank error ``1/accuracy``.
     """
     probs = [0.2, 0.4, 0.6, 0.8, 0.95]
     amt, qty = F.col(AMT), F.col("quantity").cast("double")
@@ -96,11 +96,11 @@ def global_stats_frame(df: DataFrame, approx: bool = False, accuracy: int = 100_
         qa = F.percentile_approx(amt, probs, accuracy)
         qq = F.percentile_approx(qty, 0.95, accuracy).cast("double")
     else:
-        qa = F.percentile(amt, F.array(*[F.lit(p) for p in probs]))
-        qq = F.percentile(qty, F.lit(0.95))
-    row = df.agg(F.avg(amt).alias("amount_mean"),
-                 F.stddev_pop(amt).alias("amount_std_pop"),
-                 qa.alias("_qa"), qq.alias("quantity_q95"), F.count(F.lit(1)).alias("n_rows"))
+        q = exact_quantiles(df, {"a": amt, "q": qty}, probs)
+        qa, qq = F.array(*[F.lit(v).cast("double") for v in q["a"]]), F.lit(q["q"][-1]).cast("double")
+    stats = [F.avg(amt).alias("amount_mean"), F.stddev_pop(amt).alias("amount_std_pop"), F.count(F.lit(1)).alias("n_rows")]
+    row = (df.agg(*stats, qa.alias("_qa"), qq.alias("quantity_q95")) if approx
+           else df.agg(*stats).withColumns({"_qa": qa, "quantity_q95": qq}))
     return row.select(
         "amount_mean", "amount_std_pop",
         *[F.col("_qa")[i].cast("double").alias(n) for i, n in

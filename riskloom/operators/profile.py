@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .quantiles import exact_modes, exact_quantiles
+
 LABEL = "is_fraudulent"
 # Columns the reference profiles.
 NUMERIC_PROFILE_COLUMNS = ["transaction_amount", "quantity", "customer_age",
@@ -35,22 +37,23 @@ def class_counts(df: DataFrame, label: str = LABEL) -> DataFrame:
 def numeric_profile(df: DataFrame, columns=None) -> DataFrame:
     """S3: count/mean/std/min/quartiles/max per numeric column (exact quartiles).
 
-    One wide aggregate, then the single row is turned into one row per column.
+    One wide aggregate beside the quartiles' bracketing passes; the single row is
+    then turned into one row per column.
     """
     columns = [c for c in (columns or NUMERIC_PROFILE_COLUMNS) if c in df.columns]
+    quartiles = exact_quantiles(df, {c: F.col(c) for c in columns}, [0.25, 0.5, 0.75])
     aggs = []
     for i, c in enumerate(columns):
         x = F.col(c).cast("double")
         aggs += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"mean{i}"),
                  F.stddev_samp(x).alias(f"std{i}"), F.min(x).alias(f"min{i}"),
-                 F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"q{i}"),
                  F.max(x).alias(f"max{i}")]
     wide = df.agg(*aggs)
     rows = F.array(*[F.struct(
         F.lit(c).alias("column_name"), F.col(f"n{i}").alias("count"),
         F.col(f"mean{i}").alias("mean"), F.col(f"std{i}").alias("std"),
-        F.col(f"min{i}").alias("min"), F.col(f"q{i}")[0].alias("p25"),
-        F.col(f"q{i}")[1].alias("p50"), F.col(f"q{i}")[2].alias("p75"),
+        F.col(f"min{i}").alias("min"),
+        *[F.lit(v).cast("double").alias(n) for n, v in zip(("p25", "p50", "p75"), quartiles[c])],
         F.col(f"max{i}").alias("max")) for i, c in enumerate(columns)])
     return wide.select(F.inline(rows))
 
@@ -73,23 +76,23 @@ def median_mode(df: DataFrame, numeric=None, categorical=None, approx: bool = Fa
                 accuracy: int = 100_000) -> DataFrame:
     """A10: median of each numeric column, mode of each string column.
 
-    Mode ties resolve to the smallest value (``mode(..., deterministic=True)``).
-    Returned long: (column_name, median, mode). Exact medians keep one counter
-    per distinct value; ``approx=True`` uses ``percentile_approx`` (rank error
-    1/accuracy) for columns with unbounded distinct values.
+    Mode ties resolve to the smallest value. Returned long: (column_name,
+    median, mode). Medians are exact (``quantiles.exact_quantiles``);
+    ``approx=True`` uses ``percentile_approx`` (rank error 1/accuracy) in one pass.
     """
     numeric = [c for c in (numeric or []) if c in df.columns]
     categorical = [c for c in (categorical or []) if c in df.columns]
-    med = ((lambda x: F.percentile_approx(x, 0.5, accuracy).cast("double")) if approx
-           else (lambda x: F.median(x)))
-    aggs = ([med(F.col(c).cast("double")).alias(f"m{i}") for i, c in enumerate(numeric)]
-            + [F.mode(F.col(c), True).alias(f"o{i}") for i, c in enumerate(categorical)])
-    wide = df.agg(*aggs)
-    rows = ([F.struct(F.lit(c).alias("column_name"), F.col(f"m{i}").alias("median"),
-                      F.lit(None).cast("string").alias("mode")) for i, c in enumerate(numeric)]
-            + [F.struct(F.lit(c).alias("column_name"), F.lit(None).cast("double").alias("median"),
-                        F.col(f"o{i}").alias("mode")) for i, c in enumerate(categorical)])
-    return wide.select(F.inline(F.array(*rows)))
+    if not numeric:
+        medians = {}
+    elif approx:
+        row = df.agg(*[F.percentile_approx(F.col(c).cast("double"), 0.5, accuracy).alias(f"m{i}")
+                       for i, c in enumerate(numeric)]).first()
+        medians = dict(zip(numeric, row))
+    else:
+        medians = {c: v[0] for c, v in exact_quantiles(df, {c: F.col(c) for c in numeric}, [0.5]).items()}
+    modes = exact_modes(df, categorical)
+    rows = [(c, medians[c], None) for c in numeric] + [(c, None, modes[c]) for c in categorical]
+    return df.sparkSession.createDataFrame(rows, "column_name string, median double, mode string")
 
 
 def class_balance(df: DataFrame, label: str = LABEL, by: str | None = "split") -> DataFrame:

@@ -14,6 +14,7 @@ from ..functions.expressions import round_doubles
 from ..sources.transactions import fixture_transactions
 from ..sources.scores import fixture_scores
 from ..operators import features as feat
+from ..operators.quantiles import exact_quantiles
 
 Q: dict = {}
 
@@ -393,7 +394,7 @@ def _error_slices(spark, sf_dir, overlapping):
     txn = _txn(spark, sf_dir)
     pred = _test_pred(spark, sf_dir)
     feats = feat.feature_table(txn)
-    median_amount = txn.agg(F.median("transaction_amount")).first()[0]
+    median_amount = exact_quantiles(txn, {"a": F.col("transaction_amount")}, [0.5])["a"][0]
     rates = locn.location_rates(txn)
     return round_doubles(ev.error_slices(pred, feats, rates, median_amount,
                                          overlapping=overlapping))
