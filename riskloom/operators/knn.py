@@ -1,16 +1,18 @@
 """K1: exact k nearest neighbours (Euclidean) between two row sets.
 
-Neither side is broadcast (both grow with the data). Queries are hashed into
-query blocks and candidates into candidate blocks of at most ~``block_rows``
-rows; every (query block, candidate block) pair is one cogroup task that
-computes the block's distances with one matrix product in NumPy and emits only
-its k best candidates per query. A second, bounded step keeps the global k best
-per query (at most k x candidate-block-count rows per query).
-
-Data moved: each query row is copied once per candidate block and each
-candidate row once per query block -- the cost of an exact all-pairs search,
-without ever materialising a pair table. Ties are broken by candidate id, so
-the result does not depend on partitioning.
+Candidates are dealt to cells, each around a pivot (a bounded, hash-chosen set of
+candidates). A query first takes the k-th distance in one block of its nearest
+cell as its bound. By the triangle inequality no candidate of a cell is nearer
+than (distance to the pivot - the cell's radius), so the query then visits only
+the cells where that is within its bound. The result is exact: cells that are
+left out cannot hold a neighbour.
+
+Each visited block is one cogroup task that computes its distances with matrix
+products and emits its k best per query; a bounded merge keeps the global k.
+Large cells are split into blocks of about ``block_rows`` candidates, and the
+queries of a cell into blocks of as many queries, so no task grows with a cell.
+Ties are broken by candidate id (as text), so the result does not depend on
+partitioning. Rows with a null vector have no neighbours and are none.
 """
 
 from __future__ import annotations
@@ -19,81 +21,177 @@ import math
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 DEFAULT_BLOCK_ROWS = 4096
+# Pivots (and so cells) at most: they are sent to all tasks.
+MAX_PIVOTS = 4096
+# Query rows whose distances to a block are held at once.
+QUERY_ROWS = 512
+
+
+def _squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    d2 = np.einsum("ij,ij->i", a, a)[:, None] + np.einsum("ij,ij->i", b, b)[None, :] - 2.0 * (a @ b.T)
+    return np.maximum(d2, 0.0)
+
+
+def _matrix(column) -> np.ndarray:
+    return np.vstack(column.to_numpy()).astype(np.float64)
 
 
 def _block_topk(k: int, exclude_self: bool, with_vectors: bool):
+    """The k nearest of a block's candidates to each of its queries, exactly and without a row loop."""
+    names = ["qid", "cid", "dist", "clabel"] + (["cvec"] if with_vectors else [])
+
     def fn(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        cols = ["qid", "cid", "dist", "clabel"] + (["cvec"] if with_vectors else [])
         if len(q) == 0 or len(c) == 0:
-            return pd.DataFrame({n: [] for n in cols})
-        Q = np.vstack(q["vec"].to_numpy()).astype(np.float64)
-        C = np.vstack(c["vec"].to_numpy()).astype(np.float64)
-        qids = q["qid"].to_numpy().astype(str)
-        cids = c["cid"].to_numpy().astype(str)
-        qn = np.einsum("ij,ij->i", Q, Q)
-        d2 = qn[:, None] + np.einsum("ij,ij->i", C, C)[None, :] - 2.0 * (Q @ C.T)
-        if exclude_self:
-            d2[qids[:, None] == cids[None, :]] = np.inf
-        kk = min(k, C.shape[0])
-        # candidates within the k-th smallest value (plus ties), then exact order
-        part = np.argpartition(d2, kk - 1, axis=1)[:, :kk] if kk < C.shape[0] else \
-            np.tile(np.arange(C.shape[0]), (Q.shape[0], 1))
-        kth = np.take_along_axis(d2, part, axis=1).max(axis=1)
-        out_q, out_c = [], []
-        for i in range(Q.shape[0]):
-            # generous slack for the rounding of the matrix-product form
-            idx = np.nonzero(d2[i] <= kth[i] + 1e-9 * (abs(kth[i]) + qn[i] + 1.0))[0]
-            idx = idx[np.isfinite(d2[i, idx])]
-            if len(idx) == 0:
-                continue
-            exact = ((C[idx] - Q[i]) ** 2).sum(axis=1)
-            order = np.lexsort((cids[idx], exact))[:kk]
-            out_q.extend([i] * len(order))
-            out_c.extend(idx[order].tolist())
-        out_q = np.asarray(out_q, dtype=np.int64)
-        out_c = np.asarray(out_c, dtype=np.int64)
-        res = {
-            "qid": qids[out_q] if len(out_q) else np.array([], dtype=str),
-            "cid": cids[out_c] if len(out_c) else np.array([], dtype=str),
-            "dist": np.sqrt(((C[out_c] - Q[out_q]) ** 2).sum(axis=1)) if len(out_q) else [],
-            "clabel": c["clabel"].to_numpy()[out_c] if len(out_c) else [],
-        }
+            return pd.DataFrame({n: [] for n in names})
+        Q, C = _matrix(q["vec"]), _matrix(c["vec"])
+        # ids as numbers in the order of their texts
+        _, code = np.unique(np.concatenate([q["qid"].to_numpy().astype(str), c["cid"].to_numpy().astype(str)]), return_inverse=True)
+        qcode, ccode = code[:len(q)], code[len(q):]
+        kk, parts = min(k, len(c)), []
+        for a in range(0, len(q), QUERY_ROWS):
+            d2 = _squares(Q[a:a + QUERY_ROWS], C)
+            if exclude_self:
+                d2[qcode[a:a + QUERY_ROWS, None] == ccode[None, :]] = np.inf
+            kth = np.partition(d2, kk - 1, axis=1)[:, kk - 1]
+            # slack for the rounding of the product form; then the exact order
+            slack = 1e-9 * (np.where(np.isfinite(kth), kth, 0.0) + np.einsum("ij,ij->i", Q[a:a + QUERY_ROWS], Q[a:a + QUERY_ROWS]) + 1.0)
+            row, col = np.nonzero((d2 <= (kth + slack)[:, None]) & np.isfinite(d2))
+            exact = ((C[col] - Q[a + row]) ** 2).sum(axis=1)
+            order = np.lexsort((ccode[col], exact, row))
+            row, col, exact = row[order], col[order], exact[order]
+            place = np.arange(len(row)) - np.searchsorted(row, row)
+            keep = place < kk
+            parts.append((a + row[keep], col[keep], np.sqrt(exact[keep])))
+        row, col, dist = (np.concatenate(x) for x in zip(*parts))
+        out = {"qid": q["qid"].to_numpy()[row], "cid": c["cid"].to_numpy()[col], "dist": dist, "clabel": c["clabel"].to_numpy()[col]}
         if with_vectors:
-            res["cvec"] = [C[j].tolist() for j in out_c]
-        return pd.DataFrame(res)
+            out["cvec"] = [C[j].tolist() for j in col]
+        return pd.DataFrame(out)
+
     return fn
 
 
+class _Cells:
+    """Pivots with their cells' radii and sizes: small, sent to all tasks."""
+
+    def __init__(self, pivots: np.ndarray, radius: np.ndarray, size: np.ndarray, block_rows: int):
+        self.pivots, self.radius, self.size = pivots, radius, size
+        self.blocks = np.maximum(1, -(-size // block_rows))
+
+
+def _nearest(pivots: np.ndarray):
+    def run(frames):
+        for f in frames:
+            if len(f):
+                d2 = _squares(_matrix(f["vec"]), pivots)
+                cell = d2.argmin(axis=1)
+                exact = np.sqrt(((_matrix(f["vec"]) - pivots[cell]) ** 2).sum(axis=1))
+                yield f.assign(cell=cell.astype(np.int32), pdist=exact)
+    return run
+
+
+def _visits(cells: _Cells, first: bool, k: int):
+    """Blocks a query visits: one of the nearest cell with enough candidates, or all within its bound."""
+    def run(frames):
+        for f in frames:
+            if not len(f):
+                continue
+            Q = _matrix(f["vec"])
+            dist = np.sqrt(_squares(Q, cells.pivots))
+            if first:
+                enough = cells.size > 2 * k * cells.blocks
+                if not enough.any():
+                    continue
+                cell = np.where(enough[None, :], dist, np.inf).argmin(axis=1)
+                yield pd.DataFrame({"qid": f["qid"], "vec": f["vec"], "cell": cell.astype(np.int32), "block": np.zeros(len(f), np.int32)})
+                continue
+            bound = f["bound"].fillna(np.inf).to_numpy()
+            slack = 1e-6 * (1.0 + dist)
+            row, cell = np.nonzero((cells.size > 0)[None, :] & (dist - cells.radius[None, :] - slack <= bound[:, None]))
+            n = cells.blocks[cell]
+            row, cell = np.repeat(row, n), np.repeat(cell, n)
+            block = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+            yield pd.DataFrame({"qid": f["qid"].to_numpy()[row], "vec": f["vec"].to_numpy()[row], "cell": cell.astype(np.int32), "block": block.astype(np.int32)})
+    return run
+
+
+def _candidates(candidates: DataFrame, cid: str, vec: str, clabel: str | None) -> DataFrame:
+    lab = F.col(clabel).cast("double") if clabel else F.lit(None).cast("double")
+    return candidates.select(F.col(cid).cast("string").alias("cid"), F.col(vec).alias("vec"), lab.alias("clabel")).where("vec IS NOT NULL")
+
+
+def _meet(visits: DataFrame, cand: DataFrame, fn, schema, block_rows: int) -> DataFrame:
+    """Cogroup of the visiting queries, in blocks of about block_rows, with the candidates of each visited block."""
+    n = visits.groupBy("cell", "block").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("_n"))
+    # one row for each visited block: it grows with the candidates, so no side is broadcast
+    n = n.hint("merge")
+    q = visits.join(n, ["cell", "block"]).withColumn("_qb", F.pmod(F.xxhash64("qid"), F.col("_n").cast("bigint")).cast("int")).drop("_n")
+    c = cand.join(n, ["cell", "block"]).withColumn("_qb", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).drop("_n", "pdist")
+    return q.groupBy("cell", "block", "_qb").cogroup(c.groupBy("cell", "block", "_qb")).applyInPandas(fn, schema)
+
+
+def _prepare(queries, candidates, k, qid, cid, vec, clabel, exclude_self, block_rows):
+    """Kept query and candidate tables, the cells, and the blocks that each query has to visit."""
+    cand = _candidates(candidates, cid, vec, clabel)
+    nc = cand.count()
+    n_pivots = min(MAX_PIVOTS, max(1, math.ceil(nc / block_rows)))
+    picked = cand.orderBy(F.xxhash64("cid"), "cid").limit(n_pivots).select("vec").collect()  # MAX_PIVOTS rows at most
+    if not picked:
+        return None
+    pivots = np.array([r["vec"] for r in picked], dtype=np.float64)
+    cand = cand.mapInPandas(_nearest(pivots), T.StructType([*cand.schema.fields, T.StructField("cell", T.IntegerType()), T.StructField("pdist", T.DoubleType())]))
+    cand = cand.persist(StorageLevel.MEMORY_AND_DISK)
+    radius, size = np.zeros(len(pivots)), np.zeros(len(pivots), np.int64)
+    for r in cand.groupBy("cell").agg(F.max("pdist").alias("r"), F.count(F.lit(1)).alias("n")).collect():  # a row for each cell
+        radius[r["cell"]], size[r["cell"]] = r["r"], r["n"]
+    cells = _Cells(pivots, radius, size, block_rows)
+    blocks = F.element_at(F.array(*[F.lit(int(b)) for b in cells.blocks]), F.col("cell") + 1)
+    placed = cand.withColumn("block", F.pmod(F.xxhash64("cid"), blocks.cast("bigint")).cast("int"))
+    q = queries.select(F.col(qid).cast("string").alias("qid"), F.col(vec).alias("vec")).where("vec IS NOT NULL")
+    visit = T.StructType([*q.schema.fields, T.StructField("cell", T.IntegerType()), T.StructField("block", T.IntegerType())])
+    if len(pivots) == 1:
+        bounded = q.withColumn("bound", F.lit(None).cast("double"))
+    else:
+        near = _meet(q.mapInPandas(_visits(cells, True, k), visit), placed, _block_topk(k, exclude_self, False), _schema(False), block_rows)
+        bounds = near.groupBy("qid").agg(F.count(F.lit(1)).alias("n"), F.max("dist").alias("bound")).where(F.col("n") >= k)
+        bounded = q.join(bounds.select("qid", "bound"), "qid", "left")
+    return cand, placed, bounded.mapInPandas(_visits(cells, False, k), visit)
+
+
+def _schema(with_vectors: bool) -> T.StructType:
+    fields = [T.StructField("qid", T.StringType()), T.StructField("cid", T.StringType()), T.StructField("dist", T.DoubleType()), T.StructField("clabel", T.DoubleType())]
+    return T.StructType(fields + ([T.StructField("cvec", T.ArrayType(T.DoubleType()))] if with_vectors else []))
+
+
+def visited_blocks(queries: DataFrame, candidates: DataFrame, k: int, qid: str, cid: str, vec: str,
+                   exclude_self: bool = True, block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
+    """(qid, n_blocks): how many candidate blocks each query is compared with."""
+    got = _prepare(queries, candidates, k, qid, cid, vec, None, exclude_self, block_rows)
+    if got is None:
+        return queries.sparkSession.createDataFrame([], "qid string, n_blocks long")
+    return got[2].groupBy("qid").agg(F.count(F.lit(1)).alias("n_blocks"))
+
+
 def knn(queries: DataFrame, candidates: DataFrame, k: int, qid: str, cid: str, vec: str,
         clabel: str | None = None, exclude_self: bool = True, with_vectors: bool = False,
         block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
     """Exact kNN. ``vec`` is an array<double> column on both sides.
 
     Returns (qid, cid, dist, clabel[, cvec], rank) with rank 1..k.
-    ``exclude_self`` drops candidates whose id equals the query id.
+    ``exclude_self`` drops candidates whose id equals the query id. Query ids
+    must be distinct.
     """
-    nq, nc = queries.count(), candidates.count()          # scalars
-    qb = max(1, math.ceil(nq / block_rows))
-    cb = max(1, math.ceil(nc / block_rows))
-    q = (queries.select(F.col(qid).cast("string").alias("qid"), F.col(vec).alias("vec"))
-         .withColumn("_qb", F.pmod(F.xxhash64("qid"), F.lit(qb)).cast("int"))
-         .withColumn("_cb", F.explode(F.sequence(F.lit(0), F.lit(cb - 1)))))
-    lab = F.col(clabel).cast("double") if clabel else F.lit(None).cast("double")
-    c = (candidates.select(F.col(cid).cast("string").alias("cid"), F.col(vec).alias("vec"),
-                           lab.alias("clabel"))
-         .withColumn("_cb", F.pmod(F.xxhash64("cid"), F.lit(cb)).cast("int"))
-         .withColumn("_qb", F.explode(F.sequence(F.lit(0), F.lit(qb - 1)))))
-    fields = [T.StructField("qid", T.StringType()), T.StructField("cid", T.StringType()),
-              T.StructField("dist", T.DoubleType()), T.StructField("clabel", T.DoubleType())]
-    if with_vectors:
-        fields.append(T.StructField("cvec", T.ArrayType(T.DoubleType())))
-    part = (q.groupBy("_qb", "_cb")
-            .cogroup(c.groupBy("_qb", "_cb"))
-            .applyInPandas(_block_topk(k, exclude_self, with_vectors), T.StructType(fields)))
+    schema = _schema(with_vectors)
+    got = _prepare(queries, candidates, k, qid, cid, vec, clabel, exclude_self, block_rows)
+    if got is None:
+        return queries.sparkSession.createDataFrame([], schema).withColumn("rank", F.lit(0))
+    _, placed, visits = got
+    part = _meet(visits, placed, _block_topk(k, exclude_self, with_vectors), schema, block_rows)
     w = Window.partitionBy("qid").orderBy(F.col("dist").asc(), F.col("cid").asc())
     return part.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
