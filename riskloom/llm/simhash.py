@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._tables import packed, unpacked, written
+from ._tables import lookup, packed, unpacked, written
 from ._text import slices, spread
 from .components import components
 
@@ -218,18 +218,18 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE_WORDS, max_bits: int = MAX
     the search.
     """
     rows = written(fingerprints(docs, k, id_col, text_col), "simhash")
-    nodes = written(rows.groupBy("fp").agg(F.min("id").alias("first")), "simhash-nodes")
+    nodes = written(rows.groupBy("fp").agg(F.min("id").alias("first"), F.count("*").alias("n")), "simhash-nodes")
     roots = written(components(near_links(nodes.select("fp"), max_bits)).withColumnRenamed("node", "fp"), "simhash-roots")
     nodes = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = nodes.groupBy("root").agg(F.min("first").alias("component_id"))
-    return rows.join(nodes.join(least, "root").select("fp", "component_id"), "fp").select("id", "fp", "component_id")
+    return lookup(rows, nodes.join(least, "root").select("fp", "component_id"), "fp", nodes.select("fp", "n")).select("id", "fp", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, k: int = SHINGLE_WORDS, max_bits: int = MAX_BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The columns of docs, with the row of smallest id of each component (one of them if it repeats)."""
     classes = near_duplicates(docs, k, max_bits, id_col, text_col)
     keep = written(classes.where("id = component_id").groupBy("id").agg(F.count("*").alias("n")), "simhash-kept")
-    rows = packed(docs, id_col, text_col).join(keep, "id")
+    rows = packed(docs, id_col, text_col).hint("merge").join(keep.hint("merge"), "id")  # the same plan at every size
     once = rows.where("n = 1").select("row", "id", "text")
     if keep.where("n > 1").limit(1).count():  # ids that repeat: the least row by its columns
         again = rows.where("n > 1").groupBy("id").agg(F.min(F.struct("text", "row")).alias("r")).select("r.row", "id", "r.text")
