@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from ._text import slices, spread
 
 #: Words whose ids a Python worker keeps before it starts anew.
-WORDS_KEPT = 400_000
+WORDS_KEPT = 200_000
 #: The word pattern of byte-level BPE (a fixed value).
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
