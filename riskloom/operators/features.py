@@ -35,6 +35,8 @@ TID = "transaction_id"
 
 # Rows above which one customer's history is split into time chunks.
 DEFAULT_CHUNK_ROWS = 2_000_000
+# Chunks over which the rows without a customer are spread.
+NULL_CHUNKS = 4096
 # Rows of history the windows look back (rolling mean of 5 including the current).
 ROLLING_ROWS = 5
 HALO_ROWS = ROLLING_ROWS - 1
@@ -244,7 +246,7 @@ def _past_columns(j: DataFrame, w) -> DataFrame:
          .withColumn("_r_cats", F.collect_set(F.when(real, F.col("product_category"))).over(run))
          .withColumn("_r_dated", F.count(F.when(real, F.col(TS))).over(run))
          .withColumn("_r_days", F.sum(F.when(real, F.col("_new_day"))).over(run)))
-    chunks = (x.where(real).groupBy(CUST, "_chunk")
+    chunks = (x.where(real & F.col(CUST).isNotNull()).groupBy(CUST, "_chunk")
               .agg(F.sum("_first_id").alias("_c_ids"), F.count(amt).alias("_c_n"),
                    F.sum(dec).alias("_c_s"), F.avg(amt).alias("_c_mean"),
                    (F.var_pop(amt) * F.count(amt)).alias("_c_m2"),
@@ -337,6 +339,9 @@ def history_features(df: DataFrame, cust: DataFrame,
         rows = df.withColumn("_chunk", F.lit(0)).withColumn("_halo", F.lit(0))
         cust_x = cust.withColumn("_chunk", F.lit(0))
 
+    # rows without a customer have constant history features: spread them, no order needed
+    rows = rows.withColumn("_chunk", F.when(F.col(CUST).isNull(), F.pmod(F.xxhash64(TID), F.lit(NULL_CHUNKS)).cast("int"))
+                           .otherwise(F.col("_chunk")))
     cust_x = cust_x.drop("_n_rows", "_ts_min", "_ts_max")
     w = Window.partitionBy(CUST, "_chunk").orderBy(*_order())
     if history == "past":

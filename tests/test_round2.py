@@ -127,3 +127,19 @@ def test_checkpoint_folder_rules(spark, monkeypatch):
     assert session.ensure_checkpoint_dir(Session(folder="hdfs:/own")) == "hdfs:/own"
     named = Session({"spark.checkpoint.dir": "/shared"})
     assert session.ensure_checkpoint_dir(named) == "/shared" and named.sparkContext.set_to == "file:/shared/some-id"
+
+
+@pytest.mark.parametrize("history", ["all", "past"])
+def test_rows_without_a_customer_are_spread(spark, history):
+    start = dt.datetime(2024, 1, 1)
+    rows = [(f"t{i:04d}", None if i % 2 else "c1", start + dt.timedelta(hours=i), float(i), "cat") for i in range(200)]
+    df = spark.createDataFrame(rows, "transaction_id string, customer_id string, transaction_date timestamp_ntz, transaction_amount double, product_category string")
+    if history == "past":
+        df = df.withColumn("_first_id", F.lit(1))
+    out = features.history_features(df, features.customer_table(df), history=history)
+    got = {r.transaction_id: r for r in out.collect()}
+    assert len(got) == 200
+    for i in range(1, 200, 2):
+        r = got[f"t{i:04d}"]
+        assert r.time_since_last_transaction == 0.0 and r.avg_customer_transaction is None and r.amount_deviation_from_history is None
+    assert got["t0010"].time_since_last_transaction == 2.0
