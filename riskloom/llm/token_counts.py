@@ -19,7 +19,7 @@ import tokenizers
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._tables import fresh_path, text_digest, written
+from ._tables import fresh_path, lookup, text_digest, written
 from ._text import slices
 
 CACHE_SCHEMA = "key binary, tokenizer string, n_tokens long"
@@ -127,7 +127,8 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str | None =
     texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     keyed = texts.withColumn("key", text_digest(normalise(F.col("text"))))
     rows = written(keyed.select("doc_id", "key", F.octet_length("text").cast("long").alias("n_bytes")), "token-keys")
-    missing = rows.groupBy("key").agg(F.min("doc_id").alias("doc_id")).join(cached(), "key", "left_anti")
+    keys = rows.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"))
+    missing = keys.join(cached(), "key", "left_anti")
     # one row holds each missing key; the join is by id, so that no key's copies meet in one task
     pick = missing.select(F.col("key").alias("k"), F.col("doc_id").alias("i"))
     todo = keyed.join(pick, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("key") == F.col("k")), "left_semi").select("key", "text")
@@ -140,4 +141,4 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str | None =
                 yield pa.RecordBatch.from_arrays([part.column("key"), pa.array([version] * len(n)), pa.array(n, pa.int64())], ["key", "tokenizer", "n_tokens"])
 
     todo.mapInArrow(encode, CACHE_SCHEMA).write.mode("append").parquet(cache_path)
-    return rows.join(cached(), "key").select("doc_id", "n_bytes", "n_tokens")
+    return lookup(rows, cached(), "key", keys.select("key", "n")).select("doc_id", "n_bytes", "n_tokens")
