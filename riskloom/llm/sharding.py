@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._tables import text_digest, written
+from ._tables import lookup, text_digest, written
 
 #: Bytes added to every row's text.
 ROW_BYTES = 16
@@ -223,7 +223,7 @@ def shard_documents(docs: DataFrame, n_shards: int, id_col: str = "doc_id", text
     groups = base.groupBy("key").agg(F.sum("size").alias("bytes"), F.count("*").alias("group_rows"))
     packed = written(pack_groups(groups, n_shards).join(groups.select("key", "group_rows"), "key"), "shard-groups")
     runs = max(1, math.ceil(base.count() / (n_shards * ROWS_PER_SLOT_RUN)))
-    rows = base.join(packed.select("key", "shard", "group_rows"), "key") \
+    rows = lookup(base, packed.select("key", "shard", "group_rows"), "key", packed.select("key", F.col("group_rows").alias("n"))) \
         .withColumn("run", F.pmod(F.xxhash64("doc_id", "key"), F.lit(runs)))
     in_shard = Window.partitionBy("shard").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
     starts = rows.groupBy("shard", "run").agg(F.count("*").alias("n")) \
