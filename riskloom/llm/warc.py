@@ -28,7 +28,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._tables import NULL_ID, fresh_path, written
+from ._tables import NULL_ID, fresh_path, lookup, written
 
 PACKAGE_BYTES = 64 << 20
 SLICE_BYTES = 4 << 20
@@ -214,15 +214,15 @@ def write_packages(pages: DataFrame, path: str | None = None, revisit_bytes: int
     and the others revisit it; smaller payloads are all responses. A null page
     id counts as the least id, a null url becomes urn:page:ID. Repeated rows
     are repeated records. Payloads are told apart by SHA-256 and length; equal
-    ones are aggregated before any shuffle, and the join back is one that
-    adaptive execution splits where a payload has very many rows.
+    ones are aggregated before any shuffle, and the rows of a payload that very
+    many pages share are spread over all tasks.
     """
     path = path or fresh_path(pages.sparkSession, "warc")
     html = F.coalesce(F.col(html_col), F.lit(""))
     rows = pages.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("page_id"), F.col(url_col).cast("string").alias("url"), html.alias("html"),
                         F.unhex(F.sha2(html, 256)).alias("same"))
-    newest = rows.groupBy("same").agg(F.max("page_id").alias("newest"))
-    rows = rows.join(newest, "same").select("page_id", "url", "html", "newest")
+    newest = written(rows.groupBy("same").agg(F.max("page_id").alias("newest"), F.count("*").alias("n")), "warc-newest")
+    rows = lookup(rows, newest.select("same", "newest"), "same", newest.select("same", "n")).select("page_id", "url", "html", "newest")
 
     def run(batches):
         writer, made = None, None
@@ -316,8 +316,11 @@ def read_packages(packages: DataFrame) -> DataFrame:
 def payload_table(records: DataFrame) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to, both of the full payload: a revisit has its response's."""
     rows = written(records.select("page_id", F.octet_length("payload").cast("long").alias("bytes"), "payload_digest", "record_type", "refers_to"), "warc-records")
-    responses = rows.where("record_type = 'response'").groupBy(F.col("page_id").alias("refers_to"), "payload_digest").agg(F.max("bytes").alias("full"))
-    revisits = rows.where("record_type = 'revisit'").join(responses, ["refers_to", "payload_digest"], "left")
+    rows = rows.withColumn("same", F.when(F.col("record_type") == "revisit", F.concat_ws(" ", "refers_to", "payload_digest")).otherwise(F.concat_ws(" ", "page_id", "payload_digest")))
+    responses = rows.where("record_type = 'response'").groupBy("same").agg(F.max("bytes").alias("full"))
+    revisits = rows.where("record_type = 'revisit'")
+    revisits = lookup(revisits, responses, "same", revisits.groupBy("same").agg(F.count("*").alias("n")))
+    rows = rows.drop("same")
     null_id = F.lit(NULL_ID)
-    out = rows.where("record_type = 'response'").withColumn("full", F.col("bytes")).unionByName(revisits.select(*rows.columns, "full"))
+    out = rows.where("record_type = 'response'").withColumn("full", F.col("bytes")).unionByName(revisits.select(*rows.columns, "full"))  # a revisit without its response is no whole record
     return out.select(F.nullif("page_id", null_id).alias("page_id"), F.col("full").alias("payload_bytes"), "payload_digest", "record_type", F.nullif("refers_to", null_id).alias("refers_to"))
