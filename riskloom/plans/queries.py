@@ -531,9 +531,9 @@ def q_l5(spark, sf_dir):
     train = wts.class_weights(_train(spark, sf_dir), "recall", label="label")
     sw = train.agg(F.sum("weight")).first()[0]
     lr = LogisticRegression(featuresCol="features", labelCol="label", weightCol="weight",
-                            standardization=False, maxIter=1000)
+                            standardization=False, maxIter=1000, tol=1e-4)
     grid = mdl.lr_grid(lr, sw)                       # all 12 points, 5 folds
-    cv = mdl.grid_search(train, lr, grid, k=5, parallelism=4)
+    cv = mdl.grid_search(train, lr, grid, k=5, parallelism=8)
     best = mdl.best_parameters(grid, cv)
     rows = [(float(1.0 / (pm[lr.regParam] * sw)), "l1" if pm[lr.elasticNetParam] == 1.0 else "l2",
              float(metric), {p.name: v for p, v in pm.items()} == best)
