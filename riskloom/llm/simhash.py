@@ -17,10 +17,10 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._tables import lookup, packed, unpacked, written
+from ._tables import HOT_ROWS, HOT_SHARE, lookup, packed, text_digest, unpacked, written
 from ._text import slices, spread
 from .components import components
 
@@ -56,17 +56,23 @@ def fingerprint(text: bytes, k: int = SHINGLE_WORDS) -> int:
     return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, k: int = SHINGLE_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id (null: the least), fp (long) of every row; a null text has no words."""
-    rows = packed(docs.select(id_col, text_col), id_col, text_col).select("id", "text")
+def _digest() -> Column:
+    """The text's digest; empty for a null text."""
+    return F.coalesce(text_digest(F.col("text")), F.lit(b"")).alias("digest")
+
+
+def fingerprints(docs: DataFrame, k: int = SHINGLE_WORDS, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
+    """id (null: the least), fp (long) of every row, and the text's digest if asked for; a null text has no words."""
+    more = ["digest"] if digest else []
+    rows = packed(docs.select(id_col, text_col), id_col, text_col).select("id", "text", *[_digest() for _ in more])
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text"):
                 fp = np.array([fingerprint(t or b"", k) for t in part.column("text").cast(pa.binary()).to_pylist()], np.uint64)
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(fp.view(np.int64))], ["id", "fp"])
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(fp.view(np.int64)), *[part.column(c) for c in more]], ["id", "fp", *more])
 
-    return rows.mapInArrow(run, "id long, fp long")
+    return rows.mapInArrow(run, "id long, fp long" + ", digest binary" * digest)
 
 
 def gray_rank(fp: np.ndarray) -> np.ndarray:
@@ -219,19 +225,38 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE_WORDS, max_bits: int = MAX
     """
     rows = written(fingerprints(docs, k, id_col, text_col), "simhash")
     nodes = written(rows.groupBy("fp").agg(F.min("id").alias("first"), F.count("*").alias("n")), "simhash-nodes")
-    roots = written(components(near_links(nodes.select("fp"), max_bits)).withColumnRenamed("node", "fp"), "simhash-roots")
-    nodes = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    nodes = _rooted(nodes, max_bits)
     least = nodes.groupBy("root").agg(F.min("first").alias("component_id"))
     return lookup(rows, nodes.join(least, "root").select("fp", "component_id"), "fp", nodes.select("fp", "n")).select("id", "fp", "component_id")
 
 
+def _rooted(nodes: DataFrame, max_bits: int) -> DataFrame:
+    """nodes (one row for each fp) with root, the least fingerprint of each one's component."""
+    roots = written(components(near_links(nodes.select("fp"), max_bits)).withColumnRenamed("node", "fp"), "simhash-roots")
+    return nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def drop_near_duplicates(docs: DataFrame, k: int = SHINGLE_WORDS, max_bits: int = MAX_BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The columns of docs, with the row of smallest id of each component (one of them if it repeats)."""
-    classes = near_duplicates(docs, k, max_bits, id_col, text_col)
-    keep = written(classes.where("id = component_id").groupBy("id").agg(F.count("*").alias("n")), "simhash-kept")
-    rows = packed(docs, id_col, text_col).hint("merge").join(keep.hint("merge"), "id")  # the same plan at every size
-    once = rows.where("n = 1").select("row", "id", "text")
-    if keep.where("n > 1").limit(1).count():  # ids that repeat: the least row by its columns
-        again = rows.where("n > 1").groupBy("id").agg(F.min(F.struct("text", "row")).alias("r")).select("r.row", "id", "r.text")
-        once = once.unionByName(again)
+    """The columns of docs, with one row of each component: that of smallest id, then text digest, then columns.
+
+    Ids may be null or repeat: rows are told apart by id and text digest, and an
+    id stays once for each component that it is the smallest of.
+    """
+    pair = ["id", "digest"]  # the same text has the same fingerprint: a pair lies in one component
+    pairs = written(fingerprints(docs, k, id_col, text_col, digest=True).groupBy("fp", *pair).agg(F.count("*").alias("n")), "simhash-pairs")
+    nodes = written(pairs.groupBy("fp").agg(F.min(F.struct(*pair, "n")).alias("first")), "simhash-nodes")
+    keep = written(_rooted(nodes, max_bits).groupBy("root").agg(F.min("first").alias("first")).select("first.*"), "simhash-kept")
+    rows = packed(docs, id_col, text_col).withColumn("digest", _digest())
+    total = pairs.agg(F.sum("n")).first()[0] or 0
+    many = written(pairs.where(F.col("n") > max(HOT_ROWS, int(total * HOT_SHARE))).select(*pair), "simhash-hot-pairs")  # fewer than 1 / HOT_SHARE
+    again = []
+    if many.limit(1).count():  # their rows are reduced where they lie
+        again.append(rows.join(F.broadcast(keep.join(F.broadcast(many), pair, "left_semi")), pair))
+        rows, keep = rows.join(F.broadcast(many), pair, "left_anti"), keep.join(F.broadcast(many), pair, "left_anti")
+    rows = rows.hint("merge").join(keep.hint("merge"), pair)  # the same plan at every size
+    once = rows.where("n = 1").select("row", "text")
+    if keep.where("n > 1").limit(1).count():
+        again.append(rows.where("n > 1"))
+    for part in again:  # pairs that repeat: the least row by its columns
+        once = once.unionByName(part.groupBy(*pair).agg(F.min(F.struct("text", "row")).alias("r")).select("r.row", "r.text"))
     return unpacked(once, docs, text_col)

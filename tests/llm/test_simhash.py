@@ -169,3 +169,17 @@ def test_a_group_of_many_copies(spark):
     rows = [(i, "the very same text for all of them") for i in range(400)] + [(900, "quite another text that has other words")]
     got = {r.id: r.component_id for r in near_duplicates(plain_docs(spark, rows)).collect()}
     assert got == {i: 0 for i in range(400)} | {900: 900}
+
+
+def test_one_row_of_each_component_stays_whatever_the_ids(spark, monkeypatch):
+    a, b, c, d = ("first text that has its own words entirely", "second text about quite other matters here",
+                  "third one with nothing in common at all", "fourth and last of these unrelated documents")
+    rows = [(None, a), (None, b), (3, b), (None, None), (4, ""), (5, c), (6, c), (2, d), (5, d), (7, a), (9, c), (9, "a fifth text under an id met before")] + [(None, b)] * 5
+    ids = [-(1 << 63) if i is None else i for i, _ in rows]
+    label = brute_components(range(len(rows)), [brute_fingerprint(t) for _, t in rows])
+    want = sorted(min((i, r[1] or "") for i, r, x in zip(ids, rows, label) if x == y) for y in set(label))
+    for hot in (500, 2):
+        monkeypatch.setattr(simhash, "HOT_ROWS", hot)
+        kept = drop_near_duplicates(plain_docs(spark, rows)).collect()
+        assert sorted((-(1 << 63) if r.doc_id is None else r.doc_id, r.text or "") for r in kept) == want
+    assert len(want) == len(set(label)) == 6
