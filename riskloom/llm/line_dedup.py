@@ -2,10 +2,13 @@
 
 An index keeps, in a shared folder:
 
-* ``log``: the exact references, one row (shard, key, doc, sign) for each line
-  key of each inserted (+1) or deleted (-1) document, by epoch;
+* ``log``: the exact references, one row (key, doc, sign) for each line key of
+  each inserted (+1) or deleted (-1) document, by epoch;
 * ``filters``: for each shard a chain of cuckoo filters with one fingerprint
-  for each live key.
+  for each live key, by epoch;
+* ``commits``: one small file for each epoch. It comes last, and never replaces
+  another: an epoch without one doesn't count, and a later job goes on after the
+  last one that has one.
 
 An insert probes its keys in the filters; only those that may be known are
 looked up in the exact table, and keys that are new get a fingerprint. A delete
@@ -18,8 +21,10 @@ documents share is one row there.
 from __future__ import annotations
 
 import hashlib
+import json
 import math
 import struct
+import uuid
 
 import numpy as np
 import pandas as pd
@@ -166,23 +171,69 @@ class LineIndex:
     Null and empty texts have no keys. A null id counts as the least id. Rows
     with an id already inserted add their lines to that document; one delete
     of the same rows takes back one insert. Empty tables change nothing.
+
+    A path with an index is opened as its last commit left it. shards is the
+    number to begin with; it grows with the lines, and the filters are dealt
+    again. Of several jobs that write one epoch the first commit holds, the
+    others get an error and change nothing.
     """
 
-    LOG = "shard int, key binary, doc long, sign int"
+    LOG = "key binary, doc long, sign int"
     FILTERS = "shard int, body binary, epoch int"
+    #: lines: those of all documents, at least the number of keys; base: the first epoch whose filters have these shards.
+    COMMIT = "epoch int, folder string, sign int, shards int, lines long, base int"
 
     def __init__(self, spark, path: str | None = None, shards: int | None = None):
-        self.spark, self.path, self.shards, self.epoch, self.deletes = spark, path or fresh_path(spark, "line-index"), shards, 0, False
+        self.spark, self.path, self.shards, self.lines, self.base = spark, path or fresh_path(spark, "line-index"), shards, 0, 0
+        self.commits = self._committed() if path else []
+        if self.commits:
+            self.shards, self.lines, self.base = self.commits[-1]["shards"], self.commits[-1]["lines"], self.commits[-1]["base"]
+
+    @property
+    def epoch(self) -> int:
+        return len(self.commits)
+
+    @property
+    def deletes(self) -> bool:
+        return any(c["sign"] < 0 for c in self.commits)
+
+    def _hadoop(self, *names: str):
+        """Hadoop's classes, its settings and the path of a name in the index."""
+        hadoop = self.spark._jvm.org.apache.hadoop.fs
+        return hadoop, self.spark._jsc.hadoopConfiguration(), hadoop.Path("/".join([self.path, *names]))
+
+    def _committed(self) -> list[dict]:
+        _, conf, folder = self._hadoop("commits")
+        if not folder.getFileSystem(conf).exists(folder):
+            return []
+        rows = self.spark.read.schema(self.COMMIT).json(f"{self.path}/commits/*.json").collect()  # one row for each epoch
+        commits = sorted((r.asDict() for r in rows), key=lambda c: c["epoch"])
+        if [c["epoch"] for c in commits] != list(range(len(commits))):
+            raise RuntimeError(f"{self.path} lacks some of its commits")
+        return commits
+
+    def _commit(self, commit: dict) -> None:
+        hadoop, conf, draft = self._hadoop("commits", f"_{commit['folder']}")
+        out = draft.getFileSystem(conf).create(draft)
+        out.write(bytearray(json.dumps(commit).encode()))
+        out.close()
+        final = self._hadoop("commits", f"{commit['epoch']}.json")[2]
+        whole = draft.getFileSystem(conf).makeQualified(draft)
+        hadoop.FileContext.getFileContext(whole.toUri(), conf).rename(draft, final, self.spark.sparkContext._gateway.new_array(getattr(hadoop, "Options$Rename"), 0))  # fails where a file is
+        self.commits.append(commit)
+
+    def _folders(self, kind: str, first: int = 0) -> list[str]:
+        return [f"{self.path}/{kind}/{c['folder']}" for c in self.commits[first:]]
 
     def _log(self) -> DataFrame:
         if not self.epoch:
             return self.spark.createDataFrame([], self.LOG)
-        return self.spark.read.schema(self.LOG).parquet(*[f"{self.path}/log/{e}" for e in range(self.epoch)])
+        return self.spark.read.schema(self.LOG).parquet(*self._folders("log"))
 
     def _filters(self) -> DataFrame:
-        if not self.epoch:
+        if self.base == self.epoch:
             return self.spark.createDataFrame([], "shard int, body binary")
-        rows = self.spark.read.schema(self.FILTERS).parquet(*[f"{self.path}/filters/{e}" for e in range(self.epoch)])
+        rows = self.spark.read.schema(self.FILTERS).parquet(*self._folders("filters", self.base))
         return rows.groupBy("shard").agg(F.max_by("body", "epoch").alias("body"))
 
     def _shard(self):
@@ -199,7 +250,7 @@ class LineIndex:
             return self.references().where("n_docs > 1").select("key", "keeper", F.col("n_docs").alias("n"))
         return self._log().groupBy("key").agg(F.min("doc").alias("keeper"), F.max("doc").alias("last"), F.count("*").alias("n")).where("keeper < last").select("key", "keeper", "n")
 
-    def _update(self, keys: DataFrame, add: bool) -> None:
+    def _update(self, keys: DataFrame, add: bool, folder: str) -> None:
         """A new version of the filters of the shards that own these keys (distinct, one row each)."""
         epoch = self.epoch
 
@@ -213,7 +264,7 @@ class LineIndex:
 
         hashed = keys.select(self._shard(), F.xxhash64("key", F.lit(7)).alias("h"))
         hashed.groupBy("shard").cogroup(self._filters().groupBy("shard")).applyInPandas(change, self.FILTERS) \
-            .write.mode("overwrite").parquet(f"{self.path}/filters/{epoch}")
+            .write.parquet(f"{self.path}/filters/{folder}")
 
     def _unknown(self, keys: DataFrame) -> DataFrame:
         """Those of these distinct keys that no document in the index holds."""
@@ -233,30 +284,41 @@ class LineIndex:
         known = self._log().join(maybe, "key", "left_semi").groupBy("key", "doc").agg(F.sum("sign").alias("n")).where("n > 0").select("key").distinct()
         return probed.where("not maybe").select("key").union(maybe.join(known, "key", "left_anti"))
 
-    def _append(self, docs: DataFrame, sign: int, id_col: str, text_col: str) -> DataFrame:
-        entries = line_entries(docs, id_col, text_col)
-        if self.shards is None:
-            lines = docs.agg(F.sum(F.length(text_col) - F.length(F.replace(F.col(text_col), F.lit("\n"), F.lit(""))) + 1)).first()[0]
-            self.shards = max(8, math.ceil((lines or 0) / KEYS_PER_SHARD))
-        path = f"{self.path}/log/{self.epoch}"
-        entries.select(self._shard(), "key", "doc", F.lit(sign).alias("sign")).write.mode("overwrite").parquet(path)
-        return self.spark.read.schema(self.LOG).parquet(path)
+    def _change(self, docs: DataFrame, sign: int, id_col: str, text_col: str) -> LineIndex:
+        lines = docs.agg(F.sum(F.length(text_col) - F.length(F.replace(F.col(text_col), F.lit("\n"), F.lit(""))) + 1)).first()[0] or 0
+        before = self.shards, self.lines, self.base
+        try:
+            self.lines = max(0, self.lines + sign * lines)
+            wanted = max(8, math.ceil(self.lines / KEYS_PER_SHARD))
+            outgrown = self.shards is not None and wanted > 2 * max(4, self.shards)
+            if outgrown or self.shards is None:
+                self.shards, self.base = wanted, self.epoch
+            folder = f"{self.epoch}-{uuid.uuid4().hex}"
+            path = f"{self.path}/log/{folder}"
+            line_entries(docs, id_col, text_col).select("key", "doc", F.lit(sign).alias("sign")).write.parquet(path)
+            rows = self.spark.read.schema(self.LOG).parquet(path)
+            keys = rows.select("key").groupBy("key").agg(F.lit(1)).select("key")
+            if sign < 0:
+                every = self._log().unionByName(rows).join(keys, "key", "left_semi").groupBy("key", "doc").agg(F.sum("sign").alias("n"))
+                keys = every.groupBy("key").agg(F.max("n").alias("n")).where("n <= 0").select("key")
+            elif outgrown and self.epoch:  # all live keys, into filters of the new shards
+                every = self._log().unionByName(rows).groupBy("key", "doc").agg(F.sum("sign").alias("n"))
+                keys = every.where("n > 0").select("key").distinct()
+            else:
+                keys = self._unknown(keys)
+            self._update(keys, sign > 0, folder)
+            self._commit({"epoch": self.epoch, "folder": folder, "sign": sign, "shards": self.shards, "lines": self.lines, "base": self.base})
+        except BaseException:
+            self.shards, self.lines, self.base = before
+            raise
+        return self
 
     def insert(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> LineIndex:
-        rows = self._append(docs, 1, id_col, text_col)
-        self._update(self._unknown(rows.select("key").groupBy("key").agg(F.lit(1))), add=True)
-        self.epoch += 1
-        return self
+        return self._change(docs, 1, id_col, text_col)
 
     def delete(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> LineIndex:
         """Takes documents that were inserted, with the same texts, out again."""
-        rows = self._append(docs, -1, id_col, text_col)
-        touched = rows.select("key").groupBy("key").agg(F.lit(1)).select("key")
-        every = self._log().unionByName(rows).join(touched, "key", "left_semi").groupBy("key", "doc").agg(F.sum("sign").alias("n"))
-        gone = every.groupBy("key").agg(F.max("n").alias("n")).where("n <= 0").select("key")
-        self._update(gone, add=False)
-        self.epoch, self.deletes = self.epoch + 1, True
-        return self
+        return self._change(docs, -1, id_col, text_col)
 
     def keep_first(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """Rows of docs without lines that a smaller document holds: row, id, text, n_lines, n_dropped.

@@ -2,6 +2,7 @@ import hashlib
 from collections import defaultdict
 
 import numpy as np
+import pytest
 
 from riskloom.llm import line_dedup
 from riskloom.llm.line_dedup import CuckooFilter, CuckooTable, LineIndex, dedup_lines
@@ -95,3 +96,30 @@ def test_a_line_in_every_document(spark):
     rows = [(i, f"copyright notice of all\nown text of number {i}") for i in range(500)]
     docs = plain_docs(spark, rows).repartition(6)
     assert result(LineIndex(spark).insert(docs).keep_first(docs)) == brute(rows)
+
+
+def test_an_index_is_opened_again(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(line_dedup, "KEYS_PER_SHARD", 4)
+    a = [(10, "a line of some length\nmine only, number ten"), (11, "a line of some length\nshared line number two")]
+    b = [(i, f"A LINE of some length\nshared line number two\nown line of number {i}") for i in range(20, 60)]
+    c = [(5, "mine only, number ten\nown line of number 33")]
+    da, db, dc = (plain_docs(spark, x) for x in (a, b, c))
+    path = str(tmp_path / "index")
+    LineIndex(spark, path).insert(da)
+    second, late = LineIndex(spark, path), LineIndex(spark, path)
+    assert (second.epoch, second.shards, second.deletes) == (1, 8, False)
+    second.insert(db)  # outgrows the shards
+    assert result(second.keep_first(db)) == brute(a + b, b)
+    with pytest.raises(Exception, match="exist"):
+        late.insert(dc)  # that epoch is taken
+    assert (late.epoch, late.shards) == (1, 8)
+    third = LineIndex(spark, path)
+    assert third.epoch == 2 and third.shards == second.shards > 16
+    held = {r.shard: CuckooFilter(bytes(r.body)) for r in third._filters().collect()}
+    keys = third.references().select("key", third._shard(), line_dedup.F.xxhash64("key", line_dedup.F.lit(7)).alias("h")).collect()
+    assert len(held) > 8 and len(keys) == 43 and all(held[r.shard].holds(np.array([r.h]).view(np.uint64))[0] for r in keys)
+    third.insert(dc)
+    LineIndex(spark, path).delete(da)
+    last = LineIndex(spark, path)
+    assert last.deletes and last.epoch == 4 and result(last.keep_first(db.union(dc))) == brute(b + c)
+    assert result(LineIndex(spark, path).delete(dc).keep_first(db)) == brute(b)
