@@ -88,22 +88,46 @@ def document_frequency(texts: DataFrame) -> tuple[int, np.ndarray]:
     return got.get(-1, 0), np.array([got.get(t, 0) for t in range(TERMS)], np.int64)
 
 
+#: Unit vectors are rounded to multiples of 1 / GRID: sums of their products stay whole numbers under 2 ** 53, alike in any order.
+GRID = 1 << 25
+#: Texts whose votes are counted at once.
+VOTE_ROWS = 64
+#: Cosines are rounded to multiples of 1 / COSINES.
+COSINES = 1 << 30
+
+
+def on_grid(rows: np.ndarray) -> np.ndarray:
+    return np.rint(rows.astype(np.float64) * GRID)
+
+
 class Votes:
-    """Labelled latent vectors, and the vote of those nearest to a text."""
+    """Labelled latent vectors, in the order of their ids, and the vote of those nearest to a text.
+
+    A text's score depends on nothing but the text: not on the others of its
+    block. Of equal cosines the smaller id is nearer.
+    """
 
     def __init__(self, counts: np.ndarray, labels: np.ndarray, documents: int, frequency: np.ndarray, prior: float):
         self.idf = (np.log((1 + documents) / (1 + frequency)) + 1).astype(np.float32)
         weighted = unit(counts * self.idf)
         self.axes = np.linalg.svd(weighted, full_matrices=False)[2][:DIMENSIONS].T.astype(np.float32) if len(counts) else np.zeros((TERMS, 1), np.float32)
-        self.vectors, self.labels, self.prior = unit(weighted @ self.axes).astype(np.float32), labels.astype(np.float32), prior
+        self.vectors, self.labels, self.prior = self.latent(counts).astype(np.float32), labels.astype(np.float32), prior
+
+    def latent(self, counts: np.ndarray) -> np.ndarray:
+        """Unit vectors of texts in the latent space."""
+        return unit(on_grid(unit(counts * self.idf)) @ on_grid(self.axes))
 
     def __call__(self, counts: np.ndarray) -> np.ndarray:
         if not len(self.labels):
             return np.full(len(counts), self.prior)
-        cosine = unit(unit(counts * self.idf) @ self.axes) @ self.vectors.T
-        k = min(NEIGHBOURS, len(self.labels))
-        near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
-        weight = np.maximum(np.take_along_axis(cosine, near, 1), 0).astype(np.float64)
+        return np.concatenate([self._vote(counts[a:a + VOTE_ROWS]) for a in range(0, max(1, len(counts)), VOTE_ROWS)])
+
+    def _vote(self, counts: np.ndarray) -> np.ndarray:
+        cosine = np.rint(on_grid(self.latent(counts)) @ on_grid(self.vectors).T * (COSINES / GRID / GRID))
+        n = len(self.labels)
+        k = min(NEIGHBOURS, n)
+        near = np.argpartition(np.arange(n) - cosine * n, k - 1, axis=1)[:, :k]  # no two are equal
+        weight = np.maximum(np.take_along_axis(cosine, near, 1), 0)
         total = weight.sum(1)
         vote = (weight * self.labels[near]).sum(1) / np.where(total > 0, total, 1)
         return np.clip(np.where(total > 0, vote, self.prior), 0, 1)
@@ -146,9 +170,9 @@ def score(docs: DataFrame, votes: Votes, id_col: str = "doc_id", text_col: str =
     """row (the other columns), id, text, score of every whole text, from 0 to 1.
 
     A text without terms (null, empty, under three bytes) or without any similar
-    label has the share of label 1 among the labels. Equal texts score alike up
-    to the rounding of a product. Rows come out once each, repeated ones too; no
-    row moves.
+    label has the share of label 1 among the labels. Equal texts score exactly
+    alike, however the rows are dealt. Rows come out once each, repeated ones too;
+    no row moves.
     """
     rows = packed(docs, id_col, text_col)
     shared = docs.sparkSession.sparkContext.broadcast(votes)

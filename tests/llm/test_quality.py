@@ -76,3 +76,24 @@ def test_equal_texts_score_alike(spark):
     docs, labels = tables(spark)
     got = quality.score(docs, quality.fit(docs, labels)).toPandas()
     assert (got.groupby("text").score.agg(lambda s: s.max() - s.min()) < 0.08).all()
+
+
+def test_equal_texts_score_exactly_alike_in_every_block():
+    docs, labels = read(SF_MID, "documents"), read(SF_MID, "labels").set_index("doc_id").quality
+    counts = quality.term_counts(__import__("pyarrow").array(docs.text.tolist()))
+    known = docs.doc_id.isin(labels.index).to_numpy()
+    learned, truth = counts[known][:300], labels.loc[docs.doc_id[known][:300]].to_numpy()
+    # each labelled vector three times, under both labels: ties at the last neighbour are the rule
+    votes = quality.Votes(np.repeat(learned, 3, 0), np.stack([truth, 1 - truth, truth], 1).ravel(), len(counts), (counts > 0).sum(0), 0.5)
+    counts = counts[:300]
+    whole = votes(counts)
+    for size in (1, 7, 100):
+        assert np.concatenate([votes(counts[a:a + size]) for a in range(0, len(counts), size)]).tolist() == whole.tolist()
+    turn = np.random.default_rng(3).permutation(len(counts))
+    assert votes(counts[turn]).tolist() == whole[turn].tolist()
+    # labelled copies of a text among others: the 15 of least id vote on it
+    mixed = learned.copy()
+    mixed[np.random.default_rng(4).permutation(300)[:40]] = learned[0]
+    voters = np.flatnonzero((mixed == learned[0]).all(1))[:quality.NEIGHBOURS]
+    votes = quality.Votes(mixed, np.isin(np.arange(300), voters).astype(np.int64), len(docs), (mixed > 0).sum(0), 0.5)
+    assert votes(learned[:1]).tolist() == [1.0]
