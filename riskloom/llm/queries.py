@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import bpe, decontaminate, fingerprints, line_dedup, quality, sharding, simhash, substring_dedup, token_counts, warc
+from . import bpe, decontaminate, fingerprints, hard_negatives, line_dedup, pieces, quality, sharding, simhash, spelling, substring_dedup, token_counts, warc
 from ._tables import NULL_ID
 
 N_SHARDS = 40
@@ -74,7 +74,26 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.nullif("id", null_id).alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.nullif("component_id", null_id).alias("component_id"))
 
 
-Q = {f.__name__: f for f in (op1_sharding, op2_token_counts, op3_bpe, op4_line_dedup, op5_substring_dedup, op6_document_fingerprints, op7_warc, op8_decontamination, op9_quality_classifier, op10_simhash_near_dedup)} | {"pipeline": corpus_pipeline.run}
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every hundredth vector against all: labels of every seventh are shifted by one, components are 256ths."""
+    vecs = _table(spark, sf_dir, "embeddings")
+    finite = F.forall("embedding", lambda x: ~F.isnan(x) & (F.abs(x) < float("inf")))
+    vecs = vecs.where(F.coalesce(finite, F.lit(False))).select(
+        "vec_id", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).alias("label"),
+        F.transform("embedding", lambda x: F.floor(x.cast("double") * 256)).alias("vector"))
+    return hard_negatives.mine(vecs, F.col("vec_id") % 100 == 0)
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_variants(spelling.count_words(_table(spark, sf_dir, "documents"), spelling.drop_letter(199)))
+
+
+def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.round_trip_digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+Q = {f.__name__: f for f in (op1_sharding, op2_token_counts, op3_bpe, op4_line_dedup, op5_substring_dedup, op6_document_fingerprints, op7_warc, op8_decontamination, op9_quality_classifier, op10_simhash_near_dedup,
+                             op11_hard_negatives, op12_spelling_variants, op13_sentencepiece)} | {"pipeline": corpus_pipeline.run}
 SQL: dict[str, str] = {}
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -121,3 +140,49 @@ words AS (SELECT doc_id, count(DISTINCT j) AS n_hit FROM (SELECT doc_id, unnest(
 met AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS items_sha256 FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hits) GROUP BY doc_id)
 SELECT d.doc_id, len(d.w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, coalesce(items_sha256, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM docs d LEFT JOIN words USING (doc_id) LEFT JOIN met USING (doc_id)"""
+
+SQL["op11_hard_negatives"] = """
+WITH vecs AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
+              FROM embeddings WHERE label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scores AS (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, list_inner_product(a.q, b.q)::BIGINT AS score
+           FROM vecs a JOIN vecs b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+positives AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM scores WHERE same
+              QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id)::INTEGER AS rank,
+       id AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN scores USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+QUALIFY rank <= 5"""
+
+
+def _crc_of_nibble(n: int) -> int:
+    for _ in range(4):
+        n = n >> 1 ^ (0xEDB88320 if n & 1 else 0)
+    return n
+
+
+#: CRC-32 over the hex digits of "id:run", the low digit of each byte first.
+SQL["op12_spelling_variants"] = f"""
+WITH RECURSIVE runs AS (
+    SELECT id, run, count(*) AS c
+    FROM (SELECT coalesce(doc_id::VARCHAR, '') AS id, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')), '{UPPER}', '{LOWER}') AS run FROM documents)
+    WHERE length(run) >= 6 GROUP BY ALL),
+tab AS (SELECT {[_crc_of_nibble(n) for n in range(16)]}::BIGINT[] AS t),
+hashed AS (
+    SELECT run, c, xor(4294967295, list_reduce([4294967295::BIGINT] || list_transform(range(1, length(hex(id || ':' || run)) + 1), lambda i:
+        (strpos('0123456789ABCDEF', substr(hex(id || ':' || run), (i + CASE WHEN i % 2 = 1 THEN 1 ELSE -1 END)::INT, 1)) - 1)::BIGINT),
+        lambda h, x: xor(h >> 4, t[(xor(h, x) & 15) + 1]))) AS h
+    FROM runs, tab),
+words AS (
+    SELECT word, sum(c)::BIGINT AS n
+    FROM (SELECT c, CASE WHEN h % 199 = 0 THEN substr(run, 1, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word FROM hashed)
+    WHERE length(word) >= 6 GROUP BY word HAVING sum(c) >= 5),
+cuts AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS cut FROM (SELECT *, unnest(range(1, length(word) + 1))::INT AS i FROM words)),
+shorter AS (SELECT DISTINCT a.word, a.n, b.word AS near, b.n AS near_n FROM cuts a JOIN words b ON a.cut = b.word),
+near AS (
+    SELECT a.word, a.n, b.word AS near, b.n AS near_n FROM cuts a JOIN cuts b ON a.cut = b.cut AND a.i = b.i AND a.word <> b.word
+    UNION ALL SELECT * FROM shorter UNION ALL SELECT near, near_n, word, n FROM shorter),
+best AS (SELECT word, near, near_n, count(*) OVER (PARTITION BY word) AS n_near FROM near QUALIFY row_number() OVER (PARTITION BY word ORDER BY near_n DESC, near) = 1),
+forms AS (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 5 * n THEN near END AS form, CASE WHEN near_n >= 5 * n THEN near_n END AS form_n
+          FROM words LEFT JOIN best USING (word)),
+chain AS (SELECT word, word AS root FROM words UNION ALL SELECT c.word, f.form FROM chain c JOIN forms f ON f.word = c.root WHERE f.form IS NOT NULL)
+SELECT f.*, c.root FROM forms f JOIN chain c USING (word) JOIN forms last ON last.word = c.root WHERE last.form IS NULL"""
