@@ -9,12 +9,13 @@ Plan shape (one logical plan, no driver loops):
   distinct transaction count is planned by Catalyst with the distinct key in
   the shuffle key, so a hot customer does not land in one task. Daily velocity
   (A7) is a two-level aggregate (customer, date) -> customer.
-* History features (W1-W3) need each customer's rows in time order. Rows are
-  keyed by ``(customer_id, _chunk)``: ordinary customers have one chunk, while a
-  customer with more than ``chunk_rows`` rows is split into time chunks. Each
-  chunk receives a 4-row halo (the last four rows before it), enough for the
-  lag and the 5-row rolling mean, so the windows stay exact. The join with the
-  customer table and all windows share one exchange on ``(customer_id, _chunk)``.
+* History features (W1-W3) and the aggregates as of each row need each
+  customer's rows in time order. They are one prefix scan over ordered parts
+  (``scan.ordered_parts``): a customer of up to ``chunk_rows`` rows is one
+  part, the rows of larger ones are range-partitioned by (customer, time, id),
+  so that neither a customer nor a burst of equal timestamps stays in one task.
+  Each part gets the four rows before it (enough for the lag and the 5-row
+  rolling mean) and, for running aggregates, the totals of the parts before it.
 """
 
 from __future__ import annotations
@@ -27,16 +28,15 @@ from pyspark.sql import functions as F
 from ..functions.expressions import (flag, address_mismatch, hour_bin, age_category,
                                      account_age_weeks, transaction_size, safe_div)
 from .quantiles import exact_quantiles
+from .scan import CHUNK, HALO, Parts, carry, ordered_parts
 
 TS = "transaction_date"
 AMT = "transaction_amount"
 CUST = "customer_id"
 TID = "transaction_id"
 
-# Rows above which one customer's history is split into time chunks.
+# Rows above which one customer's history is split into ordered parts.
 DEFAULT_CHUNK_ROWS = 2_000_000
-# Chunks over which the rows without a customer are spread.
-NULL_CHUNKS = 4096
 # Rows of history the windows look back (rolling mean of 5 including the current).
 ROLLING_ROWS = 5
 HALO_ROWS = ROLLING_ROWS - 1
@@ -59,32 +59,6 @@ class GlobalStats:
         return asdict(self)
 
 
-def _first_means(chunks: DataFrame) -> DataFrame:
-    w = Window.partitionBy(CUST).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    return chunks.withColumn("_first_mean", F.first("_c_mean", ignorenulls=True).over(w))
-
-
-def _prior_moments(before):
-    """Number, mean and squared deviations (n, mean, M2) of all earlier chunks, as _p_mean and _p_m2.
-
-    Chunk means enter as differences from the customer's first chunk mean, so
-    large amounts with a small spread keep their digits.
-    """
-    n, first = F.col("_c_n").cast("double"), F.col("_first_mean")
-    gap = F.coalesce(F.col("_c_mean") - first, F.lit(0.0))
-    total, shift = F.sum(n).over(before), F.sum(n * gap).over(before)
-    inside = F.sum(F.coalesce("_c_m2", F.lit(0.0))).over(before)
-    return [(first + F.try_divide(shift, total)).alias("_p_mean"),
-            F.coalesce(inside + F.sum(n * gap * gap).over(before) - F.try_divide(shift * shift, total), F.lit(0.0)).alias("_p_m2")]
-
-
-def _merged_m2():
-    """M2 of the earlier chunks and the running rows together (pairwise merge)."""
-    a, b = F.col("_p_n").cast("double"), F.coalesce(F.col("_r_n"), F.lit(0)).cast("double")
-    gap = F.coalesce(F.col("_p_mean") - F.col("_r_mean"), F.lit(0.0))
-    return F.col("_p_m2") + F.coalesce(F.col("_r_m2"), F.lit(0.0)) + F.coalesce(F.try_divide(a * b, a + b), F.lit(0.0)) * gap * gap
-
-
 def global_stats_frame(df: DataFrame, approx: bool = False, accuracy: int = 100_000,
                        with_count: bool = False) -> DataFrame:
     """A1 as a one-row DataFrame.
@@ -163,33 +137,23 @@ def daily_velocity(df: DataFrame) -> DataFrame:
 
 
 def customer_aggregates(df: DataFrame, with_velocity: bool = False) -> DataFrame:
-    """A2-A4 (and A7) plus row count and time span (used to plan history chunks).
-
-    One partially aggregated ``groupBy``. The only true distinct count is the
-    transaction id (planned with the id in the shuffle key, so no task holds a
-    whole hot customer). Category diversity and the number of active days use
-    sets whose size is bounded by the category domain and the calendar, not by
-    the row count. A7 = rows with a date / distinct dates = the mean of the
-    daily counts over active days.
+    """A2-A4 (and A7) plus the row count, which plans the history parts.
+
+    One aggregate with plain and distinct counts: Catalyst deals the rows of
+    each distinct column by (customer, value), merged map-side, so no task
+    holds a whole hot customer and no buffer holds a set. A7 = rows with a
+    date / distinct dates = the mean of the daily counts over active days.
     """
     aggs = [F.countDistinct(TID).alias("total_customer_transactions"),
             F.avg(AMT).alias("avg_customer_transaction"),
             F.stddev_samp(AMT).alias("std_customer_transaction"),
             F.max(AMT).alias("max_customer_transaction"),
-            F.size(F.collect_set("product_category")).cast("bigint").alias("product_category_diversity"),
-            F.count(F.lit(1)).alias("_n_rows"),
-            F.min(TS).alias("_ts_min"),
-            F.max(TS).alias("_ts_max")]
-    if with_velocity:
-        aggs += [F.count(TS).alias("_n_dated"),
-                 F.size(F.collect_set(F.to_date(TS))).alias("_n_days")]
-    out = df.where(F.col(CUST).isNotNull()).groupBy(CUST).agg(*aggs)
+            F.countDistinct("product_category").alias("product_category_diversity"),
+            F.count(F.lit(1)).alias("_n_rows")]
     if with_velocity:
-        out = (out.withColumn("avg_daily_transaction_velocity",
-                              F.try_divide(F.col("_n_dated").cast("double"),
-                                           F.col("_n_days").cast("double")))
-               .drop("_n_dated", "_n_days"))
-    return out
+        aggs.append(F.try_divide(F.count(TS).cast("double"), F.countDistinct(F.to_date(TS)).cast("double"))
+                    .alias("avg_daily_transaction_velocity"))
+    return df.where(F.col(CUST).isNotNull()).groupBy(CUST).agg(*aggs)
 
 
 def customer_table(df: DataFrame) -> DataFrame:
@@ -202,168 +166,97 @@ CUSTOMER_COLUMNS = ["total_customer_transactions", "avg_customer_transaction",
                     "product_category_diversity", "avg_daily_transaction_velocity"]
 
 
-def _order(desc: bool = False):
-    if desc:
-        return [F.col(TS).desc_nulls_first(), F.col(TID).desc_nulls_first()]
+def _order():
     return [F.col(TS).asc_nulls_last(), F.col(TID).asc_nulls_last()]
 
 
-def _chunk_expr() -> "F.Column":
-    """Chunk of a row of a hot customer: equal time slices of its span."""
-    n = F.col("_n_chunks")
-    span = F.expr("timestampdiff(MICROSECOND, _ts_min, _ts_max)").cast("double")
-    pos = F.expr(f"timestampdiff(MICROSECOND, _ts_min, {TS})").cast("double")
-    raw = F.floor(F.try_divide(pos, span) * n)
-    c = F.least(F.coalesce(raw, n - 1), n - 1)
-    c = F.when(F.col(TS).isNull(), n - 1).otherwise(c)
-    return F.when(n.isNull(), F.lit(0)).otherwise(c.cast("int"))
+def _first_ids(df: DataFrame) -> DataFrame:
+    """A transaction id counts once, at its first occurrence for the customer."""
+    return df.withColumn("_first_id", (F.row_number().over(Window.partitionBy(CUST, TID).orderBy(*_order())) == 1).cast("long"))
 
 
-def _past_columns(j: DataFrame, w) -> DataFrame:
-    """A2-A4/A7 as of each row (history='past') on rows keyed by
-    (customer_id, _chunk) that carry halo rows.
+def _as_of(parts: Parts) -> DataFrame:
+    """A2-A4 and A7 as of each row (CUSTOMER_COLUMNS), on ordered parts with _first_id.
 
-    Running aggregates over the window skip halo rows; the halo makes the
-    first row of a chunk see its true previous row, so a day split across
-    chunks is counted once. Each chunk adds the totals of the chunks before it
-    (a per-chunk prefix table joined on the same key). Exact decimal sums keep
-    the results independent of chunking.
+    Running aggregates inside a part skip the rows before it, which only tell
+    whether its first row starts a new day; the totals of the parts before it
+    are carried in. Exact decimal sums keep the results independent of the cuts.
     """
-    real = F.col("_halo") == 0
-    amt = F.col(AMT)
-    dec = amt.cast("decimal(38,10)")
+    real, amt, day = F.col(HALO) == 0, F.col(AMT), F.to_date(TS)
+    w = Window.partitionBy(CUST, CHUNK).orderBy(*_order())
     run = w.rowsBetween(Window.unboundedPreceding, 0)
-    day = F.to_date(TS)
     new_day = (F.when(day.isNull(), 0)
                .when(F.coalesce(F.lag(day).over(w) != day, F.lit(True)), 1).otherwise(0))
-    x = (j.withColumn("_new_day", new_day)
-         .withColumn("_r_ids", F.sum(F.when(real, F.col("_first_id"))).over(run))
-         .withColumn("_r_n", F.count(F.when(real, amt)).over(run))
-         .withColumn("_r_s", F.sum(F.when(real, dec)).over(run))
-         .withColumn("_r_m2", F.var_pop(F.when(real, amt)).over(run) * F.col("_r_n"))
-         .withColumn("_r_mean", F.avg(F.when(real, amt)).over(run))
-         .withColumn("_r_max", F.max(F.when(real, amt)).over(run))
-         .withColumn("_r_cats", F.collect_set(F.when(real, F.col("product_category"))).over(run))
-         .withColumn("_r_dated", F.count(F.when(real, F.col(TS))).over(run))
-         .withColumn("_r_days", F.sum(F.when(real, F.col("_new_day"))).over(run)))
-    chunks = (x.where(real & F.col(CUST).isNotNull()).groupBy(CUST, "_chunk")
-              .agg(F.sum("_first_id").alias("_c_ids"), F.count(amt).alias("_c_n"),
-                   F.sum(dec).alias("_c_s"), F.avg(amt).alias("_c_mean"),
-                   (F.var_pop(amt) * F.count(amt)).alias("_c_m2"),
-                   F.max(amt).alias("_c_max"), F.collect_set("product_category").alias("_c_cats"),
-                   F.count(TS).alias("_c_dated"), F.sum("_new_day").alias("_c_days")))
-    wc = Window.partitionBy(CUST).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    carry = _first_means(chunks).select(
-        CUST, "_chunk",
-        F.coalesce(F.sum("_c_ids").over(wc), F.lit(0)).alias("_p_ids"),
-        F.coalesce(F.sum("_c_n").over(wc), F.lit(0)).alias("_p_n"),
-        F.coalesce(F.sum("_c_s").over(wc), F.lit(0).cast("decimal(38,10)")).alias("_p_s"),
-        *_prior_moments(wc),
-        F.max("_c_max").over(wc).alias("_p_max"),
-        F.coalesce(F.array_distinct(F.flatten(F.collect_list("_c_cats").over(wc))),
-                   F.array().cast("array<string>")).alias("_p_cats"),
-        F.coalesce(F.sum("_c_dated").over(wc), F.lit(0)).alias("_p_dated"),
-        F.coalesce(F.sum("_c_days").over(wc), F.lit(0)).alias("_p_days"))
-    y = x.join(carry, [CUST, "_chunk"], "left")
-    n = F.col("_p_n") + F.coalesce(F.col("_r_n"), F.lit(0))
-    ssum = F.col("_p_s") + F.coalesce(F.col("_r_s"), F.lit(0).cast("decimal(38,10)"))
-    var = F.try_divide(_merged_m2(), (n - 1).cast("double"))
-    days = F.col("_p_days") + F.coalesce(F.col("_r_days"), F.lit(0))
+    x = parts.rows.withColumn("_dec", F.when(real, amt).cast("decimal(38,10)")).withColumn("_new_day", F.when(real, new_day).cast("long"))
+    own = {c: F.when(real, F.col(c)) for c in (AMT, TS, "product_category", "_first_id")}
+    x = x.withColumns({"_r_ids": F.sum(own["_first_id"]).over(run), "_r_n": F.count(own[AMT]).over(run),
+                       "_r_s": F.sum("_dec").over(run), "_r_mean": F.avg(own[AMT]).over(run),
+                       "_r_m2": F.var_pop(own[AMT]).over(run) * F.count(own[AMT]).over(run),
+                       "_r_max": F.max(own[AMT]).over(run), "_r_cats": F.collect_set(own["product_category"]).over(run),
+                       "_r_dated": F.count(own[TS]).over(run), "_r_days": F.sum("_new_day").over(run)})
+    totals = {"ids": F.sum("_first_id"), "n": F.count(amt), "s": F.sum("_dec"), "mean": F.avg(amt),
+              "m2": F.var_pop(amt) * F.count(amt), "max": F.max(amt), "cats": F.collect_set("product_category"),
+              "dated": F.count(TS), "days": F.sum("_new_day")}
+    if parts.borders is None:  # every customer is one part: nothing comes before
+        types = {"s": "decimal(38,10)", "mean": "double", "m2": "double", "max": "double", "cats": "array<string>"}
+        y = x.withColumns({f"_p_{c}": F.lit(None).cast(types.get(c, "long")) for c in totals})
+    else:  # a row for each border: within the bound of the parts
+        split = x.where(real).join(F.broadcast(parts.borders), [CUST, CHUNK], "left_semi")
+        y = x.join(F.broadcast(carry(split, CUST, totals)), [CUST, CHUNK], "left")
+    zero = F.lit(0).cast("long")
+    both = lambda c: F.coalesce(f"_p_{c}", zero) + F.coalesce(f"_r_{c}", zero)
+    n = both("n")
+    ssum = F.coalesce("_p_s", F.lit(0).cast("decimal(38,10)")) + F.coalesce("_r_s", F.lit(0).cast("decimal(38,10)"))
+    # moments of the parts before and of the running rows, merged pairwise
+    a, b = F.coalesce("_p_n", zero).cast("double"), F.coalesce("_r_n", zero).cast("double")
+    gap = F.coalesce(F.col("_p_mean") - F.col("_r_mean"), F.lit(0.0))
+    m2 = F.coalesce("_p_m2", F.lit(0.0)) + F.coalesce("_r_m2", F.lit(0.0)) + F.coalesce(F.try_divide(a * b, a + b), F.lit(0.0)) * gap * gap
+    cats = F.array_distinct(F.concat(F.coalesce("_p_cats", F.array().cast("array<string>")), "_r_cats"))
     has = F.col(CUST).isNotNull()
     y = y.withColumns({
-        "total_customer_transactions": F.when(has, F.col("_p_ids") + F.coalesce(F.col("_r_ids"), F.lit(0))),
+        "total_customer_transactions": F.when(has, both("ids")),
         "avg_customer_transaction": F.when(has, F.try_divide(ssum, n).cast("double")),
-        "std_customer_transaction": F.when(has & (n > 1), F.sqrt(F.greatest(var, F.lit(0.0)))),
-        "max_customer_transaction": F.when(has, F.greatest(F.col("_p_max"), F.col("_r_max"))),
-        "product_category_diversity": F.when(has, F.size(F.array_distinct(
-            F.concat("_p_cats", "_r_cats"))).cast("bigint")),
-        "avg_daily_transaction_velocity": F.when(has, F.try_divide(
-            (F.col("_p_dated") + F.col("_r_dated")).cast("double"), days.cast("double"))),
+        "std_customer_transaction": F.when(has & (n > 1), F.sqrt(F.greatest(F.try_divide(m2, (n - 1).cast("double")), F.lit(0.0)))),
+        "max_customer_transaction": F.when(has, F.greatest("_p_max", "_r_max")),
+        "product_category_diversity": F.when(has, F.size(cats).cast("bigint")),
+        "avg_daily_transaction_velocity": F.when(has, F.try_divide(both("dated").cast("double"), both("days").cast("double"))),
     })
-    return y.drop(*[c for c in y.columns if c.startswith(("_r_", "_p_", "_c_"))], "_new_day")
+    return y.drop(*[c for c in y.columns if c.startswith(("_r_", "_p_"))], "_new_day", "_dec", "_first_id")
 
 
 def history_features(df: DataFrame, cust: DataFrame,
                      chunk_rows: int = DEFAULT_CHUNK_ROWS,
                      has_hot: bool | None = None, history: str = "all") -> DataFrame:
-    """J1 + W1-W3 over rows keyed by (customer_id, _chunk).
+    """J1 + W1-W3 over ordered parts of each customer's rows.
 
-    ``cust`` is ``customer_table(df)``. ``has_hot`` skips the halo branch when
-    it is known that no customer exceeds ``chunk_rows`` (None: check it).
-    ``history='past'`` replaces the full-history customer aggregates by their
-    value as of each row (leak-free); ``'all'`` is the reference's behaviour.
+    ``cust`` is ``customer_table(df)``. ``has_hot`` skips the split of large
+    customers when it is known that no customer exceeds ``chunk_rows`` (None:
+    check it). ``history='past'`` replaces the full-history customer aggregates
+    by their value as of each row (leak-free); ``'all'`` is the reference's behaviour.
+    Rows equal in customer, time and id have no defined order among them.
     """
     if history == "past":
-        # a transaction id counts once, at its first occurrence for the customer
-        w_id = Window.partitionBy(CUST, TID).orderBy(*_order())
-        df = df.withColumn("_first_id", (F.row_number().over(w_id) == 1).cast("long"))
-    hot = (cust.where(F.col("_n_rows") > chunk_rows)
-           .select(CUST, F.ceil(F.col("_n_rows") / F.lit(chunk_rows)).cast("int").alias("_n_chunks"),
-                   "_ts_min", "_ts_max"))
-    if has_hot is None:
-        has_hot = hot.limit(1).count() > 0
-
-    if has_hot:
-        # The hot table has at most (total rows / chunk_rows) rows: a proven
-        # bound, so broadcasting it is safe at any input size.
-        rows = (df.join(F.broadcast(hot), CUST, "left")
-                .withColumn("_chunk", _chunk_expr())
-                .withColumn("_halo", F.lit(0))
-                .withColumn("_hot", F.col("_n_chunks").isNotNull())
-                .drop("_n_chunks", "_ts_min", "_ts_max"))
-        # Last HALO_ROWS rows of every chunk of a hot customer ...
-        w_tail = Window.partitionBy(CUST, "_chunk").orderBy(*_order(desc=True))
-        tails = (rows.where(F.col("_hot"))
-                 .select(CUST, "_chunk", TS, TID, AMT)
-                 .withColumn("_rn", F.row_number().over(w_tail))
-                 .where(F.col("_rn") <= HALO_ROWS))
-        # ... and, for each chunk, the HALO_ROWS rows right before it. The tail
-        # table holds at most HALO_ROWS rows per chunk, so this per-customer
-        # window is small even for the hottest customer.
-        w_cust = Window.partitionBy(CUST).orderBy(F.col("_chunk"), *_order())
-        halo = (tails
-                .withColumn("_prev", F.collect_list(F.struct(TS, TID, AMT))
-                            .over(w_cust.rowsBetween(-HALO_ROWS, -1)))
-                .withColumn("_first", F.coalesce(F.lag("_chunk").over(w_cust) != F.col("_chunk"),
-                                                 F.lit(True)))
-                .where(F.col("_first") & (F.col("_chunk") > 0))
-                .select(CUST, "_chunk", F.explode("_prev").alias("_p"))
-                .select(CUST, "_chunk", F.col("_p")[TS].alias(TS), F.col("_p")[TID].alias(TID),
-                        F.col("_p")[AMT].alias(AMT), F.lit(1).alias("_halo")))
-        rows = rows.drop("_hot").unionByName(halo, allowMissingColumns=True)
-        cust_x = (cust.join(F.broadcast(hot.select(CUST, "_n_chunks")), CUST, "left")
-                  .withColumn("_chunk", F.explode(F.sequence(
-                      F.lit(0), F.coalesce(F.col("_n_chunks"), F.lit(1)) - 1)))
-                  .drop("_n_chunks"))
-    else:
-        rows = df.withColumn("_chunk", F.lit(0)).withColumn("_halo", F.lit(0))
-        cust_x = cust.withColumn("_chunk", F.lit(0))
-
-    # rows without a customer have constant history features: spread them, no order needed
-    rows = rows.withColumn("_chunk", F.when(F.col(CUST).isNull(), F.pmod(F.xxhash64(TID), F.lit(NULL_CHUNKS)).cast("int"))
-                           .otherwise(F.col("_chunk")))
-    cust_x = cust_x.drop("_n_rows", "_ts_min", "_ts_max")
-    w = Window.partitionBy(CUST, "_chunk").orderBy(*_order())
+        df = _first_ids(df)
+    parts = ordered_parts(df, cust.select(CUST, "_n_rows"), CUST, [TS, TID], [TS, TID, AMT], chunk_rows, HALO_ROWS, has_hot, TID)
+    w = Window.partitionBy(CUST, CHUNK).orderBy(*_order())
     if history == "past":
-        j = _past_columns(rows, w)
+        j = _as_of(parts)
     else:
-        j = rows.join(cust_x, [CUST, "_chunk"], "left")
-
+        j = parts.rows.join(parts.spread(cust.drop("_n_rows")), [CUST, CHUNK], "left")
     has_cust = F.col(CUST).isNotNull()
     prev_ts = F.lag(TS).over(w)
     gap_hours = F.expr(f"timestampdiff(MICROSECOND, _prev_ts, {TS})").cast("double") / F.lit(3.6e9)
     rolling = F.avg(AMT).over(w.rowsBetween(-HALO_ROWS, 0))
-    out = (j.withColumn("_prev_ts", prev_ts)
-           .withColumn("time_since_last_transaction",
-                       F.when(has_cust, F.coalesce(gap_hours, F.lit(0.0))).otherwise(F.lit(0.0)))
-           .withColumn("_rolling", F.when(has_cust, rolling))
-           .where(F.col("_halo") == 0)
-           .withColumn("transaction_amount_ratio",
-                       safe_div(F.col(AMT), F.col("avg_customer_transaction") + 1))
-           .withColumn("amount_deviation_from_history",
-                       safe_div(F.col(AMT) - F.col("_rolling"), F.col("_rolling") + 1))
-           .drop("_prev_ts", "_rolling", "_halo", "_chunk"))
-    return out.drop("_first_id") if "_first_id" in out.columns else out
+    return (j.withColumn("_prev_ts", prev_ts)
+            .withColumn("time_since_last_transaction",
+                        F.when(has_cust, F.coalesce(gap_hours, F.lit(0.0))).otherwise(F.lit(0.0)))
+            .withColumn("_rolling", F.when(has_cust, rolling))
+            .where(F.col(HALO) == 0)
+            .withColumn("transaction_amount_ratio",
+                        safe_div(F.col(AMT), F.col("avg_customer_transaction") + 1))
+            .withColumn("amount_deviation_from_history",
+                        safe_div(F.col(AMT) - F.col("_rolling"), F.col("_rolling") + 1))
+            .drop("_prev_ts", "_rolling", HALO, CHUNK))
 
 
 def interactions(df: DataFrame) -> DataFrame:
@@ -418,93 +311,15 @@ def feature_table(txn: DataFrame, stats: GlobalStats | None = None,
 
 def past_customer_features(df: DataFrame, chunk_rows: int = DEFAULT_CHUNK_ROWS,
                            has_hot: bool | None = None) -> DataFrame:
-    """Leak-free variant of A2-A4/A7 (``history='past'``): each row sees only its
-    customer's rows up to and including itself, in (time, id) order.
+    """Leak-free variant of A2-A4/A7: each row sees only its customer's rows up
+    to and including itself, in (time, id) order.
 
     Output: transaction_id plus past_total_customer_transactions,
     past_avg/std/max_customer_transaction, past_product_category_diversity,
-    past_avg_daily_transaction_velocity.
-
-    Running aggregates are computed inside (customer_id, _chunk) -- the same
-    hot-customer chunks as the history windows -- and each chunk adds the
-    totals of the chunks before it (a per-chunk prefix table, one row per
-    chunk). Sums of x and x^2 carry the variance across chunks. A transaction
-    id counts once, at its first occurrence (a window keyed by customer and id).
+    past_avg_daily_transaction_velocity. The same scan as ``history='past'``.
     """
     base = df.where(F.col(CUST).isNotNull()).select(CUST, TID, TS, AMT, "product_category")
-    cust = customer_aggregates(base)
-    hot = (cust.where(F.col("_n_rows") > chunk_rows)
-           .select(CUST, F.ceil(F.col("_n_rows") / F.lit(chunk_rows)).cast("int").alias("_n_chunks"),
-                   "_ts_min", "_ts_max"))
-    if has_hot is None:
-        has_hot = hot.limit(1).count() > 0
-    if has_hot:   # at most rows / chunk_rows hot customers: bounded broadcast
-        rows = (base.join(F.broadcast(hot), CUST, "left").withColumn("_chunk", _chunk_expr())
-                .drop("_n_chunks", "_ts_min", "_ts_max"))
-    else:
-        rows = base.withColumn("_chunk", F.lit(0))
-    w_id = Window.partitionBy(CUST, TID).orderBy(*_order())
-    day = F.to_date(TS)
-    rows = (rows.withColumn("_first_id", (F.row_number().over(w_id) == 1).cast("long"))
-            .withColumn("_day", day))
-    w = Window.partitionBy(CUST, "_chunk").orderBy(*_order())
-    run = w.rowsBetween(Window.unboundedPreceding, 0)
-    amt = F.col(AMT)
-    # exact decimal sums: the result does not depend on how rows are chunked
-    dec = amt.cast("decimal(38,10)")
-    new_day = F.when(F.col("_day").isNull(), 0).when(
-        F.coalesce(F.lag("_day").over(w) != F.col("_day"), F.lit(True)), 1).otherwise(0)
-    rows = (rows.withColumn("_new_day", new_day)
-            .withColumn("_r_ids", F.sum("_first_id").over(run))
-            .withColumn("_r_n", F.count(amt).over(run))
-            .withColumn("_r_s", F.sum(dec).over(run))
-            .withColumn("_r_m2", F.var_pop(amt).over(run) * F.col("_r_n"))
-            .withColumn("_r_mean", F.avg(amt).over(run))
-            .withColumn("_r_max", F.max(amt).over(run))
-            .withColumn("_r_cats", F.collect_set("product_category").over(run))
-            .withColumn("_r_dated", F.count(TS).over(run))
-            .withColumn("_r_days", F.sum("_new_day").over(run)))
-    # per-chunk totals and the carry of all earlier chunks (one row per chunk)
-    chunks = (rows.groupBy(CUST, "_chunk")
-              .agg(F.sum("_first_id").alias("_c_ids"), F.count(amt).alias("_c_n"),
-                   F.sum(dec).alias("_c_s"), F.avg(amt).alias("_c_mean"),
-                   (F.var_pop(amt) * F.count(amt)).alias("_c_m2"),
-                   F.max(amt).alias("_c_max"), F.collect_set("product_category").alias("_c_cats"),
-                   F.count(TS).alias("_c_dated"), F.sum("_new_day").alias("_c_days"),
-                   F.min("_day").alias("_c_first_day"), F.max("_day").alias("_c_last_day")))
-    wc = Window.partitionBy(CUST).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    # a day split across a chunk boundary is counted once: each chunk's day
-    # count drops its first day if the chunks before it already ended on it
-    chunks = (chunks.withColumn("_prev_last", F.max("_c_last_day").over(wc))
-              .withColumn("_c_days", F.col("_c_days") - F.when(
-                  F.col("_c_first_day") == F.col("_prev_last"), 1).otherwise(0)))
-    carry = _first_means(chunks).select(
-        CUST, "_chunk",
-        F.coalesce(F.sum("_c_ids").over(wc), F.lit(0)).alias("_p_ids"),
-        F.coalesce(F.sum("_c_n").over(wc), F.lit(0)).alias("_p_n"),
-        F.coalesce(F.sum("_c_s").over(wc), F.lit(0).cast("decimal(38,10)")).alias("_p_s"),
-        *_prior_moments(wc),
-        F.max("_c_max").over(wc).alias("_p_max"),
-        F.coalesce(F.array_distinct(F.flatten(F.collect_list("_c_cats").over(wc))),
-                   F.array().cast("array<string>")).alias("_p_cats"),
-        F.coalesce(F.sum("_c_dated").over(wc), F.lit(0)).alias("_p_dated"),
-        F.coalesce(F.sum("_c_days").over(wc), F.lit(0)).alias("_p_days"),
-        F.col("_prev_last").alias("_p_last_day"),
-        "_c_first_day")
-    j = rows.join(carry, [CUST, "_chunk"], "left")
-    n = F.col("_p_n") + F.col("_r_n")
-    # a day split across two chunks is counted once
-    dup_day = F.when(F.col("_c_first_day") == F.col("_p_last_day"), 1).otherwise(0)
-    days = F.col("_p_days") + F.col("_r_days") - F.when(F.col("_r_days") > 0, dup_day).otherwise(0)
-    var = F.try_divide(_merged_m2(), (n - 1).cast("double"))
-    return j.select(
-        TID,
-        (F.col("_p_ids") + F.col("_r_ids")).alias("past_total_customer_transactions"),
-        F.try_divide(F.col("_p_s") + F.col("_r_s"), n).cast("double")
-        .alias("past_avg_customer_transaction"),
-        F.when(n > 1, F.sqrt(F.greatest(var, F.lit(0.0)))).alias("past_std_customer_transaction"),
-        F.greatest(F.col("_p_max"), F.col("_r_max")).alias("past_max_customer_transaction"),
-        F.size(F.array_distinct(F.concat("_p_cats", "_r_cats"))).cast("bigint")
-        .alias("past_product_category_diversity"),
-        F.try_divide((F.col("_p_dated") + F.col("_r_dated")).cast("double"), days.cast("double"))
-        .alias("past_avg_daily_transaction_velocity"))
+    sizes = base.groupBy(CUST).agg(F.count(F.lit(1)).alias("_n_rows"))
+    rows = _as_of(ordered_parts(_first_ids(base), sizes, CUST, [TS, TID], [TS, TID, AMT], chunk_rows, HALO_ROWS, has_hot, TID))
+    names = {c: f"past_{c}" if "customer" in c or c.startswith(("product", "avg_daily")) else c for c in CUSTOMER_COLUMNS}
+    return rows.where(F.col(HALO) == 0).select(TID, *[F.col(c).alias(n) for c, n in names.items()])

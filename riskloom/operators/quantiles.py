@@ -1,9 +1,11 @@
 """Exact quantiles and modes without gathering a column's values in one task.
 
-The two order statistics around each quantile are bracketed by sketch quantiles;
-the true counts below and inside a bracket say whether it holds the wanted rank.
-Brackets shrink, all columns in one pass, until at most SMALL values are left
-inside, and only those are sorted. The result is exact at every size.
+The two order statistics around each quantile are bracketed by sketch quantiles.
+One pass counts the values below, at and between a bracket's ends; a rank that
+falls on the copies of an end is that end, and any other goes on in an open
+bracket that holds neither end. Brackets shrink, all columns in one pass, until
+at most SMALL values are left inside, and only those are sorted. The result is
+exact at every size and for any number of equal values.
 """
 
 from __future__ import annotations
@@ -20,11 +22,12 @@ ACCURACY = 10_000
 
 
 def exact_quantiles(df: DataFrame, columns: dict[str, Column], probs) -> dict[str, list]:
-    """name -> values at probs (linear interpolation between neighbours); None for a column without values."""
+    """name -> values at probs (linear interpolation between neighbours); None for a column without values. Nulls and NaN are no values."""
     names = list(columns)
     x = df.select(*[c.cast("double").alias(f"c{i}") for i, c in enumerate(columns.values())])
+    x = x.select(*[F.when(~F.isnan(c), F.col(c)).alias(c) for c in x.columns])
     counts = x.agg(*[F.count(f"c{i}").alias(f"c{i}") for i in range(len(names))]).first() if names else []
-    # wanted ranks of each column, and what is known of each: values before the bracket, its ends, values inside
+    # wanted ranks of each column, and what is known of each: values up to the bracket, its open ends, values inside
     open_ = {}
     for i in range(len(names)):
         for p in probs if counts[i] else []:
@@ -39,25 +42,24 @@ def exact_quantiles(df: DataFrame, columns: dict[str, Column], probs) -> dict[st
         got = x.agg(*[F.percentile_approx(_inside(i, lo, hi), _around(rank - before, n), ACCURACY).alias(f"q{j}")
                       for j, ((i, rank), (before, lo, hi, n)) in enumerate(wide.items())]).first()
         ends = {k: got[j] for j, k in enumerate(wide)}
-        true = x.agg(*[a for j, (i, rank) in enumerate(wide) for a in
-                       (F.count_if(F.col(f"c{i}") < ends[i, rank][0]).alias(f"b{j}"), F.count_if(F.col(f"c{i}").between(*ends[i, rank])).alias(f"n{j}"))]).first()
+        true = x.agg(*[a for j, (i, rank) in enumerate(wide) for a in _counts(F.col(f"c{i}"), *ends[i, rank], j)]).first()
         for j, (i, rank) in enumerate(wide):
-            before, lo, hi, n = wide[i, rank]
-            (a, b), below, inside = ends[i, rank], true[f"b{j}"], true[f"n{j}"]
-            if below <= rank < below + inside:
-                if a == b:
-                    done[i, rank] = a
-                    del open_[i, rank]
-                elif (a, b) == (lo, hi):  # no narrower: two values fill the bracket
-                    equal = x.agg(F.count_if(F.col(f"c{i}") == a)).first()[0]
-                    done[i, rank] = a if rank < below + equal else b
-                    del open_[i, rank]
-                else:
-                    open_[i, rank] = (below, a, b, inside)
-            elif rank < below:
-                open_[i, rank] = (before, lo, a, below - before + 1)
+            _, lo, hi, _ = wide[i, rank]
+            a, b = ends[i, rank]
+            low, at_a, mid, at_b = (true[f"{name}{j}"] for name in ("low", "a", "mid", "b"))
+            if rank < low:
+                open_[i, rank] = (wide[i, rank][0], lo, a, low - wide[i, rank][0])
+            elif rank < low + at_a:
+                done[i, rank] = a
+            elif rank < low + at_a + mid:
+                open_[i, rank] = (low + at_a, a, b, mid)
+            elif rank < low + at_a + mid + at_b:
+                done[i, rank] = b
             else:
-                open_[i, rank] = (below, a, hi, before + n - below)
+                before = low + at_a + mid + at_b
+                open_[i, rank] = (before, b, hi, wide[i, rank][0] + wide[i, rank][3] - before)
+            if (i, rank) in done:
+                del open_[i, rank]
     if open_:
         row = x.agg(*[F.element_at(F.sort_array(F.collect_list(_inside(i, lo, hi))), rank - before + 1).alias(f"v{j}")
                       for j, ((i, rank), (before, lo, hi, _)) in enumerate(open_.items())]).first()
@@ -75,13 +77,20 @@ def exact_quantiles(df: DataFrame, columns: dict[str, Column], probs) -> dict[st
     return out
 
 
+def _counts(c: Column, a: float, b: float, j: int) -> list[Column]:
+    """Values below a, at a, between, and at b (none if that is a)."""
+    at_b = F.count_if(c == b) if a != b else F.lit(0)
+    return [F.count_if(c < a).alias(f"low{j}"), F.count_if(c == a).alias(f"a{j}"), F.count_if((c > a) & (c < b)).alias(f"mid{j}"), at_b.alias(f"b{j}")]
+
+
 def _inside(i: int, lo, hi) -> Column:
+    """The column's values strictly between lo and hi (None: no end)."""
     c = F.col(f"c{i}")
     keep = F.lit(True)
     if lo is not None:
-        keep = keep & (c >= lo)
+        keep = keep & (c > lo)
     if hi is not None:
-        keep = keep & (c <= hi)
+        keep = keep & (c < hi)
     return F.when(keep, c)
 
 

@@ -477,8 +477,27 @@ c AS (SELECT model, CAST(label AS DOUBLE) AS y,
 b AS (SELECT model, -(y * ln(p) + (1.0 - y) * ln(1.0 - p)) AS bce FROM c)
 SELECT model, avg(0.25 * pow(1.0 - exp(-bce), 2.0) * bce) AS focal_loss FROM b GROUP BY model""",
                                 ["focal_loss"])
-SQL["L11_batch_scoring"] = rounded(f"{EVAL} SELECT row_id, model, label, proba, threshold, pred FROM pred",
-                                   ["proba", "threshold"])
+# The thresholds from one histogram: a score's grid place is the number of grid values up to it.
+SQL["L11_batch_scoring"] = rounded(f"""WITH {PROFILE_CTE}, {TXN_CTE}, {IDS_CTE}, {_split_cte('ids')}, {SCORES_BASE}, {ENS_CTE},
+es AS MATERIALIZED (SELECT a.row_id, a.label, a.model, a.proba, sp.split
+                    FROM (SELECT * FROM sbase UNION ALL SELECT * FROM ens) a JOIN splitted sp ON a.row_id = sp.transaction_id),
+near AS (SELECT model, label, proba, least(greatest(CAST(floor(proba * 100) AS INTEGER), 1), 94) AS c FROM es WHERE split = 'val'),
+placed AS (SELECT model, label, c + CASE WHEN c < 94 AND proba >= CAST(c + 1 AS DOUBLE) / CAST(100 AS DOUBLE) THEN 1
+                                         WHEN c > 1 AND proba < CAST(c AS DOUBLE) / CAST(100 AS DOUBLE) THEN -1 ELSE 0 END AS c FROM near),
+hist AS (SELECT model, c, count(*) FILTER (WHERE label = 1) AS pos, count(*) FILTER (WHERE label = 0) AS neg FROM placed GROUP BY ALL),
+steps AS (SELECT model, t.c, coalesce(pos, 0) AS pos, coalesce(neg, 0) AS neg
+          FROM (SELECT model, unnest(range(1, 95)) AS c FROM (SELECT DISTINCT model FROM placed)) t LEFT JOIN hist USING (model, c)),
+sweep AS (SELECT model, c, sum(pos) OVER up AS tp, sum(neg) OVER up AS fp, sum(pos) OVER (PARTITION BY model) AS p
+          FROM steps WINDOW up AS (PARTITION BY model ORDER BY c DESC)),
+m1 AS (SELECT s.model, CAST(c AS DOUBLE) / CAST(100 AS DOUBLE) AS threshold, beta,
+              CASE WHEN tp + fp > 0 THEN CAST(tp AS DOUBLE) / CAST(tp + fp AS DOUBLE) ELSE 0.0 END AS precision,
+              CASE WHEN p > 0 THEN CAST(tp AS DOUBLE) / CAST(p AS DOUBLE) ELSE 0.0 END AS recall
+       FROM sweep s JOIN prof USING (model) WHERE c >= 2),
+met AS (SELECT model, threshold, CASE WHEN precision + recall > 0 THEN (CAST(1.0 AS DOUBLE) + (beta * beta)) * (precision * recall)
+                                                                   / (((beta * beta) * precision) + recall) ELSE 0.0 END AS f_beta FROM m1),
+thr AS MATERIALIZED (SELECT model, threshold FROM (SELECT *, row_number() OVER (PARTITION BY model {_BEST_FBETA}) AS rk FROM met) WHERE rk = 1)
+SELECT row_id, label, model, proba, COALESCE(threshold, 0.5) AS threshold, CAST(proba >= COALESCE(threshold, 0.5) AS INTEGER) AS pred
+FROM es LEFT JOIN thr USING (model) WHERE split = 'test'""", ["proba", "threshold"])
 V1_DOUBLES = ["accuracy", "precision", "recall", "f1", "f2", "auc"]
 SQL["V1_metrics"] = rounded(f"{EVAL} SELECT * FROM v1", V1_DOUBLES)
 SQL["V2_confusion"] = f"""{EVAL},

@@ -60,7 +60,7 @@ def q_stat_features(spark, sf_dir):
 @register("A2_A4_customer_aggregates")
 def q_cust(spark, sf_dir):
     df = feat.customer_aggregates(_txn(spark, sf_dir))
-    return round_doubles(df.drop("_n_rows", "_ts_min", "_ts_max"))
+    return round_doubles(df.drop("_n_rows"))
 
 
 @register("A6_daily_counts")
@@ -205,8 +205,7 @@ def q_e3(spark, sf_dir):
     x = _imputed(spark, sf_dir)
     kept = prep.fit_one_hot(x)
     out = prep.one_hot(x, kept)
-    dummies = [prep.dummy_name(c, lv) for c, lvs in kept.items() for lv in lvs]
-    return out.select("transaction_id", *dummies)
+    return out.select("transaction_id", *[c for c in out.columns if c not in x.columns])
 
 
 def _prepared(spark, sf_dir):

@@ -215,3 +215,42 @@ def test_past_history_in_feature_table_matches_standalone(spark, txn):
         got = round_doubles(feat.feature_table(txn, history="past", chunk_rows=cr)
                             .select("transaction_id", *cols)).toPandas()
         assert frame_key(got) == frame_key(ref[["transaction_id"] + cols])
+
+
+def _burst(spark, n=1000):
+    """One customer with all but one of n rows at one instant, beside small customers, null times, ids and customers."""
+    rows = [("hot", f"t{i:05d}", 5 if i else 1, float(i % 97), "abcdefg"[i % 7]) for i in range(n)]
+    rows += [(f"c{i % 40}", f"s{i:05d}", i % 9, float(i), "xy"[i % 2]) for i in range(200)]
+    rows += [("few", "u1", None, 3.0, None), ("few", None, 2, None, "a"), ("few", "u2", None, 4.0, "b"), (None, "n1", 3, 1.0, "a"), (None, "n2", None, 2.0, "a"), ("hot", "zz", None, 9.0, "q")]
+    df = spark.createDataFrame(rows, "customer_id string, transaction_id string, s int, transaction_amount double, product_category string")
+    return df.withColumn("transaction_date", F.timestamp_seconds(F.lit(1_600_000_000) + F.col("s") * 40_000)).drop("s").repartition(5)
+
+
+def test_a_burst_of_equal_timestamps_is_split(spark):
+    from riskloom.operators.scan import CHUNK, HALO, ordered_parts
+    df = _burst(spark)
+    sizes = df.groupBy("customer_id").agg(F.count(F.lit(1)).alias("_n_rows"))
+    parts = ordered_parts(df, sizes, "customer_id", ["transaction_date", "transaction_id"], ["transaction_date", "transaction_id", "transaction_amount"], 50, 4, None, "transaction_id")
+    own = parts.rows.where(F.col(HALO) == 0)
+    per = {r[CHUNK]: r["count"] for r in own.where("customer_id = 'hot'").groupBy(CHUNK).count().collect()}
+    assert len(per) >= 15 and max(per.values()) < 200 and sum(per.values()) == 1001
+    assert own.count() == df.count() and own.where(f"customer_id <> 'hot' AND {CHUNK} <> 0").count() == 0
+    before = parts.rows.where(F.col(HALO) == 1).groupBy("customer_id", CHUNK).count().collect()
+    assert {r.customer_id for r in before} == {"hot"} and len(before) == len(per) - 1 and max(r["count"] for r in before) == 4
+
+
+def test_split_bursts_equal_plain_windows(spark):
+    df = _burst(spark)
+    hist = {}
+    for history in ("all", "past"):
+        for rows in (10_000, 50):
+            out = feat.history_features(df, feat.customer_table(df), chunk_rows=rows, history=history)
+            hist[history, rows] = frame_key(round_doubles(out).toPandas())
+        assert hist[history, 10_000] == hist[history, 50]
+    past = [frame_key(round_doubles(feat.past_customer_features(df, chunk_rows=rows)).toPandas()) for rows in (10_000, 50)]
+    assert past[0] == past[1] and len(past[0][1]) == df.where("customer_id IS NOT NULL").count()
+
+
+def test_customer_aggregates_hold_no_sets(spark):
+    plan = feat.customer_table(_burst(spark))._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    assert "collect_set" not in plan and "ObjectHashAggregate" not in plan and "HashAggregate" in plan
