@@ -19,10 +19,10 @@ from .weights import undersample
 SEED = 123
 
 
-def _unit(*cols) -> "F.Column":
-    """Deterministic uniform [0, 1) from a hash of the given columns."""
-    h = F.xxhash64(*cols)
-    return (F.pmod(h, F.lit(1 << 52)).cast("double")) / F.lit(float(1 << 52))
+def _draw(digits: int, *cols) -> "F.Column":
+    """A uniform integer of so many hexadecimal digits from the MD5 of the given columns."""
+    text = F.concat_ws("|", *[c.cast("string") for c in cols])
+    return F.conv(F.substring(F.md5(text), 1, digits), 16, 10).cast("long")
 
 
 def _interpolate(base: DataFrame, neighbours: DataFrame, key: str, vec: str, label: str,
@@ -35,8 +35,9 @@ def _interpolate(base: DataFrame, neighbours: DataFrame, key: str, vec: str, lab
          .where(F.col("_n") > 0)
          .join(nb, F.col("_id") == F.col("qid"), "inner")
          .withColumn("_d", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))))
-    pick = F.pmod(F.xxhash64("_id", "_d", F.lit(seed), F.lit("nn")), F.size("_nbs"))
-    u = _unit(F.col("_id"), F.col("_d"), F.lit(seed), F.lit("u"))
+    of = F.col("_id"), F.col("_d"), F.lit(seed)
+    pick = F.pmod(_draw(8, *of, F.lit("nn")), F.size("_nbs"))
+    u = _draw(13, *of, F.lit("u")).cast("double") / F.lit(float(1 << 52))
     x = x.withColumn("_nn", F.element_at("_nbs", (pick + 1).cast("int"))["cvec"]).withColumn("_u", u)
     syn = F.zip_with("_x", "_nn", lambda a, b: a + F.col("_u") * (b - a))
     return x.select(F.concat(F.lit("syn-"), F.col("_id"), F.lit("-"), F.col("_d").cast("string"))
@@ -92,15 +93,15 @@ def adasyn(train: DataFrame, key: str, vec: str, label: str, k: int = 10, ratio:
         return out
     minority = train.where(F.col(label) == mino)
     all_nb = knn(minority, train, k, key, key, vec, clabel=label)
-    hard = (all_nb.groupBy("qid")
-            .agg((F.count_if(F.col("clabel") != F.lit(float(mino))) / F.lit(float(k))).alias("_r")))
-    total = hard.agg(F.sum("_r")).first()[0] or 0.0
+    # a share is a number of majority neighbours out of k, so whole numbers say the same
+    hard = all_nb.groupBy("qid").agg(F.count_if(F.col("clabel") != F.lit(float(mino))).alias("_r"))
+    total = hard.agg(F.sum("_r")).first()[0] or 0
     if total <= 0:
         if fallback:
             return smote(train, key, vec, label, k=5, ratio=ratio, seed=seed)
         raise RuntimeError("no minority row has a majority neighbour")
     draws_tbl = hard.select(F.col("qid").alias("_hid"),
-                            F.round(F.col("_r") / F.lit(total) * F.lit(float(g)), 0).cast("int")
+                            F.round(F.col("_r").cast("double") * F.lit(float(g)) / F.lit(float(total)), 0).cast("int")
                             .alias("_draws"))
     base = minority.join(draws_tbl, F.col(key).cast("string") == F.col("_hid"), "inner")
     nbrs = knn(minority, minority, k, key, key, vec, with_vectors=True)

@@ -7,6 +7,11 @@ stage that is present. Fewer than two models: no ensemble.
 
 from __future__ import annotations
 
+import json
+
+from pyspark.ml import Model
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.util import DefaultParamsReader, MLReader, MLWriter
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -74,3 +79,62 @@ def stage_counts(scores: DataFrame, thresholds: DataFrame, key: str = "row_id",
               .select(F.lit("stage1").alias("model"), F.lit(STAGE1_CUT).alias("threshold"),
                       "n_flagged"))
     return per_model.unionByName(stage1)
+
+
+class EnsembleModel(Model):
+    """L8 as a Spark ML model over fitted base models (by name: lr, rf, nn, gbt; two at least).
+
+    ``transform`` adds ``probability`` (of the blend) and ``prediction`` (at the
+    threshold or above); it can be saved and loaded like any other model.
+    """
+
+    def __init__(self, models: dict, threshold: float = STAGE1_CUT):
+        super().__init__()
+        unknown = set(models) - {*RECALL_MODELS, *PRECISION_MODELS}
+        if unknown or len(models) < 2:
+            raise ValueError(f"an ensemble needs two or more of {RECALL_MODELS + PRECISION_MODELS}, not {sorted(models)}")
+        self.models, self.threshold = dict(models), float(threshold)
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        added, own = ["rawPrediction", "probability", "prediction"], {}
+        for name, model in self.models.items():
+            own[name] = f"_p_{name}"
+            df = model.transform(df.drop(*added)).withColumn(own[name], vector_to_array("probability")[1])
+        df = blend_wide(df.drop(*added), own, "_blend")
+        return df.withColumns({"probability": array_to_vector(F.array(F.lit(1.0) - F.col("_blend"), F.col("_blend"))),
+                               "prediction": (F.col("_blend") >= F.lit(self.threshold)).cast("double")}).drop("_blend", *own.values())
+
+    def write(self) -> "EnsembleWriter":
+        return EnsembleWriter(self)
+
+    def save(self, path: str) -> None:
+        self.write().save(path)
+
+    @classmethod
+    def read(cls) -> "EnsembleReader":
+        return EnsembleReader()
+
+    @classmethod
+    def load(cls, path: str) -> "EnsembleModel":
+        return cls.read().load(path)
+
+
+class EnsembleWriter(MLWriter):
+    """Writes each base model to ``models/<name>`` and the rest to ``ensemble``."""
+
+    def __init__(self, model: EnsembleModel):
+        super().__init__()
+        self.model = model
+
+    def saveImpl(self, path: str) -> None:
+        for name, m in self.model.models.items():
+            m.write().save(f"{path}/models/{name}")
+        about = json.dumps({"models": list(self.model.models), "threshold": self.model.threshold})
+        self.sparkSession.createDataFrame([(about,)], "value string").coalesce(1).write.text(f"{path}/ensemble")
+
+
+class EnsembleReader(MLReader):
+    def load(self, path: str) -> EnsembleModel:
+        about = json.loads(self.sparkSession.read.text(f"{path}/ensemble").first()[0])
+        models = {name: DefaultParamsReader.loadParamsInstance(f"{path}/models/{name}", self.sparkSession) for name in about["models"]}
+        return EnsembleModel(models, about["threshold"])

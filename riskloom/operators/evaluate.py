@@ -31,9 +31,11 @@ def _dbl(c):
     return F.col(c).cast("double")
 
 
-def score_counts(scores: DataFrame, group_cols=("model",), n_ranges: int | None = None) -> DataFrame:
+def score_counts(scores: DataFrame, group_cols=("model",), n_ranges: int | None = None, with_below: bool = False) -> DataFrame:
     """Per (model, distinct score): pos, neg, counts at or below the score, totals.
 
+    ``with_below`` adds (pos, neg) of the next lower score, across range borders (null for the lowest).
+
     The number of score ranges follows the number of distinct scores
     (about DISTINCT_PER_RANGE per range); the distinct-score table is kept
     while the range edges and offsets are derived from it. Null and NaN scores
@@ -56,20 +58,25 @@ def score_counts(scores: DataFrame, group_cols=("model",), n_ranges: int | None
                        handleInvalid="keep").transform(d)
     else:
         d = d.withColumn("_r", F.lit(0.0))
-    per_range = d.groupBy(*g, "_r").agg(F.sum("pos").alias("_rp"), F.sum("neg").alias("_rn"))
+    per_range = d.groupBy(*g, "_r").agg(F.sum("pos").alias("_rp"), F.sum("neg").alias("_rn"),
+                                        F.max_by(F.struct("pos", "neg"), "proba").alias("_last"))
     w_r = Window.partitionBy(*g).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
     w_all = Window.partitionBy(*g)
     offsets = per_range.select(
         *g, "_r",
         F.coalesce(F.sum("_rp").over(w_r), F.lit(0)).alias("_op"),
         F.coalesce(F.sum("_rn").over(w_r), F.lit(0)).alias("_on"),
-        F.sum("_rp").over(w_all).alias("P"), F.sum("_rn").over(w_all).alias("N"))
+        F.sum("_rp").over(w_all).alias("P"), F.sum("_rn").over(w_all).alias("N"),
+        F.lag("_last").over(Window.partitionBy(*g).orderBy("_r")).alias("_before"))
     w_in = Window.partitionBy(*g, "_r").orderBy("proba").rowsBetween(Window.unboundedPreceding, 0)
     side = F.broadcast(offsets) if n_ranges <= BROADCAST_RANGES else offsets
     out = (d.join(side, [*g, "_r"])
            .withColumn("cum_pos", F.col("_op") + F.sum("pos").over(w_in))
            .withColumn("cum_neg", F.col("_on") + F.sum("neg").over(w_in)))
-    return out.drop("_r", "_op", "_on")
+    if with_below:
+        own = F.lag(F.struct("pos", "neg")).over(Window.partitionBy(*g, "_r").orderBy("proba"))
+        out = out.withColumn("below", F.coalesce(own, "_before"))
+    return out.drop("_r", "_op", "_on", "_before")
 
 
 def auc_table(scores: DataFrame, group_cols=("model",), counts: DataFrame | None = None) -> DataFrame:
@@ -85,10 +92,20 @@ def auc_table(scores: DataFrame, group_cols=("model",), counts: DataFrame | None
     return agg.select(*g, F.when(den > 0, _dbl("_s") / den).alias("auc"))
 
 
-def roc_points(scores: DataFrame, group_cols=("model",), counts: DataFrame | None = None) -> DataFrame:
-    """V4: (threshold, fpr, tpr) at every distinct score, plus the origin."""
+def roc_points(scores: DataFrame, group_cols=("model",), counts: DataFrame | None = None, drop_intermediate: bool = False,
+               n_ranges: int | None = None) -> DataFrame:
+    """V4: (threshold, fpr, tpr) at every distinct score, plus the origin.
+
+    ``drop_intermediate`` leaves out a point whose step up the curve has as many
+    positives and negatives as the step to the next lower score: it lies on the
+    line between its neighbours (the plotting library's rule). The highest and
+    lowest scores stay. ``counts``, if given, must then have ``below``.
+    """
     g = list(group_cols)
-    c = counts if counts is not None else score_counts(scores, g)
+    c = counts if counts is not None else score_counts(scores, g, n_ranges, with_below=drop_intermediate)
+    if drop_intermediate:
+        top = (F.col("cum_pos") == F.col("P")) & (F.col("cum_neg") == F.col("N"))
+        c = c.where(top | F.col("below").isNull() | (F.col("below.pos") != F.col("pos")) | (F.col("below.neg") != F.col("neg")))
     tp = F.col("P") - F.col("cum_pos") + F.col("pos")
     fp = F.col("N") - F.col("cum_neg") + F.col("neg")
     pts = c.select(*g, F.col("proba").alias("threshold"),

@@ -215,7 +215,7 @@ def _as_of(parts: Parts) -> DataFrame:
     has = F.col(CUST).isNotNull()
     y = y.withColumns({
         "total_customer_transactions": F.when(has, both("ids")),
-        "avg_customer_transaction": F.when(has, F.try_divide(ssum, n).cast("double")),
+        "avg_customer_transaction": F.when(has, F.try_divide(ssum.cast("double"), n.cast("double"))),
         "std_customer_transaction": F.when(has & (n > 1), F.sqrt(F.greatest(F.try_divide(m2, (n - 1).cast("double")), F.lit(0.0)))),
         "max_customer_transaction": F.when(has, F.greatest("_p_max", "_r_max")),
         "product_category_diversity": F.when(has, F.size(cats).cast("bigint")),

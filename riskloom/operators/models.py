@@ -22,6 +22,7 @@ from pyspark.ml.classification import (LogisticRegression, RandomForestClassifie
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array, array_to_vector
+from pyspark.ml.linalg import Vectors
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -180,9 +181,31 @@ def lr_grid(lr: LogisticRegression, sum_w: float, Cs=LR_CS, penalties=LR_PENALTI
     return b.build()
 
 
+class LinearScorer:
+    """A linear classifier of given coefficients, with the interface of a fitted model."""
+
+    def __init__(self, coefficients, intercept: float = 0.0):
+        self.coefficients, self.intercept = Vectors.dense([float(c) for c in coefficients]), float(intercept)
+
+    def probability(self, vec) -> "F.Column":
+        """The probability of class 1 of an array column."""
+        terms = F.zip_with(vec, F.array(*[F.lit(c) for c in self.coefficients.toArray().tolist()]), lambda x, c: x * c)
+        return F.lit(1.0) / (F.exp(-F.aggregate(terms, F.lit(self.intercept), lambda a, b: a + b)) + 1)
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        return df.withColumn("_linear_p", self.probability(vector_to_array(FEATURES))).withColumns({"probability": array_to_vector(F.array(F.lit(1.0) - F.col("_linear_p"), F.col("_linear_p"))),
+                                                   "prediction": (F.col("_linear_p") > 0.5).cast("double")}).drop("_linear_p")
+
+
 def score(model, df: DataFrame, name: str, key: str = "row_id") -> DataFrame:
     """L11 input: the positive-class probability as a long score row."""
     out = model.transform(df)
     return out.select(F.col(key).alias("row_id"), F.col(LABEL).cast("int").alias("label"),
                       F.lit(name).alias("model"),
                       vector_to_array("probability")[1].alias("proba"))
+
+
+def linear_scores(models: dict, df: DataFrame, key: str = "row_id", vec: str = "features_arr") -> DataFrame:
+    """The long score rows of several linear scorers, in one pass over df."""
+    each = F.array(*[F.struct(F.lit(name).alias("model"), m.probability(F.col(vec)).alias("proba")) for name, m in models.items()])
+    return df.select(F.col(key).alias("row_id"), F.col(LABEL).cast("int").alias("label"), F.inline(each))

@@ -10,14 +10,14 @@ from __future__ import annotations
 
 import re
 
-from pyspark.ml.feature import StringIndexer
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.expressions import HOUR_BINS, AGE_BINS, SIZE_BINS
 from .location import location_rates, lookup_join
 from .profile import median_mode
+from ..session import ensure_checkpoint_dir
 
 LABEL = "is_fraudulent"
 ID = "transaction_id"
@@ -157,11 +157,34 @@ def one_hot(df: DataFrame, kept: dict) -> DataFrame:
     return df.withColumns(new).drop(*kept.keys())
 
 
-def fit_label_encoder(df: DataFrame, columns=None):
-    """E2 fit: sorted-level index per string column (StringIndexer, alphabetical)."""
+def fit_label_encoder(df: DataFrame, columns=None) -> DataFrame:
+    """E2 fit: (column_name, level, level_index), the sorted-level index of every level of each string column.
+
+    The distinct levels are range-partitioned by (column, level) and kept so; a
+    level's index is its place in its range plus the levels of the column's
+    earlier ranges. No task and no driver holds a column's levels.
+    """
     columns = [c for c in (columns or STRING_COLUMNS) if c in df.columns]
-    return StringIndexer(inputCols=columns, outputCols=[f"{c}_index" for c in columns],
-                         stringOrderType="alphabetAsc", handleInvalid="keep").fit(df)
+    pairs = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("level")) for c in columns])
+    ensure_checkpoint_dir(df.sparkSession)
+    levels = (df.select(F.inline(pairs)).where("level IS NOT NULL").distinct()
+              .repartitionByRange("column_name", "level").withColumn("_part", F.spark_partition_id()).checkpoint(eager=True))
+    before = Window.partitionBy("column_name").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    # a row for each column and partition
+    offsets = (levels.groupBy("column_name", "_part").count()
+               .select("column_name", "_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_offset")))
+    place = F.row_number().over(Window.partitionBy("column_name", "_part").orderBy("level")) - 1
+    return (levels.withColumn("_place", place).join(F.broadcast(offsets), ["column_name", "_part"])
+            .select("column_name", "level", (F.col("_offset") + F.col("_place")).cast("double").alias("level_index")))
+
+
+def label_encode(df: DataFrame, levels: DataFrame) -> DataFrame:
+    """E2 apply: <column>_index; a null or unknown level takes the number of levels."""
+    sizes = {r["column_name"]: r["count"] for r in levels.groupBy("column_name").count().collect()}  # a row for each column
+    for c, n in sorted(sizes.items()):
+        table = levels.where(F.col("column_name") == c).select(F.col("level").alias(c), F.col("level_index").alias(f"{c}_index"))
+        df = lookup_join(df, table, c).fillna(float(n), [f"{c}_index"])
+    return df
 
 
 def fit_target_encoder(df: DataFrame, label: str = LABEL, column: str = TARGET_ENCODED):

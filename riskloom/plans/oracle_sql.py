@@ -6,8 +6,10 @@ sides, every computed column is aliased, counts are BIGINT.
 
 from __future__ import annotations
 
-from ..sources.transactions import FIXTURE_TXN_SQL
-from ..sources.scores import FIXTURE_SCORES_SQL
+import hashlib
+
+from ..sources.transactions import FIXTURE_GAPS_SQL, FIXTURE_TXN_SQL
+from ..sources.scores import FIXED_INTERCEPT, FIXTURE_SCORES_SQL, fixed_coefficient
 
 PLACES = 6
 
@@ -641,3 +643,125 @@ WINDOW r AS (PARTITION BY customer_id ORDER BY transaction_date ASC NULLS LAST,
              transaction_id ASC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""",
     ["past_avg_customer_transaction", "past_std_customer_transaction",
      "past_max_customer_transaction", "past_avg_daily_transaction_velocity"])
+
+# --------------------------------------------------------------------------
+# The fixture with gaps and a large customer
+# --------------------------------------------------------------------------
+GAPS_CTE = f"txn AS ({FIXTURE_GAPS_SQL})"
+SQL["W_history_split"] = rounded(f"""WITH {GAPS_CTE}, {FEATURES_CTE}
+SELECT transaction_id, customer_id, time_since_last_transaction, amount_deviation_from_history, total_customer_transactions,
+       avg_customer_transaction, std_customer_transaction, max_customer_transaction, product_category_diversity, avg_daily_transaction_velocity
+FROM features""", ["time_since_last_transaction", "amount_deviation_from_history", "avg_customer_transaction", "std_customer_transaction",
+                   "max_customer_transaction", "avg_daily_transaction_velocity"])
+SQL["W_past_split"] = SQL["W_past_customer_features"].replace(TXN_CTE, GAPS_CTE)
+SQL["E1_imputed_gaps"] = SQL["E1_imputed"].replace(TXN_CTE, GAPS_CTE)
+SQL["F1_csv_scan"] = SQL["S1_transactions"]
+SQL["V4_roc_curve_pruned"] = rounded(f"""{EVAL},
+steps AS (SELECT *, lag(pos) OVER up AS below_pos, lag(neg) OVER up AS below_neg, lead(proba) OVER up AS above FROM cum
+          WINDOW up AS (PARTITION BY model ORDER BY proba))
+SELECT model, proba AS threshold, CAST(N - cum_neg + neg AS DOUBLE) / CAST(N AS DOUBLE) AS fpr, CAST(P - cum_pos + pos AS DOUBLE) / CAST(P AS DOUBLE) AS tpr
+FROM steps WHERE above IS NULL OR below_pos IS NULL OR below_pos <> pos OR below_neg <> neg
+UNION ALL SELECT DISTINCT model, CAST(NULL AS DOUBLE), 0.0, 0.0 FROM cum""", ["threshold", "fpr", "tpr"])
+
+# --------------------------------------------------------------------------
+# Folds; a linear scorer of fixed coefficients and its explanations
+# --------------------------------------------------------------------------
+SQL["L5_folds"] = f"""{TRAIN_IDS}
+SELECT transaction_id AS row_id, CAST(is_fraudulent AS DOUBLE) AS label,
+       CAST((row_number() OVER (PARTITION BY is_fraudulent ORDER BY md5(transaction_id || '123'), transaction_id) - 1) % 5 AS INTEGER) AS fold
+FROM train"""
+
+_margin = " + ".join([f"CAST({FIXED_INTERCEPT} AS DOUBLE)"] + [f"CAST({fixed_coefficient(c)} AS DOUBLE) * s.{c}" for c in DESIGN])
+_moments = ", ".join(f"avg({c}) AS m_{c}, var_pop({c}) AS v_{c}" for c in DESIGN)
+FIXED = f"""{PIPE.replace('scaled AS (', 'scaled AS MATERIALIZED (')},
+moments AS MATERIALIZED (SELECT {_moments} FROM scaled WHERE split = 'train'),
+test AS MATERIALIZED (SELECT s.*, p.is_fraudulent AS y, {_margin} AS margin,
+                             row_number() OVER (ORDER BY md5(s.transaction_id || '123'), s.transaction_id) AS rk, count(*) OVER () AS n
+                      FROM scaled s JOIN splitted p USING (transaction_id) WHERE s.split = 'test')"""
+SQL["L1_fixed_scores"] = rounded(f"""{FIXED}
+SELECT transaction_id AS row_id, y AS label, 'fixed' AS model, 1 / (1 + exp(-margin)) AS proba FROM test""", ["proba"])
+
+FIXED_SHAP = f"""{FIXED}, shap AS ({' UNION ALL '.join(
+    f"SELECT transaction_id AS row_id, '{c}' AS feature, CAST({fixed_coefficient(c)} AS DOUBLE) * ({c} - m_{c}) AS shap FROM test, moments WHERE v_{c} > 0.01"
+    for c in DESIGN)})"""
+SQL["V9_fixed_shapley"] = rounded(f"{FIXED_SHAP} SELECT * FROM shap", ["shap"])
+SQL["V10_fixed_attribution"] = rounded(f"""{FIXED_SHAP}
+SELECT feature, avg(abs(shap)) AS mean_abs_shap FROM shap GROUP BY feature ORDER BY mean_abs_shap DESC, feature LIMIT 20""", ["mean_abs_shap"])
+
+
+def _shift(c: str) -> int:
+    return int(hashlib.md5(f"{c}123".encode()).hexdigest()[:8], 16)
+
+
+_said = {c: f"(a.margin + CAST({fixed_coefficient(c)} AS DOUBLE) * (b.{c} - a.{c})) > 0" for c in DESIGN}
+_counted = "count(*) FILTER (y = 1 AND said) AS tp, count(*) FILTER (y = 0 AND said) AS fp, count(*) FILTER (y = 1 AND NOT said) AS fn, count(*) AS n"
+_permuted = " UNION ALL ".join(
+    f"""SELECT '{c}' AS feature, {_counted} FROM (SELECT a.y, {_said[c]} AS said
+        FROM test a JOIN test b ON b.rk = (a.rk - 1 + {_shift(c)} % greatest(a.n - 1, 1) + 1) % a.n + 1, moments WHERE v_{c} > 0.01) HAVING count(*) > 0"""
+    for c in DESIGN)
+
+
+def _importance(value: str) -> str:
+    return f"""{FIXED}, permuted AS ({_permuted}),
+unpermuted AS (SELECT {value} AS m FROM (SELECT {_counted} FROM (SELECT y, margin > 0 AS said FROM test))),
+drops AS (SELECT feature, m - {value} AS gap FROM permuted, unpermuted),
+importances AS (SELECT feature, CASE WHEN (SELECT sum(gap) FROM drops) <> 0 THEN gap / (SELECT sum(gap) FROM drops) ELSE 0.0 END AS importance FROM drops)"""
+
+
+_accuracy = "(CAST(n - fp - fn AS DOUBLE) / n)"
+_f1 = "CASE WHEN 2 * tp + fp + fn > 0 THEN CAST(2 * tp AS DOUBLE) / (2 * tp + fp + fn) ELSE 0.0 END"
+SQL["V8_fixed_importance"] = rounded(f"{_importance(_accuracy)} SELECT * FROM importances", ["importance"])
+SQL["V8_fixed_importance_f1"] = rounded(f"{_importance(_f1)} SELECT * FROM importances", ["importance"])
+SQL["T2_top_importances"] = rounded(f"{_importance(_accuracy)} SELECT * FROM importances ORDER BY abs(importance) DESC, feature LIMIT 15", ["importance"])
+SQL["V9_local_accuracy"] = f"""WITH {TXN_CTE}, {IDS_CTE}, {_split_cte('ids')}
+SELECT transaction_id AS row_id, true AS adds_up FROM splitted WHERE split = 'test'"""
+
+# --------------------------------------------------------------------------
+# Brute-force neighbours, then the hashed draws
+# --------------------------------------------------------------------------
+_sum = lambda t: " + ".join(["CAST(0 AS DOUBLE)"] + [t.replace("?", c) for c in DESIGN])
+
+
+def _drawn(k: int, draws: str) -> str:
+    """synthetic rows: `draws` gives (id, n) of the minority rows."""
+    return f"""near AS MATERIALIZED (
+  SELECT a.transaction_id AS id, b.transaction_id AS nid,
+         row_number() OVER (PARTITION BY a.transaction_id ORDER BY sqrt({_dist}), b.transaction_id) AS rank
+  FROM pos a JOIN pos b ON a.transaction_id <> b.transaction_id QUALIFY rank <= {k}),
+draws AS ({draws}),
+each AS (SELECT id, unnest(range(0, n)) AS d FROM draws WHERE n > 0),
+picked AS (
+  SELECT e.id, e.d, CAST('0x' || substr(md5(e.id || '|' || e.d || '|123|nn'), 1, 8) AS BIGINT) % (SELECT max(rank) FROM near m WHERE m.id = e.id) + 1 AS rank,
+         CAST(CAST('0x' || substr(md5(e.id || '|' || e.d || '|123|u'), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496 AS u
+  FROM each e),
+synthetic AS (
+  SELECT 'syn-' || k.id || '-' || k.d AS row_id, 1 AS label, 1 AS synthetic, {_sum('(a.? + k.u * (b.? - a.?))')} AS feature_sum
+  FROM picked k JOIN near m ON m.id = k.id AND m.rank = k.rank JOIN pos a ON a.transaction_id = k.id JOIN pos b ON b.transaction_id = m.nid)"""
+
+
+BALANCE = f"""{PIPE.replace('scaled AS (', 'scaled AS MATERIALIZED (')},
+train AS MATERIALIZED (SELECT s.*, p.is_fraudulent AS y FROM scaled s JOIN splitted p USING (transaction_id) WHERE s.split = 'train'),
+pos AS MATERIALIZED (SELECT * FROM train WHERE y = 1),
+sizes2 AS (SELECT count(*) FILTER (y = 1) AS n_min, count(*) FILTER (y = 0) AS n_maj FROM train),
+originals AS (SELECT transaction_id AS row_id, y AS label, 0 AS synthetic, {_sum('?')} AS feature_sum FROM train)"""
+
+
+def _even(goal: str) -> str:
+    return f"""SELECT transaction_id AS id, g // n_min + CASE WHEN row_number() OVER (ORDER BY md5(transaction_id || '123'), transaction_id) <= g % n_min THEN 1 ELSE 0 END AS n
+FROM pos, (SELECT n_min, greatest({goal} - n_min, 0) AS g FROM sizes2)"""
+
+
+SQL["B1_smote"] = rounded(f"""{BALANCE}, {_drawn(5, _even('n_maj'))}
+SELECT * FROM originals UNION ALL SELECT * FROM synthetic""", ["feature_sum"])
+_hard = f"""SELECT id, CAST(round(CAST(r AS DOUBLE) * (n_maj - n_min) / CAST((SELECT sum(r) FROM hard) AS DOUBLE)) AS BIGINT) AS n FROM hard, sizes2"""
+SQL["B2_adasyn"] = rounded(f"""{BALANCE},
+hard AS MATERIALIZED (SELECT id, count(*) FILTER (y = 0) AS r FROM (
+  SELECT a.transaction_id AS id, b.y FROM pos a JOIN train b ON a.transaction_id <> b.transaction_id
+  QUALIFY row_number() OVER (PARTITION BY a.transaction_id ORDER BY sqrt({_dist}), b.transaction_id) <= 10) GROUP BY id),
+{_drawn(10, _hard)}
+SELECT * FROM originals UNION ALL SELECT * FROM synthetic""", ["feature_sum"])
+SQL["B3_hybrid"] = rounded(f"""{BALANCE}, {_drawn(5, _even('CAST(floor(0.3::DOUBLE * n_maj) AS BIGINT)'))},
+both_kinds AS (SELECT * FROM originals UNION ALL SELECT * FROM synthetic),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5(row_id || '123'), row_id) AS rk FROM both_kinds)
+SELECT row_id, label, synthetic, feature_sum FROM numbered
+WHERE label = 1 OR rk <= (SELECT CAST(floor(count(*) / 0.5) AS BIGINT) FROM both_kinds WHERE label = 1)""", ["feature_sum"])

@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.expressions import round_doubles
-from ..sources.transactions import fixture_transactions
+from ..sources import sinks
+from ..sources.transactions import fixture_gaps, fixture_transactions, read_transactions
 from ..sources.scores import fixture_scores
 from ..operators import features as feat
 from ..operators.quantiles import exact_quantiles
@@ -35,6 +36,12 @@ def q_s1(spark, sf_dir):
     return _txn(spark, sf_dir)
 
 
+@register("F1_csv_scan")
+def q_f1(spark, sf_dir):
+    """The transactions written as the source's CSV and scanned from it."""
+    return read_transactions(spark, sinks.write_csv(_txn(spark, sf_dir), spark, "transactions"))
+
+
 @register("F_row_features")
 def q_row_features(spark, sf_dir):
     df = feat.row_features(_txn(spark, sf_dir))
@@ -88,6 +95,29 @@ def q_hist(spark, sf_dir):
         "amount_deviation_from_history"))
 
 
+def _gaps(spark, sf_dir):
+    return fixture_gaps(spark, sf_dir)
+
+
+#: Rows of a customer's part in the queries that split customers: far fewer than by default.
+SPLIT_ROWS = 500
+
+
+@register("W_history_split")
+def q_hist_split(spark, sf_dir):
+    """W1-W3 where one customer has a third of all rows, ids and dates have gaps, and customers are split."""
+    txn = _gaps(spark, sf_dir)
+    return round_doubles(feat.feature_table(txn, chunk_rows=SPLIT_ROWS).select(
+        "transaction_id", "customer_id", "time_since_last_transaction", "amount_deviation_from_history", "total_customer_transactions",
+        "avg_customer_transaction", "std_customer_transaction", "max_customer_transaction", "product_category_diversity", "avg_daily_transaction_velocity"))
+
+
+@register("W_past_split")
+def q_past_split(spark, sf_dir):
+    """The customer aggregates as of each row, over split customers."""
+    return round_doubles(feat.past_customer_features(_gaps(spark, sf_dir), chunk_rows=SPLIT_ROWS))
+
+
 @register("I_interactions")
 def q_inter(spark, sf_dir):
     return round_doubles(_features(spark, sf_dir).select(
@@ -192,11 +222,17 @@ def q_e1(spark, sf_dir):
     return round_doubles(_imputed(spark, sf_dir))
 
 
+@register("E1_imputed_gaps")
+def q_e1g(spark, sf_dir):
+    """E1 where amounts, quantities, ages, account ages, categories and locations have gaps."""
+    x = prep.select_features(feat.feature_table(_gaps(spark, sf_dir)).persist(StorageLevel.MEMORY_AND_DISK))
+    return round_doubles(prep.impute(x, prep.fit_imputer(x)))
+
+
 @register("E2_label_encoding")
 def q_e2(spark, sf_dir):
     x = _imputed(spark, sf_dir)
-    model = prep.fit_label_encoder(x)
-    out = model.transform(x)
+    out = prep.label_encode(x, prep.fit_label_encoder(x))
     return out.select("transaction_id", *[c for c in out.columns if c.endswith("_index")])
 
 
@@ -271,7 +307,7 @@ def q_b5(spark, sf_dir):
 # --------------------------------------------------------------------------
 # Thresholds, blend and evaluation on the deterministic `scores` fixture
 # --------------------------------------------------------------------------
-from ..sources.scores import scores_from_transactions, SCORE_MULTIPLIERS  # noqa: E402
+from ..sources.scores import FIXED_INTERCEPT, SCORE_MULTIPLIERS, fixed_coefficient, scores_from_transactions  # noqa: E402
 from ..operators import threshold as thr  # noqa: E402
 from ..operators import ensemble as ens  # noqa: E402
 from ..operators import evaluate as ev  # noqa: E402
@@ -373,6 +409,11 @@ def q_v4(spark, sf_dir):
     return round_doubles(ev.roc_points(_test_scores(spark, sf_dir)))
 
 
+@register("V4_roc_curve_pruned")
+def q_v4p(spark, sf_dir):
+    return round_doubles(ev.roc_points(_test_scores(spark, sf_dir), drop_intermediate=True))
+
+
 @register("V4_auc")
 def q_v4a(spark, sf_dir):
     return round_doubles(ev.auc_table(_test_scores(spark, sf_dir)))
@@ -417,7 +458,8 @@ from ..operators import knn as knn_op  # noqa: E402
 from ..operators import balance as bal  # noqa: E402
 from ..operators import models as mdl  # noqa: E402
 from ..operators import explain as xp  # noqa: E402
-from ..sources import sinks  # noqa: E402
+from ..operators import many_models as mm  # noqa: E402
+from ..operators import tree_shapley as tshap  # noqa: E402
 
 _DESIGN_CACHE: dict = {}
 
@@ -452,7 +494,8 @@ def q_k1(spark, sf_dir):
 
 def _balanced(spark, sf_dir, strategy):
     out = wf.rebalance(_train(spark, sf_dir), strategy)
-    return out.select("row_id", F.col("label").cast("int").alias("label"), "synthetic")
+    total = F.aggregate("features_arr", F.lit(0.0), lambda a, x: a + x)
+    return round_doubles(out.select("row_id", F.col("label").cast("int").alias("label"), "synthetic", total.alias("feature_sum")))
 
 
 @register("B1_smote")
@@ -524,19 +567,20 @@ Q["L3_boosted_trees"] = _model_scores("gbt")
 Q["L4_neural_network"] = _model_scores("nn")
 
 
+@register("L5_folds")
+def q_l5f(spark, sf_dir):
+    return mdl.fold_column(_train(spark, sf_dir).select("row_id", "label"), 5)
+
+
 @register("L5_grid_search")
 def q_l5(spark, sf_dir):
-    from pyspark.ml.classification import LogisticRegression
-    train = wts.class_weights(_train(spark, sf_dir), "recall", label="label")
+    """All 12 regression points over 5 folds and all rows, in one many-model fit."""
+    train = mdl.fold_column(wts.class_weights(_train(spark, sf_dir), "recall", label="label"), 5)
     sw = train.agg(F.sum("weight")).first()[0]
-    lr = LogisticRegression(featuresCol="features", labelCol="label", weightCol="weight",
-                            standardization=False, maxIter=1000, tol=1e-4)
-    grid = mdl.lr_grid(lr, sw)                       # all 12 points, 5 folds
-    cv = mdl.grid_search(train, lr, grid, k=5, parallelism=8)
-    best = mdl.best_parameters(grid, cv)
-    rows = [(float(1.0 / (pm[lr.regParam] * sw)), "l1" if pm[lr.elasticNetParam] == 1.0 else "l2",
-             float(metric), {p.name: v for p, v in pm.items()} == best)
-            for pm, metric in zip(grid, cv.avgMetrics)]
+    points = [(c, p) for c in mdl.LR_CS for p in mdl.LR_PENALTIES]
+    f1, _, _ = mm.grid_search_many(train, [(1.0 / (c * sw), float(p == "l1")) for c, p in points], 5)
+    best = max(range(len(points)), key=lambda i: f1[i])
+    rows = [(c, p, float(m), i == best) for i, ((c, p), m) in enumerate(zip(points, f1))]
     return round_doubles(spark.createDataFrame(rows, "C double, penalty string, mean_f1 double, best boolean"))
 
 
@@ -570,6 +614,80 @@ def q_v10(spark, sf_dir):
     return round_doubles(xp.mean_abs_attribution(_shap(spark, sf_dir)))
 
 
+def _fixed(spark, sf_dir):
+    return mdl.LinearScorer([fixed_coefficient(n) for n in _design(spark, sf_dir).names], FIXED_INTERCEPT)
+
+
+@register("L1_fixed_scores")
+def q_l1f(spark, sf_dir):
+    return round_doubles(mdl.score(_fixed(spark, sf_dir), _test_rows(spark, sf_dir), "fixed"))
+
+
+def _ensemble(spark, sf_dir):
+    return ens.EnsembleModel(_models(spark, sf_dir))
+
+
+@register("L8_ensemble_model")
+def q_l8m(spark, sf_dir):
+    """The blend as a model: saved, loaded again and applied to the test rows."""
+    path = sinks.save_model(_ensemble(spark, sf_dir), spark, "ensemble")
+    return round_doubles(mdl.score(ens.EnsembleModel.load(path), _test_rows(spark, sf_dir), "ensemble"))
+
+
+@register("V9_ensemble_shapley")
+def q_v9e(spark, sf_dir):
+    return round_doubles(xp.sampled_shapley(_ensemble(spark, sf_dir), _test_rows(spark, sf_dir), _design(spark, sf_dir).names, _train(spark, sf_dir), n_perm=2))
+
+
+@register("V8_fixed_importance")
+def q_v8f(spark, sf_dir):
+    return round_doubles(xp.permutation_importance(_fixed(spark, sf_dir), _test_rows(spark, sf_dir), _design(spark, sf_dir).names))
+
+
+@register("V8_fixed_importance_f1")
+def q_v8f1(spark, sf_dir):
+    return round_doubles(xp.permutation_importance(_fixed(spark, sf_dir), _test_rows(spark, sf_dir), _design(spark, sf_dir).names, metric="f1"))
+
+
+@register("T2_top_importances")
+def q_t2(spark, sf_dir):
+    return round_doubles(xp.top_features(xp.permutation_importance(_fixed(spark, sf_dir), _test_rows(spark, sf_dir), _design(spark, sf_dir).names)))
+
+
+def _fixed_shap(spark, sf_dir):
+    return xp.linear_shapley(_fixed(spark, sf_dir), _test_rows(spark, sf_dir), _design(spark, sf_dir).names, _train(spark, sf_dir))
+
+
+@register("V9_fixed_shapley")
+def q_v9f(spark, sf_dir):
+    return round_doubles(_fixed_shap(spark, sf_dir))
+
+
+@register("V10_fixed_attribution")
+def q_v10f(spark, sf_dir):
+    return round_doubles(xp.mean_abs_attribution(_fixed_shap(spark, sf_dir)))
+
+
+def _tree_shap(name):
+    def fn(spark, sf_dir):
+        return round_doubles(tshap.tree_shapley(_model(spark, sf_dir, name), _test_rows(spark, sf_dir), _design(spark, sf_dir).names))
+    return fn
+
+
+Q["V9_forest_shapley"] = _tree_shap("rf")
+Q["V9_boosted_shapley"] = _tree_shap("gbt")
+
+
+@register("V9_local_accuracy")
+def q_v9a(spark, sf_dir):
+    """Whether each test row's attributions and the base value add up to the boosted trees' log-odds."""
+    model, rows = _model(spark, sf_dir, "gbt"), _test_rows(spark, sf_dir)
+    sums = tshap.tree_shapley(model, rows, _design(spark, sf_dir).names).groupBy("row_id").agg(F.sum("shap").alias("shap"))
+    p = F.col("proba")
+    gap = F.abs(F.col("shap") + F.lit(tshap.base_value(model)) - F.log(p / (1 - p)))
+    return mdl.score(model, rows, "gbt").join(sums, "row_id").select("row_id", (gap < 1e-6).alias("adds_up"))
+
+
 @register("V12_feature_ablation")
 def q_v12(spark, sf_dir):
     return round_doubles(wf.feature_ablation(_design(spark, sf_dir)))

@@ -25,10 +25,12 @@ from ..operators import split as splt
 from ..operators import weights as wts
 from ..operators import balance as bal
 from ..operators import models as mdl
+from ..operators import many_models as mm
 from ..operators import threshold as thr
 from ..operators import ensemble as ens
 from ..operators import evaluate as ev
 from ..operators import explain as xp
+from ..operators import tree_shapley as tshap
 from ..session import ensure_checkpoint_dir
 
 ID, LABEL = "transaction_id", "is_fraudulent"
@@ -159,14 +161,19 @@ def run(txn: DataFrame, fit: str = "train", strategy: str = "adasyn", params: di
     test_s = base_test.unionByName(ens.blend_long(base_test, models=names))
     thresholds = thr.profile_thresholds(val_s)
     pred = ev.predict(test_s, thresholds)
+    thr_of = ev.threshold_map(thresholds)
     metrics = ev.metric_table(pred, ev.auc_table(test_s))
     shap = xp.linear_shapley(models["lr"], test, dm.names, train)
+    ensemble = ens.EnsembleModel(models, thr_of.get("ensemble", ens.STAGE1_CUT))
     return {
         "design": dm, "models": models, "thresholds": thresholds, "scores": test_s,
         "pred": pred, "metrics": metrics, "confusion": ev.confusion_matrix(pred),
         "report": ev.classification_report(pred), "stage_counts": ens.stage_counts(base_val, thresholds),
         "rf_importance": xp.tree_importances(models["rf"], dm.names),
         "shap": shap, "mean_abs_shap": xp.mean_abs_attribution(shap),
+        "ensemble": ensemble, "shap_by_model": {
+            "lr": shap, "rf": tshap.tree_shapley(models["rf"], test, dm.names), "gbt": tshap.tree_shapley(models["gbt"], test, dm.names),
+            **{n: xp.sampled_shapley(m, test, dm.names, train) for n, m in (("nn", models["nn"]), ("ensemble", ensemble))}},
     }
 
 
@@ -184,20 +191,24 @@ ABLATION_GROUPS = {
 }
 
 
-def feature_ablation(dm: DesignMatrix, groups: dict = ABLATION_GROUPS) -> DataFrame:
-    """Refit L1 without each feature group; AUC and F1 at 0.5 on test."""
+def feature_ablation(dm: DesignMatrix, groups: dict = ABLATION_GROUPS, C: float = 0.01) -> DataFrame:
+    """Refit L1 without each feature group; metrics at 0.5 on test.
+
+    All refits are masked columns of one many-model fit, and all their scores
+    one table: the training and test rows are read as for one model.
+    """
     d = dm.df
-    out = None
-    for gname, cols in {"none": [], **groups}.items():
-        idx = [i for i, n in enumerate(dm.names) if n not in cols]
-        x = d.withColumn("features_arr", F.array(*[F.col("features_arr")[i] for i in idx]))
-        x = mdl.from_array(x, "features_arr")
-        train = wts.class_weights(x.where(F.col("split") == "train"), "recall", label="label")
-        m = mdl.logistic_regression(train, C=0.01, penalty="l1")
-        s = mdl.score(m, x.where(F.col("split") == "test"), "lr")
-        p = ev.predict(s, s.sparkSession.createDataFrame([("lr", 0.5)], "model string, threshold double"))
-        met = ev.metric_table(p, ev.auc_table(s)).select(
-            F.lit(gname).alias("removed_group"), F.lit(len(idx)).alias("n_features"),
-            "accuracy", "precision", "recall", "f1", "auc")
-        out = met if out is None else out.unionByName(met)
-    return out
+    train = wts.class_weights(d.where(F.col("split") == "train"), "recall", label="label")
+    sum_w = train.agg(F.sum("weight")).first()[0]
+    sets = {g: tuple(i for i, n in enumerate(dm.names) if n not in cols) for g, cols in {"none": [], **groups}.items()}
+    blocks = mm.Blocks(train, fold=None)
+    try:
+        fitted, _ = mm.fit_many(blocks, [mm.Task(1.0 / (C * sum_w), 1.0, None, idx) for idx in sets.values()])
+    finally:
+        blocks.close()
+    models = {g: mdl.LinearScorer(c[:-1], c[-1]) for g, c in zip(sets, fitted)}
+    scores = mdl.linear_scores(models, d.where(F.col("split") == "test"))
+    pred = ev.predict(scores, {}, default=0.5)
+    sizes = F.create_map(*[x for g, idx in sets.items() for x in (F.lit(g), F.lit(len(idx)))])
+    return ev.metric_table(pred, ev.auc_table(scores)).select(
+        F.col("model").alias("removed_group"), sizes[F.col("model")].alias("n_features"), "accuracy", "precision", "recall", "f1", "auc")

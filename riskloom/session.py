@@ -64,3 +64,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A location under the shared checkpoint folder for written tables."""
     return os.path.join(ensure_checkpoint_dir(spark), name)
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder under the shared checkpoint folder, in whatever file system it is."""
+    if not path.startswith(ensure_checkpoint_dir(spark)):
+        raise ValueError(f"{path} is not under the checkpoint folder")
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

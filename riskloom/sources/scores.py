@@ -7,6 +7,8 @@ single division keep the values bit-identical across engines.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,3 +45,11 @@ SELECT t.transaction_id AS row_id, t.is_fraudulent AS label, m.model,
 FROM ({FIXTURE_TXN_SQL}) t
 CROSS JOIN (VALUES {", ".join(f"('{n}', CAST({m} AS BIGINT))" for n, m in SCORE_MULTIPLIERS)}) AS m(model, mult)
 """
+
+
+#: A linear scorer that every engine can state: each coefficient hashes its feature's name.
+FIXED_INTERCEPT = -0.35
+
+
+def fixed_coefficient(name: str) -> float:
+    return (int(hashlib.md5(name.encode()).hexdigest()[:4], 16) % 21 - 10) / 10

@@ -88,13 +88,23 @@ def rejected_fields(raw: DataFrame) -> DataFrame:
     return row.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).alias("n_rejected")) for c in aggs])))
 
 
+TEXT_SCHEMA = T.StructType([T.StructField(h, T.StringType(), True) for h, _ in SOURCE_HEADERS])
+
+
 def scan_text(spark: SparkSession, path: str) -> DataFrame:
     """The CSV files' fields as text, under the snake_case names."""
-    raw_schema = T.StructType([T.StructField(h, T.StringType(), True) for h, _ in SOURCE_HEADERS])
-    raw = spark.read.schema(raw_schema).option("header", True).option("mode", "PERMISSIVE").csv(path)
+    return _named(spark.read.schema(TEXT_SCHEMA).option("header", True).option("mode", "PERMISSIVE").csv(path))
+
+
+def _named(raw: DataFrame) -> DataFrame:
     return raw.select(*[F.col(f"`{h}`").alias(n) for h, n in SOURCE_HEADERS])
 
 
+def from_text(fields: DataFrame) -> DataFrame:
+    """Typed transactions of a batch or stream of text fields, by one rule."""
+    return _normalise(fields.withColumn("transaction_date", F.try_to_timestamp("transaction_date").cast("timestamp_ntz")))
+
+
 def _normalise(df: DataFrame) -> DataFrame:
     """Cast to TXN_SCHEMA and map NaN amounts to null."""
     cols = []
@@ -116,9 +126,7 @@ def read_transactions(spark: SparkSession, path: str,
     source headers or the snake_case names.
     """
     if fmt == "csv":
-        renamed = scan_text(spark, path).withColumn(
-            "transaction_date", F.try_to_timestamp("transaction_date").cast("timestamp_ntz"))
-        return _normalise(renamed)
+        return from_text(scan_text(spark, path))
     if fmt == "parquet":
         raw = spark.read.parquet(path)
         mapping = {h: n for h, n in SOURCE_HEADERS}
@@ -204,3 +212,25 @@ SELECT
 FROM (SELECT *, CAST(regexp_extract(props, '[0-9]+', 0) AS INTEGER) AS k FROM events) e
 LEFT JOIN customer c ON e.user_id = c.c_custkey
 """
+
+# The fixture with gaps and one customer of a third of all rows: every so many event ids, a column is null.
+GAPS = {"transaction_amount": 17, "quantity": 19, "customer_age": 23, "payment_method": 29, "customer_location": 31,
+        "account_age_days": 41, "product_category": 13, "shipping_address": 47}
+HOT_EVERY, NO_CUSTOMER_EVERY = 3, 37
+
+
+def fixture_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The `txn` fixture with null cells, rows without a customer, and customer 'hot' on every third event."""
+    i = F.col("transaction_id").cast("long")
+    customer = F.when(i % NO_CUSTOMER_EVERY == 0, None).when(i % HOT_EVERY == 0, "hot").otherwise(F.col("customer_id"))
+    gaps = {c: F.when(i % n != 0, F.col(c)) for c, n in GAPS.items()}
+    return fixture_transactions(spark, sf_dir).withColumns({"customer_id": customer, **gaps})
+
+
+_I = "CAST(transaction_id AS BIGINT)"
+FIXTURE_GAPS_SQL = f"""
+SELECT * REPLACE (
+  CASE WHEN {_I} % {NO_CUSTOMER_EVERY} = 0 THEN NULL WHEN {_I} % {HOT_EVERY} = 0 THEN 'hot' ELSE customer_id END AS customer_id,
+  {', '.join(f'CASE WHEN {_I} % {n} <> 0 THEN {c} END AS {c}' for c, n in GAPS.items())})
+FROM ({FIXTURE_TXN_SQL})
+"""

@@ -16,17 +16,17 @@ from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..sources.transactions import TXN_SCHEMA, _normalise
+from ..sources.transactions import TEXT_SCHEMA, TXN_SCHEMA, _named, _normalise, from_text
 
 
 def transaction_stream(spark: SparkSession, path: str, fmt: str = "parquet",
                        max_files_per_trigger: int | None = None) -> DataFrame:
-    reader = spark.readStream.schema(TXN_SCHEMA)
+    reader = spark.readStream
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    if fmt == "csv":
-        reader = reader.option("header", True)
-    return _normalise(reader.format(fmt).load(path))
+    if fmt == "csv":  # as text, then typed by the batch scan's rule
+        return from_text(_named(reader.schema(TEXT_SCHEMA).option("header", True).option("mode", "PERMISSIVE").csv(path)))
+    return _normalise(reader.schema(TXN_SCHEMA).format(fmt).load(path))
 
 
 def apply_per_batch(stream: DataFrame, fn: Callable[[DataFrame], DataFrame], sink_path: str,
