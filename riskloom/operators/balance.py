@@ -38,7 +38,9 @@ def _interpolate(base: DataFrame, neighbours: DataFrame, key: str, vec: str, lab
     of = F.col("_id"), F.col("_d"), F.lit(seed)
     pick = F.pmod(_draw(8, *of, F.lit("nn")), F.size("_nbs"))
     u = _draw(13, *of, F.lit("u")).cast("double") / F.lit(float(1 << 52))
-    x = x.withColumn("_nn", F.element_at("_nbs", (pick + 1).cast("int"))["cvec"]).withColumn("_u", u)
+    # through a generator, so that the digests aren't computed again for each component
+    x = x.select("*", F.inline(F.array(F.struct((pick + 1).cast("int").alias("_pick"), u.alias("_u")))))
+    x = x.withColumn("_nn", F.element_at("_nbs", F.col("_pick"))["cvec"])
     syn = F.zip_with("_x", "_nn", lambda a, b: a + F.col("_u") * (b - a))
     return x.select(F.concat(F.lit("syn-"), F.col("_id"), F.lit("-"), F.col("_d").cast("string"))
                     .alias(key), syn.alias(vec), F.lit(minority_label).alias(label),

@@ -1,18 +1,19 @@
 """K1: exact k nearest neighbours (Euclidean) between two row sets.
 
-Candidates are dealt to cells, each around a pivot (a bounded, hash-chosen set of
-candidates). A query first takes the k-th distance in one block of its nearest
-cell as its bound. By the triangle inequality no candidate of a cell is nearer
-than (distance to the pivot - the cell's radius), so the query then visits only
-the cells where that is within its bound. The result is exact: cells that are
-left out cannot hold a neighbour.
-
-Each visited block is one cogroup task that computes its distances with matrix
-products and emits its k best per query; a bounded merge keeps the global k.
-Large cells are split into blocks of about ``block_rows`` candidates, and the
-queries of a cell into blocks of as many queries, so no task grows with a cell.
-Ties are broken by candidate id (as text), so the result does not depend on
-partitioning. Rows with a null vector have no neighbours and are none.
+Candidates are dealt to cells, each around a pivot (one of a bounded,
+hash-chosen sample of candidates). The k-th distance to the sample bounds a
+query's k-th distance to all candidates, and by the triangle inequality no
+candidate of a cell is nearer than (distance to the pivot - the cell's radius),
+so a query visits only the cells where that is within its bound. The result is
+exact: cells that are left out cannot hold a neighbour.
+
+Each visited block is one cogroup task. Distances in single precision, with
+their rounding allowed for, pick the few candidates whose distances are then
+taken exactly; a bounded merge keeps the global k. Large cells are split into
+blocks of about ``block_rows`` candidates, and the queries of a cell into blocks
+of as many queries, so no task grows with a cell; arrays and yielded batches are
+of bounded rows. Ties are broken by candidate id (as text), so the result does
+not depend on partitioning. Rows with a null vector have no neighbours and are none.
 """
 
 from __future__ import annotations
@@ -20,110 +21,124 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
-from pyspark import StorageLevel
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-DEFAULT_BLOCK_ROWS = 4096
-# Pivots (and so cells) at most: they are sent to all tasks.
-MAX_PIVOTS = 4096
-# Query rows whose distances to a block are held at once.
-QUERY_ROWS = 512
+DEFAULT_BLOCK_ROWS = 8192
+# Candidates of the sample, and so pivots and cells, at most: they are sent to all tasks.
+SAMPLE_ROWS = 4096
+# Query rows whose distances to a block or the sample are held at once, and rows of a yielded batch of visits.
+QUERY_ROWS, VISIT_ROWS = 512, 4096
 
 
 def _squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    d2 = np.einsum("ij,ij->i", a, a)[:, None] + np.einsum("ij,ij->i", b, b)[None, :] - 2.0 * (a @ b.T)
-    return np.maximum(d2, 0.0)
+    d2 = np.einsum("ij,ij->i", a, a)[:, None] + np.einsum("ij,ij->i", b, b)[None, :] - 2 * (a @ b.T)
+    return np.maximum(d2, 0, out=d2)
 
 
 def _matrix(column) -> np.ndarray:
-    return np.vstack(column.to_numpy()).astype(np.float64)
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
+    return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
+
+
+def nearest_in_block(Q: np.ndarray, C: np.ndarray, qcode: np.ndarray, ccode: np.ndarray, k: int, exclude_self: bool):
+    """(query, candidate, distance) of the k nearest candidates of each query, by distance and code."""
+    kk, parts = min(k, len(C)), []
+    # around the candidates' mean, single precision loses least
+    middle = C.mean(axis=0)
+    C32, far = (C - middle).astype(np.float32), float(((C - middle) ** 2).sum(axis=1).max(initial=0.0))
+    for a in range(0, len(Q), QUERY_ROWS):
+        q = Q[a:a + QUERY_ROWS] - middle
+        d2 = _squares(q.astype(np.float32), C32)
+        if exclude_self:
+            d2[qcode[a:a + QUERY_ROWS, None] == ccode[None, :]] = np.inf
+        kth = np.partition(d2, kk - 1, axis=1)[:, kk - 1]
+        # rounding of the inputs, of the products' sums and of the norms, on both sides of the comparison
+        slack = (4 * C.shape[1] + 16) * np.finfo(np.float32).eps * ((q * q).sum(axis=1) + far + 1e-30)
+        limit = np.where(np.isfinite(kth), kth, np.finfo(np.float32).max) + slack
+        row, col = np.nonzero((d2 <= limit[:, None]) & np.isfinite(d2))
+        exact = ((C[col] - Q[a + row]) ** 2).sum(axis=1)
+        order = np.lexsort((ccode[col], exact, row))
+        row, col, exact = row[order], col[order], exact[order]
+        keep = np.arange(len(row)) - np.searchsorted(row, row) < kk
+        parts.append((a + row[keep], col[keep], np.sqrt(exact[keep])))
+    return tuple(np.concatenate(x) for x in zip(*parts))
 
 
 def _block_topk(k: int, exclude_self: bool, with_vectors: bool):
-    """The k nearest of a block's candidates to each of its queries, exactly and without a row loop."""
-    names = ["qid", "cid", "dist", "clabel"] + (["cvec"] if with_vectors else [])
+    """The k nearest of a block's candidates to each of its queries."""
+    schema = pa.schema([("qid", pa.string()), ("cid", pa.string()), ("dist", pa.float64()), ("clabel", pa.float64())] + ([("cvec", pa.list_(pa.float64()))] if with_vectors else []))
 
-    def fn(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        if len(q) == 0 or len(c) == 0:
-            return pd.DataFrame({n: [] for n in names})
-        Q, C = _matrix(q["vec"]), _matrix(c["vec"])
+    def fn(q: pa.Table, c: pa.Table) -> pa.Table:
+        if not q.num_rows or not c.num_rows:
+            return schema.empty_table()
         # ids as numbers in the order of their texts
-        _, code = np.unique(np.concatenate([q["qid"].to_numpy().astype(str), c["cid"].to_numpy().astype(str)]), return_inverse=True)
-        qcode, ccode = code[:len(q)], code[len(q):]
-        kk, parts = min(k, len(c)), []
-        for a in range(0, len(q), QUERY_ROWS):
-            d2 = _squares(Q[a:a + QUERY_ROWS], C)
-            if exclude_self:
-                d2[qcode[a:a + QUERY_ROWS, None] == ccode[None, :]] = np.inf
-            kth = np.partition(d2, kk - 1, axis=1)[:, kk - 1]
-            # slack for the rounding of the product form; then the exact order
-            slack = 1e-9 * (np.where(np.isfinite(kth), kth, 0.0) + np.einsum("ij,ij->i", Q[a:a + QUERY_ROWS], Q[a:a + QUERY_ROWS]) + 1.0)
-            row, col = np.nonzero((d2 <= (kth + slack)[:, None]) & np.isfinite(d2))
-            exact = ((C[col] - Q[a + row]) ** 2).sum(axis=1)
-            order = np.lexsort((ccode[col], exact, row))
-            row, col, exact = row[order], col[order], exact[order]
-            place = np.arange(len(row)) - np.searchsorted(row, row)
-            keep = place < kk
-            parts.append((a + row[keep], col[keep], np.sqrt(exact[keep])))
-        row, col, dist = (np.concatenate(x) for x in zip(*parts))
-        out = {"qid": q["qid"].to_numpy()[row], "cid": c["cid"].to_numpy()[col], "dist": dist, "clabel": c["clabel"].to_numpy()[col]}
-        if with_vectors:
-            out["cvec"] = [C[j].tolist() for j in col]
-        return pd.DataFrame(out)
+        ids = np.concatenate([q.column("qid").to_numpy().astype(str), c.column("cid").to_numpy().astype(str)])
+        _, code = np.unique(ids, return_inverse=True)
+        row, col, dist = nearest_in_block(_matrix(q.column("vec")), _matrix(c.column("vec")), code[:q.num_rows], code[q.num_rows:], k, exclude_self)
+        out = [q.column("qid").take(row), c.column("cid").take(col), pa.array(dist), c.column("clabel").take(col)] + ([c.column("vec").take(col)] if with_vectors else [])
+        return pa.Table.from_arrays(out, schema=schema)
 
     return fn
 
 
 class _Cells:
-    """Pivots with their cells' radii and sizes: small, sent to all tasks."""
+    """The sample (its first rows are the pivots) and the cells' radii and sizes: small, sent to all tasks."""
 
-    def __init__(self, pivots: np.ndarray, radius: np.ndarray, size: np.ndarray, block_rows: int):
-        self.pivots, self.radius, self.size = pivots, radius, size
+    def __init__(self, sample: np.ndarray, ids: list, radius: np.ndarray, size: np.ndarray, block_rows: int):
+        self.sample, self.place, self.radius, self.size = sample, {i: n for n, i in enumerate(ids)}, radius, size
         self.blocks = np.maximum(1, -(-size // block_rows))
 
+    def bounds(self, square: np.ndarray, ids: list, k: int, exclude_self: bool) -> np.ndarray:
+        """An upper bound of each query's k-th distance, from its squared distances to the sample."""
+        if exclude_self:
+            own = [(r, self.place[i]) for r, i in enumerate(ids) if i in self.place]
+            if own:
+                square = square.copy()
+                square[tuple(zip(*own))] = np.inf
+        if square.shape[1] < k:
+            return np.full(len(square), np.inf)
+        return np.sqrt(np.partition(square, k - 1, axis=1)[:, k - 1])
+
 
 def _nearest(pivots: np.ndarray):
-    def run(frames):
-        for f in frames:
-            if len(f):
-                d2 = _squares(_matrix(f["vec"]), pivots)
-                cell = d2.argmin(axis=1)
-                exact = np.sqrt(((_matrix(f["vec"]) - pivots[cell]) ** 2).sum(axis=1))
-                yield f.assign(cell=cell.astype(np.int32), pdist=exact)
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                x = _matrix(batch.column("vec"))
+                cell = np.concatenate([_squares(x[i:i + QUERY_ROWS], pivots).argmin(axis=1) for i in range(0, len(x), QUERY_ROWS)])
+                exact = np.sqrt(((x - pivots[cell]) ** 2).sum(axis=1))
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell.astype(np.int32)), pa.array(exact)], [*batch.schema.names, "cell", "pdist"])
     return run
 
 
-def _visits(cells: _Cells, first: bool, k: int):
-    """Blocks a query visits: one of the nearest cell with enough candidates, or all within its bound."""
-    def run(frames):
-        for f in frames:
-            if not len(f):
-                continue
-            Q = _matrix(f["vec"])
-            dist = np.sqrt(_squares(Q, cells.pivots))
-            if first:
-                enough = cells.size > 2 * k * cells.blocks
-                if not enough.any():
-                    continue
-                cell = np.where(enough[None, :], dist, np.inf).argmin(axis=1)
-                yield pd.DataFrame({"qid": f["qid"], "vec": f["vec"], "cell": cell.astype(np.int32), "block": np.zeros(len(f), np.int32)})
-                continue
-            bound = f["bound"].fillna(np.inf).to_numpy()
-            slack = 1e-6 * (1.0 + dist)
-            row, cell = np.nonzero((cells.size > 0)[None, :] & (dist - cells.radius[None, :] - slack <= bound[:, None]))
-            n = cells.blocks[cell]
-            row, cell = np.repeat(row, n), np.repeat(cell, n)
-            block = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-            yield pd.DataFrame({"qid": f["qid"].to_numpy()[row], "vec": f["vec"].to_numpy()[row], "cell": cell.astype(np.int32), "block": block.astype(np.int32)})
+def _visits(cells: _Cells, k: int, exclude_self: bool):
+    """The blocks of all cells within each query's bound, in batches of VISIT_ROWS rows at most."""
+    def run(batches):
+        for whole in batches:
+            for start in range(0, whole.num_rows, QUERY_ROWS):
+                batch = whole.slice(start, QUERY_ROWS)
+                square = _squares(_matrix(batch.column("vec")), cells.sample)
+                bound = cells.bounds(square, batch.column("qid").to_pylist(), k, exclude_self)
+                dist = np.sqrt(square[:, :len(cells.radius)])
+                slack = 1e-6 * (1.0 + dist)
+                row, cell = np.nonzero((cells.size > 0)[None, :] & (dist - cells.radius[None, :] - slack <= bound[:, None]))
+                n = cells.blocks[cell]
+                row, cell = np.repeat(row, n), np.repeat(cell, n)
+                block = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+                for i in range(0, len(row), VISIT_ROWS):
+                    part = batch.take(pa.array(row[i:i + VISIT_ROWS]))
+                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array(cell[i:i + VISIT_ROWS].astype(np.int32)), pa.array(block[i:i + VISIT_ROWS].astype(np.int32))],
+                                                     [*batch.schema.names, "cell", "block"])
     return run
 
 
 def _candidates(candidates: DataFrame, cid: str, vec: str, clabel: str | None) -> DataFrame:
     lab = F.col(clabel).cast("double") if clabel else F.lit(None).cast("double")
-    return candidates.select(F.col(cid).cast("string").alias("cid"), F.col(vec).alias("vec"), lab.alias("clabel")).where("vec IS NOT NULL")
+    return candidates.select(F.col(cid).cast("string").alias("cid"), F.col(vec).cast("array<double>").alias("vec"), lab.alias("clabel")).where("vec IS NOT NULL")
 
 
 def _meet(visits: DataFrame, cand: DataFrame, fn, schema, block_rows: int) -> DataFrame:
@@ -133,35 +148,27 @@ def _meet(visits: DataFrame, cand: DataFrame, fn, schema, block_rows: int) -> Da
     n = n.hint("merge")
     q = visits.join(n, ["cell", "block"]).withColumn("_qb", F.pmod(F.xxhash64("qid"), F.col("_n").cast("bigint")).cast("int")).drop("_n")
     c = cand.join(n, ["cell", "block"]).withColumn("_qb", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).drop("_n", "pdist")
-    return q.groupBy("cell", "block", "_qb").cogroup(c.groupBy("cell", "block", "_qb")).applyInPandas(fn, schema)
+    return q.groupBy("cell", "block", "_qb").cogroup(c.groupBy("cell", "block", "_qb")).applyInArrow(fn, schema)
 
 
 def _prepare(queries, candidates, k, qid, cid, vec, clabel, exclude_self, block_rows):
-    """Kept query and candidate tables, the cells, and the blocks that each query has to visit."""
+    """Candidates with their cell and block, and the blocks that each query has to visit."""
     cand = _candidates(candidates, cid, vec, clabel)
     nc = cand.count()
-    n_pivots = min(MAX_PIVOTS, max(1, math.ceil(nc / block_rows)))
-    picked = cand.orderBy(F.xxhash64("cid"), "cid").limit(n_pivots).select("vec").collect()  # MAX_PIVOTS rows at most
-    if not picked:
+    sample = cand.orderBy(F.xxhash64("cid"), "cid").limit(SAMPLE_ROWS).select("cid", "vec").toArrow()  # SAMPLE_ROWS rows at most
+    if not sample.num_rows:
         return None
-    pivots = np.array([r["vec"] for r in picked], dtype=np.float64)
-    cand = cand.mapInPandas(_nearest(pivots), T.StructType([*cand.schema.fields, T.StructField("cell", T.IntegerType()), T.StructField("pdist", T.DoubleType())]))
-    cand = cand.persist(StorageLevel.MEMORY_AND_DISK)
-    radius, size = np.zeros(len(pivots)), np.zeros(len(pivots), np.int64)
+    points, n_pivots = _matrix(sample.column("vec")), min(sample.num_rows, max(1, math.ceil(nc / block_rows)))
+    cand = cand.mapInArrow(_nearest(points[:n_pivots]), T.StructType([*cand.schema.fields, T.StructField("cell", T.IntegerType()), T.StructField("pdist", T.DoubleType())]))
+    radius, size = np.zeros(n_pivots), np.zeros(n_pivots, np.int64)
     for r in cand.groupBy("cell").agg(F.max("pdist").alias("r"), F.count(F.lit(1)).alias("n")).collect():  # a row for each cell
         radius[r["cell"]], size[r["cell"]] = r["r"], r["n"]
-    cells = _Cells(pivots, radius, size, block_rows)
+    cells = _Cells(points, sample.column("cid").to_pylist(), radius, size, block_rows)
     blocks = F.element_at(F.array(*[F.lit(int(b)) for b in cells.blocks]), F.col("cell") + 1)
     placed = cand.withColumn("block", F.pmod(F.xxhash64("cid"), blocks.cast("bigint")).cast("int"))
-    q = queries.select(F.col(qid).cast("string").alias("qid"), F.col(vec).alias("vec")).where("vec IS NOT NULL")
+    q = queries.select(F.col(qid).cast("string").alias("qid"), F.col(vec).cast("array<double>").alias("vec")).where("vec IS NOT NULL")
     visit = T.StructType([*q.schema.fields, T.StructField("cell", T.IntegerType()), T.StructField("block", T.IntegerType())])
-    if len(pivots) == 1:
-        bounded = q.withColumn("bound", F.lit(None).cast("double"))
-    else:
-        near = _meet(q.mapInPandas(_visits(cells, True, k), visit), placed, _block_topk(k, exclude_self, False), _schema(False), block_rows)
-        bounds = near.groupBy("qid").agg(F.count(F.lit(1)).alias("n"), F.max("dist").alias("bound")).where(F.col("n") >= k)
-        bounded = q.join(bounds.select("qid", "bound"), "qid", "left")
-    return cand, placed, bounded.mapInPandas(_visits(cells, False, k), visit)
+    return placed, q.mapInArrow(_visits(cells, k, exclude_self), visit)
 
 
 def _schema(with_vectors: bool) -> T.StructType:
@@ -175,7 +182,7 @@ def visited_blocks(queries: DataFrame, candidates: DataFrame, k: int, qid: str,
     got = _prepare(queries, candidates, k, qid, cid, vec, None, exclude_self, block_rows)
     if got is None:
         return queries.sparkSession.createDataFrame([], "qid string, n_blocks long")
-    return got[2].groupBy("qid").agg(F.count(F.lit(1)).alias("n_blocks"))
+    return got[1].groupBy("qid").agg(F.count(F.lit(1)).alias("n_blocks"))
 
 
 def knn(queries: DataFrame, candidates: DataFrame, k: int, qid: str, cid: str, vec: str,
@@ -191,7 +198,7 @@ def knn(queries: DataFrame, candidates: DataFrame, k: int, qid: str, cid: str, v
     got = _prepare(queries, candidates, k, qid, cid, vec, clabel, exclude_self, block_rows)
     if got is None:
         return queries.sparkSession.createDataFrame([], schema).withColumn("rank", F.lit(0))
-    _, placed, visits = got
+    placed, visits = got
     part = _meet(visits, placed, _block_topk(k, exclude_self, with_vectors), schema, block_rows)
     w = Window.partitionBy("qid").orderBy(F.col("dist").asc(), F.col("cid").asc())
     return part.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

@@ -39,9 +39,12 @@ def exact_quantiles(df: DataFrame, columns: dict[str, Column], probs) -> dict[st
         wide = {k: v for k, v in open_.items() if v[3] > SMALL}
         if not wide:
             break
-        got = x.agg(*[F.percentile_approx(_inside(i, lo, hi), _around(rank - before, n), ACCURACY).alias(f"q{j}")
-                      for j, ((i, rank), (before, lo, hi, n)) in enumerate(wide.items())]).first()
-        ends = {k: got[j] for j, k in enumerate(wide)}
+        # ranks of one column in one bracket share a sketch
+        shared: dict[tuple, list] = {}
+        for (i, rank), (before, lo, hi, n) in wide.items():
+            shared.setdefault((i, lo, hi), []).append(((i, rank), _around(rank - before, n)))
+        got = x.agg(*[F.percentile_approx(_inside(*k), [p for _, ends in v for p in ends], ACCURACY).alias(f"q{j}") for j, (k, v) in enumerate(shared.items())]).first()
+        ends = {k: got[j][2 * m:2 * m + 2] for j, v in enumerate(shared.values()) for m, (k, _) in enumerate(v)}
         true = x.agg(*[a for j, (i, rank) in enumerate(wide) for a in _counts(F.col(f"c{i}"), *ends[i, rank], j)]).first()
         for j, (i, rank) in enumerate(wide):
             _, lo, hi, _ = wide[i, rank]

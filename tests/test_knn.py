@@ -42,3 +42,28 @@ def test_null_vectors_and_empty_sides(spark):
     assert knn(some, some.limit(0), 5, "i", "i", "v").count() == 0 and knn(some.limit(0), some, 5, "i", "i", "v").count() == 0
     vectors = knn(some, some, 1, "i", "i", "v", with_vectors=True).collect()
     assert {r.qid: r.cvec for r in vectors} == {"1": [1.0], "3": [0.0]}
+
+
+def test_yielded_batches_are_bounded():
+    """Unclustered rows of 47 dimensions, of which each query visits nearly all of 252 cells."""
+    import pyarrow as pa
+    from riskloom.operators import knn as K
+    rng = np.random.default_rng(2)
+    cells = K._Cells(rng.normal(size=(4096, 47)), [], np.full(252, 9.0), np.full(252, 4096), 4096)
+    x = rng.normal(size=(2000, 47))
+    batch = pa.RecordBatch.from_arrays([pa.array([str(i) for i in range(2000)]), pa.array(list(x), pa.list_(pa.float64()))], ["qid", "vec"])
+    sizes = [b.num_rows for b in K._visits(cells, 5, True)([batch])]
+    assert sum(sizes) > 200_000 and max(sizes) <= K.VISIT_ROWS
+
+
+def test_the_filter_keeps_every_neighbour():
+    """Far from the origin, and nearly equal distances: single precision alone would mix them up."""
+    from riskloom.operators import knn as K
+    rng = np.random.default_rng(7)
+    c = 1e4 + rng.normal(size=(3000, 20)) * 1e-2
+    q = c[:40] + rng.normal(size=(40, 20)) * 1e-3
+    row, col, dist = K.nearest_in_block(q, c, np.arange(40), np.arange(3000), 7, True)
+    for i in range(40):
+        d = np.sqrt(((c - q[i]) ** 2).sum(1))
+        d[i] = np.inf
+        assert sorted(col[row == i]) == sorted(np.argsort(d, kind="stable")[:7])

@@ -55,4 +55,4 @@ def test_knn_never_broadcasts_candidates(spark):
                                "id string, vec array<double>")
     plan = _plan(knn_op.knn(df, df, 3, "id", "id", "vec", block_rows=20))
     assert "BroadcastExchange" not in plan and "CartesianProduct" not in plan
-    assert "FlatMapCoGroupsInPandas" in plan
+    assert "FlatMapCoGroupsInArrow" in plan
