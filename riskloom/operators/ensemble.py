@@ -15,6 +15,8 @@ from pyspark.ml.util import DefaultParamsReader, MLReader, MLWriter
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .network import NetworkModel
+
 # Model roles and stage weights.
 RECALL_MODELS = ["lr", "rf"]
 PRECISION_MODELS = ["nn", "gbt"]
@@ -129,12 +131,16 @@ class EnsembleWriter(MLWriter):
     def saveImpl(self, path: str) -> None:
         for name, m in self.model.models.items():
             m.write().save(f"{path}/models/{name}")
-        about = json.dumps({"models": list(self.model.models), "threshold": self.model.threshold})
+        kinds = {name: "network" if isinstance(m, NetworkModel) else "spark" for name, m in self.model.models.items()}
+        about = json.dumps({"models": kinds, "threshold": self.model.threshold})
         self.sparkSession.createDataFrame([(about,)], "value string").coalesce(1).write.text(f"{path}/ensemble")
 
 
 class EnsembleReader(MLReader):
     def load(self, path: str) -> EnsembleModel:
         about = json.loads(self.sparkSession.read.text(f"{path}/ensemble").first()[0])
-        models = {name: DefaultParamsReader.loadParamsInstance(f"{path}/models/{name}", self.sparkSession) for name in about["models"]}
+        models = {}
+        for name, kind in about["models"].items():
+            at = f"{path}/models/{name}"
+            models[name] = NetworkModel.load(at) if kind == "network" else DefaultParamsReader.loadParamsInstance(at, self.sparkSession)
         return EnsembleModel(models, about["threshold"])

@@ -531,6 +531,9 @@ QUERY_MODELS = {"rf": {"n_trees": 300, "max_depth": 20}, "gbt": {"n_iter": 100,
                 "nn": {"hidden": (128, 64), "max_iter": 100}}
 
 
+FOCAL_QUERY = {"hidden": (128, 64), "epochs": 30}
+
+
 def _model(spark, sf_dir, name):
     """One fitted model (QUERY_MODELS), cached."""
     key = _session_key(spark, sf_dir, name)
@@ -567,6 +570,17 @@ Q["L3_boosted_trees"] = _model_scores("gbt")
 Q["L4_neural_network"] = _model_scores("nn")
 
 
+@register("L4_focal_network")
+def q_l4f(spark, sf_dir):
+    """The network with class weights, focal loss and early stop, on the unbalanced training rows."""
+    key = _session_key(spark, sf_dir, "focal")
+    if key not in _MODEL_CACHE:
+        dm = _design(spark, sf_dir)
+        val = dm.df.where(F.col("split") == "val")
+        _MODEL_CACHE[key] = wf.train_model("nn", _train(spark, sf_dir), len(dm.names), "recall", validation=val, **FOCAL_QUERY)
+    return round_doubles(mdl.score(_MODEL_CACHE[key], _test_rows(spark, sf_dir), "focal"))
+
+
 @register("L5_folds")
 def q_l5f(spark, sf_dir):
     return mdl.fold_column(_train(spark, sf_dir).select("row_id", "label"), 5)

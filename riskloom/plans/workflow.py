@@ -25,6 +25,7 @@ from ..operators import split as splt
 from ..operators import weights as wts
 from ..operators import balance as bal
 from ..operators import models as mdl
+from ..operators import network as net
 from ..operators import many_models as mm
 from ..operators import threshold as thr
 from ..operators import ensemble as ens
@@ -115,12 +116,15 @@ MODES = {"lr": "recall", "rf": "recall", "gbt": "precision"}
 
 def train_model(name: str, balanced: DataFrame, n_features: int, mode: str | None = None, **params):
     """One of L1-L4. ``mode`` ('recall' or 'precision') sets the class weights
-    of lr, rf and gbt; nn has no row weights and takes the rebalanced rows.
-    ``params`` go to the trainer, whose defaults are the full-size model."""
+    of lr, rf and gbt. nn takes the rebalanced rows without a mode; with one it
+    is the focal-loss network, which needs ``validation`` rows and takes the
+    mode's class weights and loss. ``params`` go to the trainer, whose defaults
+    are the full-size model."""
     if name == "nn":
-        if mode is not None:
-            raise ValueError("the network has no class weights, so no mode")
-        return mdl.neural_network(balanced, n_features, **params)
+        if mode is None:
+            return mdl.neural_network(balanced, n_features, **params)
+        rows = [wts.class_weights(d, mode, label="label") for d in (balanced, params.pop("validation"))]
+        return net.focal_network(*rows, n_features, mode=mode, **params)
     trainers = {"lr": mdl.logistic_regression, "rf": mdl.random_forest, "gbt": mdl.boosted_trees}
     if name not in trainers:
         raise ValueError(name)

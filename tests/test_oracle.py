@@ -24,7 +24,7 @@ def test_query_matches_oracle(spark, duck, name):
 
 def test_every_query_has_oracle_or_is_model_based():
     no_sql = {n for n in Q if n not in SQL}
-    allowed = {"L1_logistic_regression", "L2_random_forest", "L3_boosted_trees", "L4_neural_network", "L5_grid_search", "L8_ensemble_model",
+    allowed = {"L1_logistic_regression", "L2_random_forest", "L3_boosted_trees", "L4_neural_network", "L4_focal_network", "L5_grid_search", "L8_ensemble_model",
                "V7_tree_importance", "V8_permutation_importance", "V9_linear_shapley", "V9_sampled_shapley", "V9_forest_shapley",
                "V9_boosted_shapley", "V9_ensemble_shapley", "V10_mean_abs_attribution", "V12_feature_ablation"}
     assert no_sql <= allowed
