@@ -75,7 +75,8 @@ def lookup(rows: DataFrame, table: DataFrame, key: str, counts: DataFrame) -> Da
 
     counts (key, n) has the rows of each key. The table's rows for hot keys, at
     most 1 / HOT_SHARE of them, are broadcast; rows of those keys are spread by a
-    hash of all their columns over the other join, in which they match nothing.
+    hash of all their columns and of the partition they come from (equal rows
+    spread too) over the other join, in which they match nothing.
     """
     total = counts.agg(F.sum("n")).first()[0] or 0
     hot = counts.where(F.col("n") > max(HOT_ROWS, int(total * HOT_SHARE))).select(key)
@@ -83,7 +84,7 @@ def lookup(rows: DataFrame, table: DataFrame, key: str, counts: DataFrame) -> Da
     value = F.struct(*rest)
     near = F.broadcast(table.join(F.broadcast(hot), key, "left_semi").select(key, value.alias("__hot")))
     far = table.select(key, value.alias("__cold"), F.pmod(F.xxhash64(key), F.lit(1)).alias("__route"))  # zero, but not a literal: those are folded out of join keys
-    spread = F.when(F.col("__hot").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(*rows.columns), F.lit(1 << 40)) + 1)
+    spread = F.when(F.col("__hot").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(*rows.columns, F.spark_partition_id()), F.lit(1 << 40)) + 1)
     out = rows.join(near, key, "left").withColumn("__route", spread).join(far, [key, "__route"], "left")
     out = out.withColumn("__value", F.coalesce("__hot", "__cold")).where("__value IS NOT NULL")
     return out.select(*rows.columns, *[F.col("__value")[c].alias(c) for c in rest])

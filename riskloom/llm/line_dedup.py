@@ -11,11 +11,14 @@ An index keeps, in a shared folder:
   last one that has one.
 
 An insert probes its keys in the filters; only those that may be known are
-looked up in the exact table, and keys that are new get a fingerprint. A delete
-takes references away; keys without any left lose their fingerprint, and the
-next smallest document becomes the keeper of a line. Keys are spread over shards
-by hash and are aggregated before they reach one, so a line that very many
-documents share is one row there.
+looked up in the exact table, and keys that are new get a fingerprint. Judging
+a batch's lines probes the filters as they were before the batch: a key that
+they don't hold can only repeat inside the batch, whose own log tells; only the
+others are looked up in the exact table. A delete takes references away that
+are there (others are ignored); keys without any left lose their fingerprint,
+and the next smallest document becomes the keeper of a line. Keys are spread
+over shards by hash and are aggregated before they reach one, so a line that
+very many documents share is one row there.
 """
 
 from __future__ import annotations
@@ -149,20 +152,21 @@ class CuckooFilter:
 
 
 def line_entries(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(key, doc): each line key of each row once."""
-    rows = packed(docs.select(id_col, text_col), id_col, text_col).select("id", "text")
+    """(key, doc, same): each line key of each row once; same tells the texts of one id apart."""
+    rows = packed(docs.select(id_col, text_col), id_col, text_col).select("id", "text", F.xxhash64("text").alias("same"))
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text"):
-                keys, owner = [], []
-                for doc, text in zip(part.column("id").to_pylist(), part.column("text").cast(pa.binary()).to_pylist()):
+                keys, sizes = [], []
+                for text in part.column("text").cast(pa.binary()).to_pylist():
                     own = {line_key(line) for line in (text or b"").split(b"\n")} - {None}
                     keys += sorted(own)
-                    owner += [doc] * len(own)
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(owner, pa.int64())], ["key", "doc"])
+                    sizes.append(len(own))
+                row = pa.array(np.repeat(np.arange(len(sizes)), sizes))
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), part.column("id").take(row), part.column("same").take(row)], ["key", "doc", "same"])
 
-    return rows.mapInArrow(run, "key binary, doc long")
+    return rows.mapInArrow(run, "key binary, doc long, same long")
 
 
 class LineIndex:
@@ -170,7 +174,8 @@ class LineIndex:
 
     Null and empty texts have no keys. A null id counts as the least id. Rows
     with an id already inserted add their lines to that document; one delete
-    of the same rows takes back one insert. Empty tables change nothing.
+    of the same rows takes back one insert, and a delete of what isn't there (a
+    second time, or by mistake) nothing. Empty tables change nothing.
 
     A path with an index is opened as its last commit left it. shards is the
     number to begin with; it grows with the lines, and the filters are dealt
@@ -230,25 +235,53 @@ class LineIndex:
             return self.spark.createDataFrame([], self.LOG)
         return self.spark.read.schema(self.LOG).parquet(*self._folders("log"))
 
-    def _filters(self) -> DataFrame:
-        if self.base == self.epoch:
+    def _filters(self, epoch: int | None = None) -> DataFrame:
+        """The filters of each shard, as they are now or were before an epoch."""
+        epoch = self.epoch if epoch is None else epoch
+        base = self.base if epoch == self.epoch else self.commits[epoch - 1]["base"]
+        folders = [f"{self.path}/filters/{c['folder']}" for c in self.commits[base:epoch]]
+        if not folders:
             return self.spark.createDataFrame([], "shard int, body binary")
-        rows = self.spark.read.schema(self.FILTERS).parquet(*self._folders("filters", self.base))
-        return rows.groupBy("shard").agg(F.max_by("body", "epoch").alias("body"))
+        return self.spark.read.schema(self.FILTERS).parquet(*folders).groupBy("shard").agg(F.max_by("body", "epoch").alias("body"))
 
-    def _shard(self):
-        return F.pmod(F.xxhash64("key"), F.lit(self.shards)).cast("int").alias("shard")
+    def _shard(self, shards: int | None = None):
+        return F.pmod(F.xxhash64("key"), F.lit(shards or self.shards)).cast("int").alias("shard")
 
-    def references(self) -> DataFrame:
-        """The exact table: key, n_docs, keeper (the smallest document that holds the key)."""
-        rows = self._log().groupBy("key", "doc").agg(F.sum("sign").alias("n")).where("n > 0")
+    def references(self, of: DataFrame | None = None) -> DataFrame:
+        """The exact table (of these keys): key, n_docs, keeper (the smallest document that holds the key)."""
+        log = self._log() if of is None else self._log().join(of.select("key"), "key", "left_semi")
+        rows = log.groupBy("key", "doc").agg(F.sum("sign").alias("n")).where("n > 0")
         return rows.groupBy("key").agg(F.count("*").alias("n_docs"), F.min("doc").alias("keeper"))
 
-    def repeated(self) -> DataFrame:
-        """key, keeper, n (rows that refer to it) of the keys that two or more documents hold."""
-        if self.deletes:
-            return self.references().where("n_docs > 1").select("key", "keeper", F.col("n_docs").alias("n"))
-        return self._log().groupBy("key").agg(F.min("doc").alias("keeper"), F.max("doc").alias("last"), F.count("*").alias("n")).where("keeper < last").select("key", "keeper", "n")
+    def repeated(self, keys: DataFrame) -> DataFrame:
+        """key, keeper, n (rows that refer to it) of those keys that two or more documents hold, and maybe of others.
+
+        keys has each key in question once. What the filters before the last
+        insert don't hold is judged by that insert's own log alone.
+        """
+        inserted = bool(self.commits) and self.commits[-1]["sign"] > 0
+        before = self.epoch - 1 if inserted else self.epoch
+        found = self.spark.createDataFrame([], "key binary, keeper long, n long")
+        known = None
+        if before:
+            known = written(self._probe(keys, before).where("maybe").select("key"), "known-lines")
+            found = self.references(known).where("n_docs > 1").select("key", "keeper", F.col("n_docs").alias("n"))
+        if inserted:
+            own = self.spark.read.schema(self.LOG).parquet(self._folders("log")[-1])
+            own = own if known is None else own.join(known, "key", "left_anti")
+            own = own.groupBy("key").agg(F.min("doc").alias("keeper"), F.max("doc").alias("last"), F.count("*").alias("n")).where("keeper < last").select("key", "keeper", "n")
+            found = found.unionByName(own) if before else own
+        return found
+
+    def _probe(self, keys: DataFrame, epoch: int) -> DataFrame:
+        """(key, maybe): whether the filters before an epoch may hold each of these distinct keys."""
+        def probe(new: pd.DataFrame, old: pd.DataFrame) -> pd.DataFrame:
+            filter_ = CuckooFilter(old["body"].iloc[0] if len(old) else None)
+            return pd.DataFrame({"key": new["key"], "maybe": filter_.holds(new["h"].to_numpy(np.int64).view(np.uint64))})
+
+        shards = self.shards if epoch == self.epoch else self.commits[epoch - 1]["shards"]
+        hashed = keys.select("key", self._shard(shards), F.xxhash64("key", F.lit(7)).alias("h"))
+        return hashed.groupBy("shard").cogroup(self._filters(epoch).groupBy("shard")).applyInPandas(probe, "key binary, maybe boolean")
 
     def _update(self, keys: DataFrame, add: bool, folder: str) -> None:
         """A new version of the filters of the shards that own these keys (distinct, one row each)."""
@@ -271,32 +304,33 @@ class LineIndex:
         if not self.epoch:
             return keys
 
-        def probe(new: pd.DataFrame, old: pd.DataFrame) -> pd.DataFrame:
-            filter_ = CuckooFilter(old["body"].iloc[0] if len(old) else None)
-            return pd.DataFrame({"key": new["key"], "maybe": filter_.holds(new["h"].to_numpy(np.int64).view(np.uint64))})
-
-        hashed = keys.select("key", self._shard(), F.xxhash64("key", F.lit(7)).alias("h"))
-        probed = hashed.groupBy("shard").cogroup(self._filters().groupBy("shard")).applyInPandas(probe, "key binary, maybe boolean")
-        path = fresh_path(self.spark, "line-probes")
-        probed.write.parquet(path)
-        probed = self.spark.read.schema("key binary, maybe boolean").parquet(path)
+        probed = written(self._probe(keys, self.epoch), "line-probes")
         maybe = probed.where("maybe").select("key")
         known = self._log().join(maybe, "key", "left_semi").groupBy("key", "doc").agg(F.sum("sign").alias("n")).where("n > 0").select("key").distinct()
         return probed.where("not maybe").select("key").union(maybe.join(known, "key", "left_anti"))
 
     def _change(self, docs: DataFrame, sign: int, id_col: str, text_col: str) -> LineIndex:
-        lines = docs.agg(F.sum(F.length(text_col) - F.length(F.replace(F.col(text_col), F.lit("\n"), F.lit(""))) + 1)).first()[0] or 0
+        lines = 0 if sign < 0 else docs.agg(F.sum(F.length(text_col) - F.length(F.replace(F.col(text_col), F.lit("\n"), F.lit(""))) + 1)).first()[0] or 0
         before = self.shards, self.lines, self.base
         try:
-            self.lines = max(0, self.lines + sign * lines)
+            self.lines += lines if sign > 0 else 0
             wanted = max(8, math.ceil(self.lines / KEYS_PER_SHARD))
             outgrown = self.shards is not None and wanted > 2 * max(4, self.shards)
             if outgrown or self.shards is None:
                 self.shards, self.base = wanted, self.epoch
             folder = f"{self.epoch}-{uuid.uuid4().hex}"
             path = f"{self.path}/log/{folder}"
-            line_entries(docs, id_col, text_col).select("key", "doc", F.lit(sign).alias("sign")).write.parquet(path)
+            entries = line_entries(docs, id_col, text_col)
+            if sign > 0:
+                entries = entries.select("key", "doc", F.lit(1).alias("sign"))
+            else:  # only references that are there can go
+                gone = entries.groupBy("key", "doc").agg(F.count("*").alias("gone"))
+                held = self._log().groupBy("key", "doc").agg(F.sum("sign").alias("held")).where("held > 0")
+                entries = gone.join(held, ["key", "doc"]).select("key", "doc", (-F.least("gone", "held")).cast("int").alias("sign"))
+            entries.write.parquet(path)
             rows = self.spark.read.schema(self.LOG).parquet(path)
+            if sign < 0:
+                self.lines += rows.agg(F.sum("sign")).first()[0] or 0
             keys = rows.select("key").groupBy("key").agg(F.lit(1)).select("key")
             if sign < 0:
                 every = self._log().unionByName(rows).join(keys, "key", "left_semi").groupBy("key", "doc").agg(F.sum("sign").alias("n"))
@@ -328,10 +362,12 @@ class LineIndex:
         and counts as one empty line.
         """
         entries = line_entries(docs, id_col, text_col)
-        repeated = written(self.repeated(), "repeated-lines")
-        drops = lookup(entries, repeated.select("key", "keeper"), "key", repeated.select("key", "n")).where("doc > keeper").groupBy("doc").agg(F.collect_set("key").alias("drops"))
-        rows = packed(docs, id_col, text_col)
-        rows = rows.join(drops.withColumnRenamed("doc", "id"), "id", "left").select("row", "id", "text", "drops")
+        repeated = written(self.repeated(entries.select("key").distinct()), "repeated-lines")
+        drops = lookup(entries, repeated.select("key", "keeper"), "key", repeated.select("key", "n")).where("doc > keeper")
+        # by id and text: a null or repeated id's texts don't meet
+        drops = drops.groupBy(F.col("doc").alias("id"), "same").agg(F.collect_set("key").alias("drops"))
+        rows = packed(docs, id_col, text_col).withColumn("same", F.xxhash64("text"))
+        rows = rows.join(drops, ["id", "same"], "left").select("row", "id", "text", "drops")
 
         def rewrite(batches):
             for batch in batches:

@@ -142,7 +142,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """Learns from at most SAMPLE_ROWS labelled rows that are not held out, and from the term statistics of all docs.
 
     The sample takes the rows of least id hash of each label. Rows without an
-    id or a label teach nothing; an id with several labels has the largest. No
+    id or a label teach nothing; an id with several labels has the largest, one
+    with several texts the least of their term counts, as bytes. No
     usable label: every score is 0.5.
     """
     spark = docs.sparkSession
@@ -160,7 +161,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         for block, counts in _blocks(batches):
             yield pa.RecordBatch.from_arrays([block.column("id"), block.column("label"), pa.array([r.tobytes() for r in counts], pa.binary())], ["id", "label", "counts"])
 
-    rows = sorted((r[0], r[1], bytes(r[2])) for r in texts.join(sample, "id").mapInArrow(run, "id long, label int, counts binary").dropDuplicates(["id"]).collect())
+    rows = sorted((r[0], r[1], bytes(r[2])) for r in texts.join(sample, "id").mapInArrow(run, "id long, label int, counts binary")
+                  .groupBy("id", "label").agg(F.min("counts").alias("counts")).collect())
     documents, frequency = document_frequency(texts.select("text"))
     counts = np.stack([np.frombuffer(r[2], np.float32) for r in rows]) if rows else np.zeros((0, TERMS), np.float32)
     return Votes(counts, np.array([r[1] for r in rows], np.int64), documents, frequency, prior)

@@ -52,7 +52,7 @@ def op6_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     packages = warc.write_packages(_table(spark, sf_dir, "pages"))
-    return warc.payload_table(warc.read_packages(packages))
+    return warc.payload_table(warc.read_packages(packages)).drop("record_id")
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

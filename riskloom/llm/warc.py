@@ -3,10 +3,13 @@
 A package is a ZIP archive of stored members: ``archive/*.warc.gz`` (each record
 a gzip member of its own), ``indexes/index.cdxj`` (one line for each record:
 key, time, JSON with file name, offset, length, digest) and ``datapackage.json``.
-The reader parses the central directory (with ZIP64), finds the members' data,
-and reads single records by their offsets in the index.
+The reader takes packages of any writer: it parses the central directory (with
+ZIP64), finds the members' data, reads plain indexes and gzipped ones (by the
+ranges of their ``.idx`` where there is one), and reads single records by their
+offsets in the index. An archive that no index names is an error.
 
-Packages lie in any store that pyarrow opens by URI. Each writing task makes
+Packages lie in any store that pyarrow opens by URI; a path without a scheme is
+qualified by Spark's default file system first. Each writing task makes
 files under new names and returns them; only returned files count, so a repeated
 task leaves no double records.
 """
@@ -127,7 +130,8 @@ class ZipDirectory:
             method, = struct.unpack_from("<H", body, at + 10)
             stored, size, n_name, n_extra, n_comment = struct.unpack_from("<IIHHH", body, at + 20)
             header, = struct.unpack_from("<I", body, at + 42)
-            name = body[at + 46:at + 46 + n_name].decode("utf-8")
+            flags, = struct.unpack_from("<H", body, at + 8)
+            name = body[at + 46:at + 46 + n_name].decode("utf-8" if flags & 0x800 else "cp437")
             extra, e = body[at + 46 + n_name:at + 46 + n_name + n_extra], 0
             while e + 4 <= len(extra):
                 tag, n = struct.unpack_from("<HH", extra, e)
@@ -169,6 +173,12 @@ class Opened:
         return got
 
 
+def qualified(spark, path: str) -> str:
+    """The path with its scheme: the same place on the driver and on every executor."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(where).toString()
+
+
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     if "://" not in uri and uri.startswith("file:/"):
         uri = uri[5:]
@@ -217,7 +227,7 @@ def write_packages(pages: DataFrame, path: str | None = None, revisit_bytes: int
     ones are aggregated before any shuffle, and the rows of a payload that very
     many pages share are spread over all tasks.
     """
-    path = path or fresh_path(pages.sparkSession, "warc")
+    path = qualified(pages.sparkSession, path or fresh_path(pages.sparkSession, "warc"))
     html = F.coalesce(F.col(html_col), F.lit(""))
     rows = pages.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("page_id"), F.col(url_col).cast("string").alias("url"), html.alias("html"),
                         F.unhex(F.sha2(html, 256)).alias("same"))
@@ -249,21 +259,63 @@ def write_packages(pages: DataFrame, path: str | None = None, revisit_bytes: int
 
 # ----------------------------------------------------------------- reading
 
+INDEXES = (".cdxj", ".cdx", ".cdxj.gz", ".cdx.gz")
+
+
+def index_lines(file: Opened, directory: ZipDirectory, uri: str):
+    """The lines of all indexes, each with its JSON."""
+    members = {n: m for n, m in directory.members.items() if n.startswith("indexes/")}
+    for name, member in members.items():
+        if not name.endswith(INDEXES):
+            continue
+        start = directory.data_offset(member)
+        if not name.endswith(".gz"):
+            parts = [(0, member.size)]
+        else:
+            plain = name.rpartition("/")[2]
+            beside = [m for n, m in members.items() if n.endswith(".idx")]
+            lines = [line.split("\t") for m in beside for line in file.read(directory.data_offset(m), m.size).decode("utf-8").splitlines() if line and line[0] != "!"]
+            # an .idx line: first key, index file, offset, length, ...
+            parts = [(int(f[2]), int(f[3])) for f in lines if len(f) >= 4 and f[1].rpartition("/")[2] == plain] or [(0, member.size)]
+        for at, size in parts:
+            body = file.read(start + at, size)
+            for line in (gunzip(body) if name.endswith(".gz") else body).decode("utf-8").splitlines():
+                if line.strip() and not line.startswith("!"):
+                    at_json = line.find("{")
+                    if at_json < 0:
+                        raise ValueError(f"{uri}: {name} has a line without JSON")
+                    yield json.loads(line[at_json:])
+
+
+def gunzip(body: bytes) -> bytes:
+    """All members of gzipped bytes."""
+    out = []
+    while body:
+        d = zlib.decompressobj(31)
+        out.append(d.decompress(body))
+        if not d.eof:
+            raise ValueError("gzipped bytes are cut short")
+        body = d.unused_data
+    return b"".join(out)
+
+
 def _locate(batches):
     """Runs of neighbouring records in each package: where they begin in the file, and their lengths."""
     for batch in batches:
         for uri in batch.column("package").to_pylist():
             file = Opened(uri)
             directory = ZipDirectory(file.read, file.size)
-            entries: dict[str, list[tuple[int, int]]] = {}
-            for name, member in directory.members.items():
-                if name.startswith("indexes/") and name.endswith((".cdxj", ".cdx")):
-                    body = file.read(directory.data_offset(member), member.size)
-                    for line in body.decode("utf-8").splitlines():
-                        entry = json.loads(line.split(" ", 2)[2])
-                        entries.setdefault(entry["filename"], []).append((int(entry["offset"]), int(entry["length"])))
+            entries: dict[str, set[tuple[int, int]]] = {}
+            for entry in index_lines(file, directory, uri):
+                entries.setdefault(entry["filename"].rpartition("/")[2], set()).add((int(entry["offset"]), int(entry["length"])))
+            archives = {n.rpartition("/")[2]: m for n, m in directory.members.items() if n.startswith("archive/") and n.endswith((".warc.gz", ".warc"))}
+            for name, member in archives.items():
+                if member.size and name not in entries:
+                    raise ValueError(f"{uri}: no index names the records of {name}")
             for name, places in entries.items():
-                start = directory.data_offset(directory.members[f"archive/{name}"])
+                if name not in archives:
+                    raise ValueError(f"{uri}: an index names {name}, which isn't there")
+                start = directory.data_offset(archives[name])
                 run: list[tuple[int, int]] = []
                 for place in sorted(places):
                     if run and (place[0] != sum(run[-1]) or place[0] - run[0][0] >= SLICE_BYTES):
@@ -278,49 +330,82 @@ def _run(uri, start, run):
     return pa.RecordBatch.from_pydict({"package": [uri], "offset": [start + run[0][0]], "lengths": [[n for _, n in run]]}, schema=pa.schema([("package", pa.string()), ("offset", pa.int64()), ("lengths", pa.list_(pa.int64()))]))
 
 
+#: Kinds of records whose block is kept.
+WITH_PAYLOAD = ("response", "resource")
+
+
+def payload_of(fields: dict[str, str], block: bytes) -> bytes | None:
+    """What a record carries: the body of an HTTP response, or the whole block of other ones."""
+    if fields["warc-type"] not in WITH_PAYLOAD:
+        return None
+    return block.partition(b"\r\n\r\n")[2] if fields.get("content-type", "").startswith("application/http") else block
+
+
+def same_digest(stated: str, payload: bytes) -> bool | None:
+    """Whether a stated digest (algorithm:value, in base 32 or hexadecimal) is the payload's; None for an unknown algorithm."""
+    kind, _, value = stated.rpartition(":")
+    kind = kind.lower().replace("-", "") or "sha1"
+    if kind not in hashlib.algorithms_guaranteed or kind.startswith("shake"):
+        return None
+    raw = hashlib.new(kind, payload, usedforsecurity=False).digest()
+    return value.strip().rstrip("=").upper() in (base64.b32encode(raw).decode().rstrip("="), raw.hex().upper())
+
+
 def _read(batches):
     for batch in batches:
         for uri, offset, lengths in zip(*(batch.column(c).to_pylist() for c in ("package", "offset", "lengths"))):
             body, at, out = Opened(uri).read(offset, sum(lengths)), 0, []
             for n in lengths:
-                fields, block = parse_record(zlib.decompress(body[at:at + n], 31))
+                raw = body[at:at + n]
                 at += n
-                digest = fields["warc-payload-digest"].removeprefix("sha1:")
+                fields, block = parse_record(gunzip(raw) if raw[:2] == b"\x1f\x8b" else raw)
+                payload, stated = payload_of(fields, block), fields.get("warc-payload-digest")
+                if payload is not None:
+                    if stated and same_digest(stated, payload) is False:
+                        raise ValueError(f"{fields['warc-record-id']}: the payload does not match its digest")
+                    digest = sha1_base32(payload)
+                else:
+                    digest = stated[5:] if stated and stated.lower().startswith("sha1:") else None
                 refers = fields.get("warc-refers-to")
-                payload = block.partition(b"\r\n\r\n")[2]
-                if fields["warc-type"] == "response" and sha1_base32(payload) != digest:
-                    raise ValueError(f"{fields['warc-record-id']}: the payload does not match its digest")
-                out.append((_page(fields["warc-record-id"]), fields["warc-target-uri"], fields["warc-type"], digest, _page(refers) if refers else None,
-                            payload if fields["warc-type"] == "response" else None))
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out), (pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.binary()))],
-                                             ["page_id", "url", "record_type", "payload_digest", "refers_to", "payload"])
-
-
-def _page(urn: str) -> int:
-    return int(urn.strip("<>").removeprefix("urn:page:"))
+                out.append((fields["warc-record-id"].strip("<>"), fields.get("warc-target-uri"), fields["warc-type"], digest, refers.strip("<>") if refers else None, payload))
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out), (*[pa.string()] * 5, pa.binary()))],
+                                             ["record_id", "url", "record_type", "payload_digest", "refers_to", "payload"])
 
 
 def read_packages(packages: DataFrame) -> DataFrame:
-    """The records of packages: page_id, url, record_type, payload_digest, refers_to, payload (null for revisits).
-
-    packages has a column package with their URIs. A null page id comes back
-    as the least long. A response whose payload does not match its digest, and
-    a broken archive, end the job. No package, or a package without records:
-    no rows.
+    """The records of packages: record_id, url, record_type, payload_digest, refers_to, payload.
+
+    packages has a column package with their URIs (and bytes, if known). Ids
+    are the records' own, as text without angle brackets. payload_digest is the
+    bare SHA-1 in base 32, computed where there is a payload (of responses and
+    resources; others have none), else as the record states it. A payload that
+    does not match the digest its record states, an archive without an index and
+    a broken package end the job. No package, or one without records: no rows.
     """
-    total = packages.agg(F.sum("bytes")).first()[0] or 0
+    known = "bytes" in packages.columns
+    total = (packages.agg(F.sum("bytes")).first()[0] if known else packages.count() * PACKAGE_BYTES) or 0
     places = packages.select("package").repartition(max(1, min(2_000, -(-total // PACKAGE_BYTES) * 4))).mapInArrow(_locate, "package string, offset long, lengths array<long>")
-    return places.repartition(max(1, -(-total // SLICE_BYTES))).mapInArrow(_read, "page_id long, url string, record_type string, payload_digest string, refers_to long, payload binary")
+    return places.repartition(max(1, -(-total // SLICE_BYTES))).mapInArrow(_read, "record_id string, url string, record_type string, payload_digest string, refers_to string, payload binary")
+
+
+def page_number(record_id: str):
+    """The page of a record written by write_packages, from the id column; null for other ids."""
+    return F.regexp_extract(record_id, "^urn:page:(-?[0-9]+)$", 1).try_cast("long")
 
 
 def payload_table(records: DataFrame) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to, both of the full payload: a revisit has its response's."""
-    rows = written(records.select("page_id", F.octet_length("payload").cast("long").alias("bytes"), "payload_digest", "record_type", "refers_to"), "warc-records")
-    rows = rows.withColumn("same", F.when(F.col("record_type") == "revisit", F.concat_ws(" ", "refers_to", "payload_digest")).otherwise(F.concat_ws(" ", "page_id", "payload_digest")))
-    responses = rows.where("record_type = 'response'").groupBy("same").agg(F.max("bytes").alias("full"))
-    revisits = rows.where("record_type = 'revisit'")
+    """page_id, record_id, payload_bytes, payload_digest, record_type, refers_to, both of the full payload: a revisit has its response's.
+
+    page_id and refers_to are page numbers, null for records of other writers.
+    A revisit whose response isn't among the records is no whole record and is
+    left out, as are records that are neither.
+    """
+    rows = written(records.select("record_id", F.octet_length("payload").cast("long").alias("bytes"), "payload_digest", "record_type", "refers_to"), "warc-records")
+    responses = rows.where("record_type = 'response'").groupBy(F.col("record_id").alias("same")).agg(F.max(F.struct("bytes", "payload_digest")).alias("full"))
+    revisits = rows.where("record_type = 'revisit'").withColumn("same", F.col("refers_to"))
     revisits = lookup(revisits, responses, "same", revisits.groupBy("same").agg(F.count("*").alias("n")))
-    rows = rows.drop("same")
+    own = rows.where("record_type = 'response'").withColumn("full", F.struct("bytes", "payload_digest"))
+    out = own.unionByName(revisits.select(*rows.columns, "full"))
     null_id = F.lit(NULL_ID)
-    out = rows.where("record_type = 'response'").withColumn("full", F.col("bytes")).unionByName(revisits.select(*rows.columns, "full"))  # a revisit without its response is no whole record
-    return out.select(F.nullif("page_id", null_id).alias("page_id"), F.col("full").alias("payload_bytes"), "payload_digest", "record_type", F.nullif("refers_to", null_id).alias("refers_to"))
+    return out.select(F.nullif(page_number("record_id"), null_id).alias("page_id"), "record_id", F.col("full.bytes").alias("payload_bytes"), F.col("full.payload_digest").alias("payload_digest"),
+                      "record_type", F.nullif(page_number("refers_to"), null_id).alias("refers_to"))

@@ -123,3 +123,42 @@ def test_an_index_is_opened_again(spark, tmp_path, monkeypatch):
     last = LineIndex(spark, path)
     assert last.deletes and last.epoch == 4 and result(last.keep_first(db.union(dc))) == brute(b + c)
     assert result(LineIndex(spark, path).delete(dc).keep_first(db)) == brute(b)
+
+
+def test_a_repeated_delete_takes_nothing(spark):
+    a, b = [(1, "one line that both of them hold")], [(2, "one line that both of them hold"), (3, "a line of the third alone")]
+    da, db = plain_docs(spark, a), plain_docs(spark, b)
+    key = hashlib.sha256(b"one line that both of them hold").digest()[:16]
+    index = LineIndex(spark, shards=2).insert(da.union(db))
+    index.delete(da).delete(da).delete(plain_docs(spark, [(9, "one line that both of them hold\na line that was never there")]))
+    assert {bytes(r.key): (r.n_docs, r.keeper) for r in index.references().collect()}[key] == (1, 2)
+    index.insert(da)
+    assert {bytes(r.key): (r.n_docs, r.keeper) for r in index.references().collect()}[key] == (2, 1)
+    assert result(index.keep_first(da.union(db))) == brute(a + b)
+    assert index.lines >= 3
+
+
+def test_a_job_that_runs_twice(spark):
+    a, b = [(1, "one line that both of them hold"), (4, "mine alone and no other's")], [(2, "one line that both of them hold")]
+    da, db = plain_docs(spark, a), plain_docs(spark, b)
+    index = LineIndex(spark, shards=2).insert(da).insert(da).insert(db)
+    assert result(index.keep_first(da.union(db))) == brute(a + b)
+    index.delete(da).delete(da).delete(da)
+    assert result(index.keep_first(db)) == brute(b)
+
+
+def test_rows_depend_on_the_filters(spark, monkeypatch):
+    """A batch's lines are looked up only if the filters of the batches before may hold them."""
+    a, b = [(1, "a line that the second batch repeats")], [(2, "a line that the second batch repeats\ninside the batch itself"), (3, "inside the batch itself")]
+    db = plain_docs(spark, b)
+    index = LineIndex(spark, shards=2).insert(plain_docs(spark, a)).insert(db)
+    assert result(index.keep_first(db)) == brute(a + b, b)
+    monkeypatch.setattr(LineIndex, "_filters", lambda self, epoch=None: self.spark.createDataFrame([], "shard int, body binary"))
+    assert result(index.keep_first(db)) == brute(b)
+
+
+def test_many_rows_without_an_id(spark):
+    rows = [(None, f"a line in every one of them\nown line of number {i}\n{'more of it ' * (i % 3)}") for i in range(300)] + [(1, "a line in every one of them")]
+    docs = plain_docs(spark, rows).repartition(5)
+    got = result(LineIndex(spark).insert(docs).keep_first(docs))
+    assert got == brute(rows)

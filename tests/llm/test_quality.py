@@ -97,3 +97,13 @@ def test_equal_texts_score_exactly_alike_in_every_block():
     voters = np.flatnonzero((mixed == learned[0]).all(1))[:quality.NEIGHBOURS]
     votes = quality.Votes(mixed, np.isin(np.arange(300), voters).astype(np.int64), len(docs), (mixed > 0).sum(0), 0.5)
     assert votes(learned[:1]).tolist() == [1.0]
+
+
+def test_ids_with_two_texts_learn_the_same_under_any_partitioning(spark):
+    rows = [(i, f"{'good plain words of prose' if i % 2 else 'zzz ### 123 qqq'} number {i} version {v} " * (v + 1)) for i in range(40) for v in range(2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    models = [quality.fit(docs.repartition(n), labels) for n in (1, 2, 3, 5, 8)]
+    assert len(models[0].labels) > 15
+    for m in models[1:]:
+        assert (m.vectors == models[0].vectors).all() and (m.labels == models[0].labels).all() and (m.idf == models[0].idf).all()
