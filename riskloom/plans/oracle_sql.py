@@ -618,18 +618,17 @@ FROM s JOIN tot t ON s.model = t.model AND s.error_kind = t.error_kind
 GROUP BY s.model, s.error_kind, s.slice""", ["share"])
 
 # Leak-free customer aggregates (each row sees its customer's rows up to itself)
-SQL["W_past_customer_features"] = rounded(f"""WITH {TXN_CTE},
-f AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY customer_id, transaction_id
+PAST_CTE = """past_ids AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY customer_id, transaction_id
                        ORDER BY transaction_date ASC NULLS LAST, transaction_id ASC NULLS LAST) = 1
                      THEN 1 ELSE 0 END AS first_id,
              CAST(transaction_date AS DATE) AS d
       FROM txn WHERE customer_id IS NOT NULL),
-g AS (SELECT *, CASE WHEN d IS NULL THEN 0
+past_days AS (SELECT *, CASE WHEN d IS NULL THEN 0
                      WHEN (lag(d) OVER (PARTITION BY customer_id ORDER BY transaction_date ASC NULLS LAST,
                                         transaction_id ASC NULLS LAST)) IS DISTINCT FROM d THEN 1
                      ELSE 0 END AS new_day
-      FROM f)
-SELECT transaction_id,
+      FROM past_ids),
+past AS (SELECT transaction_id,
   CAST(sum(first_id) OVER r AS BIGINT) AS past_total_customer_transactions,
   CAST(sum(CAST(transaction_amount AS DECIMAL(38,10))) OVER r AS DOUBLE)
     / CAST(count(transaction_amount) OVER r AS DOUBLE) AS past_avg_customer_transaction,
@@ -638,9 +637,10 @@ SELECT transaction_id,
   CAST(len(list_distinct(list(product_category) OVER r)) AS BIGINT) AS past_product_category_diversity,
   CAST(count(transaction_date) OVER r AS DOUBLE) / CAST(sum(new_day) OVER r AS DOUBLE)
     AS past_avg_daily_transaction_velocity
-FROM g
+FROM past_days
 WINDOW r AS (PARTITION BY customer_id ORDER BY transaction_date ASC NULLS LAST,
-             transaction_id ASC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""",
+             transaction_id ASC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))"""
+SQL["W_past_customer_features"] = rounded(f"WITH {TXN_CTE}, {PAST_CTE} SELECT * FROM past",
     ["past_avg_customer_transaction", "past_std_customer_transaction",
      "past_max_customer_transaction", "past_avg_daily_transaction_velocity"])
 
@@ -765,3 +765,32 @@ both_kinds AS (SELECT * FROM originals UNION ALL SELECT * FROM synthetic),
 numbered AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5(row_id || '123'), row_id) AS rk FROM both_kinds)
 SELECT row_id, label, synthetic, feature_sum FROM numbered
 WHERE label = 1 OR rk <= (SELECT CAST(floor(count(*) / 0.5) AS BIGINT) FROM both_kinds WHERE label = 1)""", ["feature_sum"])
+
+# --------------------------------------------------------------------------
+# The leak-free design: statistics, fills, rates and scales of the training rows, customers as of each row
+# --------------------------------------------------------------------------
+_parts = _split_cte("ids").replace("ranked", "ranked_ids").replace("sizes", "sizes_ids").replace("splitted", "splitted_ids")
+TRAIN_FEATURES = (FEATURES_CTE
+                  .replace("FROM txn)", "FROM txn JOIN parts USING (transaction_id) WHERE split = 'train')", 1)
+                  .replace(f"{CUST_CTE},\n", "")
+                  .replace(", ".join(["c.total_customer_transactions", "c.avg_customer_transaction", "c.std_customer_transaction"]),
+                           ", ".join(f"c.past_{n} AS {n}" for n in ("total_customer_transactions", "avg_customer_transaction", "std_customer_transaction")))
+                  .replace("c.max_customer_transaction, c.product_category_diversity, v.avg_daily_transaction_velocity",
+                           ", ".join(f"c.past_{n} AS {n}" for n in ("max_customer_transaction", "product_category_diversity", "avg_daily_transaction_velocity")))
+                  .replace("LEFT JOIN cust c ON t.customer_id = c.customer_id\n  LEFT JOIN vel v ON t.customer_id = v.customer_id",
+                           "LEFT JOIN past c ON t.transaction_id = c.transaction_id"))
+_train_fills = ", ".join(
+    f"COALESCE(CAST({c} AS DOUBLE), (SELECT median(CAST({c} AS DOUBLE)) FROM train_features)) AS {c}" if c in MODEL_NUMERIC
+    else f"COALESCE({c}, {_mode_sql(c, 'train_features')}) AS {c}" if c in MODEL_STRINGS else c for c in SELECTED_ORDER)
+TRAIN_PREPARED = f"""train_features AS (SELECT f.* FROM features f JOIN parts USING (transaction_id) WHERE split = 'train'),
+imputed AS (SELECT transaction_id, is_fraudulent, {_train_fills} FROM features),
+rates AS (SELECT customer_location, avg(CAST(is_fraudulent AS DOUBLE)) AS fraud_rate FROM train_features WHERE customer_location IS NOT NULL GROUP BY 1),
+prepared AS (
+  SELECT i.transaction_id, i.is_fraudulent, {', '.join('i.' + c for c in _prep_numeric)},
+         {_dummy_sql.replace('COALESCE(CAST(', 'COALESCE(CAST(i.')},
+         COALESCE(r.fraud_rate, (SELECT avg(CAST(is_fraudulent AS DOUBLE)) FROM train_features)) AS customer_location
+  FROM imputed i LEFT JOIN rates r ON i.customer_location = r.customer_location)"""
+_train_margin = " + ".join([f"CAST({FIXED_INTERCEPT} AS DOUBLE)"] + [f"CAST({fixed_coefficient(c)} AS DOUBLE) * {c}" for c in DESIGN])
+SQL["D2_train_design"] = rounded(f"""WITH {GAPS_CTE}, {IDS_CTE}, {_parts}, parts AS (SELECT transaction_id, split FROM splitted_ids), {PAST_CTE},
+{TRAIN_FEATURES}, {TRAIN_PREPARED}, {SCALED_CTE}
+SELECT transaction_id AS row_id, split, {_train_margin} AS margin FROM scaled""", ["margin"])

@@ -483,6 +483,15 @@ def _train(spark, sf_dir):
     return d.where(F.col("split") == "train")
 
 
+@register("D2_train_design")
+def q_d2t(spark, sf_dir):
+    """The leak-free design of the rows with gaps: a sum of all its columns, each times a fixed coefficient."""
+    dm = wf.build_design(_gaps(spark, sf_dir), fit="train")
+    coefficients = F.array(*[F.lit(fixed_coefficient(n)) for n in dm.names])
+    margin = F.aggregate(F.zip_with("features_arr", coefficients, lambda x, c: x * c), F.lit(FIXED_INTERCEPT), lambda a, b: a + b)
+    return round_doubles(dm.df.select("row_id", "split", margin.alias("margin")))
+
+
 @register("K1_knn_minority")
 def q_k1(spark, sf_dir):
     t = _train(spark, sf_dir).where(F.col("label") == 1.0)
