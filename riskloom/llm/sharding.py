@@ -25,6 +25,8 @@ from ._tables import lookup, text_digest, written
 ROW_BYTES = 16
 #: A shard is this many times the coarse bundle; finer bundles are 1/16 of the one before.
 BUNDLES_PER_SHARD = 64
+#: Bins of a part that go on to the next level, where shards have a fixed capacity.
+OPEN_BINS = 64
 GROUPS_PER_TASK = 200_000
 ROWS_PER_SLOT_RUN = 20_000
 
@@ -184,26 +186,72 @@ def _bundles(capacity: int):
 def pack_groups(groups: DataFrame, n_shards: int | None = None, capacity: int | None = None) -> DataFrame:
     """(key, bytes) rows with distinct keys to (key, bytes, shard).
 
-    Give n_shards (their sizes come out near equal), or a fixed capacity (as
-    few shards as best-fit-decreasing finds). A group larger than a shard's
-    share is not divided: it is a shard's only group.
+    Give n_shards (their sizes come out near equal), or a fixed capacity: tasks
+    pack parts of the groups best-fit-decreasing, and the OPEN_BINS emptiest
+    bins of each part go on, as wholes, to a next level of fewer tasks, until one
+    task holds the rest; nothing reaches the driver. A group larger than a
+    shard's share is not divided: it is a shard's only group.
     """
     if (n_shards is None) == (capacity is None):
         raise ValueError("give n_shards or capacity")
+    if capacity:
+        return _pack_to_capacity(groups.select("key", "bytes"), capacity)
     spark = groups.sparkSession
     count, total = groups.agg(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0))).first()
-    share = capacity or max(1, -(-total // n_shards))
+    share = max(1, -(-total // n_shards))
     tasks = max(1, math.ceil(count / GROUPS_PER_TASK))
     parts = groups.select("key", "bytes", F.pmod(F.xxhash64("key"), F.lit(tasks)).alias("part"))
     units = written(parts.groupBy("part").applyInPandas(lambda p: next(_bundles(max(1, share // BUNDLES_PER_SHARD))([p])), "key binary, bytes long, bundle long"), "shard-units")
     # at most 3 * 2 * shards * 64 bundles that are half full, and 3 * tasks others
     bundles = sorted(((int(r[1]), r[0]) for r in units.groupBy("bundle").agg(F.sum("bytes")).collect()), key=lambda x: (-x[0], x[1]))
     sizes = [b for b, _ in bundles]
-    shard = fit_into(sizes, n_shards) if n_shards else best_fit(sizes, capacity)
+    shard = fit_into(sizes, n_shards)
     placed = spark.createDataFrame(pd.DataFrame({"bundle": np.array([b for _, b in bundles], np.int64), "shard": np.array(shard, np.int32)}), "bundle long, shard int")
     return units.join(placed, "bundle").select("key", "bytes", "shard")
 
 
+def _pack_to_capacity(groups: DataFrame, capacity: int) -> DataFrame:
+    """(key, bytes, shard): whole shards are packed in tasks, level by level."""
+    units = groups.select(F.col("key").alias("unit"), F.col("bytes").cast("long").alias("bytes"))
+    levels = []
+    while True:
+        level, tasks = len(levels), max(1, math.ceil(units.count() / GROUPS_PER_TASK))
+
+        def pack(part: pd.DataFrame) -> pd.DataFrame:
+            part = part.sort_values(["bytes", "unit"], ascending=[False, True], kind="stable")
+            sizes = part["bytes"].to_numpy(np.int64)
+            got = np.array(best_fit(sizes.tolist(), capacity))
+            filled = np.bincount(got, weights=sizes)
+            emptiest = np.argsort(filled, kind="stable")[:OPEN_BINS if tasks > 1 else 0]
+            open_ = np.isin(got, emptiest[filled[emptiest] < capacity])
+            closed = np.cumsum(~np.isin(np.arange(len(filled)), got[open_])) - 1  # closed bins are numbered without gaps
+            name = [f"{level}.{part['part'].iloc[0]}.{b}".encode() for b in got]
+            return pd.DataFrame({"unit": part["unit"].to_numpy(), "bytes": sizes, "part": part["part"].to_numpy(), "bin": name, "at": np.where(open_, -1, closed[got])})
+
+        parts = units.withColumn("part", F.pmod(F.xxhash64("unit"), F.lit(tasks)))
+        placed = written(parts.groupBy("part").applyInPandas(pack, "unit binary, bytes long, part long, bin binary, at long"), "shard-bins")
+        levels.append(placed)
+        if tasks == 1:
+            break
+        units = written(placed.where("at < 0").groupBy(F.col("bin").alias("unit")).agg(F.sum("bytes").alias("bytes")), "shard-open-bins")
+    # a shard's number: the closed bins of the levels and parts before, a row for each part
+    made = None
+    for level, placed in enumerate(levels):
+        own = placed.where("at >= 0").groupBy("part").agg((F.max("at") + 1).alias("n")).select(F.lit(level).alias("level"), "part", "n")
+        made = own if made is None else made.unionByName(own)
+    before = Window.orderBy("level", "part").rowsBetween(Window.unboundedPreceding, -1)
+    first = made.select("level", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    out = None
+    for level in range(len(levels) - 1, -1, -1):
+        own = levels[level].join(F.broadcast(first.where(F.col("level") == level).drop("level")), "part", "left")
+        own = own.select("unit", "bytes", "bin", F.when(F.col("at") >= 0, F.col("first") + F.col("at")).alias("shard"))
+        if out is not None:  # an open bin has the shard that a later level gave it
+            later = out.select(F.col("unit").alias("bin"), F.col("shard").alias("later"))
+            own = own.join(later, "bin", "left").withColumn("shard", F.coalesce("shard", "later"))
+        out = own.select("unit", "bytes", "shard")
+    return out.select(F.col("unit").alias("key"), "bytes", F.col("shard").cast("int").alias("shard"))
+
+
 def shard_documents(docs: DataFrame, n_shards: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Shard and slot of every row: doc_id, size, text_crc32, shard, slot, group_rows.
 

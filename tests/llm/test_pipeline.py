@@ -86,11 +86,44 @@ def test_run_is_all_stages(spark, stages):
     assert got == sorted(map(tuple, stages["bpe"][1].collect()))
 
 
-@pytest.mark.parametrize("empty", [False, True])
-def test_odd_rows_and_empty_tables(spark, empty):
-    docs = odd_docs(spark, [] if empty else None)
+def test_written_run_leaves_no_tables(spark, stages, tmp_path):
+    import os
+
+    from riskloom.session import ensure_checkpoint_dir
+    folder = ensure_checkpoint_dir(spark).removeprefix("file://")
+    before = set(os.listdir(folder))
+    corpus_pipeline.write(spark, SF_SMALL, str(tmp_path / "out"))
+    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).collect())) == sorted(map(tuple, stages["bpe"][1].collect()))
+    assert not [n for n in set(os.listdir(folder)) - before if n.startswith("run-")]
+
+
+def test_empty_tables(spark):
+    docs = odd_docs(spark, [])
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, SF_SMALL).count() == 0
+
+
+def test_odd_rows(spark):
+    """Each stage on rows with null and repeated ids, null and empty texts, repeated rows and clashing columns."""
+    docs = odd_docs(spark)
+    own = sorted(((r.doc_id, r.text) for r in docs.collect()), key=str)
+    out = {}
     for name, stage in corpus_pipeline.STAGES:
-        out = stage(spark, docs, SF_SMALL)
+        after = stage(spark, docs, SF_SMALL)
         if name != "bpe":
-            assert out.columns == docs.columns and dict(out.dtypes) == dict(docs.dtypes)
-        assert (out.count() == 0) == empty
+            assert after.columns == docs.columns and dict(after.dtypes) == dict(docs.dtypes)
+        out[name] = after.collect()
+    pairs = {n: sorted(((r.doc_id, r.text) for r in rs), key=str) for n, rs in out.items() if n != "bpe"}
+    votes = quality.fit(docs, spark.read.parquet(f"{SF_SMALL}/labels.parquet"))
+    assert pairs["quality"] == sorted(((r.row.doc_id, r.text) for r in quality.score(docs, votes).collect() if r.score >= 0.5), key=str)
+    assert pairs["line_dedup"] == sorted(((i, t) for i, t, _, _ in brute_lines(own)), key=str)
+    assert all(r.n_chars == (None if r.text is None else len(r.text)) for r in out["line_dedup"])
+    fps = [brute_fingerprint(t) for _, t in own]
+    label = brute_components(range(len(own)), fps)
+    least = [min((((-(1 << 63) if own[k][0] is None else own[k][0]), own[k][1] or "") for k in range(len(own)) if label[k] == c)) for c in set(label)]
+    assert sorted((-(1 << 63) if i is None else i, t or "") for i, t in pairs["near_dedup"]) == sorted(least)
+    items = read(SF_SMALL, "benchmark")
+    hit = {t for t in {t for _, t in own} for _, _, n, _ in brute_passages([(0, t)], list(zip(items.item_id, items.text)), 10) if n}
+    assert pairs["decontaminate"] == [r for r in own if r[1] not in hit]
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    assert sorted((str(r.doc_id), r.n_tokens) for r in out["bpe"]) == sorted((str(i), len(tok.encode(t or "", add_special_tokens=False).ids)) for i, t in own)

@@ -2,6 +2,8 @@ import random
 import zlib
 from collections import defaultdict
 
+import pytest
+
 from riskloom.llm import sharding
 from riskloom.llm.queries import Q
 
@@ -87,3 +89,19 @@ def test_fixed_capacity_uses_few_shards(spark):
     got = sharding.pack_groups(groups, capacity=120).toPandas()
     assert got.groupby("shard")["bytes"].sum().max() <= 120
     assert got.shard.nunique() <= -(-got["bytes"].sum() // 120) + 1
+
+
+@pytest.mark.parametrize("per_task", [200_000, 1000])
+def test_many_small_groups_are_packed_in_tasks(spark, monkeypatch, per_task):
+    """Level by level; about as few shards as one best-fit pass over everything."""
+    monkeypatch.setattr(sharding, "GROUPS_PER_TASK", per_task)
+    rnd = random.Random(4)
+    sizes = [rnd.choice([2250, 2250, 2249, 1100, 3000, 9000, rnd.randrange(1, 8192)]) for _ in range(12_000)]
+    groups = spark.createDataFrame([(str(i).encode(), n) for i, n in enumerate(sizes)], "key binary, bytes long")
+    got = sharding.pack_groups(groups, capacity=8192).toPandas()
+    assert len(got) == len(sizes) and {int(k): b for k, b in zip(got["key"], got["bytes"])} == dict(enumerate(sizes))
+    shards = got.groupby("shard")["bytes"].agg(["sum", "count", "max"])
+    assert sorted(shards.index) == list(range(len(shards)))
+    assert ((shards["sum"] <= 8192) | (shards["count"] == 1)).all()
+    assert len(shards) <= 1.02 * (max(sharding.best_fit(sorted(sizes, reverse=True), 8192)) + 1)
+    assert sharding.pack_groups(groups.limit(0), capacity=10).count() == 0
