@@ -22,31 +22,37 @@ from pyspark.sql import functions as F
 
 from riskloom.llm import bpe, decontaminate, line_dedup, quality, simhash
 from riskloom.llm._tables import unpacked, written
+from riskloom.session import run_folder
 
 #: A kept document's score at least.
 GOOD = 0.5
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the votes of the labelled ones score GOOD or better; an empty text scores as the share of good labels."""
     votes = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return unpacked(quality.score(docs, votes).where(F.col("score") >= GOOD), docs)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document, without lines that a document of smaller id holds; a null text stays null, n_chars follows the text."""
     kept = line_dedup.dedup_lines(docs)
     return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each SimHash component: that of least id, then least text; texts without words are one component."""
     return simhash.drop_near_duplicates(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a word inside a benchmark window; null and empty texts stay."""
     found = decontaminate.find_passages(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return unpacked(found.where("n_hit = 0"), docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document; a null text has no tokens."""
     return bpe.round_trip_digests(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
@@ -69,3 +75,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if i + 1 < len(STAGES):
             rows = written(rows, f"pipeline-{name}")
     return rows
+
+
+def write(spark: SparkSession, sf_dir: str, path: str) -> None:
+    """run(), written as Parquet to path; the tables between the stages are deleted when it is done."""
+    with run_folder(spark):
+        run(spark, sf_dir).write.parquet(path)
