@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import SparkSession
 
@@ -61,9 +64,28 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
+_RUN: ContextVar[str | None] = ContextVar("run folder", default=None)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A location under the shared checkpoint folder for written tables."""
-    return os.path.join(ensure_checkpoint_dir(spark), name)
+    """A location for written tables under the shared checkpoint folder, or in the current run's folder there."""
+    return os.path.join(ensure_checkpoint_dir(spark), *filter(None, [_RUN.get()]), name)
+
+
+@contextmanager
+def run_folder(spark: SparkSession):
+    """Tables written inside the block go to one folder of its own, which is deleted at its end.
+
+    Results must be written elsewhere (or collected) inside the block. After an
+    error the folder stays, for a look at what was written.
+    """
+    token = _RUN.set(f"run-{uuid.uuid4().hex}")
+    try:
+        path = scratch_path(spark, "")
+        yield path
+        drop_path(spark, path)
+    finally:
+        _RUN.reset(token)
 
 
 def drop_path(spark: SparkSession, path: str) -> None:

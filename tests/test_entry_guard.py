@@ -1,4 +1,4 @@
-"""The entry works without the corpus subpackage, and hides no other import error."""
+"""The entry works without the corpus subpackage or its libraries, and hides no other import error."""
 
 import sys
 
@@ -33,9 +33,16 @@ def test_without_the_subpackage(monkeypatch, name):
     assert all(n in Q for n in entry.oracle_sql())
 
 
-def test_other_missing_modules_are_errors(monkeypatch):
+def test_without_a_library_of_the_subpackage(monkeypatch):
     pytest.importorskip("corpus_pipeline")
     hidden(monkeypatch, "public_tokenizers")
     monkeypatch.delitem(sys.modules, "public_tokenizers", raising=False)
+    with pytest.warns(UserWarning, match="public_tokenizers"):
+        assert set(entry.queries()) == set(Q)
+
+
+def test_a_missing_part_of_the_library_is_an_error(monkeypatch):
+    pytest.importorskip("corpus_pipeline")
+    hidden(monkeypatch, "riskloom.llm.bpe")
     with pytest.raises(ModuleNotFoundError):
         entry.queries()

@@ -78,3 +78,22 @@ def test_model_sink_under_checkpoint_dir(spark):
     assert path.startswith(spark.conf.get("spark.checkpoint.dir"))
     m2 = LogisticRegressionModel.load(path)
     assert list(m2.coefficients) == list(m.coefficients)
+
+
+def test_a_run_folder_goes_at_its_end(spark, tmp_path):
+    import os
+
+    import pytest
+    from riskloom.session import run_folder
+    from riskloom.sources.sinks import write_table
+    df = spark.range(5)
+    with run_folder(spark) as folder:
+        inner = write_table(df, spark, "t")
+        spark.read.parquet(inner).write.parquet(str(tmp_path / "out"))
+        assert inner.startswith(folder) and os.path.exists(folder.removeprefix("file:"))
+    assert not os.path.exists(folder.removeprefix("file:")) and spark.read.parquet(str(tmp_path / "out")).count() == 5
+    with pytest.raises(ZeroDivisionError), run_folder(spark) as folder:
+        inner = write_table(df, spark, "t")
+        1 / 0
+    assert spark.read.parquet(inner).count() == 5
+    assert not write_table(df, spark, "t").startswith(folder)
