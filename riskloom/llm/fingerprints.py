@@ -134,7 +134,7 @@ def edit_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         .select("row", "id", "text", F.col("to.at").alias("at"), F.col("to.guest").alias("guest"))
     schema = T.StructType([dealt.schema["row"], dealt.schema["id"], T.StructField("n_chars", T.LongType()), *[T.StructField(c, T.StringType()) for c in ("edited_sha256", "fingerprint", "edited_fingerprint")],
                            *[T.StructField(c, T.DoubleType()) for c in ("near_edited", "near_next")]])
-    return dealt.groupBy("at").applyInArrow(_edited(to_arrow_schema(schema)), schema)
+    return dealt.repartition(len(lower), "at").groupBy("at").applyInArrow(_edited(to_arrow_schema(schema)), schema)
 
 
 # ------------------------------------------------------------ near duplicates

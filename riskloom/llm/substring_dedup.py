@@ -1,10 +1,11 @@
 """Repeated passages: Rabin-Karp hashes of every fixed-length word window, counted in Spark.
 
-Documents lie in batches of consecutive ids. Each batch sends the set of its
-window hashes, sorted and packed, to hash shards; a shard finds which hashes an
-earlier batch holds and sends one bit for each back. Within a batch the order of
-ids decides. So a window moves once, as about six bytes, however many documents
-share it, and a very common passage is one hash for each batch.
+Documents are dealt to batches by a hash of id and text. Each batch sends the
+set of its window hashes, each with the least document of the batch that holds
+it, sorted and packed, to hash shards; a shard finds which hashes a document of
+a smaller id holds in another batch and sends one bit for each back. Within a
+batch the ids decide. So a window moves once, as about eight bytes, however
+many documents share it, and a very common passage is one hash for each batch.
 
 Windows are compared by 64-bit hashes: two different windows among n are taken
 for equal with a chance of about n / 2**64 each.
@@ -23,10 +24,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ._tables import id_batches, packed
+from ._tables import packed
 from ._text import NOT_SPACE, WordHash, flat, slices, windows, words
 
 ROWS_PER_BATCH = 2_000
+#: Text bytes of a task's batches, about.
+BYTES_PER_TASK = 16_000_000
 #: Text bytes for which one shard counts windows (about one window for six bytes).
 BYTES_PER_SHARD = 12_000_000
 WORD_HASH = WordHash(5)
@@ -64,33 +67,61 @@ def shard_cuts(h: np.ndarray, shards: int) -> np.ndarray:
     return np.append(np.searchsorted(h, np.array(lowest, np.uint64)), len(h))
 
 
+def pack_ids(ids: np.ndarray) -> bytes:
+    """Rising distinct ids: the first, then the others as gaps."""
+    return ids[:1].astype("<i8").tobytes() + (pack_sorted(ids[1:].view(np.uint64) - ids[:1].view(np.uint64)) if len(ids) > 1 else b"")
+
+
+def unpack_ids(body: bytes) -> np.ndarray:
+    first = np.frombuffer(body, "<i8", 1)
+    rest = unpack_sorted(body[8:]) if len(body) > 8 else np.zeros(0, np.uint64)
+    return np.concatenate([first, (rest + first.view(np.uint64)).view(np.int64)])
+
+
 def _send(n: int, shards: int):
     def run(batches):
-        held: dict[int, list[np.ndarray]] = {}
+        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
         for batch in batches:
             for part in slices(batch, "text"):
                 h, owner, _, _ = window_hashes(part.column("text"), n)
-                at = part.column("batch").to_numpy()[owner]
+                at, id_ = part.column("batch").to_numpy()[owner], part.column("id").to_numpy()[owner]
                 for b in np.unique(at):
-                    held.setdefault(int(b), []).append(np.unique(h[at == b]))
-        for b, parts in held.items():
-            h = np.unique(np.concatenate(parts))
+                    held.setdefault(int(b), []).append(_least(h[at == b], id_[at == b]))
+        for b in sorted(held):
+            h, id_ = _least(*map(np.concatenate, zip(*held.pop(b))))
             cuts = shard_cuts(h, shards)
             own = [s for s in range(shards) if cuts[s] < cuts[s + 1]]
-            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array([b] * len(own), pa.int64()),
-                                              pa.array([pack_sorted(h[cuts[s]:cuts[s + 1]]) for s in own], pa.binary())], ["shard", "batch", "hashes"])
+            bodies = [[], [], []]
+            for s in own:
+                ids, who = np.unique(id_[cuts[s]:cuts[s + 1]], return_inverse=True)
+                bodies[0].append(pack_sorted(h[cuts[s]:cuts[s + 1]]))
+                bodies[1].append(pack_ids(ids))
+                bodies[2].append(who.astype("<u2" if len(ids) <= 1 << 16 else "<u4").tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array([b] * len(own), pa.int64()), *[pa.array(x, pa.binary()) for x in bodies]], ["shard", "batch", "hashes", "ids", "who"])
 
     return run
 
 
+def _least(h: np.ndarray, id_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each distinct hash, rising, and the least id that has it."""
+    order = np.lexsort((id_, h))
+    h, id_ = h[order], id_[order]
+    first = np.concatenate([[True], h[1:] != h[:-1]])
+    return h[first], id_[first]
+
+
 def _count(table: pa.Table) -> pa.Table:
-    """For each batch in a shard, a bit for each of its hashes: does an earlier batch hold it?"""
-    table = table.sort_by("batch")
+    """For each batch in a shard, a bit for each of its hashes: does another batch hold it in a smaller document?"""
     parts = [unpack_sorted(b) for b in table.column("hashes").to_pylist()]
-    h = np.concatenate(parts)
-    order = np.argsort(h, kind="stable")
+    least = []
+    for ids, who, h in zip(table.column("ids").to_pylist(), table.column("who").to_pylist(), parts):
+        least.append(unpack_ids(ids)[np.frombuffer(who, "<u2" if len(who) == 2 * len(h) else "<u4")])
+    h, id_ = np.concatenate(parts), np.concatenate(least)
+    order = np.lexsort((id_, h))
+    head = np.concatenate([[True], h[order[1:]] != h[order[:-1]]])
+    first = id_[order][np.flatnonzero(head)[np.cumsum(head) - 1]]  # the least id of the hash
     seen = np.zeros(len(h), bool)
-    seen[order[1:]] = h[order[1:]] == h[order[:-1]]
+    seen[order] = first < id_[order]
     cuts = np.cumsum([0, *map(len, parts)])
     bits = [np.packbits(seen[a:b]).tobytes() if seen[a:b].any() else None for a, b in zip(cuts, cuts[1:])]
     out = pa.table({"shard": table.column("shard"), "batch": table.column("batch"), "seen": pa.array(bits, pa.binary())})
@@ -154,11 +185,13 @@ def remove_repeats(docs: DataFrame, n: int = 13, id_col: str = "doc_id", text_co
     null id counts as the least; rows with equal ids don't remove from one
     another. Texts of fewer than n words lose nothing.
     """
-    rows, lower = id_batches(packed(docs, id_col, text_col), "id", ROWS_PER_BATCH, "batch")
-    size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    shards = max(1, math.ceil(size / BYTES_PER_SHARD))
-    dealt = rows.repartition(len(lower), "batch")  # read twice, shuffled once
-    sent = dealt.mapInArrow(_send(n, shards), "shard int, batch long, hashes binary")
+    size, count = docs.agg(F.sum(F.octet_length(text_col)), F.count("*")).first()
+    size = size or 0
+    shards, n_batches = max(1, math.ceil(size / BYTES_PER_SHARD)), max(1, math.ceil(count / ROWS_PER_BATCH))
+    rows = packed(docs, id_col, text_col)
+    rows = rows.withColumn("batch", F.pmod(F.xxhash64("id", "text"), F.lit(n_batches)))
+    dealt = rows.repartition(max(1, min(n_batches, math.ceil(size / BYTES_PER_TASK))), "batch")  # read twice, shuffled once
+    sent = dealt.mapInArrow(_send(n, shards), "shard int, batch long, hashes binary, ids binary, who binary")
     bits = sent.groupBy("shard").applyInArrow(_count, "shard int, batch long, seen binary")
     schema = T.StructType([dealt.schema["row"], dealt.schema["id"], dealt.schema["text"], T.StructField("n_words", T.LongType()),
                            T.StructField("n_removed", T.LongType()), T.StructField("removed", T.ArrayType(T.LongType()))])

@@ -7,7 +7,10 @@ from collections import defaultdict
 import numpy as np
 import pyarrow as pa
 
+from pyspark.sql import functions as F
+
 from riskloom.llm import decontaminate, substring_dedup
+from riskloom.llm._tables import packed
 from riskloom.llm.decontaminate import find_passages
 from riskloom.llm.substring_dedup import pack_sorted, remove_repeats, shard_cuts, unpack_sorted
 
@@ -142,3 +145,22 @@ def test_union_of_intervals():
 def test_words_never_cross_texts():
     h, owner, start, count = substring_dedup.window_hashes(pa.array(["a b", "c d e", None, "f"]), 2)
     assert owner.tolist() == [0, 1, 1] and start.tolist() == [0, 2, 3] and count.tolist() == [2, 3, 0, 1]
+
+
+def test_equal_ids_in_many_batches(spark, monkeypatch):
+    """Most rows have no id: they are spread over batches and don't remove from one another."""
+    monkeypatch.setattr(substring_dedup, "ROWS_PER_BATCH", 20)
+    passage = " ".join(f"w{i}" for i in range(30))
+    rows = [(None if i % 10 else i, f"start {i} {passage} end {i} " + " ".join(f"x{i % 7}y{j}" for j in range(16))) for i in range(300)]
+    docs = plain_docs(spark, rows).repartition(4)
+    assert repeats(remove_repeats(docs)) == brute_repeats(rows, 13)
+    plan = remove_repeats(docs)._jdf.queryExecution().toString()
+    assert "pmod(xxhash64(id" in plan  # the batch is a hash of id and text
+    sizes = [r["count"] for r in packed(docs).groupBy(F.pmod(F.xxhash64("id", "text"), F.lit(15))).count().collect()]
+    assert len(sizes) == 15 and max(sizes) < 60
+
+
+def test_packed_ids():
+    for ids in ([5], [-(1 << 63), -7, 0, 3], [(1 << 62), (1 << 63) - 1], [-(1 << 63), (1 << 63) - 1]):
+        ids = np.array(ids, np.int64)
+        assert (substring_dedup.unpack_ids(substring_dedup.pack_ids(ids)) == ids).all()
