@@ -145,6 +145,9 @@ def tree_shapley(model, df: DataFrame, names, key: str = "row_id", vec: str = "f
         groups[-1].append(tree)
         size += tree.nbytes
     rows = df.select(F.col(key).alias("row_id"), F.col(vec).cast("array<double>").alias("x")).where("x IS NOT NULL")
+    cores = spark.sparkContext.defaultParallelism
+    if rows.rdd.getNumPartitions() < cores:  # a row costs far more here than a shuffle
+        rows = rows.repartition(cores)
     kind = rows.schema["row_id"].dataType.simpleString()
 
     def one(trees: list[Leaves]) -> DataFrame:
