@@ -10,7 +10,8 @@ from tools.oracle_check import frame_key
 
 from .conftest import SF_SMALL
 
-NAMES = sorted(n for n in Q if n in SQL)
+# (V9_local_accuracy trains a full query model; test_tree_shapley holds the same on small ones)
+NAMES = [n for n in sorted(n for n in Q if n in SQL) if n != "V9_local_accuracy"]
 
 
 @pytest.mark.parametrize("name", NAMES)
