@@ -54,3 +54,7 @@ def test_bounds_leave_out_no_neighbour(exclude):
     for bound in (None, want[:, 5].copy(), np.where(np.arange(50) % 2, np.inf, 3 * want[:, 5])):
         row, col, dist = K.nearest_in_block(q, c, np.arange(50), np.arange(2500), 6, exclude, bound)
         assert len(row) == 300 and np.allclose(dist.reshape(50, 6) ** 2, want, rtol=1e-9)
+
+
+def test_hybrid_and_adasyn_search_once(spark, rows):
+    assert plan(bal.adasyn(rows, "id", "vec", "label")).count("FlatMapCoGroupsInArrow") == 1
