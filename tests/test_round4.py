@@ -57,4 +57,5 @@ def test_bounds_leave_out_no_neighbour(exclude):
 
 
 def test_hybrid_and_adasyn_search_once(spark, rows):
+    assert "FlatMapCoGroupsInArrow" not in plan(bal.hybrid(rows, "id", "vec", "label"))
     assert plan(bal.adasyn(rows, "id", "vec", "label")).count("FlatMapCoGroupsInArrow") == 1
