@@ -127,13 +127,15 @@ class _Cells:
     """The sample (its first rows are the pivots) and the cells' radii and sizes: small, sent to all tasks."""
 
     def __init__(self, sample: np.ndarray, ids: list, radius: np.ndarray, size: np.ndarray, block_rows: int):
-        self.sample, self.place, self.radius, self.size = sample, {i: n for n, i in enumerate(ids)}, radius, size
+        self.sample, self.place, self.radius, self.size = sample, {}, radius, size
+        for n, i in enumerate(ids):  # ids may repeat
+            self.place.setdefault(i, []).append(n)
         self.blocks = np.maximum(1, -(-size // block_rows))
 
     def bounds(self, square: np.ndarray, ids: list, k: int, exclude_self: bool) -> np.ndarray:
         """An upper bound of each query's k-th distance, from its squared distances to the sample."""
         if exclude_self:
-            own = [(r, self.place[i]) for r, i in enumerate(ids) if i in self.place]
+            own = [(r, n) for r, i in enumerate(ids) for n in self.place.get(i, ())]
             if own:
                 square = square.copy()
                 square[tuple(zip(*own))] = np.inf

@@ -42,6 +42,19 @@ def test_repeated_candidate_ids_keep_their_vectors(spark):
     assert [(d, v) for _, _, d, v in got] == [(1.0, [1.0]), (1.0, [1.0]), (2.0, [2.0]), (3.0, [3.0])]
 
 
+def test_rows_that_come_twice_have_whole_neighbours(spark, rows):
+    """No row with the query's own id counts towards its bound."""
+    got = K.knn(rows.limit(60).localCheckpoint(), rows.unionByName(rows), 5, "id", "id", "vec", block_rows=30).collect()
+    x = {r.id: np.array(r.vec) for r in rows.collect()}
+    found = {}
+    for r in got:
+        found.setdefault(r.qid, []).append(r.dist)
+    assert len(found) == 60
+    for q, dist in found.items():
+        want = np.sort([np.sqrt(((x[q] - v) ** 2).sum()) for i, v in x.items() if i != q for _ in range(2)])[:5]
+        assert sorted(dist) == pytest.approx(want)
+
+
 @pytest.mark.parametrize("exclude", [True, False])
 def test_bounds_leave_out_no_neighbour(exclude):
     rng = np.random.default_rng(9)
