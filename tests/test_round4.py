@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from riskloom.operators import balance as bal, knn as K
+from riskloom.operators import balance as bal, knn as K, models as mdl
 
 
 def plan(df):
@@ -72,3 +72,15 @@ def test_bounds_leave_out_no_neighbour(exclude):
 def test_hybrid_and_adasyn_search_once(spark, rows):
     assert "FlatMapCoGroupsInArrow" not in plan(bal.hybrid(rows, "id", "vec", "label"))
     assert plan(bal.adasyn(rows, "id", "vec", "label")).count("FlatMapCoGroupsInArrow") == 1
+
+
+@pytest.mark.parametrize("n, cores, want", [(0, 12, 1), (800_000, 12, 8), (8_000_000, 12, 24), (48_000_000, 12, 24), (480_000_000, 12, 240)])
+def test_training_partitions_are_bounded(n, cores, want):
+    """Two partitions a core, until they would hold over 2,000,000 rows."""
+    assert mdl.training_partitions(n, cores) == want
+
+
+def test_trainers_keep_their_columns_only(rows):
+    wide = mdl.from_array(rows, "vec").withColumn("weight", F.lit(1.0))
+    with mdl.kept_for_training(wide) as kept:
+        assert sorted(kept.columns) == ["features", "label", "weight"] and kept.count() == 240
