@@ -5,6 +5,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from riskloom.operators import balance as bal, knn as K, models as mdl
+from riskloom.plans import workflow as wf
+from riskloom.sources.transactions import fixture_transactions
+
+from .conftest import SF_SMALL
 
 
 def plan(df):
@@ -84,3 +88,12 @@ def test_trainers_keep_their_columns_only(rows):
     wide = mdl.from_array(rows, "vec").withColumn("weight", F.lit(1.0))
     with mdl.kept_for_training(wide) as kept:
         assert sorted(kept.columns) == ["features", "label", "weight"] and kept.count() == 240
+
+
+def test_the_design_reads_kept_transactions(spark, monkeypatch):
+    seen, txn = [], fixture_transactions(spark, SF_SMALL)
+    fit = wf.feat.fit_global_stats
+    monkeypatch.setattr(wf.feat, "fit_global_stats", lambda df, **k: seen.append(plan(df)) or fit(df, **k))
+    wf.build_design(txn, fit="all")
+    assert "InMemoryTableScan" in seen[0] and "Join" not in seen[0].partition("InMemoryRelation")[0]
+    assert not txn.storageLevel.useMemory and not txn.storageLevel.useDisk
