@@ -36,7 +36,7 @@ CUST = "customer_id"
 TID = "transaction_id"
 
 # Rows above which one customer's history is split into ordered parts.
-DEFAULT_CHUNK_ROWS = 2_000_000
+DEFAULT_CHUNK_ROWS = 500_000
 # Rows of history the windows look back (rolling mean of 5 including the current).
 ROLLING_ROWS = 5
 HALO_ROWS = ROLLING_ROWS - 1

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from riskloom.operators import balance as bal, knn as K, models as mdl
+from riskloom.operators.features import DEFAULT_CHUNK_ROWS
 from riskloom.plans import workflow as wf
 from riskloom.sources.transactions import fixture_transactions
 
@@ -97,3 +98,8 @@ def test_the_design_reads_kept_transactions(spark, monkeypatch):
     wf.build_design(txn, fit="all")
     assert "InMemoryTableScan" in seen[0] and "Join" not in seen[0].partition("InMemoryRelation")[0]
     assert not txn.storageLevel.useMemory and not txn.storageLevel.useDisk
+
+
+def test_a_customer_of_half_a_million_rows_is_one_part_at_most():
+    """A task holds a part: its rows don't grow with the largest customer."""
+    assert DEFAULT_CHUNK_ROWS <= 500_000
