@@ -81,10 +81,10 @@ class Network:
         return total, grad
 
 
-def packed_rows(df: DataFrame, key: str, vec: str, label: str, weight: str | None, name: str) -> DataFrame:
-    """Blocks (block, n, x, y, w) of about BLOCK_ROWS rows by a hash of the key, each sorted by key; written once.
+def packed_rows(df: DataFrame, key: str, vec: str, label: str, weight: str | None, name: str, batches: int = 1) -> DataFrame:
+    """Blocks (block, n, x, y, w, batch) of about BLOCK_ROWS rows by a hash of the key, each sorted by key; written once.
 
-    Rows need distinct keys, a label 0 or 1 and a vector of one length without nulls.
+    Each mini-batch (block modulo ``batches``) has a folder of its own, so that a pass over one reads no other. Rows need distinct keys, a label 0 or 1 and a vector of one length without nulls.
     """
     n = df.count()
     blocks = max(1, math.ceil(n / BLOCK_ROWS))
@@ -97,7 +97,8 @@ def packed_rows(df: DataFrame, key: str, vec: str, label: str, weight: str | Non
         return pa.table({"block": t.column("block").slice(0, 1), "n": pa.array([t.num_rows], pa.int32()), **{c: pa.array([v], pa.binary()) for c, v in zip("xyw", values)}})
 
     path = scratch_path(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
-    rows.groupBy("block").applyInArrow(pack, "block int, n int, x binary, y binary, w binary").write.parquet(path)
+    packed = rows.groupBy("block").applyInArrow(pack, "block int, n int, x binary, y binary, w binary")
+    packed.withColumn("batch", F.pmod("block", F.lit(batches))).write.partitionBy("batch").parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
@@ -143,19 +144,19 @@ def focal_network(train: DataFrame, validation: DataFrame, n_features: int, hidd
     """
     spark = train.sparkSession
     weight_col = weight_col if weight_col in train.columns else None
-    blocks = packed_rows(train, key, vec, label, weight_col, "network-rows")
+    blocks = packed_rows(train, key, vec, label, weight_col, "network-rows", batches)
     held = packed_rows(validation, key, vec, label, weight_col if weight_col in validation.columns else None, "network-validation")
     state = state or scratch_path(spark, f"network-{uuid.uuid4().hex}")
     alpha = FOCAL_ALPHA[mode]
     lanes = math.isqrt(max(blocks.rdd.getNumPartitions(), held.rdd.getNumPartitions()) // FEW)
-    some = {r[0] for r in blocks.select(F.pmod("block", F.lit(batches))).distinct().collect()}  # small tables have fewer blocks than mini-batches
+    some = {r[0] for r in blocks.select("batch").distinct().collect()}  # small tables have fewer blocks than mini-batches
     net = Network((n_features, *hidden, 1), seed=seed)
     now = _read(spark, state) or {"epoch": 0, "t": 0, "step": STEP, "flat": net.flat, "m": np.zeros_like(net.flat), "v": np.zeros_like(net.flat),
                                   "best": net.flat, "best_loss": math.inf, "bad": 0}
     while now["epoch"] < epochs and now["bad"] < patience:
         for b in sorted(some):
             net.flat = now["flat"]
-            _, weight, grad = _total(blocks.where(F.pmod("block", F.lit(batches)) == b), net, alpha, True, lanes)
+            _, weight, grad = _total(blocks.where(F.col("batch") == b), net, alpha, True, lanes)
             grad = grad / weight + DECAY * net.flat
             grad *= min(1.0, CLIP / (np.sqrt((grad * grad).sum()) + 1e-12))
             now["t"] += 1
