@@ -22,8 +22,12 @@ from pyspark.sql import functions as F
 
 from ..session import drop_path, scratch_path
 
-#: Rows in a packed block, and values of the block of models whose sums a pass adds up in Spark.
-BLOCK_ROWS = 4096
+#: Rows in a packed block, and values of a piece of a pass's sums that is added up by one task.
+BLOCK_ROWS, PIECE = 4096, 1 << 16
+#: Blocks in a file: small files are dealt evenly over the tasks of a pass, and a reader holds no more of them.
+FILE_BLOCKS = 8
+#: Rows whose margins with all models are held at a time, so that they stay in a core's cache.
+SLICE = 512
 #: Past steps that shape the next one, and the share of the predicted gain that a step has to bring.
 MEMORY, GAIN = 10, 1e-4
 
@@ -51,10 +55,12 @@ class Blocks:
             for batch in batches:
                 for i in range(0, batch.num_rows, BLOCK_ROWS):
                     b = batch.slice(i, BLOCK_ROWS)
+                    if fold:  # a fold's rows of a block lie together
+                        b = b.take(pa.array(np.argsort(b.column("fold").to_numpy(), kind="stable")))
                     yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int32()), *[pa.array([v.tobytes()], pa.binary()) for v in (
                         b.column("x").flatten().to_numpy(), b.column("y").to_numpy(), b.column("w").to_numpy(), b.column("fold").to_numpy())]], ["n", "x", "y", "w", "fold"])
 
-        df.select(*cols).mapInArrow(run, "n int, x binary, y binary, w binary, fold binary").write.parquet(self.path)
+        df.select(*cols).mapInArrow(run, "n int, x binary, y binary, w binary, fold binary").write.option("maxRecordsPerFile", FILE_BLOCKS).parquet(self.path)
         self.rows = spark.read.parquet(self.path)
         first = self.rows.select("n", F.octet_length("x").alias("b")).where("n > 0").first()
         if first is None:
@@ -70,13 +76,16 @@ class Blocks:
             for batch in batches:
                 for n, x, y, w, fold in zip(*(batch.column(c).to_pylist() for c in ("n", "x", "y", "w", "fold"))):
                     total += fn(np.frombuffer(x).reshape(n, d), np.frombuffer(y), np.frombuffer(w), np.frombuffer(fold, np.int32))
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(size, dtype=np.int32)), pa.array(total)], ["i", "v"])
+            pieces = [total[i:i + PIECE] for i in range(0, size, PIECE)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(pieces), dtype=np.int32)), pa.array([p.tobytes() for p in pieces], pa.binary())], ["piece", "v"])
 
-        parts = self.rows.mapInArrow(run, "i int, v double")
-        out = np.zeros(size)
-        for r in parts.groupBy("i").agg(F.sum("v").alias("v")).toArrow().to_pylist():  # models x features values
-            out[r["i"]] = r["v"]
-        return out
+        def add(t: pa.Table) -> pa.Table:
+            out = sum(np.frombuffer(v) for v in t.column("v").to_pylist())
+            return pa.table({"piece": t.column("piece").slice(0, 1), "v": pa.array([out.tobytes()], pa.binary())})
+
+        parts = self.rows.mapInArrow(run, "piece int, v binary")
+        got = parts.groupBy("piece").applyInArrow(add, "piece int, v binary").toArrow().sort_by("piece")  # ``size`` values
+        return np.concatenate([np.frombuffer(v) for v in got.column("v").to_pylist()]) if got.num_rows else np.zeros(size)
 
     def close(self) -> None:
         drop_path(self.spark, self.path)
@@ -168,12 +177,34 @@ def fit_many(blocks: Blocks, tasks: list[Task], max_iter: int = 200, tol: float
         at = np.array([paths[i].trial for i in open_])
         out = out_fold[open_]
 
+        by = np.argsort(out, kind="stable")  # a fold's models lie together, too
+        ends = {f: (np.searchsorted(out[by], f), np.searchsorted(out[by], f, "right")) for f in folds.tolist()}
+        slopes, starts = at[by, :-1].T.copy(), at[by, -1]
+
         def run(x, y, w, fold):
-            margin = x @ at[:, :-1].T + at[:, -1]
-            seen = w[:, None] * (fold[:, None] != out)
-            loss = (seen * (np.logaddexp(0.0, margin) - y[:, None] * margin)).sum(0)
-            left = seen * (1.0 / (1.0 + np.exp(-np.clip(margin, -700, 700))) - y[:, None])
-            return np.concatenate([loss, (left.T @ x).ravel(), left.sum(0)])
+            loss, grad, shift = np.zeros(len(by)), np.zeros((len(by), d)), np.zeros(len(by))
+            for i in range(0, len(y), SLICE):
+                rows, real, weight, seen_by = x[i:i + SLICE], y[i:i + SLICE, None], w[i:i + SLICE, None], fold[i:i + SLICE]
+                margin = rows @ slopes
+                margin += starts
+                less = np.exp(-np.abs(margin))
+                cost = np.log1p(less)
+                cost += np.maximum(margin, 0.0)
+                cost -= real * margin
+                left = np.where(margin >= 0, 1.0, less)
+                less += 1.0
+                left /= less
+                left -= real
+                for part in (cost, left):
+                    part *= weight
+                    for f in np.unique(seen_by).tolist():
+                        a, z = ends.get(f, (0, 0))
+                        part[np.searchsorted(seen_by, f):np.searchsorted(seen_by, f, "right"), a:z] = 0.0
+                loss += cost.sum(0)
+                grad += left.T @ rows
+                shift += left.sum(0)
+            back = np.argsort(by)
+            return np.concatenate([loss[back], grad[back].ravel(), shift[back]])
 
         got = blocks.sums(run, len(open_) * (d + 2))
         passes += 1

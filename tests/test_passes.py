@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from riskloom.operators import models as mdl, network as net
+from riskloom.operators import many_models as mm, models as mdl, network as net
 
 
 @pytest.fixture(scope="module")
@@ -25,3 +25,29 @@ def test_a_mini_batch_reads_its_own_files_only(spark, rows, monkeypatch):
         read = blocks.where(F.col("batch") == b).select(F.input_file_name().alias("f")).distinct().collect()
         assert read and all(f"/batch={b}/" in r.f for r in read)
     assert sorted(blocks.inputFiles()) == sorted({f for f in blocks.inputFiles() if "/batch=" in f})
+
+
+def test_blocks_lie_in_small_files_and_pieces_add_up(spark, rows, monkeypatch):
+    monkeypatch.setattr(mm, "BLOCK_ROWS", 10)
+    monkeypatch.setattr(mm, "PIECE", 3)
+    blocks = mm.Blocks(rows, weight=None)
+    per_file = blocks.rows.groupBy(F.input_file_name()).count().agg(F.max("count")).first()[0]
+    assert per_file <= mm.FILE_BLOCKS
+    got = blocks.sums(lambda x, y, w, fold: np.concatenate([x.sum(0), [y.sum(), w.sum(), (fold == 1).sum()]]), 7)
+    want = rows.agg(*[F.sum(F.col("features_arr")[i]) for i in range(4)], F.sum("label"), F.count("label"), F.count_if(F.col("fold") == 1)).first()
+    blocks.close()
+    assert got == pytest.approx(list(want))
+
+
+def test_a_pass_is_the_sum_over_the_rows_that_a_model_sees(spark, rows, monkeypatch):
+    monkeypatch.setattr(mm, "SLICE", 64)
+    blocks = mm.Blocks(rows, weight=None)
+    tasks = [mm.Task(0.1, 0.0, f) for f in (None, 2, 0, 9)]
+    got, _ = mm.fit_many(blocks, tasks, max_iter=40, tol=1e-12)
+    blocks.close()
+    data = rows.select("features_arr", "label", "fold").toPandas()
+    for t, c in zip(tasks, got):
+        seen = data[data.fold != t.leave_out] if t.leave_out is not None else data
+        x = np.column_stack([np.vstack(seen.features_arr), np.ones(len(seen))])
+        slope = x.T @ (1 / (1 + np.exp(-(x @ c))) - seen.label) / len(seen) + 0.1 * np.append(c[:-1], 0.0)
+        assert np.abs(slope).max() < 1e-4
