@@ -1,10 +1,11 @@
-"""Passes of iterative trainers: what a pass reads, equal sums."""
+"""Passes of iterative trainers: what a pass reads, equal sums, Spark's network from packed blocks."""
 
 import numpy as np
 import pytest
+from pyspark.ml.classification import MultilayerPerceptronClassifier
 from pyspark.sql import functions as F
 
-from riskloom.operators import many_models as mm, models as mdl, network as net
+from riskloom.operators import many_models as mm, models as mdl, network as net, sigmoid_network as sn
 
 
 @pytest.fixture(scope="module")
@@ -27,6 +28,38 @@ def test_a_mini_batch_reads_its_own_files_only(spark, rows, monkeypatch):
     assert sorted(blocks.inputFiles()) == sorted({f for f in blocks.inputFiles() if "/batch=" in f})
 
 
+@pytest.mark.parametrize("block_size", [7, 256, 5000])
+def test_the_packed_network_is_sparks(spark, rows, block_size):
+    mlp = MultilayerPerceptronClassifier(layers=[4, 6, 3, 2], maxIter=6, blockSize=block_size, seed=5)
+    want, got = mlp.fit(rows), sn.fit(mlp, rows)
+    assert got.weights.toArray() == pytest.approx(want.weights.toArray(), abs=1e-9)
+    assert type(got) is type(want)
+    a, b = ({r.row_id: r.proba for r in mdl.score(m, rows, "nn").collect()} for m in (want, got))
+    assert a == pytest.approx(b, abs=1e-9)
+
+
+def test_many_rows_are_trained_on_packed_blocks(spark, rows, monkeypatch):
+    want = mdl.neural_network(rows, 4, hidden=(5,), max_iter=4).weights.toArray()
+    monkeypatch.setattr(mdl, "ROWS_PER_PARTITION", 500)
+    packed = []
+    monkeypatch.setattr(sn, "stacked", lambda *a, f=sn.stacked: packed.append(a) or f(*a))
+    got = mdl.neural_network(rows.repartition(2, "row_id"), 4, hidden=(5,), max_iter=4).weights.toArray()
+    assert packed and got == pytest.approx(want, abs=0.05)  # other stacks: the mean of means differs
+
+
+def test_the_descent_ends_at_a_least_point():
+    centre = np.array([1.0, -2.0, 3.0])
+    calls = []
+
+    def bowl(x):
+        calls.append(x)
+        return float(((x - centre) ** 2 * [1, 10, 100]).sum()), 2 * (x - centre) * [1, 10, 100]
+
+    assert sn.descend(bowl, np.zeros(3), 100, 1e-12) == pytest.approx(centre, abs=1e-4)
+    assert len(calls) < 60
+    assert (sn.descend(bowl, centre, 100, 1e-12) == centre).all()
+
+
 def test_blocks_lie_in_small_files_and_pieces_add_up(spark, rows, monkeypatch):
     monkeypatch.setattr(mm, "BLOCK_ROWS", 10)
     monkeypatch.setattr(mm, "PIECE", 3)
