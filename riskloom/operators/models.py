@@ -86,7 +86,11 @@ def from_array(df: DataFrame, arr: str, out: str = FEATURES) -> DataFrame:
 def logistic_regression(train: DataFrame, C: float = 1.0, penalty: str = "l2",
                         weight_col: str | None = WEIGHT, max_iter: int = 1000,
                         tol: float = 1e-4):
-    """L1: weighted logistic regression with the reference's C scale."""
+    """L1: weighted logistic regression with the reference's C scale.
+
+    Spark's trainer keeps the rows itself, packed in blocks, so they aren't kept here as well; ``train`` is
+    read three times and should be materialised.
+    """
     if weight_col and weight_col in train.columns:
         r = train.agg(F.sum(weight_col), F.count(F.lit(1))).first()
         sw, n = r[0], r[1]
@@ -98,8 +102,8 @@ def logistic_regression(train: DataFrame, C: float = 1.0, penalty: str = "l2",
                             standardization=False, maxIter=max_iter, tol=tol)
     if weight_col:
         lr.setWeightCol(weight_col)
-    with kept_for_training(train) as rows:
-        return lr.fit(rows)
+    target = training_partitions(n, train.sparkSession.sparkContext.defaultParallelism)
+    return lr.fit(train.coalesce(target) if target < train.rdd.getNumPartitions() else train)
 
 
 def random_forest(train: DataFrame, n_trees: int = 800, max_depth: int = MAX_TREE_DEPTH,

@@ -526,10 +526,11 @@ _MODEL_CACHE: dict = {}
 
 
 def _balanced_rows(spark, sf_dir):
+    """The rebalanced rows, kept as arrays only: vectors are made where they are read."""
     key = _session_key(spark, sf_dir, "smote")
     if key not in _MODEL_CACHE:
-        _MODEL_CACHE[key] = wf.rebalance(_train(spark, sf_dir), "smote").persist(
-            StorageLevel.MEMORY_AND_DISK)
+        kept = wf.rebalance(_train(spark, sf_dir), "smote").drop("features").persist(StorageLevel.MEMORY_AND_DISK)
+        _MODEL_CACHE[key] = mdl.from_array(kept, "features_arr")
     return _MODEL_CACHE[key]
 
 
