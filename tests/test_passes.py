@@ -84,3 +84,32 @@ def test_a_pass_is_the_sum_over_the_rows_that_a_model_sees(spark, rows, monkeypa
         x = np.column_stack([np.vstack(seen.features_arr), np.ones(len(seen))])
         slope = x.T @ (1 / (1 + np.exp(-(x @ c))) - seen.label) / len(seen) + 0.1 * np.append(c[:-1], 0.0)
         assert np.abs(slope).max() < 1e-4
+
+
+def test_a_pass_reads_a_few_blocks_at_a_time(spark, rows, monkeypatch, tmp_path):
+    """No batch grows with a partition, and the session's own setting is as before."""
+    monkeypatch.setattr(mm, "BLOCK_ROWS", 10)
+    key, before = "spark.sql.execution.arrow.maxRecordsPerBatch", spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    blocks = mm.Blocks(rows.withColumn("weight", F.lit(1.0)).coalesce(1))
+    frame = type(blocks.rows)
+    sizes, real = str(tmp_path / "sizes"), frame.mapInArrow
+
+    def seen(self, fn, *a, **k):
+        def run(batches):
+            def noted():
+                for batch in batches:
+                    with open(sizes, "a") as f:
+                        f.write(f"{batch.num_rows}\n")
+                    yield batch
+            yield from fn(noted())
+        return real(self, run, *a, **k)
+
+    try:
+        monkeypatch.setattr(frame, "mapInArrow", seen)
+        total = blocks.sums(lambda x, y, w, fold: np.append(x.sum(0), len(y)), 5)
+    finally:
+        blocks.close()
+    with open(sizes) as f:
+        got = [int(n) for n in f]
+    assert sum(got) == 100 and max(got) <= 2 and total[4] == 1000
+    assert spark.conf.get(key) == before
