@@ -31,3 +31,14 @@ def spark():
 def duck():
     from tools.oracle_check import duck as make
     return make(SF_SMALL)
+
+
+@pytest.fixture(scope="module", autouse=True)
+def transactions_kept_by_a_module_go_with_it():
+    """Spark finds kept tables by their plan, so another module's test would see them."""
+    yield
+    from pyspark.sql import SparkSession
+    from riskloom.sources.transactions import fixture_transactions
+    session = SparkSession.getActiveSession()
+    if session is not None:
+        fixture_transactions(session, SF_SMALL).unpersist()
